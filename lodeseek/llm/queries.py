@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from lodeseek.session import table
 
 
+def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeseek.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeseek.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeseek.llm.simhash import near_duplicates
 
@@ -22,6 +36,8 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_fm": op1_toxicity_fm,
+    "op2_decontaminate_cgk": op2_decontaminate_cgk,
     "op7_simhash_golay": op7_simhash_golay,
 }
 
