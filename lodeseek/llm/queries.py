@@ -24,6 +24,13 @@ def op2_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeseek.llm import secret_scan
+
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id").drop("redacted")
+
+
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeseek.llm.simhash import near_duplicates
 
@@ -35,10 +42,18 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeseek.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_fm": op1_toxicity_fm,
     "op2_decontaminate_cgk": op2_decontaminate_cgk,
+    "op6_secrets": op6_secrets,
     "op7_simhash_golay": op7_simhash_golay,
+    "op10_pack_nnls": op10_pack_nnls,
 }
 
 ORACLES: dict[str, str] = {}
