@@ -18,7 +18,7 @@ gathered: documents are read once, in blocks, with no shuffle before the few hit
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import repeat
@@ -26,7 +26,8 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.llm.arrowtools import LOWER_ALNUM, limit_batches, texts_of
@@ -210,6 +211,15 @@ def scan(texts: list[bytes], items: Items, s: Settings) -> list[tuple[int, int,
     return [(doc, item, *found) for (doc, item), found in sorted(best.items())]
 
 
+def shared_items(benchmark: DataFrame, s: Settings, item_col: str, item_text_col: str) -> Broadcast:
+    """The benchmark's keys, broadcast once its number of items is known to be within bounds."""
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).limit(s.max_items + 1).collect()
+    if len(rows) > s.max_items:
+        raise ValueError(f"the benchmark has over {s.max_items} items; raise max_items if executors have the memory")
+    return spark.sparkContext.broadcast(build_items(sorted((r.i, r.t) for r in rows if r.i is not None and r.t is not None), s))
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text",
@@ -220,10 +230,7 @@ def find_leaks(
     searched. Repeated rows are judged each on its own and return a row each; an empty table, or an empty
     benchmark, returns no rows."""
     spark = docs.sparkSession
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).limit(settings.max_items + 1).collect()
-    if len(rows) > settings.max_items:
-        raise ValueError(f"the benchmark has over {settings.max_items} items; raise max_items if executors have the memory")
-    shared = spark.sparkContext.broadcast(build_items(sorted((r.i, r.t) for r in rows if r.i is not None and r.t is not None), settings))
+    shared = shared_items(benchmark, settings, item_col, item_text_col)
     schema = "id long, item_id long, edits int, item_words int, first_word int, end_word int, similarity double"
     limit_batches(spark)
 
@@ -244,3 +251,18 @@ def find_leaks(
             yield pa.RecordBatch.from_pydict(out)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t")).mapInArrow(run, schema)
+
+
+def leaks_column(benchmark: DataFrame, settings: Settings = Settings(), item_col: str = "item_id", item_text_col: str = "text") -> Callable[[Column], Column]:
+    """Whether a text has a verified span of any item, as a function of a text column; null texts have none."""
+    shared = shared_items(benchmark, settings, item_col, item_text_col)
+    limit_batches(benchmark.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def leaks(text: pa.Array) -> pa.Array:
+        items = shared.value
+        values = [b"" if t is None else t for t in text.cast(pa.large_binary()).to_pylist()]
+        hit = {found[0] for found in scan(values, items, settings)} if items.ids else set()
+        return pa.array([i in hit for i in range(len(values))], pa.bool_())
+
+    return leaks

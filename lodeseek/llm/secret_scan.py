@@ -18,12 +18,13 @@ import binascii
 import hashlib
 import json
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.arrowtools import map_batches
+from lodeseek.llm.arrowtools import limit_batches, map_batches
 
 #: In the order in which spans of one start are listed: the base kinds first.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "ssh", "der")
@@ -190,3 +191,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t"))
     return map_batches(rows, run, f"id long, {names}, base_sha256 string, spans string, redacted string")
+
+
+def redacted_column(docs: DataFrame) -> Callable[[Column], Column]:
+    """The text with its secrets replaced, as a function of a text column; null stays null."""
+    limit_batches(docs.sparkSession)
+
+    @F.arrow_udf("string")
+    def redacted(text: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else redact(t, find_spans(t)) for t in text.to_pylist()], pa.string())
+
+    return redacted

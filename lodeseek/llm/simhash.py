@@ -34,7 +34,7 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Mean keys of a fingerprint (three pairs of 5.3 x 5.3), to size partitions.
 KEYS_PER_FINGERPRINT = 85
 #: Buckets up to this size compare all their pairs at once; larger ones grow a tree.
-SMALL_BUCKET = 48
+SMALL_BUCKET = 16
 #: Beyond this size a bucket is first split by exact blocks of bits.
 LARGE_BUCKET = 30_000
 
@@ -189,9 +189,51 @@ def fingerprint_links(unique: DataFrame, max_bits: int = 3) -> DataFrame:
     return found.groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_set(text: bytes, words: int) -> bytes:
+    """The sorted distinct shingles as 32-bit hashes, packed."""
+    found = shingles_of(text, words)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), dtype=np.uint64, count=len(found))
+    return np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
+    if not len(x) and not len(y):
+        return 1.0
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common)
+
+
+def verified_links(ends: DataFrame, docs: DataFrame, words: int, min_jaccard: float, id_col: str, text_col: str) -> DataFrame:
+    """Of links (u, v) between ids those whose shingle sets are at least that similar, by exact set comparison.
+    The texts of linked ids alone are hashed; they are found by a join that Spark broadcasts only if its table is small."""
+    ends = materialize(ends, "simhash")
+    linked = materialize(ends.select(F.col("u").alias("id")).union(ends.select("v")).distinct(), "simhash")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t")).join(linked, "id", "left_semi")
+
+    def sets(batch: pa.RecordBatch) -> dict:
+        return {"id": batch.column("id"), "set": [shingle_set(t, words) for t in texts_of(batch, "_t")]}
+
+    by_id = materialize(map_batches(rows, sets, "id long, set binary").dropDuplicates(["id"]), "simhash")
+    pairs = ends.join(by_id.select(F.col("id").alias("u"), F.col("set").alias("su")), "u").join(
+        by_id.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v"
+    )
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            su, sv = batch.column("su").to_pylist(), batch.column("sv").to_pylist()
+            near = pa.array([jaccard(a, b) >= min_jaccard for a, b in zip(su, sv)], pa.bool_())
+            yield batch.select(["u", "v"]).filter(near)
+
+    return pairs.select("u", "v", "su", "sv").mapInArrow(keep, "u long, v long")
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = 3, max_bits: int = 3, min_jaccard: float | None = None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """(id, fp long, component long) for each row of docs; component is the smallest id that links reach.
 
+    Equal fingerprints always link. With min_jaccard, other links count only if the shingle sets are that similar.
     Null and empty texts have fingerprint 0 and link like any other. Rows that repeat an id each return a
     row. A null id returns a null component unless its group has another id. An empty table returns no rows."""
     fps = materialize(fingerprints(docs, words, id_col, text_col), "simhash")
@@ -202,6 +244,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col:
         .join(unique.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
         .select("u", "v")
     )
+    if min_jaccard is not None:
+        ends = verified_links(ends, docs, words, min_jaccard, id_col, text_col)
     groups = connected_components(ends)
     label = materialize(
         unique.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component")),
@@ -209,3 +253,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col:
     )
     drop_materialized(unique)
     return fps.join(label, "fp").select("id", "fp", "component")
+
+
+def keep_one_of_each(
+    docs: DataFrame, words: int = 5, max_bits: int = 12, min_jaccard: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """docs without near-duplicates: of each group the row of the smallest id stays, with all its columns.
+
+    Rows that repeat an id are one document, of which one row stays. Rows with a null id cannot be named, so they
+    stay. Texts are not shuffled unless the table of removed ids is too large for Spark to broadcast."""
+    found = materialize(near_duplicates(docs, words, max_bits, min_jaccard, id_col, text_col), "simhash")
+    removed = materialize(found.where("id <> component").select(F.col("id").alias(id_col)).distinct(), "simhash")
+    repeated = materialize(found.where("id IS NOT NULL").groupBy(F.col("id").alias(id_col)).count().where("count > 1").select(id_col), "simhash")
+    kept = docs.join(removed, id_col, "left_anti")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, id_col, "left_anti").unionByName(kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col]))
+    return kept.select(*docs.columns)

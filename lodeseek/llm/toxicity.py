@@ -12,16 +12,17 @@ that bounded list and a bitmap of it per labelled row. Scoring is one pass over
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.arrowtools import LOWER_ALNUM, map_batches, texts_of
+from lodeseek.llm.arrowtools import LOWER_ALNUM, limit_batches, map_batches, texts_of
 from lodeseek.llm.labelled import held_out, labelled_texts
 from lodeseek.session import materialize
 
@@ -109,7 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
             out.append(np.packbits(row).tobytes())
         return {"label": batch.column("label"), "bits": out}
 
-    got = map_batches(sample, bitmap, "label int, bits binary").orderBy("bits", "label").collect() if best else []
+    got = map_batches(sample, bitmap, "label int, bits binary").collect() if best else []
+    got.sort(key=lambda r: (bytes(r.bits), r.label))
     y = np.array([r.label for r in got], dtype=np.float32)
     x = np.zeros((len(got), len(best)), dtype=np.float32)
     for i, r in enumerate(got):
@@ -132,3 +134,17 @@ def score(docs: DataFrame, model: Model, hash_bits: int = Settings.hash_bits, id
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("_t"))
     return map_batches(rows, run, "id long, held_out boolean, score double")
+
+
+def score_column(docs: DataFrame, model: Model, hash_bits: int = Settings.hash_bits) -> Callable[[Column], Column]:
+    """The score as a function of a text column, for filters that keep a row's other columns where they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    limit_batches(docs.sparkSession)
+
+    @F.arrow_udf("double")
+    def toxicity(text: pa.Array) -> pa.Array:
+        m = shared.value
+        active = (m.slot[terms_of(b"" if t is None else t, hash_bits)] for t in text.cast(pa.large_binary()).to_pylist())
+        return pa.array([m.score(a[a >= 0]) for a in active], pa.float64())
+
+    return toxicity
