@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeseek.llm import license_scan
 from lodeseek.session import table
 
 
@@ -24,6 +25,35 @@ def op2_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
+def op5_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeseek.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id").drop("globs")
+
+
+OP5_SQL = """
+WITH parts AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+ruled AS (
+  SELECT *, CASE
+    WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+    WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+    WHEN ends_with('.' || host, '.com') AND starts_with(path, '/en/') THEN 'com/en/'
+    WHEN ends_with('.' || host, '.net') AND starts_with(path, '/de/') THEN 'net/de/'
+    WHEN ends_with('.' || host, '.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
+  FROM parts)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN contains(host, 'casino') OR contains(host, 'pills') OR contains(host, 'bets') OR contains(path, '/wp-admin/')
+         OR contains(path, '/login') OR ends_with(path, '.exe') OR ends_with(path, '.zip') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeseek.llm import secret_scan
 
@@ -42,6 +72,12 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeseek.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeseek.llm.packing import pack
 
@@ -51,9 +87,11 @@ def op10_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_fm": op1_toxicity_fm,
     "op2_decontaminate_cgk": op2_decontaminate_cgk,
+    "op5_url_automaton": op5_url_automaton,
     "op6_secrets": op6_secrets,
     "op7_simhash_golay": op7_simhash_golay,
+    "op8_license_diagonals": op8_license_diagonals,
     "op10_pack_nnls": op10_pack_nnls,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_url_automaton": OP5_SQL, "op8_license_diagonals": license_scan.oracle_sql()}
