@@ -25,6 +25,14 @@ def op2_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
+def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeseek.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeseek.llm.url_filter import judge
 
@@ -78,6 +86,12 @@ def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeseek.llm.imatch import compare_with_next
+
+    return compare_with_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeseek.llm.packing import pack
 
@@ -87,10 +101,12 @@ def op10_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_fm": op1_toxicity_fm,
     "op2_decontaminate_cgk": op2_decontaminate_cgk,
+    "op4_quality_knn": op4_quality_knn,
     "op5_url_automaton": op5_url_automaton,
     "op6_secrets": op6_secrets,
     "op7_simhash_golay": op7_simhash_golay,
     "op8_license_diagonals": op8_license_diagonals,
+    "op9_imatch": op9_imatch,
     "op10_pack_nnls": op10_pack_nnls,
 }
 
