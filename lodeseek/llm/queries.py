@@ -25,6 +25,15 @@ def op2_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeseek.llm.sharding import shard
+
+    found = shard(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeseek.llm import quality
 
@@ -101,6 +110,7 @@ def op10_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_fm": op1_toxicity_fm,
     "op2_decontaminate_cgk": op2_decontaminate_cgk,
+    "op3_kd_shards": op3_kd_shards,
     "op4_quality_knn": op4_quality_knn,
     "op5_url_automaton": op5_url_automaton,
     "op6_secrets": op6_secrets,
