@@ -6,5 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodeseek.plans import admin_queries, code_queries, search_queries, stream_queries
+
+_MODULES = (search_queries, code_queries, stream_queries, admin_queries)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _module in _MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
