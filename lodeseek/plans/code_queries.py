@@ -1,4 +1,353 @@
+"""Snippets, symbols, links between documents and code, sources and parsers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodeseek.functions import text as T
+from lodeseek.operators import chunks, linking, snippets, symbols
+from lodeseek.parse import tables as parsers
+from lodeseek.plans import fixtures
 from lodeseek.plans.registry import Registry
+from lodeseek.session import table
+from lodeseek.sources import ignore, languages
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
+
+_LINES = "l AS (SELECT doc_id AS id, string_split(text, chr(10)) AS ls FROM documents)"
+NAME = "one"
+
+
+def values(rows, names: str) -> str:
+    quote = lambda v: "NULL" if v is None else ("'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v))
+    return f"(VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) AS t({names})"
+
+
+def docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+@R.add(f"WITH {_LINES} SELECT id, sha256(array_to_string(ls[greatest(1, 3 - 3):least(len(ls), 4 + 3)], chr(10))) AS digest FROM l WHERE len(ls) >= 2")
+def snippet_context(spark, sf_dir):
+    d = docs(spark, sf_dir).where(F.size(F.split("text", "\n")) >= 2)
+    return d.select(F.col("doc_id").alias("id"), F.sha2(snippets.context(F.col("text"), F.lit(3), F.lit(4)), 256).alias("digest"))
+
+
+@R.add(f"WITH {_LINES} SELECT id, sha256(array_to_string(ls[1:20], chr(10))) AS digest FROM l")
+def snippet_first20(spark, sf_dir):
+    none = F.lit(None).cast("int")
+    return docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.sha2(snippets.snippet(F.col("text"), none, none), 256).alias("digest"))
+
+
+@R.add(f"""WITH {_LINES}, r AS (SELECT id, unnest(ls) AS content, unnest(range(1, len(ls) + 1))::INT AS line FROM l)
+SELECT id, line, md5(content) AS content, md5(concat_ws(chr(10), lag(content) OVER w, content, lead(content) OVER w)) AS context FROM r WINDOW w AS (PARTITION BY id ORDER BY line)""")
+def context_lines_lag_lead(spark, sf_dir):
+    rows = snippets.context_rows(snippets.lines(docs(spark, sf_dir)), 1)
+    return rows.select("id", "line", F.md5("content").alias("content"), F.md5("context").alias("context"))
+
+
+@R.add(f"""WITH {_LINES}, r AS (SELECT id, ls, unnest(range(1, len(ls) - 1))::INT AS s FROM l WHERE len(ls) >= 3)
+SELECT id, s AS start_line, s + 2 AS end_line, md5(array_to_string(ls[s:s + 2], chr(10))) AS block FROM r""")
+def sliding_line_windows(spark, sf_dir):
+    rows = snippets.sliding_windows(snippets.lines(docs(spark, sf_dir)), 3)
+    return rows.select("id", "start_line", "end_line", F.md5("block").alias("block"))
+
+
+@R.add(f"""WITH {_LINES}, r AS (SELECT id, ls, unnest(ls) AS content, unnest(range(1, len(ls) + 1))::INT AS line FROM l),
+o AS (SELECT id, ls, line, content, unnest(range(1, length(content) - {len(NAME)} + 2)) AS c FROM r WHERE length(content) >= {len(NAME)})
+SELECT id, line, (c - 1)::INT AS "column", md5(array_to_string(ls[greatest(1, line - 1):least(len(ls), line + 1)], chr(10))) AS context
+FROM o WHERE substring(content, c, {len(NAME)}) = '{NAME}'""")
+def symbol_references(spark, sf_dir):
+    found = symbols.references(docs(spark, sf_dir), NAME)
+    return found.select("id", "line", "column", F.md5("context").alias("context"))
+
+
+@R.add("SELECT doc_id, doc_id || ':' || (doc_id % 7 + 1) AS id, 'p' || (doc_id % 3) AS project_id, lang AS scope FROM documents WHERE source = 'src2' AND lang = 'en' AND doc_id % 3 = 1 ORDER BY doc_id LIMIT 100")
+def symbol_definitions(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    rows = d.select(
+        "doc_id", chunks.chunk_id(F.col("doc_id").cast("string"), F.col("doc_id") % 7 + 1).alias("id"), F.col("source").alias("name"), F.lit("function").alias("type"),
+        F.col("lang").alias("scope"), F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string")).alias("project_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("file_path"),
+        F.lit(1).alias("line_start"), F.lit(2).alias("line_end"),
+    )
+    return symbols.definitions(rows, "src2", "function", "p1", "en").select("doc_id", "id", "project_id", "scope")
+
+
+@R.add("SELECT DISTINCT source AS file_path FROM documents WHERE source IS NOT NULL")
+def distinct_files(spark, sf_dir):
+    return symbols.distinct_files(docs(spark, sf_dir).withColumnRenamed("source", "file_path"))
+
+
+@R.add("""WITH c AS (SELECT event_id AS comment_id, user_id % 50 AS path, (event_id % 997)::INT AS end_line FROM events WHERE event_type = 'view'),
+s AS (SELECT user_id % 50 AS path, (event_id % 997)::INT AS line, event_id AS ordinal, 's' || event_id AS name FROM events WHERE event_type = 'error')
+SELECT c.path, c.comment_id, arg_min(s.name, s.ordinal) AS symbol FROM c LEFT JOIN s ON c.path = s.path AND s.line > c.end_line AND s.line <= c.end_line + 3 GROUP BY ALL""")
+def comment_symbol_range_join(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("path", F.col("user_id") % 50).withColumn("at", (F.col("event_id") % 997).cast("int"))
+    comments = e.where("event_type = 'view'").select("path", F.col("event_id").alias("comment_id"), F.col("at").alias("end_line"))
+    syms = e.where("event_type = 'error'").select("path", F.col("at").alias("line"), F.col("event_id").alias("ordinal"), F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("name"))
+    return symbols.comment_symbols(comments, syms).select("path", "comment_id", "symbol")
+
+
+@R.add("SELECT page_id, CASE WHEN starts_with(url, 'http://') OR starts_with(url, 'https://') OR starts_with(url, '//') THEN 'external' ELSE 'internal' END AS link_type FROM pages")
+def link_types(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.link_type(F.col("url")).alias("link_type"))
+
+
+@R.add("""SELECT page_id, p AS file_path FROM (SELECT page_id, regexp_replace(regexp_extract(url, '://[^?#]*'), '^://', '') AS p FROM pages)
+WHERE regexp_matches(p, '^(?:\\.{0,2}/)?(?:[A-Za-z0-9_-]+/)*[A-Za-z0-9_-]+\\.[A-Za-z0-9_]+$')
+UNION ALL SELECT page_id, regexp_extract(url, '://[^/]*/([^?#]*)', 1) FROM pages WHERE regexp_matches(regexp_extract(url, '://[^/]*/([^?#]*)', 1), '^(?:\\.{0,2}/)?(?:[A-Za-z0-9_-]+/)*[A-Za-z0-9_-]+\\.[A-Za-z0-9_]+$')""")
+def file_path_refs(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    whole = p.select("page_id", T.file_path_in(F.regexp_replace(F.regexp_extract("url", "://[^?#]*", 0), "^://", "")).alias("file_path"))
+    below = p.select("page_id", T.file_path_in(F.regexp_extract("url", "://[^/]*/([^?#]*)", 1)).alias("file_path"))
+    return whole.unionByName(below).where("file_path IS NOT NULL")
+
+
+@R.add("""WITH f AS (SELECT DISTINCT '/w/' || source || '/' || lang || '.py' AS file_path FROM documents),
+r AS (SELECT DISTINCT '/d/' || lang AS doc_path, lang || '.py' AS ref, '/w/' || source || '/en.py' AS resolved FROM documents WHERE doc_id % 11 = 0)
+SELECT DISTINCT doc_path, ref, file_path FROM r, f WHERE ends_with(file_path, ref) OR file_path = resolved""")
+def path_suffix_join(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    files = d.select(F.concat(F.lit("/w/"), "source", F.lit("/"), "lang", F.lit(".py")).alias("file_path")).distinct()
+    refs = d.where("doc_id % 11 = 0").select(
+        F.concat(F.lit("/d/"), "lang").alias("doc_path"), F.concat("lang", F.lit(".py")).alias("ref"), F.concat(F.lit("/w/"), "source", F.lit("/en.py")).alias("resolved")
+    )
+    return linking.path_links(refs.distinct(), files)
+
+
+@R.add("""WITH b AS (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM benchmark WHERE item_id < 40)
+SELECT x.item_id AS a, y.item_id AS b, round(1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)), 6) AS similarity FROM b x JOIN b y ON x.item_id < y.item_id""")
+def levenshtein_similarity(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").where("item_id < 40").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("t"))
+    x, y = b.select(F.col("item_id").alias("a"), F.col("t").alias("ta")), b.select(F.col("item_id").alias("b"), F.col("t").alias("tb"))
+    return x.join(y, F.col("a") < F.col("b")).select("a", "b", F.round(T.edit_similarity(F.col("ta"), F.col("tb")), 6).alias("similarity"))
+
+
+_NORM = "array_to_string(list_filter(list_transform(string_split({0}, chr(10)), lambda s: trim(s, ' ')), lambda s: s <> '' AND NOT starts_with(s, '//') AND NOT starts_with(s, '#')), chr(10))"
+
+
+@R.add(f"SELECT doc_id, md5({_NORM.format('text')}) AS digest FROM documents")
+def normalize_code(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.md5(T.normalize_code(F.col("text"))).alias("digest"))
+
+
+@R.add("""WITH c AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '[^ -~]', '', 'g')) AS ls FROM documents),
+w AS (SELECT doc_id, ls, unnest(range(1, len(ls)))::INT AS s FROM c WHERE len(ls) > 1),
+win AS (SELECT doc_id, s AS start_line, left(trim(ls[s]), 60) || chr(10) || left(trim(ls[s + 1]), 60) AS code FROM w WHERE doc_id % 20 = 0),
+n AS (SELECT doc_id, start_line, """ + _NORM.format("code") + """ AS code FROM win),
+b AS (SELECT DISTINCT doc_id AS block_id, code FROM n WHERE start_line = 1)
+SELECT block_id, doc_id::VARCHAR AS file_path, start_line, round(CASE WHEN greatest(length(b.code), length(n.code)) = 0 THEN 1 ELSE 1 - levenshtein(b.code, n.code) / greatest(length(b.code), length(n.code)) END, 6) AS similarity
+FROM b JOIN n ON greatest(length(b.code), length(n.code)) = 0 OR 1 - levenshtein(b.code, n.code) / greatest(length(b.code), length(n.code)) >= 0.5""")
+def similar_code_windows(spark, sf_dir):
+    clean = docs(spark, sf_dir).where("doc_id % 20 = 0").select("doc_id", F.transform(F.split("text", "\n"), lambda s: F.substring(F.trim(F.regexp_replace(s, "[^ -~]", "")), 1, 60)).alias("ls"))
+    rows = clean.select(F.col("doc_id").alias("id"), F.posexplode("ls").alias("n", "content")).select("id", (F.col("n") + 1).alias("line"), "content")
+    windows = snippets.sliding_windows(rows, 2).select(F.col("id").cast("string").alias("file_path"), "start_line", "end_line", F.lit(2).alias("n_lines"), F.col("block").alias("code"))
+    blocks = windows.where("start_line = 1").select(F.col("file_path").cast("long").alias("block_id"), "n_lines", "code")
+    return linking.similar_code(blocks, windows).select("block_id", "file_path", "start_line", F.round("similarity", 6).alias("similarity"))
+
+
+# --- the fixture project: documents and code that refer to each other
+
+
+def _evidence(spark):
+    files = fixtures.files(spark)
+    md = files.where("language = 'markdown'")
+    code = files.where("language <> 'markdown' AND language <> 'unknown'").select(F.col("path").alias("file_path"), "language", "content")
+    elements = parsers.markdown(md)
+    refs = elements.where("kind = 'path'").select(
+        F.col("path").alias("doc_path"), F.col("target").alias("ref"), linking.resolve(F.col("target"), F.col("path"), F.lit("/work")).alias("resolved")
+    )
+    by_path = linking.path_links(refs, code.select("file_path"))
+    found = parsers.symbols(code.withColumnRenamed("file_path", "path")).select(F.col("path").alias("file_path"), "name", F.col("line_start").alias("line"))
+    by_symbol = linking.symbol_links(md.select(F.col("path").alias("doc_path"), "content"), found)
+    blocks = elements.where("kind = 'code'").select(F.concat_ws("#", "path", F.col("line").cast("string")).alias("block_id"), F.size(F.split("text", "\n")).alias("n_lines"), F.col("text").alias("code"))
+    rows = snippets.lines(code, "file_path", "content")
+    windows = snippets.sliding_windows(rows, 2).select(F.col("id").alias("file_path"), "start_line", "end_line", F.lit(2).alias("n_lines"), F.col("block").alias("code"))
+    by_code = linking.similar_code(blocks, windows).withColumn("doc_path", F.element_at(F.split("block_id", "#"), 1))
+    return by_path, by_symbol, by_code
+
+
+@R.add("SELECT * FROM " + values([
+    ("/work/README.md", "src/shapes.ts", "/work/src/shapes.ts"), ("/work/README.md", "./cmd/main.go", "/work/cmd/main.go"), ("/work/docs/guide.md", "stats.py", "/work/src/stats.py"),
+], "doc_path, ref, file_path"))
+def doc_path_links(spark, sf_dir):
+    return _evidence(spark)[0]
+
+
+@R.add("SELECT doc_path, name, file_path, line::INT AS line FROM " + values([
+    ("/work/README.md", "Square", "/work/src/shapes.ts", 4), ("/work/docs/guide.md", "Table", "/work/src/stats.py", 14), ("/work/docs/guide.md", "Point", "/work/cmd/main.go", 4),
+], "doc_path, name, file_path, line"))
+def doc_symbol_links(spark, sf_dir):
+    return _evidence(spark)[1].drop("mention")
+
+
+@R.add()
+def related_score(spark, sf_dir):
+    return linking.related_scores(*_evidence(spark)).withColumn("score", F.round("score", 6))
+
+
+@R.add()
+def related_docs_topk(spark, sf_dir):
+    scores = linking.related_scores(*_evidence(spark))
+    return linking.related_documents(scores, 4).withColumn("relevance", F.round("relevance", 6))
+
+
+@R.add()
+def matched_refs_top3(spark, sf_dir):
+    return linking.matched_references(*_evidence(spark)).withColumn("score", F.round("score", 6))
+
+
+@R.add("""WITH e AS (SELECT lang AS doc_path, source AS file_path, CASE doc_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.8 * ((doc_id % 10) / 10) END::DOUBLE AS w,
+  CASE doc_id % 3 WHEN 0 THEN 'path' WHEN 1 THEN 'symbol' ELSE 'code' END AS reason FROM documents)
+SELECT doc_path, file_path, round(sum(w), 6) AS score, list(DISTINCT reason ORDER BY reason) AS reasons FROM e GROUP BY ALL""")
+def related_score_sums(spark, sf_dir):
+    d = docs(spark, sf_dir).select(F.col("lang").alias("doc_path"), F.col("source").alias("file_path"), "doc_id")
+    code = d.where("doc_id % 3 = 2").withColumn("similarity", (F.col("doc_id") % 10) / 10)
+    found = linking.related_scores(d.where("doc_id % 3 = 0"), d.where("doc_id % 3 = 1"), code)
+    return found.withColumn("score", F.round("score", 6))
+
+
+# --- sources
+
+
+@R.add("SELECT path FROM " + values([(p,) for p in fixtures.SCAN_PATHS], "path") + """
+WHERE regexp_matches(path, '\\.(ts|tsx|js|jsx|mjs|py|go|rs|java|c|cpp|h|hpp|ino|md)$') OR regexp_matches(path, '(^|/)platformio\\.ini$')""")
+def scan_extension_filter(spark, sf_dir):
+    return fixtures.scan_paths(spark).where(languages.is_scanned(F.col("path")))
+
+
+@R.add("SELECT * FROM " + values([(p,) for p in ("src/a.ts", "lib/x.py", "docs/read.md", "docs/keep.md", "a.txt", "platformio.ini", "gen/keep.go", "main.ino", "deep/node_modules/q/i.js")], "path"))
+def ignore_rules(spark, sf_dir):
+    return fixtures.scan_paths(spark).where(~ignore.excluded(F.col("path"), fixtures.IGNORE_LAYER))
+
+
+@R.add("SELECT * FROM " + values([r[:4] for r in languages.LANGUAGES], "extension, language, display_name, is_code"))
+def language_dimension(spark, sf_dir):
+    return languages.dimension(spark).drop("scanned")
+
+
+_EXTS = [r[0] for r in languages.LANGUAGES] + [".txt", ""]
+
+
+@R.add(f"""SELECT doc_id, coalesce(d.language, 'unknown') AS language FROM documents
+LEFT JOIN {values([(i, r[1]) for i, r in enumerate(languages.LANGUAGES)], "n, language").replace(" AS t(", " AS d(")} ON doc_id % {len(_EXTS)} = d.n""")
+def language_of_paths(spark, sf_dir):
+    ext = F.element_at(F.array(*map(F.lit, _EXTS)), (F.col("doc_id") % len(_EXTS) + 1).cast("int"))
+    path = F.concat(F.lit("/w/file"), F.col("doc_id").cast("string"), ext)
+    return docs(spark, sf_dir).select("doc_id", languages.language_of(path).alias("language"))
+
+
+# --- parsers over the fixture project
+
+
+@R.add("SELECT path, line::INT AS line, level::INT AS level, text FROM " + values([
+    ("/work/README.md", 1, 1, "Measuring"), ("/work/README.md", 7, 2, "Usage"), ("/work/docs/guide.md", 1, 1, "Guide")], "path, line, level, text"))
+def md_headings(spark, sf_dir):
+    return parsers.markdown(fixtures.files(spark).where("language = 'markdown'")).where("kind = 'heading'").select("path", "line", "level", "text")
+
+
+@R.add("SELECT path, line::INT AS line, end_line::INT AS end_line, language FROM " + values([
+    ("/work/README.md", 10, 11, "ts"), ("/work/docs/guide.md", 5, 6, "python")], "path, line, end_line, language"))
+def md_code_blocks(spark, sf_dir):
+    return parsers.markdown(fixtures.files(spark).where("language = 'markdown'")).where("kind = 'code'").select("path", "line", "end_line", "language")
+
+
+@R.add("SELECT * FROM " + values([("/work/README.md", "the guide", "docs/guide.md", "internal"), ("/work/README.md", "home", "https://example.org", "external")], "path, text, target, language"))
+def md_links(spark, sf_dir):
+    return parsers.markdown(fixtures.files(spark).where("language = 'markdown'")).where("kind = 'link'").select("path", "text", "target", "language")
+
+
+@R.add("SELECT * FROM " + values([("/work/README.md", "plan", "img/plan.png")], "path, text, target"))
+def md_images(spark, sf_dir):
+    return parsers.markdown(fixtures.files(spark).where("language = 'markdown'")).where("kind = 'image'").select("path", "text", "target")
+
+
+def _symbols(language, spark):
+    return parsers.symbols(fixtures.files(spark).where(F.col("language") == language)).select("name", "type", "line_start", "line_end", "exported", F.size("members").alias("members"))
+
+
+def _symbol_values(rows) -> str:
+    return "SELECT name, type, a::INT AS line_start, b::INT AS line_end, e AS exported, m::INT AS members FROM " + values(rows, "name, type, a, b, e, m").replace("True", "true").replace("False", "false")
+
+
+@R.add(_symbol_values([("Square", "class", 4, 8, True, 3), ("double", "constant", 10, 10, True, 0), ("double", "function", 10, 10, True, 0), ("LIMIT", "constant", 11, 11, False, 0)]))
+def symbols_ts(spark, sf_dir):
+    return _symbols("typescript", spark)
+
+
+@R.add(_symbol_values([("RATE", "constant", 2, 2, True, 0), ("mean", "function", 5, 11, True, 0), ("Table", "class", 14, 15, True, 1), ("add", "function", 15, 15, True, 0)]))
+def symbols_py(spark, sf_dir):
+    return _symbols("python", spark)
+
+
+@R.add(_symbol_values([("Point", "class", 4, 6, True, 0), ("Move", "method", 8, 10, True, 0), ("Unit", "constant", 12, 12, True, 0), ("main", "function", 14, 14, False, 0)]))
+def symbols_go(spark, sf_dir):
+    return _symbols("go", spark)
+
+
+@R.add(_symbol_values([("LED", "constant", 2, 2, False, 0), ("Lamp", "class", 3, 7, False, 2), ("setup", "function", 8, 8, True, 0), ("loop", "function", 9, 9, True, 0)]))
+def symbols_cpp(spark, sf_dir):
+    return _symbols("cpp", spark)
+
+
+@R.add("SELECT path, type, line::INT AS line, end_line::INT AS end_line, marker FROM " + values([
+    ("/work/board/blink.ino", None, None, None, None)], "path, type, line, end_line, marker") + " WHERE type IS NOT NULL UNION ALL SELECT path, type, line::INT, end_line::INT, marker FROM " + values([
+    ("/work/cmd/main.go", "line", 3, 3, None), ("/work/src/shapes.ts", "doc", 1, 3, None), ("/work/src/shapes.ts", "line", 9, 9, "TODO"),
+    ("/work/src/stats.py", "doc", 1, 1, None), ("/work/src/stats.py", "doc", 6, 10, None), ("/work/src/stats.py", "line", 11, 11, "FIXME")], "path, type, line, end_line, marker"))
+def comments(spark, sf_dir):
+    return parsers.comments(fixtures.files(spark)).select("path", "type", "line", "end_line", "marker")
+
+
+@R.add("SELECT * FROM " + values([("/work/src/shapes.ts", "param", "side", "the length of a side"), ("/work/src/stats.py", "args", "", None)], "path, name, value, description"))
+def comment_tags(spark, sf_dir):
+    return parsers.comments(fixtures.files(spark)).select("path", F.explode("tags").alias("t")).select("path", "t.name", "t.value", "t.description")
+
+
+@R.add("""SELECT event_id, nullif(regexp_extract(t, '(TODO|FIXME|NOTE|HACK|XXX|BUG):', 1), '') AS marker FROM (
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'see TODO: x' WHEN 1 THEN 'BUG: a FIXME: b' WHEN 2 THEN 'todo: no' WHEN 3 THEN props ELSE 'HACK without' END AS t FROM events)""")
+def markers(spark, sf_dir):
+    case = F.expr("CASE event_id % 5 WHEN 0 THEN 'see TODO: x' WHEN 1 THEN 'BUG: a FIXME: b' WHEN 2 THEN 'todo: no' WHEN 3 THEN props ELSE 'HACK without' END")
+    return table(spark, sf_dir, "events").select("event_id", T.marker_of(case).alias("marker"))
+
+
+@R.add("SELECT section, key, string_split(v, '|') AS values, line::INT AS line FROM " + values([
+    ("env:uno", "platform", "atmelavr", None), ("env:uno", "build_flags", "-D|FAST|-O2", None), ("env:uno", "lib_deps", "Servo|Wire", None), ("env:nano", "board", "nano", None),
+    ("common", "framework", "arduino", None), (None, "error", "Unexpected line in section [env:uno]: stray", 11)], "section, key, v, line"))
+def platformio(spark, sf_dir):
+    return parsers.ini_options(fixtures.files(spark).where("path LIKE '%platformio.ini'")).select("section", "key", "values", "line")
+
+
+# --- chunks
+
+
+@R.add("""WITH l AS (SELECT doc_id, lang, text, string_split(text, chr(10)) AS ls FROM documents)
+SELECT doc_id || '.py:2' AS id, md5('sym' || doc_id || chr(10) || lang || chr(10) || left(coalesce(array_to_string(ls[2:3], chr(10)), ''), 500)) AS digest, 'py' AS file_type FROM l""")
+def chunk_build(spark, sf_dir):
+    d = docs(spark, sf_dir).withColumn("path", F.concat(F.col("doc_id").cast("string"), F.lit(".py")))
+    syms = d.select(
+        "path", F.lit(0).alias("ordinal"), F.concat(F.lit("sym"), F.col("doc_id").cast("string")).alias("name"), F.lit("function").alias("type"), F.lit("global").alias("scope"),
+        F.col("lang").alias("docstring"), F.lit(2).alias("line_start"), F.lit(3).alias("line_end"),
+    )
+    built = chunks.build(syms, d.select("path", F.lit("python").alias("language"), F.col("text").alias("content")))
+    return built.select("id", F.md5("text").alias("digest"), "file_type")
+
+
+@R.add("SELECT source || ':' || (doc_id % 10) AS id, max(doc_id) AS ordinal FROM documents GROUP BY 1")
+def chunk_dedup_keep_last(spark, sf_dir):
+    rows = docs(spark, sf_dir).select(chunks.chunk_id(F.col("source"), F.col("doc_id") % 10).alias("id"), F.col("doc_id").alias("ordinal"))
+    return chunks.keep_last(rows)
+
+
+@R.add()
+def project_chunks(spark, sf_dir):
+    """Symbols and Markdown units of the fixture project as chunks, of each id the last."""
+    files = fixtures.files(spark)
+    found = parsers.symbols(files).select("path", "ordinal", "name", "type", "scope", "docstring", "line_start", "line_end")
+    units = found.unionByName(parsers.markdown_units(parsers.markdown(files.where("language = 'markdown'"))))
+    return chunks.keep_last(chunks.build(units, files)).select("id", "name", "type", "language", "line_start", "line_end")
+
+
+@R.add()
+def title_and_snippet(spark, sf_dir):
+    return snippets.title_and_snippet(fixtures.files(spark).where("language = 'markdown'"))
