@@ -27,16 +27,24 @@ def relative(path: Column, root: str) -> Column:
 
 
 def ignore_layers(spark: SparkSession, root: str, names: Sequence[str]) -> list[list[str]]:
-    """The patterns of the ignore files right below the root; files that are not there have none."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "{" + ",".join(names) + "}").load(root)
-    found = {r.path.rsplit("/", 1)[-1]: r.text for r in rows.select("path", F.decode("content", "UTF-8").alias("text")).collect()}
-    return [ignore.parse(found[n]) for n in names if n in found]
+    """The patterns of the ignore files right below the root; those that are not there have none. Spark's own sources
+    leave out names that begin with a dot, so these few small files are opened through the same Hadoop file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(root, name)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            stream = fs.open(path)
+            out.append(ignore.parse(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            stream.close()
+    return out
 
 
 def scan(spark: SparkSession, root: str, options: ScanOptions = ScanOptions(), project: str = "default") -> DataFrame:
     """(project_id, path, rel_path, language, kind, size, modified, content) of the files to index.
 
-    Filters are on path columns. A missing root raises as Spark's reader does."""
+    Filters are on path columns; hidden files and folders are not listed by Spark. A missing root raises as Spark's reader does."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).withColumn("rel_path", relative(F.col("path"), root))
     layers = [list(options.exclude), *ignore_layers(spark, root, options.ignore_files)]
     defaults = ignore.DEFAULT_EXCLUSIONS if options.use_defaults else ()
