@@ -126,8 +126,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((equal & filled).sum() / filled.sum())
 
 
+def packed(fp: np.ndarray) -> bytes:
+    return fp.astype(">u2").tobytes()
+
+
 def written(fp: np.ndarray) -> str:
-    return fp.astype(">u2").tobytes().hex()
+    return packed(fp).hex()
 
 
 def fingerprints(docs: DataFrame, lexicon: np.ndarray, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,7 +144,8 @@ def fingerprints(docs: DataFrame, lexicon: np.ndarray, settings: Settings = Sett
     return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t")), run, "id long, fingerprint string")
 
 
-RESULT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Fingerprints stay binary until the end: half the bytes to keep between the two jobs.
+RESULT = "id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def edited(text: str, following: str) -> str:
@@ -152,11 +157,11 @@ def edited(text: str, following: str) -> str:
 def compared(doc_id: int | None, text: str, own: np.ndarray, following: str, other: np.ndarray, lexicon: np.ndarray, s: Settings) -> tuple:
     changed = edited(text, following).encode()
     fp = fingerprint(changed, lexicon, s)
-    return doc_id, len(text), hashlib.sha256(changed).hexdigest(), written(own), written(fp), likeness(own, fp), likeness(own, other)
+    return doc_id, len(text), hashlib.sha256(changed).digest(), packed(own), packed(fp), likeness(own, fp), likeness(own, other)
 
 
 def compare_with_next(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", target_bytes: int = 24 << 20) -> DataFrame:
-    """RESULT for each row: its fingerprint, that of its edited text and the likeness to that and to the next document.
+    """RESULT (binary columns as lower-case hex) for each row: its fingerprint, that of its edited text and the likeness to that and to the next document.
 
     Next is by descending id (nulls last, equal ids by a hash of their texts); after the last comes the first. One range
     exchange sorts the texts, and a pass over each sorted partition compares neighbours. A partition's last row meets the
@@ -171,7 +176,7 @@ def compare_with_next(docs: DataFrame, settings: Settings = Settings(), id_col:
     ordered = ordered.withColumn("part", F.spark_partition_id())
     limit_batches(spark)
     names = [f.split()[0] for f in RESULT.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
     extra = [("part", pa.int32()), ("head", pa.string()), ("tail", pa.string())]
 
     def as_batch(out: list[tuple]) -> pa.RecordBatch:
@@ -211,4 +216,5 @@ def compare_with_next(docs: DataFrame, settings: Settings = Settings(), id_col:
         ]
         return dict(zip(names, zip(*out)))
 
-    return inner.where("fingerprint IS NOT NULL").select(*names).unionByName(map_batches(border, across, RESULT))
+    found = inner.where("fingerprint IS NOT NULL").select(*names).unionByName(map_batches(border, across, RESULT))
+    return found.select(*(F.lower(F.hex(n)).alias(n) if n in ("edited_sha256", "fingerprint", "edited_fingerprint") else F.col(n) for n in names))
