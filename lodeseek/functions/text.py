@@ -37,7 +37,7 @@ def tokens(text: Column) -> Column:
 
 def normalize_code(code: Column) -> Column:
     """Trimmed lines without blank ones and without whole-line // or # comments, joined again."""
-    lines = F.transform(F.split(code, "\n"), F.trim)
+    lines = F.transform(F.split(code, "\n"), lambda x: F.trim(x))
     return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.startswith("//") & ~x.startswith("#")), "\n")
 
 

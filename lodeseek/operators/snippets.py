@@ -47,6 +47,6 @@ def title_and_snippet(docs: DataFrame, path_col: str = "path", text_col: str = "
     first = F.get(F.filter(parts, lambda x: F.trim(x).startswith("#")), F.lit(0))
     name = F.element_at(F.split(F.col(path_col), "/"), -1)
     title = F.coalesce(F.trim(F.regexp_replace(F.trim(first), "^#+", "")), name)
-    rest = F.trim(F.array_join(F.filter(F.transform(parts, F.trim), lambda x: (x != "") & ~x.startswith("#")), " "))
+    rest = F.trim(F.array_join(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#")), " "))
     short = F.when(F.char_length(rest) > limit, F.concat(F.substring(rest, 1, limit), F.lit("..."))).otherwise(rest)
     return docs.select(F.col(path_col).alias("path"), title.alias("title"), short.alias("snippet"))
