@@ -29,15 +29,15 @@ from lodeseek.session import materialize
 
 @dataclass(frozen=True)
 class Settings:
-    max_rows: int = 12_000
+    max_rows: int = 16_000
     hash_bits: int = 18
-    features: int = 1024
+    features: int = 512
     min_rows: int = 4
     factors: int = 6
     epochs: int = 250
     rate: float = 0.05
-    l2_linear: float = 2e-4
-    l2_factors: float = 2e-3
+    l2_linear: float = 1e-6
+    l2_factors: float = 5e-4
     seed: int = 7
 
 
