@@ -51,24 +51,48 @@ def shingles_of(text: bytes, words: int) -> list[bytes]:
 
 def fingerprint_of(text: bytes, words: int = 3) -> int:
     """64-bit SimHash: a bit is set if it is set in over half of the shingles' XXH64 (seed 42); no words: 0."""
-    hashes = shingles_of(text, words)
-    if not hashes:
-        return 0
-    total = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 65536):
-        h = np.fromiter(map(xxhash.xxh64_intdigest, hashes[i : i + 65536], repeat(SEED)), dtype=np.uint64)
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
+    return int(fingerprints_of(text, words, 1)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long): a row for each input row; null and empty texts have fingerprint 0."""
+def fingerprints_of(text: bytes, words: int, rounds: int) -> np.ndarray:
+    """SimHashes of as many independent hashes: XXH64, then what a bijective mix makes of the one before."""
+    found = shingles_of(text, words)
+    if not found:
+        return np.zeros(rounds, dtype=np.uint64)
+    total = np.zeros((rounds, 64), dtype=np.int64)
+    for i in range(0, len(found), 65536):
+        h = np.fromiter(map(xxhash.xxh64_intdigest, found[i : i + 65536], repeat(SEED)), dtype=np.uint64)
+        for r in range(rounds):
+            if r:
+                h = mixed(h)
+            total[r] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(found), axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    h = h + np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint_columns(rounds: int) -> list[str]:
+    return ["fp", *(f"fp{r}" for r in range(1, rounds))]
+
+
+def fingerprints(docs: DataFrame, words: int = 3, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp long, fp1, ...): a row for each input row; null and empty texts have fingerprint 0."""
+    names = fingerprint_columns(rounds)
 
     def run(batch: pa.RecordBatch) -> dict:
-        fps = np.array([fingerprint_of(t, words) for t in texts_of(batch, "_t")], dtype=np.uint64)
-        return {"id": batch.column("id"), "fp": signed(fps)}
+        fps = signed(np.array([fingerprints_of(t, words, rounds) for t in texts_of(batch, "_t")], dtype=np.uint64).reshape(-1, rounds))
+        return {"id": batch.column("id")} | {n: np.ascontiguousarray(fps[:, i]) for i, n in enumerate(names)}
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t")), run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t"))
+    return map_batches(rows, run, "id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _key_rows(batch: pa.RecordBatch) -> dict:
@@ -229,40 +253,48 @@ def verified_links(ends: DataFrame, docs: DataFrame, words: int, min_jaccard: fl
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 3, max_bits: int = 3, min_jaccard: float | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 3, max_bits: int = 3, min_jaccard: float | None = None, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, fp long, component long) for each row of docs; component is the smallest id that links reach.
 
-    Equal fingerprints always link. With min_jaccard, other links count only if the shingle sets are that similar.
+    With several rounds, texts whose fingerprints are near in any round are candidates. Rows with all fingerprints equal
+    always link. With min_jaccard, other links count only if the shingle sets are that similar.
     Null and empty texts have fingerprint 0 and link like any other. Rows that repeat an id each return a
     row. A null id returns a null component unless its group has another id. An empty table returns no rows."""
-    fps = materialize(fingerprints(docs, words, id_col, text_col), "simhash")
-    unique = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash")
-    links = fingerprint_links(unique, max_bits)
-    ends = (
-        links.join(unique.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a")
-        .join(unique.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
-        .select("u", "v")
-    )
+    names = fingerprint_columns(rounds)
+    fps = materialize(fingerprints(docs, words, rounds, id_col, text_col), "simhash")
+    unique = materialize(fps.groupBy(*names).agg(F.min("id").alias("rep")), "simhash")
+    ends = None
+    for name in names:
+        one = unique if rounds == 1 else materialize(unique.groupBy(name).agg(F.min("rep").alias("rep")), "simhash")
+        links = fingerprint_links(one.select(F.col(name).alias("fp")), max_bits)
+        found = (
+            links.join(one.select(F.col(name).alias("a"), F.col("rep").alias("u")), "a")
+            .join(one.select(F.col(name).alias("b"), F.col("rep").alias("v")), "b")
+            .select("u", "v")
+        )
+        if rounds > 1:  # alike in this round alone
+            alike = unique.join(one.select(name, F.col("rep").alias("v")), name).where("rep <> v").select(F.col("rep").alias("u"), "v")
+            found = found.union(alike)
+        ends = found if ends is None else ends.union(found)
     if min_jaccard is not None:
-        ends = verified_links(ends, docs, words, min_jaccard, id_col, text_col)
+        ends = verified_links(ends.distinct(), docs, words, min_jaccard, id_col, text_col)
     groups = connected_components(ends)
     label = materialize(
-        unique.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component")),
-        "simhash",
+        unique.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("component", "rep").alias("component")), "simhash"
     )
     drop_materialized(unique)
-    return fps.join(label, "fp").select("id", "fp", "component")
+    return fps.join(label, names).select("id", "fp", "component")
 
 
 def keep_one_of_each(
-    docs: DataFrame, words: int = 5, max_bits: int = 12, min_jaccard: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, max_bits: int = 12, min_jaccard: float = 0.8, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """docs without near-duplicates: of each group the row of the smallest id stays, with all its columns.
 
     Rows that repeat an id are one document, of which one row stays. Rows with a null id cannot be named, so they
     stay. Texts are not shuffled unless the table of removed ids is too large for Spark to broadcast."""
-    found = materialize(near_duplicates(docs, words, max_bits, min_jaccard, id_col, text_col), "simhash")
+    found = materialize(near_duplicates(docs, words, max_bits, min_jaccard, rounds, id_col, text_col), "simhash")
     removed = materialize(found.where("id <> component").select(F.col("id").alias(id_col)).distinct(), "simhash")
     repeated = materialize(found.where("id IS NOT NULL").groupBy(F.col("id").alias(id_col)).count().where("count > 1").select(id_col), "simhash")
     kept = docs.join(removed, id_col, "left_anti")
