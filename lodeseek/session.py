@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,16 @@ def build_session(app: str = "lodeseek", cpus: int | str = "*", shuffle_partitio
     )
 
 
+def share_package(spark: SparkSession) -> None:
+    """Lets Python workers that start from now on import this package from where the driver has it, whatever folder
+    they start in. Where executors have another file system, the package is installed there or shipped with the job."""
+    home = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([home, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

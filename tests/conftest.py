@@ -24,5 +24,8 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from lodeseek.session import share_package
+
+    share_package(session)
     yield session
     session.stop()
