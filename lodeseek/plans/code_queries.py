@@ -168,32 +168,55 @@ def _evidence(spark):
     return by_path, by_symbol, by_code
 
 
-@R.add("SELECT * FROM " + values([
+PATH_LINKS = (
     ("/work/README.md", "src/shapes.ts", "/work/src/shapes.ts"), ("/work/README.md", "./cmd/main.go", "/work/cmd/main.go"), ("/work/docs/guide.md", "stats.py", "/work/src/stats.py"),
-], "doc_path, ref, file_path"))
+)
+SYMBOL_LINKS = (
+    ("/work/README.md", "Square", "/work/src/shapes.ts", 4), ("/work/docs/guide.md", "Table", "/work/src/stats.py", 14), ("/work/docs/guide.md", "Point", "/work/cmd/main.go", 4),
+)
+
+
+@R.add("SELECT * FROM " + values(PATH_LINKS, "doc_path, ref, file_path"))
 def doc_path_links(spark, sf_dir):
     return _evidence(spark)[0]
 
 
-@R.add("SELECT doc_path, name, file_path, line::INT AS line FROM " + values([
-    ("/work/README.md", "Square", "/work/src/shapes.ts", 4), ("/work/docs/guide.md", "Table", "/work/src/stats.py", 14), ("/work/docs/guide.md", "Point", "/work/cmd/main.go", 4),
-], "doc_path, name, file_path, line"))
+@R.add("SELECT doc_path, name, file_path, line::INT AS line FROM " + values(SYMBOL_LINKS, "doc_path, name, file_path, line"))
 def doc_symbol_links(spark, sf_dir):
     return _evidence(spark)[1].drop("mention")
 
 
-@R.add()
+_NORM_CODE = _NORM.format("code")
+_EVIDENCE_SQL = f"""WITH files AS (SELECT * FROM {values(fixtures.FILES, "path, language, content")}),
+p AS (SELECT * FROM {values(PATH_LINKS, "doc_path, ref, file_path")}),
+s AS (SELECT * FROM {values(SYMBOL_LINKS, "doc_path, name, file_path, line")}),
+b AS (SELECT path AS doc_path, unnest(regexp_extract_all(content, '```[a-z]+\\n([^`]*)\\n```', 1)) AS code FROM files WHERE language = 'markdown'),
+w0 AS (SELECT path AS file_path, string_split(content, chr(10)) AS ls FROM files WHERE language NOT IN ('markdown', 'unknown')),
+w AS (SELECT file_path, i AS start_line, ls[i] || chr(10) || ls[i + 1] AS code FROM (SELECT file_path, ls, unnest(range(1, len(ls))) AS i FROM w0)),
+nb AS (SELECT doc_path, {_NORM_CODE} AS l FROM b), nw AS (SELECT file_path, start_line, {_NORM_CODE} AS r FROM w),
+c AS (SELECT doc_path, file_path, start_line, similarity FROM (
+  SELECT doc_path, file_path, start_line, CASE WHEN greatest(length(l), length(r)) = 0 THEN 1.0::DOUBLE ELSE 1 - levenshtein(l, r) / greatest(length(l), length(r)) END AS similarity
+  FROM nb, nw) WHERE similarity >= 0.5),
+e AS (SELECT doc_path, file_path, 1.0::DOUBLE AS w, 'path' AS reason FROM p UNION ALL SELECT doc_path, file_path, 0.7::DOUBLE, 'symbol' FROM s
+  UNION ALL SELECT doc_path, file_path, 0.8 * similarity, 'code' FROM c),
+scores AS (SELECT doc_path, file_path, sum(w) AS score, list(DISTINCT reason ORDER BY reason) AS reasons FROM e GROUP BY ALL)
+"""
+
+
+@R.add(_EVIDENCE_SQL + "SELECT doc_path, file_path, round(score, 6) AS score, reasons FROM scores")
 def related_score(spark, sf_dir):
     return linking.related_scores(*_evidence(spark)).withColumn("score", F.round("score", 6))
 
 
-@R.add()
+@R.add(_EVIDENCE_SQL + "SELECT doc_path, round(least(1.0::DOUBLE, sum(score) / 4), 6) AS relevance FROM scores GROUP BY doc_path ORDER BY relevance DESC, doc_path LIMIT 5")
 def related_docs_topk(spark, sf_dir):
     scores = linking.related_scores(*_evidence(spark))
     return linking.related_documents(scores, 4).withColumn("relevance", F.round("relevance", 6))
 
 
-@R.add()
+@R.add(_EVIDENCE_SQL + """SELECT doc_path, 'path' AS kind, ref AS reference, 1.0::DOUBLE AS score FROM p UNION ALL SELECT doc_path, 'symbol', name, 0.7::DOUBLE FROM s
+UNION ALL SELECT doc_path, 'code', file_path, round(similarity, 6) FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_path ORDER BY similarity DESC, file_path, start_line) AS n FROM c) WHERE n <= 3""")
 def matched_refs_top3(spark, sf_dir):
     return linking.matched_references(*_evidence(spark)).withColumn("score", F.round("score", 6))
 
@@ -339,7 +362,19 @@ def chunk_dedup_keep_last(spark, sf_dir):
     return chunks.keep_last(rows)
 
 
-@R.add()
+CHUNKS = (
+    ("/work/README.md", "Measuring", "heading", "markdown", 1, 1), ("/work/README.md", "Usage", "heading", "markdown", 7, 7), ("/work/README.md", "ts", "code", "markdown", 10, 11),
+    ("/work/docs/guide.md", "Guide", "heading", "markdown", 1, 1), ("/work/docs/guide.md", "python", "code", "markdown", 5, 6),
+    ("/work/board/blink.ino", "LED", "constant", "cpp", 2, 2), ("/work/board/blink.ino", "Lamp", "class", "cpp", 3, 7), ("/work/board/blink.ino", "setup", "function", "cpp", 8, 8),
+    ("/work/board/blink.ino", "loop", "function", "cpp", 9, 9), ("/work/cmd/main.go", "Point", "class", "go", 4, 6), ("/work/cmd/main.go", "Move", "method", "go", 8, 10),
+    ("/work/cmd/main.go", "Unit", "constant", "go", 12, 12), ("/work/cmd/main.go", "main", "function", "go", 14, 14), ("/work/src/shapes.ts", "Square", "class", "typescript", 4, 8),
+    ("/work/src/shapes.ts", "double", "function", "typescript", 10, 10), ("/work/src/shapes.ts", "LIMIT", "constant", "typescript", 11, 11),
+    ("/work/src/stats.py", "RATE", "constant", "python", 2, 2), ("/work/src/stats.py", "mean", "function", "python", 5, 11), ("/work/src/stats.py", "Table", "class", "python", 14, 15),
+    ("/work/src/stats.py", "add", "function", "python", 15, 15),
+)
+
+
+@R.add("SELECT path || ':' || a AS id, name, type, language, a::INT AS line_start, b::INT AS line_end FROM " + values(CHUNKS, "path, name, type, language, a, b"))
 def project_chunks(spark, sf_dir):
     """Symbols and Markdown units of the fixture project as chunks, of each id the last."""
     files = fixtures.files(spark)
@@ -348,6 +383,9 @@ def project_chunks(spark, sf_dir):
     return chunks.keep_last(chunks.build(units, files)).select("id", "name", "type", "language", "line_start", "line_end")
 
 
-@R.add()
+@R.add("""WITH f AS (SELECT path, string_split(content, chr(10)) AS ls FROM """ + values(fixtures.FILES, "path, language, content") + """ WHERE language = 'markdown'),
+r AS (SELECT path, list_filter(ls, lambda x: starts_with(trim(x), '#'))[1] AS head,
+  trim(array_to_string(list_filter(list_transform(ls, lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '#')), ' ')) AS rest FROM f)
+SELECT path, trim(ltrim(trim(head), '#')) AS title, CASE WHEN length(rest) > 100 THEN left(rest, 100) || '...' ELSE rest END AS snippet FROM r""")
 def title_and_snippet(spark, sf_dir):
     return snippets.title_and_snippet(fixtures.files(spark).where("language = 'markdown'"))
