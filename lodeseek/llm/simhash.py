@@ -33,8 +33,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Mean keys of a fingerprint (three pairs of 5.3 x 5.3), to size partitions.
 KEYS_PER_FINGERPRINT = 85
-#: Buckets up to this size compare all their pairs at once; larger ones grow a tree.
-SMALL_BUCKET = 16
+#: Buckets up to this size are compared together, row by row; larger ones grow a tree each.
+SMALL_BUCKET = 32
 #: Beyond this size a bucket is first split by exact blocks of bits.
 LARGE_BUCKET = 30_000
 
@@ -159,7 +159,7 @@ def _split_forest(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray
 
 
 def bucket_links(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Verified links inside each key's bucket."""
+    """Verified links inside each key's bucket: a minimum spanning forest of its pairs within max_bits."""
     order = np.argsort(key, kind="stable")
     key, fp = key[order], fp[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -167,19 +167,21 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.nda
     found = []
     for start, n in zip(first[length > SMALL_BUCKET], length[length > SMALL_BUCKET]):
         found.append(spanning_forest(np.unique(fp[start : start + n]), max_bits))
-    small = length <= SMALL_BUCKET
-    left = np.repeat(np.where(small, length, 0), length)  # of the bucket
+    # Small buckets: rows are compared with those one, two, ... places on, for all buckets at once.
+    size = np.repeat(np.where(length <= SMALL_BUCKET, length, 0), length)
     place = np.arange(len(key)) - np.repeat(first, length)
-    lag = 1
-    live = np.flatnonzero(left > 1)
+    pairs = []
+    lag, live = 1, np.flatnonzero(size > 1)
     while len(live):
-        live = live[place[live] + lag < left[live]]
-        x, y = fp[live], fp[live + lag]
-        dist = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64))
+        live = live[place[live] + lag < size[live]]
+        dist = np.bitwise_count(fp[live].view(np.uint64) ^ fp[live + lag].view(np.uint64))
         near = (dist <= max_bits) & (dist > 0)
-        if near.any():
-            found.append((x[near], y[near], dist[near].astype(np.int32)))
+        pairs.append((live[near], live[near] + lag, dist[near].astype(np.int32)))
         lag += 1
+    if pairs:
+        x, y, d = (np.concatenate([p[k] for p in pairs]) for k in range(3))
+        keep = forest_edges(x, y, d)
+        found.append((fp[x[keep]], fp[y[keep]], d[keep]))
     if not found:
         return (np.zeros(0, dtype=np.int64),) * 3
     a, b, d = (np.concatenate([f[k] for f in found]) for k in range(3))
@@ -188,6 +190,26 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.nda
     return low[keep], high[keep], d[keep]
 
 
+def forest_edges(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows are in a minimum spanning forest, nearest first. Rows of one bucket only meet each other."""
+    parent: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := parent.get(i, i)) != i:
+            parent[i] = parent.get(up, up)
+            i = up
+        return i
+
+    keep = []
+    order = np.argsort(d, kind="stable")
+    for e, i, j in zip(order.tolist(), x[order].tolist(), y[order].tolist()):
+        i, j = find(i), find(j)
+        if i != j:
+            parent[i] = j
+            keep.append(e)
+    return np.array(keep, dtype=np.int64)
+
+
 def fingerprint_links(unique: DataFrame, max_bits: int = 3) -> DataFrame:
     """unique (fp long, distinct) -> (a long, b long, bits int): links that connect what pairs within max_bits connect.
 
