@@ -88,29 +88,20 @@ def search(index: DataFrame, stats: DataFrame, query: str, k: int = 10, params:
     return score_all(index, stats, query, params).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
-def count_of(terms, term: str):
-    """How often an array holds a term."""
-    return F.size(F.filter(terms, lambda x: x == term))
-
-
 def search_documents(docs: DataFrame, query: str, k: int = 10, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Search without a stored index, in one pass over the texts: only the query's terms are ever counted.
-
-    Per document the token count and each query term's frequency come from expressions on one array, so no token row is
-    exploded or shuffled; document frequencies are one more aggregate over the documents that match."""
+    """Search without a stored index, in one pass over the texts: tokens are exploded inside code generation and at once
+    partially aggregated to a row per document (its length and each query term's frequency), which is all that is shuffled.
+    Rows that share an id count as one document."""
     spark = docs.sparkSession
     terms = [(r.term, r.qn) for r in query_terms(spark, query).collect()]  # the query's words
     if not terms:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
-    from lodeseek.functions.text import tokens
-
-    counted = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("ts")).select(
-        "doc_id", F.size("ts").alias("length"), *(count_of(F.col("ts"), t).alias(f"f{i}") for i, (t, _) in enumerate(terms))
+    counted = token_rows(docs, id_col, text_col).groupBy("doc_id").agg(
+        F.count("*").alias("length"), *(F.count_if(F.col("term") == t).alias(f"f{i}") for i, (t, _) in enumerate(terms))
     )
-    stats = counted.agg(
-        F.count("*").alias("total_docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_length"),
-        *(F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(len(terms))),
-    )
+    stats = counted.agg(F.sum("length").alias("tokens"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
+    total = docs.agg(F.count_distinct(id_col).alias("total_docs"))
+    stats = stats.crossJoin(F.broadcast(total)).withColumn("avg_length", F.col("tokens") / F.col("total_docs"))
     score = F.lit(0.0)
     for i, (_, qn) in enumerate(terms):
         tf = F.col(f"f{i}")
