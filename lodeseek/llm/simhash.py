@@ -6,7 +6,9 @@ another. Segments that differ in at most two bits share an index, and of three s
 differing bits in all at most one has more than two, so every pair within five bits shares a key.
 Pairs in a key's bucket are verified by their exact Hamming distance. A bucket returns a minimum
 spanning forest of its verified pairs, never all of them: that keeps every connection, also those at
-any smaller distance, with at most one pair per fingerprint.
+any smaller distance, with at most one pair per fingerprint. Where links must also pass a comparison
+of shingle sets, a forest is not enough: wherever one of its pairs fails, all pairs are compared that
+are not connected by then.
 
 Equal fingerprints are merged before any key is made, so a hot group of copies is one row.
 """
@@ -210,6 +212,46 @@ def forest_edges(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.array(keep, dtype=np.int64)
 
 
+def first_common_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest key that each pair of fingerprints shares; -1 where they share none."""
+    common = []
+    for shift, width in SEGMENTS:
+        (ca, na), (cb, nb) = (golay.keys(((x.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)) for x in (a, b))
+        slot = np.arange(6)
+        same = (ca[:, :, None] == cb[:, None, :]) & (slot < na[:, None])[:, :, None] & (slot < nb[:, None])[:, None, :]
+        common.append(np.where(same, ca[:, :, None].astype(np.int64), 1 << 12).min(axis=(1, 2)))
+    out = np.full(len(a), -1, dtype=np.int64)
+    for p, (i, j) in reversed(list(enumerate(PAIRS))):
+        both = (common[i] < 1 << 12) & (common[j] < 1 << 12)
+        out[both] = ((p << 24) | (common[i] << 12) | common[j])[both]
+    return out
+
+
+def bucket_pairs(
+    key: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.ndarray, max_bits: int, block: int = 1 << 18
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (u, v) of nodes of different labels that share a key and are within max_bits, each from its first common key alone."""
+    order = np.lexsort((label, key))
+    key, fp, node, label = key[order], fp[order], node[order], label[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    length = np.diff(np.append(first, len(key)))
+    mixed_labels = label[first] != label[first + length - 1]
+    size = np.repeat(np.where(mixed_labels, length, 0), length)
+    place = np.arange(len(key)) - np.repeat(first, length)
+    lag, live = 1, np.flatnonzero(size > 1)
+    while len(live):
+        live = live[place[live] + lag < size[live]]
+        for i in range(0, len(live), block):
+            x = live[i : i + block]
+            y = x + lag
+            near = (np.bitwise_count(fp[x].view(np.uint64) ^ fp[y].view(np.uint64)) <= max_bits) & (label[x] != label[y])
+            x, y = x[near], y[near]
+            if len(x):
+                once = first_common_key(fp[x], fp[y]) == key[x]
+                yield node[x[once]], node[y[once]]
+        lag += 1
+
+
 def fingerprint_links(unique: DataFrame, max_bits: int = 3) -> DataFrame:
     """unique (fp long, distinct) -> (a long, b long, bits int): links that connect what pairs within max_bits connect.
 
@@ -235,6 +277,61 @@ def fingerprint_links(unique: DataFrame, max_bits: int = 3) -> DataFrame:
     return found.groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
 
+def open_pairs(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """nodes (fp long, node long, label long) -> (u long, v long): every pair of nodes of different labels that share a key
+    and are within max_bits."""
+    spark = nodes.sparkSession
+    n = nodes.count()
+
+    def keyed(batch: pa.RecordBatch) -> dict:
+        order = np.argsort(batch.column("fp").to_numpy(zero_copy_only=False), kind="stable")
+        fp, node, label = (batch.column(c).to_numpy(zero_copy_only=False)[order] for c in ("fp", "node", "label"))
+        found = _key_rows(pa.RecordBatch.from_pydict({"fp": np.unique(fp)}))
+        lo, hi = np.searchsorted(fp, found["fp"], "left"), np.searchsorted(fp, found["fp"], "right")
+        row = np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+        return {"key": np.repeat(found["key"], hi - lo), "fp": fp[row], "node": node[row], "label": label[row]}
+
+    rows = map_batches(nodes.select("fp", "node", "label"), keyed, "key int, fp long, node long, label long")
+    parts = shuffle_partitions_for(spark, n * KEYS_PER_FINGERPRINT * 40)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [[], [], [], []]
+        for batch in batches:
+            for i, c in enumerate(columns):
+                c.append(batch.column(i).to_numpy(zero_copy_only=False))
+        if columns[0]:
+            for u, v in bucket_pairs(*(np.concatenate(c) for c in columns), max_bits):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    return rows.repartition(parts, "key").mapInArrow(pairs, "u long, v long")
+
+
+def verified_components(ends: DataFrame, nodes: DataFrame, names: list[str], docs: DataFrame, words: int, max_bits: int, min_jaccard: float, id_col: str, text_col: str) -> DataFrame:
+    """(node, component) over all candidate pairs that pass verification, without listing the pairs of a dense bucket.
+
+    ends (u, v) connect all that candidate pairs of nodes (rep long, a fingerprint for each name) connect. They are verified
+    first. Where all of them pass, candidates are in one component already, so no other pair of theirs can matter. Where one
+    fails, every candidate pair that is still in different components is listed and verified as well."""
+    ends = materialize(ends.where("u <> v").distinct(), "simhash")
+    passed = materialize(verified_links(ends, docs, words, min_jaccard, id_col, text_col), "simhash")
+    groups = materialize(connected_components(passed), "simhash")
+    label = materialize(
+        nodes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", *names, F.coalesce("component", "rep").alias("label")), "simhash"
+    )
+    side = lambda end: label.select(F.col("rep").alias(end), F.col("label").alias(f"l{end}"))
+    failed = ends.join(side("u"), "u").join(side("v"), "v").where("lu <> lv")
+    torn = materialize(failed.select(F.explode(F.array("lu", "lv")).alias("label")).distinct(), "simhash")
+    if torn.isEmpty():
+        return groups
+    unsettled = materialize(label.join(torn, "label", "left_semi"), "simhash")
+    more = None
+    for name in names:
+        found = open_pairs(unsettled.select(F.col(name).alias("fp"), F.col("rep").alias("node"), "label"), max_bits)
+        more = found if more is None else more.union(found)
+    more = verified_links(more.distinct().join(ends, ["u", "v"], "left_anti"), docs, words, min_jaccard, id_col, text_col)
+    return connected_components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+
+
 def shingle_set(text: bytes, words: int) -> bytes:
     """The sorted distinct shingles as 32-bit hashes, packed."""
     found = shingles_of(text, words)
@@ -299,9 +396,11 @@ def near_duplicates(
             alike = unique.join(one.select(name, F.col("rep").alias("v")), name).where("rep <> v").select(F.col("rep").alias("u"), "v")
             found = found.union(alike)
         ends = found if ends is None else ends.union(found)
-    if min_jaccard is not None:
-        ends = verified_links(ends.distinct(), docs, words, min_jaccard, id_col, text_col)
-    groups = connected_components(ends)
+    if min_jaccard is None:
+        groups = connected_components(ends)
+    else:
+        ends = ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        groups = verified_components(ends, unique, names, docs, words, max_bits, min_jaccard, id_col, text_col)
     label = materialize(
         unique.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("component", "rep").alias("component")), "simhash"
     )

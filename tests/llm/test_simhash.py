@@ -78,6 +78,38 @@ def test_links_connect_as_brute_force(spark, monkeypatch, bits, small, large):
     assert [find(i) for i in range(len(fps))] == brute(fps, bits)
 
 
+def test_open_pairs_are_all_pairs_of_different_labels(spark):
+    """A dense bucket with two labels, equal fingerprints included: each near pair across labels, once."""
+    rng = np.random.RandomState(4)
+    center = int(rng.randint(0, 1 << 62))
+    fps = [center ^ sum(1 << int(b) for b in rng.permutation(40)[: rng.randint(0, 4)]) for _ in range(60)]
+    rows = [(f, i, i % 3 // 2) for i, f in enumerate(fps)]
+    got = [(r.u, r.v) for r in S.open_pairs(spark.createDataFrame(rows, "fp long, node long, label long"), 5).collect()]
+    want = {(i, j) for i, j in combinations(range(60), 2) if i % 3 // 2 != j % 3 // 2 and bin(fps[i] ^ fps[j]).count("1") <= 5}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_nearer_neighbour_that_fails_hides_no_pair(spark, rng):
+    """Families of texts around a Jaccard of 0.8: links are as by brute force, wherever the fingerprints hang on others."""
+    texts = []
+    for _ in range(12):
+        base = prose(rng, 150).split()
+        for _ in range(12):
+            near = list(base)
+            for at in rng.sample(range(150), rng.randint(1, 5)):
+                near[at] = f"edit{rng.random()}"
+            texts.append(" ".join(near))
+    sets = [set(S.shingles_of(t.encode(), 5)) for t in texts]
+    want, n = list(range(len(texts))), len(texts)
+    for _ in range(12):
+        for i, j in combinations(range(n), 2):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                want[i] = want[j] = min(want[i], want[j])
+    assert len(set(want)) > 24
+    got = {r.id: r.component for r in S.near_duplicates(frame(spark, texts), 5, 12, 0.8, 2).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_fingerprint_by_definition():
     text = "One two  Three\tfour\nfive one two three"
     words = text.lower().split()
