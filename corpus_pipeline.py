@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more, or equal fingerprints) the smallest id stays."""
+    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) the smallest id stays."""
     return simhash.keep_one_of_each(docs, SHINGLE_WORDS, CANDIDATE_BITS, MIN_JACCARD)
 
 

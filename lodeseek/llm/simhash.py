@@ -10,7 +10,8 @@ any smaller distance, with at most one pair per fingerprint. Where links must al
 of shingle sets, a forest is not enough: wherever one of its pairs fails, all pairs are compared that
 are not connected by then.
 
-Equal fingerprints are merged before any key is made, so a hot group of copies is one row.
+Equal fingerprints (or equal shingle sets, where those are compared) are merged before any key is made, so a hot
+group of copies is one row.
 """
 
 from __future__ import annotations
@@ -58,17 +59,25 @@ def fingerprint_of(text: bytes, words: int = 3) -> int:
 
 def fingerprints_of(text: bytes, words: int, rounds: int) -> np.ndarray:
     """SimHashes of as many independent hashes: XXH64, then what a bijective mix makes of the one before."""
+    return fingerprints_of_hashes(hashes_of(text, words), rounds)
+
+
+def hashes_of(text: bytes, words: int) -> np.ndarray:
     found = shingles_of(text, words)
-    if not found:
+    return np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), dtype=np.uint64, count=len(found))
+
+
+def fingerprints_of_hashes(hashes: np.ndarray, rounds: int) -> np.ndarray:
+    if not len(hashes):
         return np.zeros(rounds, dtype=np.uint64)
     total = np.zeros((rounds, 64), dtype=np.int64)
-    for i in range(0, len(found), 65536):
-        h = np.fromiter(map(xxhash.xxh64_intdigest, found[i : i + 65536], repeat(SEED)), dtype=np.uint64)
+    for i in range(0, len(hashes), 65536):
+        h = hashes[i : i + 65536]
         for r in range(rounds):
             if r:
                 h = mixed(h)
             total[r] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > len(found), axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return np.packbits(2 * total > len(hashes), axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -97,6 +106,21 @@ def fingerprints(docs: DataFrame, words: int = 3, rounds: int = 1, id_col: str =
     return map_batches(rows, run, "id long, " + ", ".join(f"{n} long" for n in names))
 
 
+def set_fingerprints(docs: DataFrame, words: int, rounds: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, same binary, fp long, fp1, ...): fingerprints of the distinct shingles, however often a text repeats them, and a
+    128-bit hash of that set."""
+    names = fingerprint_columns(rounds)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        sets = [np.unique(hashes_of(t, words)) for t in texts_of(batch, "_t")]
+        fps = signed(np.array([fingerprints_of_hashes(h, rounds) for h in sets], dtype=np.uint64).reshape(-1, rounds))
+        same = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
+        return {"id": batch.column("id"), "same": same} | {n: np.ascontiguousarray(fps[:, i]) for i, n in enumerate(names)}
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t"))
+    return map_batches(rows, run, "id long, same binary, " + ", ".join(f"{n} long" for n in names))
+
+
 def _key_rows(batch: pa.RecordBatch) -> dict:
     fp = batch.column("fp").to_numpy(zero_copy_only=False)
     unsigned = fp.view(np.uint64)
@@ -376,36 +400,40 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, fp long, component long) for each row of docs; component is the smallest id that links reach.
 
-    With several rounds, texts whose fingerprints are near in any round are candidates. Rows with all fingerprints equal
-    always link. With min_jaccard, other links count only if the shingle sets are that similar.
+    With several rounds, texts whose fingerprints are near in any round are candidates. Without min_jaccard, rows with all
+    fingerprints equal always link. With it, fingerprints are those of the distinct shingles, rows with the same shingle
+    set are merged, and every other link, between equal fingerprints too, counts only if the sets are that similar.
     Null and empty texts have fingerprint 0 and link like any other. Rows that repeat an id each return a
     row. A null id returns a null component unless its group has another id. An empty table returns no rows."""
     names = fingerprint_columns(rounds)
-    fps = materialize(fingerprints(docs, words, rounds, id_col, text_col), "simhash")
-    unique = materialize(fps.groupBy(*names).agg(F.min("id").alias("rep")), "simhash")
+    by_set = min_jaccard is not None
+    merged = ["same"] if by_set else names
+    made = set_fingerprints if by_set else fingerprints
+    fps = materialize(made(docs, words, rounds, id_col, text_col), "simhash")
+    unique = materialize(fps.groupBy(*dict.fromkeys([*merged, *names])).agg(F.min("id").alias("rep")), "simhash")
     ends = None
     for name in names:
-        one = unique if rounds == 1 else materialize(unique.groupBy(name).agg(F.min("rep").alias("rep")), "simhash")
+        one = unique if rounds == 1 and not by_set else materialize(unique.groupBy(name).agg(F.min("rep").alias("rep")), "simhash")
         links = fingerprint_links(one.select(F.col(name).alias("fp")), max_bits)
         found = (
             links.join(one.select(F.col(name).alias("a"), F.col("rep").alias("u")), "a")
             .join(one.select(F.col(name).alias("b"), F.col("rep").alias("v")), "b")
             .select("u", "v")
         )
-        if rounds > 1:  # alike in this round alone
+        if rounds > 1 or by_set:  # alike in this round alone
             alike = unique.join(one.select(name, F.col("rep").alias("v")), name).where("rep <> v").select(F.col("rep").alias("u"), "v")
             found = found.union(alike)
         ends = found if ends is None else ends.union(found)
-    if min_jaccard is None:
+    if not by_set:
         groups = connected_components(ends)
     else:
         ends = ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         groups = verified_components(ends, unique, names, docs, words, max_bits, min_jaccard, id_col, text_col)
     label = materialize(
-        unique.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("component", "rep").alias("component")), "simhash"
+        unique.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*merged, F.coalesce("component", "rep").alias("component")), "simhash"
     )
     drop_materialized(unique)
-    return fps.join(label, names).select("id", "fp", "component")
+    return fps.join(label, merged).select("id", "fp", "component")
 
 
 def keep_one_of_each(

@@ -110,6 +110,17 @@ def test_a_nearer_neighbour_that_fails_hides_no_pair(spark, rng):
     assert got == dict(enumerate(want))
 
 
+def test_a_repeated_line_does_not_make_duplicates(spark, rng):
+    """A line that fills two texts decides a SimHash of counts; their own words differ, so both stay, and a true copy goes."""
+    line = prose(rng, 9)
+    one, two = ("\n".join([line] * 60 + [" ".join(f"{x}{i}" for i in range(50))]) for x in "ab")
+    texts = [one, two, one + " more", one.replace("\n", "  "), "\n".join([line, one])]
+    assert S.fingerprints_of(one.encode(), 5, 2).tolist() == S.fingerprints_of(two.encode(), 5, 2).tolist()
+    docs = frame(spark, texts)
+    assert {r.doc_id for r in S.keep_one_of_each(docs).collect()} == {0, 1}
+    assert {r.id: r.component for r in S.near_duplicates(docs, 5, 12, 0.8, 1).collect()} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0}
+
+
 def test_fingerprint_by_definition():
     text = "One two  Three\tfour\nfive one two three"
     words = text.lower().split()
