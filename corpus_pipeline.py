@@ -16,7 +16,7 @@ from lodeseek.session import materialize, table
 TOXIC_FROM = 0.5
 SHINGLE_WORDS = 5
 MIN_JACCARD = 0.8
-CANDIDATE_BITS = 12
+CANDIDATE_BITS = 16
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

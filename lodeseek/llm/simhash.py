@@ -336,8 +336,8 @@ def verified_components(ends: DataFrame, nodes: DataFrame, names: list[str], doc
     ends (u, v) connect all that candidate pairs of nodes (rep long, a fingerprint for each name) connect. They are verified
     first. Where all of them pass, candidates are in one component already, so no other pair of theirs can matter. Where one
     fails, every candidate pair that is still in different components is listed and verified as well."""
-    ends = materialize(ends.where("u <> v").distinct(), "simhash")
-    passed = materialize(verified_links(ends, docs, words, min_jaccard, id_col, text_col), "simhash")
+    ends = materialize(ends.where("u <> v").distinct(), "simhash", True)
+    passed = materialize(verified_links(ends, docs, words, min_jaccard, id_col, text_col), "simhash", True)
     groups = materialize(connected_components(passed), "simhash")
     label = materialize(
         nodes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", *names, F.coalesce("component", "rep").alias("label")), "simhash"
@@ -350,9 +350,10 @@ def verified_components(ends: DataFrame, nodes: DataFrame, names: list[str], doc
     unsettled = materialize(label.join(torn, "label", "left_semi"), "simhash")
     more = None
     for name in names:
-        found = open_pairs(unsettled.select(F.col(name).alias("fp"), F.col("rep").alias("node"), "label"), max_bits)
+        found = materialize(open_pairs(unsettled.select(F.col(name).alias("fp"), F.col("rep").alias("node"), "label"), max_bits), "simhash", True)
         more = found if more is None else more.union(found)
-    more = verified_links(more.distinct().join(ends, ["u", "v"], "left_anti"), docs, words, min_jaccard, id_col, text_col)
+    more = materialize(more.distinct().join(ends, ["u", "v"], "left_anti"), "simhash", True)
+    more = materialize(verified_links(more, docs, words, min_jaccard, id_col, text_col), "simhash", True)
     return connected_components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
 
@@ -374,14 +375,13 @@ def jaccard(a: bytes, b: bytes) -> float:
 def verified_links(ends: DataFrame, docs: DataFrame, words: int, min_jaccard: float, id_col: str, text_col: str) -> DataFrame:
     """Of links (u, v) between ids those whose shingle sets are at least that similar, by exact set comparison.
     The texts of linked ids alone are hashed; they are found by a join that Spark broadcasts only if its table is small."""
-    ends = materialize(ends, "simhash")
     linked = materialize(ends.select(F.col("u").alias("id")).union(ends.select("v")).distinct(), "simhash")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t")).join(linked, "id", "left_semi")
 
     def sets(batch: pa.RecordBatch) -> dict:
         return {"id": batch.column("id"), "set": [shingle_set(t, words) for t in texts_of(batch, "_t")]}
 
-    by_id = materialize(map_batches(rows, sets, "id long, set binary").dropDuplicates(["id"]), "simhash")
+    by_id = materialize(map_batches(rows, sets, "id long, set binary").dropDuplicates(["id"]), "simhash", True)
     pairs = ends.join(by_id.select(F.col("id").alias("u"), F.col("set").alias("su")), "u").join(
         by_id.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v"
     )
@@ -423,6 +423,8 @@ def near_duplicates(
         if rounds > 1 or by_set:  # alike in this round alone
             alike = unique.join(one.select(name, F.col("rep").alias("v")), name).where("rep <> v").select(F.col("rep").alias("u"), "v")
             found = found.union(alike)
+        if by_set:
+            found = materialize(found, "simhash", True)
         ends = found if ends is None else ends.union(found)
     if not by_set:
         groups = connected_components(ends)
@@ -437,10 +439,13 @@ def near_duplicates(
 
 
 def keep_one_of_each(
-    docs: DataFrame, words: int = 5, max_bits: int = 12, min_jaccard: float = 0.8, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, max_bits: int = 16, min_jaccard: float = 0.8, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """docs without near-duplicates: of each group the row of the smallest id stays, with all its columns.
 
+    A pair at a Jaccard of exactly 0.8 differs in 10 of 64 bits in the mean; the default limit and rounds are set to
+    propose 99 % of such pairs, and more of any nearer ones.
+
     Rows that repeat an id are one document, of which one row stays. Rows with a null id cannot be named, so they
     stay. Texts are not shuffled unless the table of removed ids is too large for Spark to broadcast."""
     found = materialize(near_duplicates(docs, words, max_bits, min_jaccard, rounds, id_col, text_col), "simhash")

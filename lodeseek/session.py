@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str = "lodeseek", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -50,12 +51,20 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str = "step") -> DataFrame:
+def materialize(df: DataFrame, label: str = "step", free_shuffles: bool = False) -> DataFrame:
     """Writes df as Parquet under the shared scratch folder and reads it back: lineage ends there,
-    and a lost executor costs no recomputation of what was written."""
+    and a lost executor costs no recomputation of what was written. With free_shuffles the shuffle
+    files of the write are deleted at its end, not when the driver next collects garbage."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/lodeseek/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP_KEY, None)
+    if free_shuffles:
+        spark.conf.set(_CLEANUP_KEY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free_shuffles:
+            spark.conf.unset(_CLEANUP_KEY) if before is None else spark.conf.set(_CLEANUP_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
