@@ -12,6 +12,10 @@ Each repetition samples the outputs at a few steps of its walk into a key. A win
 item's key proposes an alignment, which Myers' bit-parallel algorithm checks exactly: the item against
 the best matching span near it. A span within ``max_edit_share`` of the item's words is reported.
 
+A walk of fixed length fits items of some length. Items of under ``exact_below_words`` words have other keys: with at
+most k words edited, one of k + 1 pieces of the item is whole, so the first words of each piece are a key, and
+every window starts a run of as many words. That finds all spans within ``max_edit_share``, whatever the edits.
+
 The benchmark is broadcast as key arrays, after its size was checked (``max_items``). Nothing else is
 gathered: documents are read once, in blocks, with no shuffle before the few hits.
 """
@@ -43,6 +47,7 @@ class Settings:
     keys_per_walk: int = 2
     max_edit_share: float = 0.2
     min_item_words: int = 5
+    exact_below_words: int = 30
     max_items: int = 200_000
     block_words: int = 49_152
     filter_bits: int = 21
@@ -97,9 +102,36 @@ def walk_keys(symbols: np.ndarray, s: Settings) -> Iterator[tuple[int, np.ndarra
             yield w * s.keys_per_walk + k, key, at
 
 
+def piece_length(words: int, s: Settings) -> int:
+    """The words of the shortest of the pieces of an item, one more than its words that may be edited."""
+    return max(1, words // (int(s.max_edit_share * words) + 1))
+
+
+def run_keys(symbols: np.ndarray, length: int) -> np.ndarray:
+    """A key for the run of so many words from each symbol; the last symbol is 0, which no item has."""
+    at = np.arange(len(symbols))
+    key = np.full(len(symbols), np.uint64(0xA5A5A5A5 + length))
+    for j in range(length):
+        key *= np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+        key ^= np.take(symbols, at + j, mode="clip")
+    key *= np.uint64(0x9E3779B97F4A7C15)
+    return key ^ (key >> np.uint64(31))
+
+
+def document_keys(symbols: np.ndarray, items: Items, s: Settings) -> Iterator[np.ndarray]:
+    """Every kind of key that the items have, from each symbol."""
+    if items.walked:
+        for _, key, _ in walk_keys(symbols, s):
+            yield key
+    for length in items.runs:
+        yield run_keys(symbols, length)
+
+
 @dataclass
 class Items:
-    """The benchmark's words and keys: sorted keys with the item and word offset that each stands for."""
+    """The benchmark's words and keys: sorted keys with the item and word offset that each stands for; whether there are
+    keys of walks, and the lengths of runs that are keys."""
 
     ids: list[int]
     words: list[list[bytes]]
@@ -107,21 +139,32 @@ class Items:
     item: np.ndarray
     offset: np.ndarray
     bloom: np.ndarray
+    walked: bool
+    runs: list[int]
 
 
 def build_items(rows: list[tuple[int, str | None]], s: Settings) -> Items:
     ids, words, keys, item, offset = [], [], [], [], []
+    walked, runs = False, set()
     for item_id, text in rows:
         parts = words_of((text or "").encode())
         if item_id is None or len(parts) < s.min_item_words:
             continue
         n = len(parts)
         symbols = np.concatenate([symbols_of(parts), np.zeros(1, dtype=np.uint64)])
-        for number, key, end in walk_keys(symbols, s):
-            # Walks that end on the item's own words; of an item too short for any, the walks from its first words.
-            good = np.flatnonzero(end[:n] < n)
-            if len(good) == 0:
-                good = np.arange(min(2, n))
+        found = []
+        if n < s.exact_below_words:
+            pieces, length = int(s.max_edit_share * n) + 1, piece_length(n, s)
+            starts = np.unique([i * n // pieces for i in range(pieces)])
+            found.append((run_keys(symbols, length), starts))
+            runs.add(length)
+        else:
+            walked = True
+            for _, key, end in walk_keys(symbols, s):
+                # Walks that end on the item's own words; of an item too short for any, the walks from its first words.
+                good = np.flatnonzero(end[:n] < n)
+                found.append((key, good if len(good) else np.arange(min(2, n))))
+        for key, good in found:
             keys.append(key[good])
             item.append(np.full(len(good), len(ids)))
             offset.append(good)
@@ -132,7 +175,7 @@ def build_items(rows: list[tuple[int, str | None]], s: Settings) -> Items:
     bloom = np.zeros(1 << s.filter_bits, dtype=bool)
     bloom[all_keys >> np.uint64(64 - s.filter_bits)] = True
     cat = lambda parts: np.concatenate(parts)[order] if parts else np.zeros(0, dtype=np.int64)
-    return Items(ids, words, all_keys[order], cat(item), cat(offset), bloom)
+    return Items(ids, words, all_keys[order], cat(item), cat(offset), bloom, walked, sorted(runs))
 
 
 def best_span(pattern: list[bytes], text: list[bytes]) -> tuple[int, int]:
@@ -182,7 +225,7 @@ def scan(texts: list[bytes], items: Items, s: Settings) -> list[tuple[int, int,
             starts[i - at + 1] = len(flat)
         symbols = symbols_of(flat)
         symbols[starts[1:] - 1] = 0
-        for _, key, _ in walk_keys(symbols, s):
+        for key in document_keys(symbols, items, s):
             maybe = np.flatnonzero(items.bloom[key >> np.uint64(64 - s.filter_bits)])
             low = np.searchsorted(items.keys, key[maybe], "left")
             high = np.searchsorted(items.keys, key[maybe], "right")

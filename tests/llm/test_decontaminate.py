@@ -53,6 +53,18 @@ def test_recall_against_brute_force(rng, share, least):
     assert got <= want and len(got & want) >= least * len(want) and len(want) >= 55
 
 
+@pytest.mark.parametrize("words", [*range(5, 20), 22, 24, 29, 30, 34, 45])
+def test_every_length_is_found_at_the_full_edit_share(rng, words):
+    """Items of one length with floor(n / 5) words edited, and verbatim: all are found under 30 words, 98 % from there on."""
+    s = D.Settings()
+    items = [(i, " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(words))) for i in range(100)]
+    built = D.build_items(items, s)
+    for edits in (0, int(s.max_edit_share * words)):
+        texts = [" ".join([prose(rng, 40), *edited(rng, t.split(), edits), prose(rng, 40)]) for _, t in items]
+        got = {(d, i) for d, i, *_ in D.scan([t.encode() for t in texts], built, s)}
+        assert len(got & {(i, i) for i in range(100)}) >= (100 if words < 30 or not edits else 98)
+
+
 def test_walks_meet_again_after_an_edit(rng):
     """The embedding's point: one edit leaves most outputs alike, unrelated text leaves few."""
     words = [f"w{rng.randrange(10**6)}".encode() for _ in range(80)]
