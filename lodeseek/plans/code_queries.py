@@ -119,7 +119,7 @@ def path_suffix_join(spark, sf_dir):
 @R.add("""WITH b AS (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM benchmark WHERE item_id < 40)
 SELECT x.item_id AS a, y.item_id AS b, round(1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)), 6) AS similarity FROM b x JOIN b y ON x.item_id < y.item_id""")
 def levenshtein_similarity(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").where("item_id < 40").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("t"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("t"))
     x, y = b.select(F.col("item_id").alias("a"), F.col("t").alias("ta")), b.select(F.col("item_id").alias("b"), F.col("t").alias("tb"))
     return x.join(y, F.col("a") < F.col("b")).select("a", "b", F.round(T.edit_similarity(F.col("ta"), F.col("tb")), 6).alias("similarity"))
 

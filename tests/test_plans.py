@@ -51,3 +51,11 @@ def test_suffix_links_are_equi_joins(spark):
     files = spark.createDataFrame([("/w/x/a.py",), ("/w/b.py",)], "file_path string")
     text = plan(linking.path_links(refs, files))
     assert "CartesianProduct" not in text and linking.path_links(refs, files).count() == 1
+
+
+def test_edit_similarity_compares_every_pair_of_items(spark, tmp_path):
+    from lodeseek.plans.code_queries import levenshtein_similarity
+
+    spark.range(45).select(F.col("id").alias("item_id"), F.concat(F.lit("item "), F.col("id").cast("string")).alias("text")).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.a, r.b) for r in levenshtein_similarity(spark, str(tmp_path)).collect()}
+    assert got == {(a, b) for a in range(45) for b in range(a + 1, 45)}
