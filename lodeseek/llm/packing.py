@@ -29,6 +29,8 @@ from lodeseek.session import materialize
 
 WINDOW = 1024
 END_ID = 0
+#: The added token of byte_bpe_50k.json, which tokenizers finds in texts too.
+SPECIAL_TOKENS = {"<|endoftext|>": 50256}
 MIN_BUCKETS = 128
 ROWS_PER_BUCKET = 200_000
 
@@ -47,11 +49,11 @@ def encoder(vocabulary: str):
 
     with open(vocabulary, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL_TOKENS)
 
 
 def ids_of(text: str | None, vocabulary: str, end_id: int | None = END_ID) -> np.ndarray:
-    ids = encoder(vocabulary).encode_ordinary(text) if text else []
+    ids = encoder(vocabulary).encode(text, allowed_special="all") if text else []
     return np.array(ids if end_id is None else [*ids, end_id], dtype="<u4")
 
 

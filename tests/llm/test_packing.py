@@ -87,3 +87,9 @@ def test_repeated_rows_are_packed_each(spark, reference):
     docs = frame(spark, ["alpha beta", "gamma"])
     got = P.pack(docs.unionByName(docs)).groupBy("id").sum("length").collect()
     assert {r.id: r["sum(length)"] for r in got} == {0: 2 * len(reference("alpha beta")), 1: 2 * len(reference("gamma"))}
+
+
+def test_the_special_token_in_a_text_is_one_id(reference):
+    for text in ["<|endoftext|>", "one <|endoftext|> two", "x<|endoftext|><|endoftext|>\n<|endoftext", " <|endoftext|>  'S"]:
+        ids = P.ids_of(text, P.default_vocabulary())
+        assert 50256 in ids and ids.tolist() == reference(text).tolist()
