@@ -107,18 +107,18 @@ def fingerprints(docs: DataFrame, words: int = 3, rounds: int = 1, id_col: str =
 
 
 def set_fingerprints(docs: DataFrame, words: int, rounds: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, same binary, fp long, fp1, ...): fingerprints of the distinct shingles, however often a text repeats them, and a
-    128-bit hash of that set."""
+    """(id, same binary, n int, fp long, fp1, ...): fingerprints of the distinct shingles, however often a text repeats them, a
+    128-bit hash of that set and its size."""
     names = fingerprint_columns(rounds)
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = [np.unique(hashes_of(t, words)) for t in texts_of(batch, "_t")]
         fps = signed(np.array([fingerprints_of_hashes(h, rounds) for h in sets], dtype=np.uint64).reshape(-1, rounds))
         same = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
-        return {"id": batch.column("id"), "same": same} | {n: np.ascontiguousarray(fps[:, i]) for i, n in enumerate(names)}
+        return {"id": batch.column("id"), "same": same, "n": [len(h) for h in sets]} | {n: np.ascontiguousarray(fps[:, i]) for i, n in enumerate(names)}
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t"))
-    return map_batches(rows, run, "id long, same binary, " + ", ".join(f"{n} long" for n in names))
+    return map_batches(rows, run, "id long, same binary, n int, " + ", ".join(f"{n} long" for n in names))
 
 
 def _key_rows(batch: pa.RecordBatch) -> dict:
@@ -330,14 +330,21 @@ def open_pairs(nodes: DataFrame, max_bits: int) -> DataFrame:
     return rows.repartition(parts, "key").mapInArrow(pairs, "u long, v long")
 
 
+def of_like_sizes(ends: DataFrame, nodes: DataFrame, min_jaccard: float) -> DataFrame:
+    """The pairs (u, v) whose sets' sizes allow the Jaccard limit, which is at most the smaller by the larger."""
+    size = lambda end: nodes.select(F.col("rep").alias(end), F.col("n").alias(f"n{end}"))
+    both = ends.join(size("u"), "u").join(size("v"), "v")
+    return both.where(F.least("nu", "nv") + 1e-6 >= min_jaccard * F.greatest("nu", "nv")).select("u", "v")
+
+
 def verified_components(ends: DataFrame, nodes: DataFrame, names: list[str], docs: DataFrame, words: int, max_bits: int, min_jaccard: float, id_col: str, text_col: str) -> DataFrame:
     """(node, component) over all candidate pairs that pass verification, without listing the pairs of a dense bucket.
 
-    ends (u, v) connect all that candidate pairs of nodes (rep long, a fingerprint for each name) connect. They are verified
+    ends (u, v) connect all that candidate pairs of nodes (rep long, n int, a fingerprint for each name) connect. They are verified
     first. Where all of them pass, candidates are in one component already, so no other pair of theirs can matter. Where one
     fails, every candidate pair that is still in different components is listed and verified as well."""
     ends = materialize(ends.where("u <> v").distinct(), "simhash", True)
-    passed = materialize(verified_links(ends, docs, words, min_jaccard, id_col, text_col), "simhash", True)
+    passed = materialize(verified_links(of_like_sizes(ends, nodes, min_jaccard), docs, words, min_jaccard, id_col, text_col), "simhash", True)
     groups = materialize(connected_components(passed), "simhash")
     label = materialize(
         nodes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", *names, F.coalesce("component", "rep").alias("label")), "simhash"
@@ -352,7 +359,7 @@ def verified_components(ends: DataFrame, nodes: DataFrame, names: list[str], doc
     for name in names:
         found = materialize(open_pairs(unsettled.select(F.col(name).alias("fp"), F.col("rep").alias("node"), "label"), max_bits), "simhash", True)
         more = found if more is None else more.union(found)
-    more = materialize(more.distinct().join(ends, ["u", "v"], "left_anti"), "simhash", True)
+    more = materialize(of_like_sizes(more.distinct().join(ends, ["u", "v"], "left_anti"), nodes, min_jaccard), "simhash", True)
     more = materialize(verified_links(more, docs, words, min_jaccard, id_col, text_col), "simhash", True)
     return connected_components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
@@ -375,6 +382,7 @@ def jaccard(a: bytes, b: bytes) -> float:
 def verified_links(ends: DataFrame, docs: DataFrame, words: int, min_jaccard: float, id_col: str, text_col: str) -> DataFrame:
     """Of links (u, v) between ids those whose shingle sets are at least that similar, by exact set comparison.
     The texts of linked ids alone are hashed; they are found by a join that Spark broadcasts only if its table is small."""
+    ends = materialize(ends, "simhash", True)
     linked = materialize(ends.select(F.col("u").alias("id")).union(ends.select("v")).distinct(), "simhash")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t")).join(linked, "id", "left_semi")
 
@@ -410,7 +418,7 @@ def near_duplicates(
     merged = ["same"] if by_set else names
     made = set_fingerprints if by_set else fingerprints
     fps = materialize(made(docs, words, rounds, id_col, text_col), "simhash")
-    unique = materialize(fps.groupBy(*dict.fromkeys([*merged, *names])).agg(F.min("id").alias("rep")), "simhash")
+    unique = materialize(fps.groupBy(*dict.fromkeys([*merged, *names])).agg(F.min("id").alias("rep"), *([F.max("n").alias("n")] if by_set else [])), "simhash")
     ends = None
     for name in names:
         one = unique if rounds == 1 and not by_set else materialize(unique.groupBy(name).agg(F.min("rep").alias("rep")), "simhash")
