@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,9 +45,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and
+    driver and executors are one process. Elsewhere each executor would write to its own disk, and reads miss files."""
     root = spark.conf.get(_CHECKPOINT_KEY, None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that the driver and all executors share (master: {master})")
         root = "file://" + tempfile.mkdtemp(prefix="lodeseek-scratch-")
         spark.conf.set(_CHECKPOINT_KEY, root)
     return root.rstrip("/")
@@ -58,6 +64,8 @@ def materialize(df: DataFrame, label: str = "step", free_shuffles: bool = False)
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/lodeseek/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP_KEY, None)
+    for made in _collectors:
+        made.append(path)
     if free_shuffles:
         spark.conf.set(_CLEANUP_KEY, "true")
     try:
@@ -68,15 +76,32 @@ def materialize(df: DataFrame, label: str = "step", free_shuffles: bool = False)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Lists that collect the paths of tables as they are written.
+_collectors: list[list[str]] = []
+
+
+@contextmanager
+def written_tables() -> Iterator[list[str]]:
+    """The paths of the tables that materialize() writes meanwhile, to be dropped once nothing lazy reads them."""
+    made: list[str] = []
+    _collectors.append(made)
+    try:
+        yield made
+    finally:
+        _collectors.remove(made)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        if "/lodeseek/" in path:
+            path = jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Deletes the files of a table that materialize() wrote and that nothing lazy still reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for root in roots:
-        if "/lodeseek/" in root:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop_paths(df.sparkSession, list({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
 
 
 def shuffle_partitions_for(spark: SparkSession, n_bytes: float, target_bytes: int = 32 << 20) -> int:
