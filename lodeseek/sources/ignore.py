@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,3 +71,22 @@ def excluded(path: Column, *layers: Sequence[str], defaults: Sequence[str] = DEF
     for layer in (defaults, *layers):
         out = out | (layer_excludes(path, layer) if any(p.startswith("!") for p in layer) else plain_excludes(path, layer))
     return out
+
+
+def matcher(*layers: Sequence[str], defaults: Sequence[str] = DEFAULT_EXCLUSIONS) -> Callable[[str], bool]:
+    """excluded() as a function of one relative path, for listing a tree; a folder's path ends in a slash."""
+    compiled = [[(negated, re.compile(regex)) for negated, regex in map(to_regex, layer)] for layer in (defaults, *layers)]
+
+    def test(path: str) -> bool:
+        return any(next((not negated for negated, regex in reversed(layer) if regex.search(path)), False) for layer in compiled)
+
+    return test
+
+
+def pruner(*layers: Sequence[str], defaults: Sequence[str] = DEFAULT_EXCLUSIONS) -> Callable[[str], bool]:
+    """Whether nothing below a folder (a relative path without the slash) can be kept: a layer excludes the folder itself, or
+    patterns that end in ``/*`` or ``/**`` exclude whatever it holds."""
+    itself = matcher(*layers, defaults=defaults)
+    whole = [[p for p in layer if re.fullmatch(r"[^\[?!]+/\*\*?", p)] for layer in (defaults, *layers) if not any(p.startswith("!") for p in layer)]
+    holds = matcher(*whole, defaults=())
+    return lambda folder: itself(folder + "/") or holds(folder + "/\0any\0")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 COMMENT = (";", "#")
+#: Fixed value: what a line that is no key and continues none is reported as.
+UNEXPECTED = "Unexpected line in section [{}]: {}"
 LIST_KEYS = {"build_flags": re.compile(r"\s+"), "lib_deps": None}
 
 
@@ -35,7 +37,7 @@ def parse(content: str | None) -> dict:
             if target is not None:
                 _add(target, key, text)
         elif section:
-            out["errors"].append({"line": number, "message": f"Unexpected line in section [{section}]: {text}"})
+            out["errors"].append({"line": number, "message": UNEXPECTED.format(section, text)})
     return out
 
 

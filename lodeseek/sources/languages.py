@@ -41,9 +41,13 @@ def language_of(path: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), extension_of(path)), F.lit("unknown"))
 
 
+def scanned_extensions() -> list[str]:
+    return [ext for ext, *_, scanned in LANGUAGES if scanned]
+
+
 def is_scanned(path: Column, extensions: list[str] | None = None) -> Column:
     """By extension, or one of the file names that always pass; an explicit list of extensions replaces the default."""
-    wanted = extensions if extensions is not None else [ext for ext, *_, scanned in LANGUAGES if scanned]
+    wanted = extensions if extensions is not None else scanned_extensions()
     name = F.element_at(F.split(path, "/"), -1)
     return extension_of(path).isin(*wanted) | name.isin(*ALWAYS_SCANNED)
 
@@ -55,3 +59,11 @@ def kind_of(path: Column) -> Column:
     return (
         F.when(name.isin(*ALWAYS_SCANNED), "ini").when(extension_of(path) == ".md", "markdown").when(extension_of(path).isin(*code), "code").otherwise("unsupported")
     )
+
+
+def is_scanned_path(path: str, extensions: list[str] | None = None) -> bool:
+    """is_scanned() of one path, for listing a tree."""
+    wanted = extensions if extensions is not None else scanned_extensions()
+    name = path.rpartition("/")[2]
+    stem, dot, ext = name.rpartition(".")
+    return name in ALWAYS_SCANNED or (bool(dot) and f".{ext}".lower() in wanted)
