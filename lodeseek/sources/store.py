@@ -1,54 +1,100 @@
-"""A versioned table store: each write makes a new snapshot folder and then moves a pointer.
+"""A versioned table store: each write makes new folders and then moves a pointer.
 
-Readers that opened a snapshot keep it while a writer works (single writer). Pointer and folders live wherever
-Spark's Hadoop file systems reach, so nothing here opens a local path."""
+A version is a list of parts, oldest first; a part holds rows, and keys whose rows in older parts are gone. So a small
+change writes what changed, not the table; after some changes the parts are merged. Readers that opened a version
+keep it while a writer works (single writer). Pointers and folders live wherever Spark's Hadoop file systems reach, so
+nothing here opens a local path."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.operators import bm25, vectors
+from lodeseek.operators import bm25
+
+#: After so many changes a table's parts are merged.
+MAX_PARTS = 12
 
 
 @dataclass
 class Store:
     spark: SparkSession
     root: str
+    keep: int = 3  # versions that stay readable
 
     def _path(self, text: str):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(text)
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _current(self, name: str) -> str | None:
+    def _versions(self, name: str) -> list[str]:
         pointers, fs = self._path(f"{self.root}/{name}/_versions")
-        if not fs.exists(pointers):
-            return None
-        newest = max((s.getPath().getName() for s in fs.listStatus(pointers)), default=None)
-        return newest and newest.split("-", 1)[1]
+        return sorted(s.getPath().getName() for s in fs.listStatus(pointers)) if fs.exists(pointers) else []
+
+    def _parts(self, name: str, version: str) -> list[dict]:
+        path, fs = self._path(f"{self.root}/{name}/_versions/{version}")
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _publish(self, name: str, parts: list[dict]) -> None:
+        versions = self._versions(name)
+        number = int(versions[-1]) + 1 if versions else 1
+        path, fs = self._path(f"{self.root}/{name}/_versions/{number:012d}")
+        stream = fs.create(path, False)
+        stream.write(bytearray(json.dumps(parts).encode()))
+        stream.close()
+        self.vacuum(name, self.keep)
 
     def exists(self, name: str) -> bool:
-        return self._current(name) is not None
+        return bool(self._versions(name))
 
     def read(self, name: str) -> DataFrame:
-        version = self._current(name)
-        if version is None:
+        versions = self._versions(name)
+        if not versions:
             raise KeyError(f"no table {name}")
-        return self.spark.read.parquet(f"{self.root}/{name}/{version}")
+        parts = self._parts(name, versions[-1])
+        load = lambda folder: self.spark.read.parquet(f"{self.root}/{name}/{folder}")
+        out = None
+        for part in parts:
+            if part.get("gone") and out is not None:
+                out = out.join(load(part["gone"]), part["key"], "left_anti").select(*out.columns)
+            if part.get("rows"):
+                rows = load(part["rows"])
+                out = rows if out is None else out.unionByName(rows.select(*out.columns))
+        return out
+
+    def _write_folder(self, name: str, df: DataFrame, sort_by: str | None = None) -> str:
+        folder = uuid.uuid4().hex
+        out = df.repartitionByRange(sort_by).sortWithinPartitions(sort_by) if sort_by else df
+        out.write.parquet(f"{self.root}/{name}/{folder}")
+        return folder
 
     def write(self, name: str, df: DataFrame, sort_by: str | None = None) -> None:
-        """Sorted inside files by sort_by, so that row groups can be skipped on it."""
-        version = uuid.uuid4().hex
-        out = df.repartitionByRange(sort_by).sortWithinPartitions(sort_by) if sort_by else df
-        out.write.parquet(f"{self.root}/{name}/{version}")
-        pointers, fs = self._path(f"{self.root}/{name}/_versions")
-        fs.mkdirs(pointers)
-        number = max((int(s.getPath().getName().split("-", 1)[0]) for s in fs.listStatus(pointers)), default=0) + 1
-        fs.create(self._path(f"{self.root}/{name}/_versions/{number:012d}-{version}")[0], False).close()
+        """The whole table; sorted inside files by sort_by, so that row groups can be skipped on it."""
+        self._publish(name, [{"rows": self._write_folder(name, df, sort_by), "sort": sort_by}])
+
+    def change(self, name: str, rows: DataFrame | None, gone: DataFrame | None, key: Sequence[str], sort_by: str | None = None) -> None:
+        """Rows whose key is in gone go, then rows come: what is written is as large as the change."""
+        parts = self._parts(name, self._versions(name)[-1])
+        part: dict = {"key": list(key)}
+        if gone is not None:
+            part["gone"] = self._write_folder(name, gone.select(*key).distinct())
+        if rows is not None:
+            part["rows"] = self._write_folder(name, rows)
+        if len(parts) < MAX_PARTS:
+            self._publish(name, [*parts, part])
+            return
+        self._publish(name, [*parts, part])
+        sort_by = sort_by or parts[0].get("sort")
+        self.write(name, self.read(name), sort_by)
 
     def drop(self, name: str) -> None:
         """Nothing happens if there is no such table."""
@@ -56,12 +102,16 @@ class Store:
         fs.delete(path, True)
 
     def vacuum(self, name: str, keep: int = 1) -> None:
-        """Removes snapshots but the newest ones."""
-        pointers, fs = self._path(f"{self.root}/{name}/_versions")
-        for s in sorted(fs.listStatus(pointers), key=lambda s: s.getPath().getName())[:-keep]:
-            old = s.getPath().getName().split("-", 1)[1]
-            fs.delete(self._path(f"{self.root}/{name}/{old}")[0], True)
-            fs.delete(s.getPath(), True)
+        """Removes versions but the newest ones, and folders that none of these uses."""
+        versions = self._versions(name)
+        folders = lambda version: {p[k] for p in self._parts(name, version) for k in ("rows", "gone") if p.get(k)}
+        used = set().union(*map(folders, versions[-keep:])) if versions else set()
+        for version in versions[:-keep]:
+            for folder in folders(version) - used:
+                path, fs = self._path(f"{self.root}/{name}/{folder}")
+                fs.delete(path, True)
+            path, fs = self._path(f"{self.root}/{name}/_versions/{version}")
+            fs.delete(path, False)
 
     # Collections of vectors
 
@@ -71,10 +121,11 @@ class Store:
         self.write(name, self.spark.createDataFrame([], schema))
 
     def upsert(self, name: str, rows: DataFrame, id_col: str = "id") -> None:
-        self.write(name, vectors.upsert(self.read(name), rows, id_col))
+        """New rows in place of those of the same id."""
+        self.change(name, rows, rows.select(id_col), [id_col])
 
     def delete(self, name: str, ids: DataFrame, id_col: str = "id") -> None:
-        self.write(name, vectors.delete(self.read(name), ids, id_col))
+        self.change(name, None, ids, [id_col])
 
     # The keyword index
 
@@ -82,15 +133,14 @@ class Store:
         self.write("postings", bm25.postings(docs, id_col, text_col, with_positions=True), sort_by="term")
         self.write("doc_stats", bm25.doc_stats(docs, id_col, text_col))
 
-    def replace_documents(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        ids = docs.select(F.col(id_col).alias("doc_id")).distinct()
-        index = self.read("postings").join(ids, "doc_id", "left_anti")
-        fresh = bm25.postings(docs, id_col, text_col, with_positions=True)
-        stats = self.read("doc_stats").join(ids, "doc_id", "left_anti").unionByName(bm25.doc_stats(docs, id_col, text_col))
-        self.write("postings", index.select(*fresh.columns).unionByName(fresh), sort_by="term")
-        self.write("doc_stats", stats)
+    def replace_documents(self, docs: DataFrame, gone: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
+        """docs in place of their old entries, and of those of the ids (doc_id) that are gone."""
+        ids = docs.select(F.col(id_col).alias("doc_id"))
+        ids = ids if gone is None else ids.union(gone.select("doc_id"))
+        self.change("postings", bm25.postings(docs, id_col, text_col, with_positions=True), ids, ["doc_id"])
+        self.change("doc_stats", bm25.doc_stats(docs, id_col, text_col), ids, ["doc_id"])
 
     def delete_documents(self, ids: DataFrame) -> None:
-        index, stats = bm25.delete_documents(self.read("postings"), self.read("doc_stats"), ids)
-        self.write("postings", index, sort_by="term")
-        self.write("doc_stats", stats)
+        """ids (doc_id); those that are not there change nothing."""
+        for name in ("postings", "doc_stats"):
+            self.change(name, None, ids, ["doc_id"])
