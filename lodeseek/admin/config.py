@@ -20,6 +20,7 @@ DEFAULTS: dict = {
     "indexing": {"languages": [], "excludePatterns": [], "includeDocuments": True},
     "telemetry": {"enabled": False, "samplingRate": 0.1, "exporters": {"traces": "none", "metrics": "none", "logs": "none"}},
 }
+#: The modes, providers and remote backends of a configuration.
 MODES = ("local", "cloud")
 BACKENDS = ("parquet", "milvus", "zilliz", "qdrant", "chroma")
 PROVIDERS = ("transformers", "openai", "voyageai")

@@ -19,8 +19,15 @@ from lodeseek.admin.errors import ConfigInvalid
 from lodeseek.functions.text import STOP_WORDS
 
 _BREAK = re.compile(r"[\s\-_@.,:;!?(){}\[\]<>/\\|\"'`~]+")
-#: Dimensions of hosted models; others count as 1536.
-HOSTED_DIMENSIONS = {"text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536, "voyage-code-2": 1536, "voyage-2": 1024}
+#: Dimensions of hosted models, by their services' documentation; others count as 1536.
+HOSTED_DIMENSIONS = {
+    "text-embedding-3-small": 1536,
+    "text-embedding-3-large": 3072,
+    "text-embedding-ada-002": 1536,
+    "voyage-2": 1024,
+    "voyage-large-2": 1536,
+    "voyage-code-2": 1536,
+}
 
 
 class Embedder(Protocol):
@@ -152,5 +159,10 @@ def embed_column(make: Callable[[], Embedder]) -> Callable[[Column], Column]:
     return embed
 
 
+def embed_documents(chunks: DataFrame, make: Callable[[], Embedder], text_col: str = "text", out_col: str = "vector") -> DataFrame:
+    """chunks with a vector each, by the same kind of embedder that embeds queries."""
+    return chunks.withColumn(out_col, embed_column(make)(F.col(text_col)))
+
+
 def with_vectors(chunks: DataFrame, dimension: int = 384, text_col: str = "text", out_col: str = "vector") -> DataFrame:
-    return chunks.withColumn(out_col, embed_column(lambda: HashingEmbedder(dimension))(F.col(text_col)))
+    return embed_documents(chunks, lambda: HashingEmbedder(dimension), text_col, out_col)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 
@@ -48,11 +49,35 @@ def overall_health(store: Column, embedder: Column) -> Column:
     return F.when(up == 2, "healthy").when(up == 0, "unhealthy").otherwise("degraded")
 
 
+def within(action: Callable[[], object], seconds: float) -> object:
+    """The action's answer, or TimeoutError once it takes longer; it is then left to end by itself."""
+    found: list = []
+
+    def run() -> None:
+        try:
+            found.append((action(), None))
+        except Exception as error:  # noqa: BLE001  raised again below
+            found.append((None, error))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not found:
+        raise TimeoutError(f"no answer within {seconds:g} s")
+    answer, error = found[0]
+    if error is not None:
+        raise error
+    return answer
+
+
 class HealthChecker:
-    """Probes the store and the embedder; an answer is kept for a while."""
+    """Probes the store and the embedder, each for a few seconds at most; an answer is kept for a while."""
 
-    def __init__(self, version: str, store_probe: Callable[[], None] | None = None, embed_probe: Callable[[], list] | None = None, keep_s: float = 30.0, clock=time.monotonic):
-        self.version, self.keep_s, self._clock, self._since = version, keep_s, clock, clock()
+    def __init__(
+        self, version: str, store_probe: Callable[[], None] | None = None, embed_probe: Callable[[], list] | None = None, keep_s: float = 30.0, clock=time.monotonic,
+        timeout_s: float = 5.0,
+    ):
+        self.version, self.keep_s, self.timeout_s, self._clock, self._since = version, keep_s, timeout_s, clock, clock()
         self._probes = {"vector_store": store_probe, "embedding_engine": embed_probe}
         self._last: tuple[float, dict] | None = None
 
@@ -62,7 +87,7 @@ class HealthChecker:
             return {"status": "unknown"}
         began = self._clock()
         try:
-            answer = probe()
+            answer = within(probe, self.timeout_s)
             if name == "embedding_engine" and not answer:
                 raise ValueError("empty vector")
         except Exception as error:  # noqa: BLE001  whatever a probe raises is its finding

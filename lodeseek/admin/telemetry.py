@@ -18,8 +18,8 @@ from logging.handlers import RotatingFileHandler
 
 from pyspark.sql import SparkSession
 
-#: Parts of key names whose values are never logged.
-SENSITIVE = ("password", "token", "secret", "apikey", "api_key", "authorization", "credential")
+#: Parts of key names (in any case) whose values are never logged.
+SENSITIVE = ("apiKey", "api_key", "token", "password", "secret", "credentials", "authorization")
 _span: ContextVar[Span | None] = ContextVar("span", default=None)
 
 
@@ -47,7 +47,11 @@ class Telemetry:
         """The environment wins over the file, the file over the defaults."""
         env, section = os.environ if environ is None else environ, config.get("telemetry", {})
         enabled = env.get("LODESEEK_TELEMETRY_ENABLED", str(section.get("enabled", False))).lower() == "true"
-        return cls(enabled, float(env.get("LODESEEK_TELEMETRY_SAMPLING", section.get("samplingRate", 0.1))))
+        sampling = float(env.get("LODESEEK_TELEMETRY_SAMPLING", section.get("samplingRate", 0.1)))
+        if not 0 <= sampling <= 1:
+            raise ValueError("the sampling rate must be between 0 and 1")
+        kind = env.get("LODESEEK_TELEMETRY_TRACES", (section.get("exporters") or {}).get("traces", "none"))
+        return cls(enabled, sampling, exporter(kind))
 
     @contextmanager
     def span(self, name: str, spark: SparkSession | None = None, **attributes):
@@ -97,6 +101,95 @@ class Telemetry:
         if self.enabled:
             self.gauges[name] = value
 
+    def read(self) -> dict:
+        """Counters, histograms (count, sum, least, most) and gauges as they stand."""
+        values = {n: {"count": len(v), "sum": sum(v), "min": min(v), "max": max(v)} for n, v in self.values.items() if v}
+        return {"counters": {(n if not labels else (n, *labels)): c for (n, *labels), c in self.counts.items()}, "histograms": values, "gauges": dict(self.gauges)}
+
+
+class Metrics:
+    """The engine's instruments: three counters, two histograms and three gauges. Without telemetry each call does nothing."""
+
+    REQUESTS, ERRORS, STORE = "lodeseek.requests.total", "lodeseek.requests.errors", "lodeseek.vectordb.operations"
+    DURATION, RESULTS = "lodeseek.requests.duration", "lodeseek.search.results"
+    FILES, SYMBOLS, MEMORY = "lodeseek.index.files", "lodeseek.index.symbols", "lodeseek.memory.usage"
+
+    def __init__(self, telemetry: Telemetry | None = None, clock: Callable[[], float] = time.monotonic, keep_s: float = 1.0):
+        self.telemetry, self._clock, self._keep, self._memory = telemetry, clock, keep_s, (0.0, None)
+
+    @property
+    def on(self) -> bool:
+        return self.telemetry is not None and self.telemetry.enabled
+
+    def request(self, tool: str) -> None:
+        if self.on:
+            self.telemetry.count(self.REQUESTS, tool=tool)
+
+    def error(self, tool: str, kind: str) -> None:
+        if self.on:
+            self.telemetry.count(self.ERRORS, tool=tool, type=kind)
+
+    def store_operation(self, kind: str) -> None:
+        if self.on:
+            self.telemetry.count(self.STORE, type=kind)
+
+    def duration(self, ms: float) -> None:
+        if self.on:
+            self.telemetry.record(self.DURATION, ms)
+
+    def results(self, n: int) -> None:
+        if self.on:
+            self.telemetry.record(self.RESULTS, n)
+
+    def index(self, files: int, symbols: int) -> None:
+        if self.on:
+            self.telemetry.gauge(self.FILES, files)
+            self.telemetry.gauge(self.SYMBOLS, symbols)
+
+    def memory_mb(self) -> float | None:
+        """Of this process; measured anew at most once in keep_s."""
+        if not self.on:
+            return None
+        import resource
+
+        at, value = self._memory
+        if value is None or self._clock() - at >= self._keep:
+            value = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+            self._memory = (self._clock(), value)
+            self.telemetry.gauge(self.MEMORY, value)
+        return value
+
+
+#: The instruments that module-level code uses; they do nothing until setup().
+_metrics = Metrics()
+
+
+def setup(telemetry: Telemetry | None) -> Metrics:
+    global _metrics
+    _metrics = Metrics(telemetry)
+    return _metrics
+
+
+def metrics() -> Metrics:
+    return _metrics
+
+
+def exporter(kind: str, send: Callable[[dict], None] | None = None) -> Callable[[Span], None] | None:
+    """Where finished spans go: none, console (a JSON line to standard error), or otlp through the caller's transport."""
+    if kind == "none":
+        return None
+    if kind == "console":
+        import sys
+
+        return lambda span: print(json.dumps(as_dict(span), default=str), file=sys.stderr)
+    if kind == "otlp":
+        return None if send is None else lambda span: send(as_dict(span))
+    raise ValueError(f"exporters are none, console and otlp, not {kind!r}")
+
+
+def as_dict(span: Span) -> dict:
+    return {"name": span.name, "traceId": span.trace_id, "spanId": span.span_id, "seconds": span.seconds, "error": span.error, "attributes": redacted(span.attributes)}
+
 
 def traceparent(span: Span) -> str:
     return f"00-{span.trace_id}-{span.span_id}-01"
@@ -126,7 +219,7 @@ def short_stack(text: str, lines: int = 10) -> str:
 def redacted(value: object) -> object:
     """A copy in which values of sensitive keys are '***'."""
     if isinstance(value, Mapping):
-        return {k: "***" if any(s in str(k).lower() for s in SENSITIVE) else redacted(v) for k, v in value.items()}
+        return {k: "***" if any(s.lower() in str(k).lower() for s in SENSITIVE) else redacted(v) for k, v in value.items()}
     return [redacted(v) for v in value] if isinstance(value, (list, tuple)) else value
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-#: What a watcher never reports.
-WATCH_IGNORES = ("**/node_modules/**", "**/.git/**", "**/dist/**", "**/build/**", "**/coverage/**", "**/*.log")
+#: What a watcher never reports: fixed values, but for the index's own folder.
+WATCH_IGNORES = ("node_modules/**", ".git/**", "dist/**", "build/**", ".lodeseek/**", "**/*.log")
 DEBOUNCE = "500 milliseconds"
 
 
