@@ -71,11 +71,23 @@ def extension_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
 
 
-def occurrences(line: Column, name: Column) -> Column:
-    """0-based columns of every occurrence, overlapping ones included; none for an empty name."""
-    last = F.char_length(line) - F.char_length(name)
-    at = F.when((name != "") & (last >= 0), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(at, lambda i: F.substring(line, i + 1, F.char_length(name)) == name)
+def occurrences(line: Column, name: str) -> Column:
+    """0-based columns of every occurrence, overlapping ones included; none for an empty name.
+
+    A split before each place where the name starts (it consumes nothing) gives pieces whose lengths add up to the columns,
+    so a line is searched once whatever its length."""
+    none = F.array().cast("array<int>")
+    if not name:
+        return none
+    quoted = name.replace("\\E", "\\E\\\\E\\Q")
+    pieces = F.split(line, f"(?=\\Q{quoted}\\E)")
+    ends = F.aggregate(
+        F.transform(pieces, lambda x: F.char_length(x)),
+        F.struct(F.lit(0).alias("at"), none.alias("ends")),
+        lambda done, n: F.struct((done["at"] + n).alias("at"), F.concat(done["ends"], F.array(done["at"])).alias("ends")),
+    )
+    # A piece starts at each occurrence, and the first piece at 0, where the name may be or not.
+    return F.when(~line.contains(name), none).when(line.startswith(name), ends["ends"]).otherwise(F.slice(ends["ends"], 2, F.greatest(F.lit(0), F.size(pieces) - 1)))
 
 
 def cache_key(query: Column) -> Column:

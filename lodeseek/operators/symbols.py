@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from lodeseek.functions.text import occurrences
 
 
-def definitions(chunks: DataFrame, name: str, kind: str | None = None, project: str | None = None, scope: str | None = None, limit: int = 100) -> DataFrame:
-    """Chunks of that symbol with a file and lines; a plain filtered scan, its predicates reach Parquet."""
+def definitions(chunks: DataFrame, name: str, kind: str | None = None, project: str | None = None, scope: str | None = None, limit: int | None = None) -> DataFrame:
+    """Chunks of that symbol with a file and lines; a plain filtered scan, its predicates reach Parquet. With a limit the first by place."""
     rows = chunks.where(F.col("name") == name)
     for column, value in (("type", kind), ("project_id", project), ("scope", scope)):
         if value is not None:
             rows = rows.where(F.col(column) == value)
     rows = rows.dropna(subset=["file_path", "line_start", "line_end"])
-    return rows.orderBy("file_path", "line_start").limit(limit)
+    return rows if limit is None else rows.orderBy("file_path", "line_start").limit(limit)
 
 
 def distinct_files(chunks: DataFrame) -> DataFrame:
@@ -26,13 +26,16 @@ def references(files: DataFrame, name: str, id_col: str = "doc_id", text_col: st
     """(id, line from 1, column from 0, context of one line around): every occurrence, overlapping ones too.
 
     Files without the name are dropped by a substring test in the scan's stage, before any line is exploded."""
-    target = F.lit(name)
     hit = files.where(F.col(text_col).contains(name)) if name else files.limit(0)
     parts = F.split(text_col, "\n")
-    each = hit.select(F.col(id_col).alias("id"), parts.alias("_all"), F.posexplode(parts).alias("n", "content")).where(F.col("content").contains(name))
-    start = F.greatest(F.lit(1), F.col("n"))
-    context = F.array_join(F.slice("_all", start, F.least(F.size("_all"), F.col("n") + 2) - start + 1), "\n")
-    return each.select("id", (F.col("n") + 1).alias("line"), context.alias("context"), F.explode(occurrences(F.col("content"), target)).alias("column"))
+
+    def found(line, n):  # n from 0; only lines with the name become rows, each with its own context
+        start = F.greatest(F.lit(1), n)
+        context = F.array_join(F.slice(parts, start, F.least(F.size(parts), n + 2) - start + 1), "\n")
+        return F.when(line.contains(name), F.struct((n + 1).alias("line"), context.alias("context"), occurrences(line, name).alias("columns")))
+
+    each = hit.select(F.col(id_col).alias("id"), F.explode(F.filter(F.transform(parts, found), lambda x: x.isNotNull())).alias("_l"))
+    return each.select("id", F.col("_l.line").alias("line"), F.col("_l.context").alias("context"), F.explode("_l.columns").alias("column"))
 
 
 def comment_symbols(comments: DataFrame, symbols: DataFrame, reach: int = 3) -> DataFrame:

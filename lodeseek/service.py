@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 
 from lodeseek import __version__
 from lodeseek.admin import status
-from lodeseek.admin.embedding import CachedEmbedder, Embedder, HashingEmbedder, with_vectors
+from lodeseek.admin.embedding import CachedEmbedder, Embedder, HashingEmbedder, embed_documents
 from lodeseek.admin.errors import InvalidParams, as_engine_error
+from lodeseek.admin.telemetry import Metrics, metrics
 from lodeseek.operators import bm25, chunks, hybrid, linking, snippets, symbols, vectors
 from lodeseek.parse import tables as parsers
-from lodeseek.sources.scan import ScanOptions, scan
+from lodeseek.sources import languages
+from lodeseek.sources.scan import ScanOptions, list_one, read_files, scan
 from lodeseek.sources.store import Store
+from lodeseek.streaming.queue import UpdateQueue
+from lodeseek.streaming.watcher import Watcher, WatchOptions
 
 #: Each tool's inputs: name, type, required, default.
 TOOLS: dict[str, tuple[tuple[str, type, bool, object], ...]] = {
@@ -69,15 +73,20 @@ def to_json(fn: Callable[[], dict]) -> tuple[str, bool]:
 
 @dataclass
 class Engine:
+    """Documents and queries are embedded by the same embedder: the given one's kind is made anew in each task (its cache
+    stays on the driver), so it and what it holds must be picklable."""
+
     spark: SparkSession
     root: str
     embedder: Embedder = field(default_factory=lambda: CachedEmbedder(HashingEmbedder()))
     progress: Callable[[str], None] = lambda step: None
+    metrics: Metrics = field(default_factory=metrics)
 
     def __post_init__(self) -> None:
         self.store = Store(self.spark, self.root)
         self.embedder.initialize()
         self.health = status.HealthChecker(__version__, self._probe_store, lambda: self.embedder.embed("probe"))
+        self._watchers: dict[str, tuple[Watcher, UpdateQueue]] = {}
 
     def _probe_store(self) -> None:
         if self.store.exists("chunks"):
@@ -92,38 +101,46 @@ class Engine:
         units = units.unionByName(parsers.markdown_units(parsers.markdown(files.where("kind = 'markdown'"))))
         return files, chunks.keep_last(chunks.build(units, files, project)).drop("ordinal")
 
-    def _put(self, name: str, rows: DataFrame, gone: DataFrame | None = None, project: str | None = None) -> None:
-        """rows in place of the project's old ones, or of those of the files that are gone or changed."""
-        if self.store.exists(name):
-            old = self.store.read(name)
-            if gone is not None:
-                old = old.join(gone.select("file_path").distinct(), "file_path", "left_anti")
-            elif project is not None:
-                old = old.where(F.col("project_id") != project)
-            rows = old.select(*rows.columns).unionByName(rows)
-        self.store.write(name, rows)
-
-    def _write(self, files: DataFrame, units: DataFrame, project: str, gone: DataFrame | None) -> None:
+    def _put(self, name: str, rows: DataFrame | None, gone: DataFrame | None, key: list[str], sort_by: str | None = None) -> None:
+        """rows in place of those whose key is gone; only what changes is written."""
+        if not self.store.exists(name):
+            if rows is not None:
+                self.store.write(name, rows, sort_by)
+            return
+        self.metrics.store_operation("delete" if rows is None else "upsert")
+        self.store.change(name, rows, gone, key)
+
+    def _write(self, files: DataFrame, units: DataFrame, project: str, gone: DataFrame) -> None:
+        """gone (project_id[, file_path]): whose rows are replaced."""
+        key = gone.columns
         self.progress("files")
-        self._put("files", files.select(F.lit(project).alias("project_id"), F.col("path").alias("file_path"), "language", "kind", "content"), gone, project)
+        self._put("files", files.select(F.lit(project).alias("project_id"), F.col("path").alias("file_path"), "language", "kind", "content"), gone, key)
         self.progress("chunks")
-        self._put("chunks", with_vectors(units, self.embedder.dimension()), gone, project)
+        old = self.store.read("chunks").join(F.broadcast(gone), key, "left_semi").select(F.col("id").alias("doc_id")) if self.store.exists("chunks") else None
+        embedder = getattr(self.embedder, "inner", self.embedder)
+        self._put("chunks", embed_documents(units, lambda: embedder), gone, key)
         self.progress("keyword index")
-        now = self.store.read("chunks")
-        self.store.write("postings", bm25.postings(now, "id", "text", with_positions=True), sort_by="term")
-        self.store.write("doc_stats", bm25.doc_stats(now, "id", "text"))
+        now = self.store.read("chunks").join(F.broadcast(files.select(F.col("path").alias("file_path")).distinct()), "file_path", "left_semi") if "file_path" in key else (
+            self.store.read("chunks").where(F.col("project_id") == project)
+        )
+        now = now.where(F.col("project_id") == project)
+        self._put("postings", bm25.postings(now, "id", "text", with_positions=True), old, ["doc_id"], "term")
+        self._put("doc_stats", bm25.doc_stats(now, "id", "text"), old, ["doc_id"])
+
+    def _project(self, project: str) -> DataFrame:
+        return self.spark.createDataFrame([(project,)], "project_id string")
 
     def index_project(self, **given) -> dict:
         args = checked("index_project", given)
         root, project = args["rootPath"], args["rootPath"]
         began = time.time()
-        files = scan(self.spark, root, ScanOptions(exclude=args["excludePatterns"] or ()), project)
+        files = scan(self.spark, root, ScanOptions(exclude=args["excludePatterns"] or ()), project, lambda event, path: self.progress(event) if event == "scanComplete" else None)
         if args["languages"]:
             files = files.where(F.col("language").isin(*(x.lower() for x in args["languages"])) | (F.col("kind") == "markdown"))
         if not args["includeDocuments"]:
             files = files.where("kind <> 'markdown'")
         files, units = self._parts(files, project)
-        self._write(files, units, project, None)
+        self._write(files, units, project, self._project(project))
         return self._summary(project, root, time.time() - began)
 
     def _summary(self, project: str, root: str, seconds: float) -> dict:
@@ -135,15 +152,76 @@ class Engine:
         row = row.withColumn("last_indexed", F.current_timestamp())
         row = row.select("project_id", "root_path", "status", "last_indexed", "total_files", "total_symbols", "total_vectors")
         self.store.write("index_metadata", status.upsert_metadata(self.store.read("index_metadata"), row) if self.store.exists("index_metadata") else row)
+        self.metrics.index(indexed, counts.s)
         return {"success": True, "projectId": project, "stats": {"totalFiles": indexed + failed, "indexedFiles": indexed, "failedFiles": failed, "totalSymbols": counts.s, "totalVectors": counts.v, "processingTime": seconds}}
 
     def update_files(self, project: str, changed: DataFrame, deleted: DataFrame | None = None) -> None:
-        """changed (path, language, kind, content) and deleted (path): every row of these files goes, then the new ones come."""
+        """changed (path, language, kind, content) and deleted (path): every row of these files goes, then the new ones come.
+        A handful of files: what is written is as large as they are."""
         gone = changed.select(F.col("path").alias("file_path"))
         if deleted is not None:
             gone = gone.union(deleted.select("path"))
         files, units = self._parts(changed, project)
-        self._write(files, units, project, gone)
+        self._write(files, units, project, gone.select(F.lit(project).alias("project_id"), "file_path"))
+
+    def update_file(self, path: str, project: str) -> None:
+        """Reads one file of a project again; one that is not there any more, or is of no kind that is indexed, goes."""
+        listed = list_one(self.spark, path)
+        if listed is None or not languages.is_scanned_path(listed[1]):
+            return self.remove_file(path, project)
+        rel = F.lit(listed[1])
+        content = F.make_valid_utf8(F.col("content").cast("string")).alias("content")
+        self.update_files(project, read_files(self.spark, [listed]).select("path", languages.language_of(rel).alias("language"), languages.kind_of(rel).alias("kind"), content))
+
+    index_file = update_file
+
+    def remove_file(self, path: str, project: str) -> None:
+        """Every row of the file goes; nothing happens if there is none."""
+        if not self.store.exists("files"):
+            return
+        plain = path.split(":", 1)[-1].lstrip("/") if ":" in path else path.lstrip("/")
+        known = self.store.read("files").where((F.col("project_id") == project) & F.regexp_replace("file_path", "^[a-z0-9+.-]+:/+", "/").eqNullSafe("/" + plain))
+        gone = known.select("project_id", "file_path")
+        if gone.isEmpty():
+            return
+        gone = self.spark.createDataFrame(gone.collect(), gone.schema)  # one file
+        old = self.store.read("chunks").join(F.broadcast(gone), gone.columns, "left_semi").select(F.col("id").alias("doc_id"))
+        for name in ("postings", "doc_stats"):
+            self._put(name, None, old, ["doc_id"])
+        for name in ("files", "chunks"):
+            self._put(name, None, gone, gone.columns)
+
+    remove_from_index = remove_file
+
+    # --- watching
+
+    def enable_watching(self, project: str, options: WatchOptions = WatchOptions()) -> Watcher:
+        """Changes below the project's root are queued and indexed one at a time, until disable_watching()."""
+        if project in self._watchers:
+            return self._watchers[project][0]
+        queue, watcher = UpdateQueue(self.update_file), Watcher(self.spark, project, options)
+        base = project.rstrip("/")
+        for event in options.events:
+            watcher.on(event, lambda rel: queue.enqueue(f"{base}/{rel}", project))
+        watcher.start()
+        queue.start()
+        self._watchers[project] = (watcher, queue)
+        return watcher
+
+    def disable_watching(self, project: str) -> None:
+        if (pair := self._watchers.pop(project, None)) is not None:
+            pair[0].stop()
+            pair[1].stop()
+
+    def watching(self) -> dict[str, dict]:
+        """The queue's figures of each project that is watched."""
+        return {project: queue.stats() for project, (_, queue) in self._watchers.items()}
+
+    def shutdown(self) -> None:
+        """Ends all watching and releases the embedder; may be called again."""
+        for project in list(self._watchers):
+            self.disable_watching(project)
+        self.embedder.dispose()
 
     # --- search
 
@@ -165,22 +243,26 @@ class Engine:
             snippets.snippet(F.col("content"), F.col("line_start"), F.col("line_end")).alias("snippet"),
         )
         rows = [r.asDict() for r in found.orderBy(F.desc("score"), "id").collect()]  # at most topK
+        self.metrics.store_operation("search")
+        self.metrics.results(len(rows))
         return {"results": rows, "totalResults": len(rows), "searchTime": time.time() - began}
 
-    def get_symbol(self, **given) -> dict:
+    def get_symbol(self, max_definitions: int = 100, max_references: int = 1000, **given) -> dict:
+        """The first definitions and references, with the number of all there are."""
         args = checked("get_symbol", given)
         if not self.store.exists("chunks"):
-            return {"definitions": [], "references": []}
+            return {"definitions": [], "references": [], "totalDefinitions": 0, "totalReferences": 0}
         units, files, name = self.store.read("chunks"), self.store.read("files"), args["symbolName"]
         found = symbols.definitions(units, name, args["symbolType"], args["projectId"], args["scope"]).join(files.select("file_path", "content"), "file_path", "left")
         shown = found.select("file_path", "name", "type", "scope", "language", "line_start", "line_end", snippets.context(F.col("content"), F.col("line_start"), F.col("line_end"), 0).alias("snippet"))
         if args["projectId"]:
             files = files.where(F.col("project_id") == args["projectId"])
-        refs = symbols.references(files.where("kind = 'code'"), name, "file_path", "content").orderBy("id", "line", "column").limit(1000)
+        refs = symbols.references(files.where("kind = 'code'"), name, "file_path", "content")
+        counts = {"totalDefinitions": shown.count(), "totalReferences": refs.count()}
         return {
-            "definitions": [r.asDict() for r in shown.orderBy("file_path", "line_start").collect()],
-            "references": [{"file_path": r.id, "line": r.line, "column": r.column, "context": r.context} for r in refs.collect()],
-        }
+            "definitions": [r.asDict() for r in shown.orderBy("file_path", "line_start").limit(max_definitions).collect()],
+            "references": [{"file_path": r.id, "line": r.line, "column": r.column, "context": r.context} for r in refs.orderBy("id", "line", "column").limit(max_references).collect()],
+        } | counts
 
     def find_related_docs(self, **given) -> dict:
         args = checked("find_related_docs", given)
@@ -241,18 +323,17 @@ class Engine:
         meta = self.store.read("index_metadata")
         project = args["projectId"]
         names = [r.project_id for r in meta.select("project_id").collect() if project in (None, r.project_id)]
-        for table in ("index_metadata", "files", "chunks"):
-            if project is None:
-                self.store.drop(table)
-            elif self.store.exists(table):
-                self.store.write(table, self.store.read(table).where(F.col("project_id") != project))
         if project is None:
-            for table in ("postings", "doc_stats"):
+            for table in ("index_metadata", "files", "chunks", "postings", "doc_stats"):
                 self.store.drop(table)
-        else:
-            now = self.store.read("chunks")
-            self.store.write("postings", bm25.postings(now, "id", "text", with_positions=True), sort_by="term")
-            self.store.write("doc_stats", bm25.doc_stats(now, "id", "text"))
+        elif names:
+            gone = self._project(project)
+            if self.store.exists("chunks"):
+                old = self.store.read("chunks").where(F.col("project_id") == project).select(F.col("id").alias("doc_id"))
+                for table in ("postings", "doc_stats"):
+                    self._put(table, None, old, ["doc_id"])
+            for table in ("files", "chunks", "index_metadata"):
+                self._put(table, None, gone, ["project_id"])
         return {"success": True, "clearedProjects": names, "message": f"cleared {len(names)}"}
 
     def health_check(self, **given) -> dict:
@@ -266,9 +347,16 @@ class Engine:
         def run() -> dict:
             if tool not in TOOLS:
                 raise MethodNotFound(tool)
-            return getattr(self, tool)(**(args or {}))
-
-        return to_json(run)
+            return getattr(self, tool)(**checked(tool, args or {}))
+
+        self.metrics.request(tool)
+        began = time.perf_counter()
+        text, is_error = to_json(run)
+        self.metrics.duration((time.perf_counter() - began) * 1000)
+        self.metrics.memory_mb()
+        if is_error:
+            self.metrics.error(tool, str(json.loads(text).get("code")))
+        return text, is_error
 
 
 def tool_names() -> Sequence[str]:
