@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
 from lodeseek.operators import chunks, linking, snippets, symbols
+from lodeseek.parse import nodes
 from lodeseek.parse import tables as parsers
 from lodeseek.plans import fixtures
 from lodeseek.plans.registry import Registry
@@ -63,7 +64,7 @@ def symbol_references(spark, sf_dir):
     return found.select("id", "line", "column", F.md5("context").alias("context"))
 
 
-@R.add("SELECT doc_id, doc_id || ':' || (doc_id % 7 + 1) AS id, 'p' || (doc_id % 3) AS project_id, lang AS scope FROM documents WHERE source = 'src2' AND lang = 'en' AND doc_id % 3 = 1 ORDER BY doc_id LIMIT 100")
+@R.add("SELECT doc_id, doc_id || ':' || (doc_id % 7 + 1) AS id, 'p' || (doc_id % 3) AS project_id, lang AS scope FROM documents WHERE source = 'src2' AND lang = 'en' AND doc_id % 3 = 1")
 def symbol_definitions(spark, sf_dir):
     d = docs(spark, sf_dir)
     rows = d.select(
@@ -105,23 +106,33 @@ def file_path_refs(spark, sf_dir):
 
 
 @R.add("""WITH f AS (SELECT DISTINCT '/w/' || source || '/' || lang || '.py' AS file_path FROM documents),
-r AS (SELECT DISTINCT '/d/' || lang AS doc_path, lang || '.py' AS ref, '/w/' || source || '/en.py' AS resolved FROM documents WHERE doc_id % 11 = 0)
+r AS (SELECT DISTINCT '/d/' || lang AS doc_path, lang || '.py' AS ref, '/w/' || source || '/en.py' AS resolved FROM documents)
 SELECT DISTINCT doc_path, ref, file_path FROM r, f WHERE ends_with(file_path, ref) OR file_path = resolved""")
 def path_suffix_join(spark, sf_dir):
     d = docs(spark, sf_dir)
     files = d.select(F.concat(F.lit("/w/"), "source", F.lit("/"), "lang", F.lit(".py")).alias("file_path")).distinct()
-    refs = d.where("doc_id % 11 = 0").select(
+    refs = d.select(
         F.concat(F.lit("/d/"), "lang").alias("doc_path"), F.concat("lang", F.lit(".py")).alias("ref"), F.concat(F.lit("/w/"), "source", F.lit("/en.py")).alias("resolved")
     )
     return linking.path_links(refs.distinct(), files)
 
 
-@R.add("""WITH b AS (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM benchmark WHERE item_id < 40)
-SELECT x.item_id AS a, y.item_id AS b, round(1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)), 6) AS similarity FROM b x JOIN b y ON x.item_id < y.item_id""")
+#: Distances count code points, but DuckDB's count bytes: its twins first put a control character in place of each other character.
+_CONTROLS = " || ".join(f"chr({i})" for i in range(1, 32) if i not in (9, 10, 13))
+_CHARS = """chars AS (SELECT coalesce(string_agg(DISTINCT c, '' ORDER BY c), '') AS cs FROM (
+  SELECT unnest(string_split(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'), '')) AS c FROM {}) WHERE c <> '')"""
+_PLAIN = f"translate({{}}, cs, left({_CONTROLS}, length(cs)))"
+
+
+@R.add(f"""WITH {_CHARS.format('benchmark')}, b AS (SELECT item_id, {_PLAIN.format('text')} AS t FROM benchmark, chars)
+SELECT x.item_id AS a, y.item_id AS b, round(1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)), 6) AS similarity FROM b x JOIN b y ON x.item_id % 50 = 0 AND x.item_id <> y.item_id""")
 def levenshtein_similarity(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("t"))
-    x, y = b.select(F.col("item_id").alias("a"), F.col("t").alias("ta")), b.select(F.col("item_id").alias("b"), F.col("t").alias("tb"))
-    return x.join(y, F.col("a") < F.col("b")).select("a", "b", F.round(T.edit_similarity(F.col("ta"), F.col("tb")), 6).alias("similarity"))
+    """The items whose id is divisible by 50 against all items, in blocks."""
+    blocks = 16
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    asked = b.where("item_id % 50 = 0").select(F.col("item_id").alias("a"), F.col("text").alias("ta"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    items = b.select(F.col("item_id").alias("b"), F.col("text").alias("tb"), F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int").alias("block"))
+    return asked.join(items, "block").where("a <> b").select("a", "b", F.round(T.edit_similarity(F.col("ta"), F.col("tb")), 6).alias("similarity"))
 
 
 _NORM = "array_to_string(list_filter(list_transform(string_split({0}, chr(10)), lambda s: trim(s, ' ')), lambda s: s <> '' AND NOT starts_with(s, '//') AND NOT starts_with(s, '#')), chr(10))"
@@ -132,18 +143,20 @@ def normalize_code(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(T.normalize_code(F.col("text"))).alias("digest"))
 
 
-@R.add("""WITH c AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '[^ -~]', '', 'g')) AS ls FROM documents),
-w AS (SELECT doc_id, ls, unnest(range(1, len(ls)))::INT AS s FROM c WHERE len(ls) > 1),
-win AS (SELECT doc_id, s AS start_line, left(trim(ls[s]), 60) || chr(10) || left(trim(ls[s + 1]), 60) AS code FROM w WHERE doc_id % 20 = 0),
-n AS (SELECT doc_id, start_line, """ + _NORM.format("code") + """ AS code FROM win),
-b AS (SELECT DISTINCT doc_id AS block_id, code FROM n WHERE start_line = 1)
-SELECT block_id, doc_id::VARCHAR AS file_path, start_line, round(CASE WHEN greatest(length(b.code), length(n.code)) = 0 THEN 1 ELSE 1 - levenshtein(b.code, n.code) / greatest(length(b.code), length(n.code)) END, 6) AS similarity
-FROM b JOIN n ON greatest(length(b.code), length(n.code)) = 0 OR 1 - levenshtein(b.code, n.code) / greatest(length(b.code), length(n.code)) >= 0.5""")
+@R.add(f"""WITH {_CHARS.format('documents')}, c AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+w AS (SELECT doc_id, start_line, ls[start_line] || chr(10) || ls[start_line + 1] AS code FROM (SELECT doc_id, ls, unnest(range(1, len(ls)))::INT AS start_line FROM c WHERE len(ls) > 1)),
+n AS (SELECT doc_id, start_line, {_PLAIN.format(_NORM.format('code'))} AS code FROM w, chars),
+b AS (SELECT doc_id AS block_id, code FROM n WHERE start_line = 1 AND doc_id % 50 = 0),
+p AS (SELECT block_id, doc_id, start_line, b.code AS l, n.code AS r, greatest(length(b.code), length(n.code)) AS longest FROM b JOIN n ON abs(length(b.code) - length(n.code)) <= 0.5 * greatest(length(b.code), length(n.code)))
+SELECT block_id, doc_id::VARCHAR AS file_path, start_line, round(similarity, 6) AS similarity FROM (
+  SELECT *, CASE WHEN longest = 0 THEN 1.0::DOUBLE ELSE 1 - levenshtein(l, r) / longest END AS similarity FROM p) WHERE similarity >= 0.5""")
 def similar_code_windows(spark, sf_dir):
-    clean = docs(spark, sf_dir).where("doc_id % 20 = 0").select("doc_id", F.transform(F.split("text", "\n"), lambda s: F.substring(F.trim(F.regexp_replace(s, "[^ -~]", "")), 1, 60)).alias("ls"))
-    rows = clean.select(F.col("doc_id").alias("id"), F.posexplode("ls").alias("n", "content")).select("id", (F.col("n") + 1).alias("line"), "content")
-    windows = snippets.sliding_windows(rows, 2).select(F.col("id").cast("string").alias("file_path"), "start_line", "end_line", F.lit(2).alias("n_lines"), F.col("block").alias("code"))
-    blocks = windows.where("start_line = 1").select(F.col("file_path").cast("long").alias("block_id"), "n_lines", "code")
+    """The opening two lines of the documents whose id is divisible by 50 as blocks, against every two lines of all documents."""
+    lines = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.split("text", "\n").alias("ls"))
+    starts = lines.where(F.size("ls") >= 2).select("id", "ls", F.explode(F.sequence(F.lit(1), F.size("ls") - 1)).alias("start_line"))
+    code = F.concat_ws("\n", F.element_at("ls", F.col("start_line")), F.element_at("ls", F.col("start_line") + 1))
+    windows = starts.select(F.col("id").cast("string").alias("file_path"), "start_line", (F.col("start_line") + 1).alias("end_line"), F.lit(2).alias("n_lines"), code.alias("code"))
+    blocks = lines.where((F.size("ls") >= 2) & (F.col("id") % 50 == 0)).select(F.col("id").alias("block_id"), F.lit(2).alias("n_lines"), F.concat_ws("\n", F.slice("ls", 1, 2)).alias("code"))
     return linking.similar_code(blocks, windows).select("block_id", "file_path", "start_line", F.round("similarity", 6).alias("similarity"))
 
 
@@ -389,3 +402,67 @@ r AS (SELECT path, list_filter(ls, lambda x: starts_with(trim(x), '#'))[1] AS he
 SELECT path, trim(ltrim(trim(head), '#')) AS title, CASE WHEN length(rest) > 100 THEN left(rest, 100) || '...' ELSE rest END AS snippet FROM r""")
 def title_and_snippet(spark, sf_dir):
     return snippets.title_and_snippet(fixtures.files(spark).where("language = 'markdown'"))
+
+
+# --- parsers over a generated corpus: a file for each document
+
+
+@R.add(f"""WITH {fixtures.CORPUS_SQL}, m AS (SELECT *, unnest(range(0, k))::INT AS j FROM c WHERE kind = 1)
+SELECT path, 'C' || i AS name, 'class' AS type, 1 AS line_start, k + 2 AS line_end, true AS exported, k AS members FROM c WHERE kind = 0
+UNION ALL SELECT path, 'f' || i, 'function', k + 3, k + 3, true, 0 FROM c WHERE kind = 0
+UNION ALL SELECT path, 'LIMIT' || i, 'constant', k + 4, k + 4, false, 0 FROM c WHERE kind = 0
+UNION ALL SELECT path, 'LIMIT_' || i, 'constant', 1, 1, true, 0 FROM c WHERE kind = 1
+UNION ALL SELECT path, 'C' || i, 'class', 4, 4 + greatest(1, 2 * k), true, k FROM c WHERE kind = 1
+UNION ALL SELECT path, 'm' || j, 'function', 5 + 2 * j, 6 + 2 * j, true, 0 FROM m
+UNION ALL SELECT path, 'f' || i, 'function', 7 + greatest(1, 2 * k), 8 + greatest(1, 2 * k), true, 0 FROM c WHERE kind = 1
+UNION ALL SELECT path, 'S' || i, 'class', 3, 4 + k, true, 0 FROM c WHERE kind = 2
+UNION ALL SELECT path, 'M', 'method', 6 + k, 6 + k, true, 0 FROM c WHERE kind = 2
+UNION ALL SELECT path, 'f' || i, 'function', 8 + k, 8 + k, false, 0 FROM c WHERE kind = 2""")
+def corpus_symbols(spark, sf_dir):
+    found = parsers.symbols(fixtures.corpus(spark, sf_dir))
+    return found.select("path", "name", "type", "line_start", "line_end", "exported", F.size("members").alias("members"))
+
+
+@R.add(f"WITH {fixtures.CORPUS_SQL} SELECT path, 'line' AS type, k + 5 AS line, 'TODO' AS marker, 'TODO: t' || i AS content FROM c WHERE kind = 0")
+def corpus_comments(spark, sf_dir):
+    return parsers.comments(fixtures.corpus(spark, sf_dir)).select("path", "type", "line", "marker", F.trim("content").alias("content"))
+
+
+@R.add(f"""WITH {fixtures.CORPUS_SQL}, n AS (
+SELECT path, 'program' AS type, 1 AS n FROM c WHERE kind <> 1 UNION ALL SELECT path, 'block', CASE kind WHEN 0 THEN k + 2 ELSE 3 END FROM c WHERE kind <> 1
+UNION ALL SELECT path, 'group', CASE kind WHEN 0 THEN k + 1 ELSE 3 END FROM c WHERE kind <> 1 UNION ALL SELECT path, 'comment', 1 FROM c WHERE kind = 0
+UNION ALL SELECT path, 'class_def', 1 FROM c WHERE kind = 1 UNION ALL SELECT path, 'function_def', k + 1 FROM c WHERE kind = 1)
+SELECT path, type, n::BIGINT AS n FROM n""")
+def ast_node_types(spark, sf_dir):
+    tree = nodes.nodes(fixtures.corpus(spark, sf_dir))
+    return nodes.of_types(tree, ["program", "block", "group", "comment", "class_def", "function_def"]).groupBy("path", "type").agg(F.count("*").alias("n"))
+
+
+@R.add(f"""WITH {fixtures.CORPUS_SQL} SELECT path, 'block' AS type, '{{ return x; }}' AS text FROM c WHERE kind = 0
+UNION ALL SELECT path, 'block', '{{}}' FROM c WHERE kind = 2 UNION ALL SELECT path, 'name', 'x' FROM c WHERE kind = 1""")
+def ast_node_at_position(spark, sf_dir):
+    files = fixtures.corpus(spark, sf_dir)
+    lines = F.split("content", "\n")
+    back = F.when(F.col("language") == "typescript", 3).when(F.col("language") == "python", 1).otherwise(1)  # how far from the line's end
+    row = F.size(lines) - F.when(F.col("language") == "typescript", 4).otherwise(2)
+    places = files.select("path", row.alias("row"), (F.char_length(F.element_at(lines, row + 1)) - back).alias("col"))
+    tree = nodes.nodes(files)
+    found = nodes.at_positions(tree, places).join(tree, ["path", "node_id", "type"]).join(files.select("path", "content"), "path")
+    return found.select("path", "type", nodes.text(F.col("content")).alias("text"))
+
+
+@R.add(f"""WITH {fixtures.CORPUS_SQL} SELECT path, 0::BIGINT AS errors, CASE kind WHEN 0 THEN CASE WHEN k > 0 THEN 2 ELSE 1 END ELSE 1 END AS depth FROM c WHERE kind <> 1""")
+def ast_depths(spark, sf_dir):
+    """How deep brackets nest, and that nothing is in error."""
+    tree = nodes.traverse(nodes.nodes(fixtures.corpus(spark, sf_dir)).where("path NOT LIKE '%.py'"), max_depth=5)
+    return tree.groupBy("path").agg(F.count_if(F.col("type") == nodes.ERROR).alias("errors"), F.max("depth").alias("depth"))
+
+
+@R.add(f"""WITH {fixtures.CORPUS_SQL}, e AS (SELECT path, CASE WHEN i % 2 = 0 THEN 'tail' END AS cut FROM c WHERE kind <> 1)
+SELECT path, (cut IS NOT NULL) AS tree_error, CASE WHEN cut IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS errors FROM e""")
+def ast_error_nodes(spark, sf_dir):
+    """Every other file gets a bracket that is never closed."""
+    files = fixtures.corpus(spark, sf_dir).where("language <> 'python'")
+    even = F.regexp_extract("path", "([0-9]+)", 1).cast("long") % 2 == 0
+    tree = nodes.nodes(files.withColumn("content", F.when(even, F.concat("content", F.lit("func broken( {\n}"))).otherwise(F.col("content"))))
+    return tree.groupBy("path").agg(F.max("tree_error").alias("tree_error"), F.count_if(F.col("type") == nodes.ERROR).alias("errors"))

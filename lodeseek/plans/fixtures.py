@@ -110,3 +110,35 @@ def files(spark: SparkSession) -> DataFrame:
 
 def scan_paths(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p,) for p in SCAN_PATHS], "path string")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, language, content): a source file for each document, whose symbols follow from its id (see CORPUS_SQL): a class
+    with id % 5 members, functions, a constant and a comment, in TypeScript, Python or Go by id % 3."""
+    from pyspark.sql import functions as F
+
+    from lodeseek.session import table
+
+    docs = table(spark, sf_dir, "documents").select("doc_id").withColumn("k", (F.col("doc_id") % 5).cast("int"))
+    i, parts = F.col("doc_id").cast("string"), F.when(F.col("k") > 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array().cast("array<int>"))
+    each = lambda form: F.array_join(F.transform(parts, lambda m: F.format_string(form, m)), "")
+    ts = F.concat(
+        F.lit("export class C"), i, F.lit(" extends B {\n"), each("  m%d(a: number): number { return a; }\n"), F.lit("}\nexport function f"), i,
+        F.lit("(x: string, y?: number): string { return x; }\nconst LIMIT"), i, F.lit(" = 1;\n// TODO: t"), i, F.lit("\n"),
+    )
+    py = F.concat(
+        F.lit("LIMIT_"), i, F.lit(" = 1\n\n\nclass C"), i, F.lit("(B):\n"), F.when(F.col("k") == 0, "    pass\n").otherwise(each("    def m%d(self, a: int) -> int:\n        return a\n")),
+        F.lit("\n\ndef f"), i, F.lit("(x: str, y: int = 1) -> str:\n    return x\n"),
+    )
+    go = F.concat(
+        F.lit("package p\n\ntype S"), i, F.lit(" struct {\n"), each("\tF%d int\n"), F.lit("}\n\nfunc (s S"), i, F.lit(") M(a int) int { return a }\n\nfunc f"), i, F.lit("() {}\n")
+    )
+    kind = F.col("doc_id") % 3
+    return docs.select(
+        F.concat(F.lit("/w/"), i, F.when(kind == 0, ".ts").when(kind == 1, ".py").otherwise(".go")).alias("path"),
+        F.when(kind == 0, "typescript").when(kind == 1, "python").otherwise("go").alias("language"),
+        F.when(kind == 0, ts).when(kind == 1, py).otherwise(go).alias("content"),
+    )
+
+
+CORPUS_SQL = """c AS (SELECT doc_id AS i, (doc_id % 5)::INT AS k, doc_id % 3 AS kind, '/w/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' ELSE '.go' END AS path FROM documents)"""

@@ -53,9 +53,44 @@ def test_suffix_links_are_equi_joins(spark):
     assert "CartesianProduct" not in text and linking.path_links(refs, files).count() == 1
 
 
-def test_edit_similarity_compares_every_pair_of_items(spark, tmp_path):
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edit_similarity_compares_query_items_with_all(spark, tmp_path):
     from lodeseek.plans.code_queries import levenshtein_similarity
 
-    spark.range(45).select(F.col("id").alias("item_id"), F.concat(F.lit("item "), F.col("id").cast("string")).alias("text")).write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {(r.a, r.b) for r in levenshtein_similarity(spark, str(tmp_path)).collect()}
-    assert got == {(a, b) for a in range(45) for b in range(a + 1, 45)}
+    texts = {i: f"ítem {i} über {'x' * (i % 7)}" for i in range(120)}
+    spark.createDataFrame(list(texts.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.a, r.b): r.similarity for r in levenshtein_similarity(spark, str(tmp_path)).collect()}
+    assert got.keys() == {(a, b) for a in (0, 50, 100) for b in range(120) if a != b}
+    assert all(abs(s - (1 - edits(texts[a], texts[b]) / max(len(texts[a]), len(texts[b])))) < 1e-6 for (a, b), s in got.items())
+
+
+def test_similar_windows_match_brute_force(spark, tmp_path):
+    import random
+
+    from lodeseek.plans.code_queries import similar_code_windows
+
+    rng = random.Random(1)
+    line = lambda: rng.choice(["", "// note", "  x = é + 1", "y = a" * rng.randint(1, 6), "".join(rng.choices("ab =é", k=rng.randint(0, 40)))])
+    texts = {i: "\n".join(line() for _ in range(rng.randint(1, 6))) for i in range(160)}
+    spark.createDataFrame([(i, t, "s", "en", len(t)) for i, t in texts.items()], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    norm = lambda ls: "\n".join(x for x in (s.strip(" ") for s in ls) if x and not x.startswith(("//", "#")))
+    windows = [(i, n + 1, norm(t.split("\n")[n : n + 2])) for i, t in texts.items() for n in range(len(t.split("\n")) - 1)]
+    want = {}
+    for block, start, code in windows:
+        if start == 1 and block % 50 == 0:
+            for i, n, other in windows:
+                longest = max(len(code), len(other))
+                score = 1.0 if not longest else 1 - edits(code, other) / longest
+                if score >= 0.5:
+                    want[(block, str(i), n)] = round(score, 6)
+    got = {(r.block_id, r.file_path, r.start_line): r.similarity for r in similar_code_windows(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want) and len(want) > 20
