@@ -73,9 +73,30 @@ def test_edit_similarity_compares_query_items_with_all(spark, tmp_path):
     assert all(abs(s - (1 - edits(texts[a], texts[b]) / max(len(texts[a]), len(texts[b])))) < 1e-6 for (a, b), s in got.items())
 
 
-def test_similar_windows_match_brute_force(spark, tmp_path):
+def test_distances_by_columns_match_the_plain_table():
     import random
 
+    import numpy as np
+
+    from lodeseek.functions.editing import Texts, distances
+
+    rng = random.Random(8)
+    texts = ["", "a", "x" * 200] + ["".join(rng.choices("abcé😀", k=rng.choice((1, 5, 63, 64, 65, 130)))) for _ in range(40)]
+    found = Texts(texts)
+    for pattern in ["", "zzz", *texts[1:12]]:
+        got = distances(pattern, found, 0, len(texts))
+        assert got.tolist() == [edits(pattern, texts[i]) for i in found.order]
+    lo, hi = found.between(5, 65)
+    assert sorted(len(texts[i]) for i in found.order[lo:hi]) == sorted(len(t) for t in texts if 5 <= len(t) <= 65)
+    assert np.array_equal(distances("ab", found, lo, hi), distances("ab", found, 0, len(texts))[lo:hi])
+
+
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_similar_windows_match_brute_force(spark, tmp_path, monkeypatch, most):
+    import random
+
+    monkeypatch.setattr(linking, "MAX_BLOCKS", most)
+
     from lodeseek.plans.code_queries import similar_code_windows
 
     rng = random.Random(1)
