@@ -10,7 +10,7 @@ from lodeseek.parse import nodes
 from lodeseek.parse import tables as parsers
 from lodeseek.plans import fixtures
 from lodeseek.plans.registry import Registry
-from lodeseek.session import table
+from lodeseek.session import spread, table
 from lodeseek.sources import ignore, languages
 
 R = Registry()
@@ -26,7 +26,7 @@ def values(rows, names: str) -> str:
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 @R.add(f"WITH {_LINES} SELECT id, sha256(array_to_string(ls[greatest(1, 3 - 3):least(len(ls), 4 + 3)], chr(10))) AS digest FROM l WHERE len(ls) >= 2")
