@@ -282,7 +282,9 @@ class Engine:
         by_path, by_symbol, by_code = self._evidence(docs, code)
         n = code.count()
         best = linking.related_documents(linking.related_scores(by_path, by_symbol, by_code), max(1, n), args["topK"])
-        matched = linking.matched_references(by_path, by_symbol, by_code).groupBy("doc_path").agg(F.array_sort(F.collect_list(F.struct("kind", "reference", "score"))).alias("matches"))
+        # Only the few best documents' matches are gathered.
+        matches = linking.matched_references(by_path, by_symbol, by_code).join(best.select("doc_path"), "doc_path", "left_semi")
+        matched = matches.groupBy("doc_path").agg(F.array_sort(F.collect_list(F.struct("kind", "reference", "score"))).alias("matches"))
         about = snippets.title_and_snippet(docs.withColumnRenamed("file_path", "path"))
         rows = best.join(matched, "doc_path").join(about.withColumnRenamed("path", "doc_path"), "doc_path").orderBy(F.desc("relevance"), "doc_path").collect()
         return {"documents": [r.asDict(recursive=True) for r in rows], "totalResults": len(rows)}

@@ -76,7 +76,8 @@ def materialize(df: DataFrame, label: str = "step", free_shuffles: bool = False)
     if free_shuffles:
         spark.conf.set(_CLEANUP_KEY, "true")
     try:
-        df.write.parquet(path)
+        # Snappy works in direct buffers that only a heap collection frees, so many small tasks fill memory; zstd does not.
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         if free_shuffles:
             spark.conf.unset(_CLEANUP_KEY) if before is None else spark.conf.set(_CLEANUP_KEY, before)
