@@ -209,7 +209,8 @@ def pack(
     schema = "uid long, id long, start long, length long, crc long, doc_tokens long, sequence long, offset long"
     placed = materialize(ranked.select("uid", "id", "start", "length", "crc", "doc_tokens", "rank").mapInArrow(place, schema), "packing")
     over = F.col("offset") + F.col("length") > window
-    cut = placed.where(over).join(pieces.select("uid", "start", "ids"), ["uid", "start"])
+    # Few rests are cut: they are written first, so that Spark knows their size before it decides whether ids must move.
+    cut = materialize(placed.where(over), "packing").join(pieces.select("uid", "start", "ids"), ["uid", "start"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
