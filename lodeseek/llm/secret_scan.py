@@ -2,8 +2,8 @@
 
 Base kinds are patterns: ``assign`` (a keyword, ``:`` or ``=``, a value of six characters or more),
 ``access`` (AKIA key ids) and ``hex`` (runs of 24 or more). The structural kinds report a base64 or hex
-candidate only after it was decoded and parsed: ``pem`` (armoured blocks whose body is DER or an OpenSSH
-key), ``jwt`` (three parts whose header is JSON with an ``alg``), ``ssh`` (OpenSSH private keys and wire
+candidate only after it was decoded and parsed: ``pem`` (armoured blocks whose body is DER, an OpenSSH
+key, or cipher blocks under headers that say so), ``jwt`` (three parts whose header is JSON with an ``alg``), ``ssh`` (OpenSSH private keys and wire
 format public keys, every length field checked) and ``der`` (an ASN.1 sequence whose nested lengths fill
 the bytes exactly, with integers, identifiers or key octets inside, as PKCS#1, PKCS#8, SEC1 and X.509 have).
 
@@ -33,7 +33,8 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----\s*((?:[A-Za-z][A-Za-z0-9-]*: [^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+ENCRYPTED = re.compile(r"Proc-Type: 4,ENCRYPTED\s+DEK-Info: ([A-Z0-9]+(?:-[A-Z0-9]+)*),[0-9A-Fa-f]{8,}\s")
 JWT = re.compile(r"\be[yw][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_ANY = re.compile(r"[0-9A-Fa-f]{80,}")
@@ -84,12 +85,29 @@ def der_tags(data: bytes, at: int, end: int, depth: int = 0) -> list[int] | None
 
 
 def is_der_key(data: bytes) -> bool:
-    """An outer SEQUENCE that fills the data, holding at least three elements, among them numbers, identifiers or key bytes."""
+    """An outer SEQUENCE that fills the data, holding at least three elements, among them numbers, identifiers or key bytes.
+    Signed public structures (certificates, requests, revocation lists: two sequences and a bit string) are no secrets."""
     node = der_node(data, 0)
     if node is None or node[0] != 0x30 or node[2] != len(data):
         return False
     tags = der_tags(data, node[1], node[2])
-    return tags is not None and len(tags) >= 3 and any(t in (0x02, 0x03, 0x04, 0x06) for t in tags)
+    if tags is None or len(tags) < 3 or not any(t in (0x02, 0x03, 0x04, 0x06) for t in tags):
+        return False
+    outer, at = [], node[1]
+    while at < node[2]:
+        tag, _, at = der_node(data, at)
+        outer.append(tag)
+    return outer != [0x30, 0x30, 0x03]
+
+
+def is_pem_secret(headers: str, body: str) -> bool:
+    """The armoured body is a key in DER or OpenSSH's format, or its headers say how it is encrypted and it is whole cipher blocks."""
+    data = unbase64(re.sub(r"\s", "", body))
+    if not data:
+        return False
+    if ENCRYPTED.search(headers + "\n"):
+        return len(data) % 8 == 0
+    return is_der_key(data) or is_ssh_key(data)
 
 
 def is_ssh_key(data: bytes) -> bool:
@@ -113,10 +131,11 @@ def is_ssh_key(data: bytes) -> bool:
 
 
 def is_jwt(text: str) -> bool:
+    """The first part is a JSON object with an algorithm. A header nested deeper than the parser goes is no token's."""
     header = unbase64(text.split(".")[0])
     try:
         return header is not None and isinstance(parsed := json.loads(header), dict) and isinstance(parsed.get("alg"), str)
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
 
 
@@ -126,21 +145,20 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
     lower = text.lower()
     if any(k in lower for k in KEYWORDS):
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_ASSIGN]
+    structural: list[tuple[int, int, int]] = []
+    if "-----BEGIN " in text:
+        structural += [(m.start(), 3, m.end()) for m in PEM.finditer(text) if is_pem_secret(m[2], m[3])]
     if max(map(len, text.split()), default=0) >= MIN_STRETCH:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
         out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-        taken: list[tuple[int, int]] = []
-        structural: list[tuple[int, int, int]] = []
-        for m in PEM.finditer(text) if "-----BEGIN " in text else ():
-            data = unbase64(re.sub(r"\s", "", m[2]))
-            if data and (is_der_key(data) or is_ssh_key(data)):
-                structural.append((m.start(), 3, m.end()))
-        for m in JWT.finditer(text):
-            if is_jwt(m[0]):
-                structural.append((m.start(), 4, m.end()))
-        taken = [(a, b) for a, _, b in structural]
+        structural += [(m.start(), 4, m.end()) for m in JWT.finditer(text) if is_jwt(m[0])]
+        taken = sorted((a, b) for a, _, b in structural)
+        at = reach = 0
         for m in BASE64.finditer(text):
-            if any(a <= m.start() < b for a, b in taken):
+            while at < len(taken) and taken[at][0] <= m.start():
+                reach = max(reach, taken[at][1])
+                at += 1
+            if m.start() < reach:
                 continue
             data = unbase64(m[0])
             if data and is_ssh_key(data):
@@ -151,8 +169,7 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
             data = bytes.fromhex(m[0]) if len(m[0]) % 2 == 0 else b""
             if data and (is_der_key(data) or is_ssh_key(data)):
                 structural.append((m.start(), 5 if is_ssh_key(data) else 6, m.end()))
-        out += structural
-    return sorted(set(out))
+    return sorted(set(out + structural))
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -172,11 +189,13 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[secret]")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, counts map by kind as n_<kind> columns, base_sha256, spans, redacted) for each row of docs.
+    """(id, n_<kind> of the base kinds, base_sha256, spans, n_<kind> of the structural kinds, redacted) for each row of docs.
 
     redacted is the text with every span replaced, null where nothing was found. Null and empty texts have no
-    span; repeated rows return a row each; an empty table returns none. Other columns of docs are not read."""
-    names = ", ".join(f"n_{k} long" for k in KINDS)
+    span; repeated rows return a row each; an empty table returns none. Spans that start together are listed in order of
+    kinds; a structure inside an armoured block or a token is not listed again. Very long texts are searched whole, in
+    time that grows with their length. Other columns of docs, whatever their names, are not read."""
+    counts = lambda kinds: ", ".join(f"n_{k} long" for k in kinds)
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = ["" if t is None else t for t in batch.column("_t").to_pylist()]
@@ -190,7 +209,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return out
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t"))
-    return map_batches(rows, run, f"id long, {names}, base_sha256 string, spans string, redacted string")
+    return map_batches(
+        rows, run, f"id long, {counts(BASE_KINDS)}, base_sha256 string, spans string, {counts(KINDS[len(BASE_KINDS) :])}, redacted string"
+    )
 
 
 def redacted_column(docs: DataFrame) -> Callable[[Column], Column]:

@@ -75,3 +75,32 @@ def test_table(spark, rng, oddities):
     column = S.redacted_column(docs)
     assert [r.t for r in docs.orderBy("doc_id").select(column(docs["text"]).alias("t")).collect()] == [got[i].redacted or t for i, t in enumerate(texts)]
     assert S.scan(docs.limit(0)).count() == 0
+
+
+CERTIFICATE = bytes([0x30, 0x34, 0x30, 0x0A, 0x02, 0x01, 0x05, 0x30, 0x05, 0x06, 0x03, 0x2B, 0x65, 0x70, 0x30, 0x05, 0x06, 0x03, 0x2B, 0x65, 0x70, 0x03, 0x1F, 0x00]) + bytes(range(30))
+
+
+def test_certificates_are_no_secrets():
+    assert S.der_tags(CERTIFICATE, 0, len(CERTIFICATE))
+    for text in (b64(CERTIFICATE), CERTIFICATE.hex(), f"-----BEGIN CERTIFICATE-----\n{b64(CERTIFICATE)}\n-----END CERTIFICATE-----"):
+        assert not [x for x in S.find_spans(f"see {text} there") if x[1] >= 3]
+
+
+def test_encrypted_and_narrow_blocks():
+    body = b64(bytes(range(64)))
+    head = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    sealed = f"{head}{body}\n-----END RSA PRIVATE KEY-----"
+    assert S.listed(S.find_spans("x " + sealed)) == f"pem:2:{2 + len(sealed)}"
+    assert not S.find_spans(sealed.replace("4,ENCRYPTED", "4,CLEAR"))
+    narrow = "\n".join(b64(DER)[i : i + 8] for i in range(0, len(b64(DER)), 8))
+    text = f"-----BEGIN KEY-----\n{narrow}\n-----END KEY-----"
+    assert S.listed(S.find_spans(text)) == f"pem:0:{len(text)}"
+
+
+def test_nesting_and_many_tokens_are_survived():
+    deep = base64.b64encode(b'{"a":' + b"[" * 20_000).decode().rstrip("=")
+    assert not S.is_jwt(deep + ".abcd.sig")
+    assert not [x for x in S.find_spans(deep + ".abcd.sig") if x[1] == 4]
+    began = __import__("time").time()
+    assert len(S.find_spans(" ".join([JWT] * 20_000))) == 20_000
+    assert __import__("time").time() - began < 20
