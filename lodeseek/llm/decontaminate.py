@@ -9,14 +9,16 @@ punctuation and space part them), each hashed to 64 bits, whose bits drive the w
 A walk starts at *every* word of every document, so every item-sized window is embedded, whole texts
 included. It likewise starts at every word of every benchmark item from which it ends inside the item.
 Each repetition samples the outputs at a few steps of its walk into a key. A window whose key equals an
-item's key proposes an alignment, which Myers' bit-parallel algorithm checks exactly: the item against
+item's key proposes an alignment. Where a window is proposed for many items (they share a passage, such as the
+words of a prompt), the items' words are first looked up in the window, all at once: at most as many may lack as edits
+are allowed. Myers' bit-parallel algorithm then checks exactly: the item against
 the best matching span near it. A span within ``max_edit_share`` of the item's words is reported.
 
 A walk of fixed length fits items of some length. Items of under ``exact_below_words`` words have other keys: with at
 most k words edited, one of k + 1 pieces of the item is whole, so the first words of each piece are a key, and
 every window starts a run of as many words. That finds all spans within ``max_edit_share``, whatever the edits.
 
-The benchmark is broadcast as key arrays, after its size was checked (``max_items``). Nothing else is
+The benchmark is broadcast as key arrays, after its size was checked (``max_items``, ``max_item_bytes``). Nothing else is
 gathered: documents are read once, in blocks, with no shuffle before the few hits.
 """
 
@@ -46,9 +48,10 @@ class Settings:
     samples: int = 6
     keys_per_walk: int = 2
     max_edit_share: float = 0.2
-    min_item_words: int = 5
+    min_item_words: int = 1
     exact_below_words: int = 30
     max_items: int = 200_000
+    max_item_bytes: int = 256 << 20
     block_words: int = 49_152
     filter_bits: int = 21
 
@@ -135,6 +138,8 @@ class Items:
 
     ids: list[int]
     words: list[list[bytes]]
+    symbols: np.ndarray
+    first: np.ndarray  # of each item, among the symbols
     keys: np.ndarray
     item: np.ndarray
     offset: np.ndarray
@@ -144,7 +149,7 @@ class Items:
 
 
 def build_items(rows: list[tuple[int, str | None]], s: Settings) -> Items:
-    ids, words, keys, item, offset = [], [], [], [], []
+    ids, words, keys, item, offset, flat = [], [], [], [], [], []
     walked, runs = False, set()
     for item_id, text in rows:
         parts = words_of((text or "").encode())
@@ -170,12 +175,14 @@ def build_items(rows: list[tuple[int, str | None]], s: Settings) -> Items:
             offset.append(good)
         ids.append(int(item_id))
         words.append(parts)
+        flat.append(symbols[:n])
     all_keys = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
     order = np.argsort(all_keys, kind="stable")
     bloom = np.zeros(1 << s.filter_bits, dtype=bool)
     bloom[all_keys >> np.uint64(64 - s.filter_bits)] = True
     cat = lambda parts: np.concatenate(parts)[order] if parts else np.zeros(0, dtype=np.int64)
-    return Items(ids, words, all_keys[order], cat(item), cat(offset), bloom, walked, sorted(runs))
+    first = np.cumsum([0, *map(len, words)])
+    return Items(ids, words, np.concatenate([*flat, np.zeros(0, np.uint64)]), first, all_keys[order], cat(item), cat(offset), bloom, walked, sorted(runs))
 
 
 def best_span(pattern: list[bytes], text: list[bytes]) -> tuple[int, int]:
@@ -206,10 +213,25 @@ def best_span(pattern: list[bytes], text: list[bytes]) -> tuple[int, int]:
     return best, end
 
 
+#: From so many candidates at one place of a document, items' words are looked up first.
+MANY = 16
+
+
+def likely(items: Items, candidates: np.ndarray, window: np.ndarray, s: Settings) -> np.ndarray:
+    """Which candidate items have in the window (symbols) all but as many words as may be edited: each edit takes one word at most."""
+    first = items.first[candidates]
+    n = items.first[candidates + 1] - first
+    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    there = np.isin(items.symbols[at], window).astype(np.int64)
+    return np.add.reduceat(there, np.cumsum(n) - n) >= n - (s.max_edit_share * n).astype(np.int64)
+
+
 def scan(texts: list[bytes], items: Items, s: Settings) -> list[tuple[int, int, int, int, int]]:
-    """(text number, item number, edits, first word, end word): the best span of each text and item, whole texts."""
+    """(text number, item number, edits, first word, end word): the best span of each text and item, whole texts.
+    Of spans with equally few edits the first counts."""
     parts = [words_of(t) for t in texts]
-    hits: set[tuple[int, int, int]] = set()
+    hits: list[np.ndarray] = []
+    longest = int((items.first[1:] - items.first[:-1]).max()) if items.ids else 0
     at = 0
     while at < len(parts):
         # A block of whole documents; a document longer than a block is one block of its own.
@@ -225,41 +247,55 @@ def scan(texts: list[bytes], items: Items, s: Settings) -> list[tuple[int, int,
             starts[i - at + 1] = len(flat)
         symbols = symbols_of(flat)
         symbols[starts[1:] - 1] = 0
+        found: list[np.ndarray] = []  # rows of (document, place in the block, item) with the place where the item would start
         for key in document_keys(symbols, items, s):
             maybe = np.flatnonzero(items.bloom[key >> np.uint64(64 - s.filter_bits)])
             low = np.searchsorted(items.keys, key[maybe], "left")
-            high = np.searchsorted(items.keys, key[maybe], "right")
-            for p, lo, hi in zip(maybe[high > low], low[high > low], high[high > low]):
-                doc = int(np.searchsorted(starts, p, "right")) - 1
-                for q in range(lo, hi):
-                    hits.add((at + doc, int(items.item[q]), int(p - starts[doc] - items.offset[q])))
+            n_hit = np.searchsorted(items.keys, key[maybe], "right") - low
+            maybe, low, n_hit = maybe[n_hit > 0], low[n_hit > 0], n_hit[n_hit > 0]
+            if len(maybe):
+                q = np.repeat(low - (np.cumsum(n_hit) - n_hit), n_hit) + np.arange(n_hit.sum())
+                place = np.repeat(maybe, n_hit) - items.offset[q]
+                doc = np.repeat(np.searchsorted(starts, maybe, "right") - 1, n_hit)
+                found.append(np.unique(np.stack([doc, place, items.item[q]]), axis=1))
+        if found:
+            doc, place, item = np.unique(np.concatenate(found, axis=1), axis=1)
+            group = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])]))
+            keep = np.ones(len(doc), dtype=bool)
+            for lo, hi in zip(group, np.append(group[1:], len(doc))):
+                if hi - lo > MANY:
+                    slack = int(s.max_edit_share * longest) + 2
+                    window = symbols[max(starts[doc[lo]], place[lo] - slack) : max(0, min(starts[doc[lo] + 1], place[lo] + longest + slack))]
+                    keep[lo:hi] = likely(items, item[lo:hi], window, s)
+            hits.append(np.stack([doc + at, item, place - starts[doc]])[:, keep])
         at = end
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    done: dict[tuple[int, int], list[int]] = {}
-    for doc, item, start in sorted(hits):
+    last: tuple[int, int, int] = (-1, -1, 0)
+    for doc, item, start in np.unique(np.concatenate(hits, axis=1), axis=1).T.tolist() if hits else ():
         pattern = items.words[item]
         slack = int(s.max_edit_share * len(pattern))
-        seen = done.setdefault((doc, item), [])
-        if seen and start - seen[-1] <= 1:
+        if last[:2] == (doc, item) and start - last[2] <= 1:
             continue  # sorted: the span from the start before covers this one
-        seen.append(start)
+        last = (doc, item, start)
         lo = max(0, start - slack)
         span = parts[doc][lo : max(0, start) + len(pattern) + slack + 2]
         edits, stop = best_span(pattern, span)
         if edits <= slack:
             back, length = best_span(pattern[::-1], span[:stop][::-1])
-            found = (edits, lo + stop - length, lo + stop)
-            if (doc, item) not in best or found < best[(doc, item)]:
-                best[(doc, item)] = found
-    return [(doc, item, *found) for (doc, item), found in sorted(best.items())]
+            found_span = (edits, lo + stop - length, lo + stop)
+            if (doc, item) not in best or found_span < best[(doc, item)]:
+                best[(doc, item)] = found_span
+    return [(doc, item, *found_span) for (doc, item), found_span in sorted(best.items())]
 
 
 def shared_items(benchmark: DataFrame, s: Settings, item_col: str, item_text_col: str) -> Broadcast:
     """The benchmark's keys, broadcast once its number of items is known to be within bounds."""
     spark = benchmark.sparkSession
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).limit(s.max_items + 1).collect()
-    if len(rows) > s.max_items:
-        raise ValueError(f"the benchmark has over {s.max_items} items; raise max_items if executors have the memory")
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t"))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    if n > s.max_items or size > s.max_item_bytes:
+        raise ValueError(f"the benchmark has over {s.max_items} items or {s.max_item_bytes} bytes; raise the limits if executors have the memory")
+    rows = rows.collect()
     return spark.sparkContext.broadcast(build_items(sorted((r.i, r.t) for r in rows if r.i is not None and r.t is not None), s))
 
 
@@ -269,9 +305,10 @@ def find_leaks(
 ) -> DataFrame:
     """(id, item_id, edits, item_words, first_word, end_word, similarity): the best verified span of each document and item.
 
-    Null and empty texts leak nothing. Items of under min_item_words words, with a null id or text are not
-    searched. Repeated rows are judged each on its own and return a row each; an empty table, or an empty
-    benchmark, returns no rows."""
+    Null and empty texts leak nothing. Items without words (or of under min_item_words words), with a null id or text are not
+    searched. Repeated rows are judged each on its own and return a row each, and so do repeated items; of spans with equally
+    few edits the first counts. Very long texts are a block of their own, searched whole. An empty table, or an empty
+    benchmark, returns no rows. Other columns of either table, whatever their names, are not read."""
     spark = docs.sparkSession
     shared = shared_items(benchmark, settings, item_col, item_text_col)
     schema = "id long, item_id long, edits int, item_words int, first_word int, end_word int, similarity double"

@@ -53,11 +53,11 @@ def test_recall_against_brute_force(rng, share, least):
     assert got <= want and len(got & want) >= least * len(want) and len(want) >= 55
 
 
-@pytest.mark.parametrize("words", [*range(5, 20), 22, 24, 29, 30, 34, 45])
+@pytest.mark.parametrize("words", [*range(1, 20), 22, 24, 29, 30, 34, 45, 60])
 def test_every_length_is_found_at_the_full_edit_share(rng, words):
     """Items of one length with floor(n / 5) words edited, and verbatim: all are found under 30 words, 98 % from there on."""
     s = D.Settings()
-    items = [(i, " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(words))) for i in range(100)]
+    items = [(i, " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(words))) for i in range(100)]
     built = D.build_items(items, s)
     for edits in (0, int(s.max_edit_share * words)):
         texts = [" ".join([prose(rng, 40), *edited(rng, t.split(), edits), prose(rng, 40)]) for _, t in items]
@@ -85,5 +85,34 @@ def test_leaks_over_tables(spark, rng, oddities):
     assert {r.doc_id for r in docs.where(column(docs["text"])).collect()} == {0, 1, 3}
     assert D.find_leaks(docs.unionByName(docs), bench).count() == 6
     assert D.find_leaks(docs, bench.limit(0)).count() == 0 and D.find_leaks(docs.limit(0), bench).count() == 0
-    with pytest.raises(ValueError):
-        D.find_leaks(docs, bench, D.Settings(max_items=2))
+    for few in (D.Settings(max_items=2), D.Settings(max_item_bytes=20)):
+        with pytest.raises(ValueError):
+            D.find_leaks(docs, bench, few)
+
+
+def test_items_that_share_a_prompt(rng):
+    """2,000 items begin with the same 14 words: found as by brute force, without an edit distance for each of them."""
+    import time
+
+    s = D.Settings()
+    prompt = [f"prompt{i}" for i in range(14)]
+    items = [(i, " ".join([*prompt, *("".join(rng.choices("abcdef", k=6)) for _ in range(rng.choice((8, 12, 30))))])) for i in range(2000)]
+    built = D.build_items(items, s)
+    texts = [" ".join([*prompt, *prose(rng, 40).split()])] * 20
+    texts += [" ".join([prose(rng, 30), *edited(rng, items[i][1].split(), int(share * len(items[i][1].split()))), prose(rng, 30)]) for i in range(20) for share in (0, 0.2)]
+    began = time.time()
+    got = {(d, i) for d, i, *_ in D.scan([t.encode() for t in texts], built, s)}
+    assert time.time() - began < 20
+    parts = [D.words_of(t.encode()) for t in texts]
+    want = {(20 + 2 * i + k, i) for i in range(20) for k in range(2) if edit_distance_to_span(built.words[i], parts[20 + 2 * i + k]) <= int(0.2 * len(built.words[i]))}
+    assert len(want) >= 38 and len(got & want) >= 0.98 * len(want)
+    assert all(edit_distance_to_span(built.words[i], parts[d]) <= int(0.2 * len(built.words[i])) for d, i in got)
+
+
+def test_lookups_drop_no_item_within_the_edits(rng):
+    s = D.Settings()
+    items = [(i, " ".join(rng.choices("abcdefghij", k=rng.randint(5, 40)))) for i in range(60)]
+    built = D.build_items(items, s)
+    for i in range(60):
+        window = D.symbols_of(edited(rng, [w.decode() for w in built.words[i]], int(0.2 * len(built.words[i]))))
+        assert D.likely(built, np.arange(60), np.array(window), s)[i]
