@@ -1,19 +1,21 @@
 """License scanning by diagonal voting, with DataFrame functions only.
 
-Templates are phrases and passages of licenses as words. Every rolling pair of words of every text is
-hashed and joined with the templates' pairs; a hit at word p of the text and word t of a template votes for
-the diagonal p - t. A phrase stands where its diagonal has all its votes. For a passage neighbouring
-diagonals (an inserted or lost word shifts the rest by one) are merged, and the merged span is verified:
+Templates are phrases and passages of licenses as words. Every rolling k-gram of words of every text is
+hashed and joined with the templates' (phrases by pairs, passages by k words); a hit at word p of the text and word t
+of a template votes for the diagonal p - t. A phrase stands where its diagonal has all its votes. For a passage
+neighbouring diagonals (an inserted or lost word shifts the rest by one) are merged, and the merged span is verified:
 enough distinct places of the template, in about the template's length.
 
-The template table is a constant of this module, so its broadcast is bounded; nothing else is. Each text
-adds one row of its own, so texts without a hit need no second scan, and votes are aggregated before the
-shuffle. A very common pair of words costs a hit per place and one row per text after aggregation.
+Places that were hit are bits of 64 at a time, so votes are joined by OR and no list of them is ever collected, however
+often a text repeats a passage. The template table is broadcast once its size is known to be within bounds; nothing else
+is. Each text adds one row of its own, so texts without a hit need no second scan, and votes are aggregated before the
+shuffle: what moves is a row per text, template, diagonal and 64 places.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,30 +58,56 @@ MERGE_GAP = 3
 MAX_STRETCH = 1.5
 
 
-def template_pairs(templates: tuple[Template, ...]) -> list[tuple[int, int, str, str]]:
-    """(template, place, word, next word)."""
-    return [(n, i, a, b) for n, t in enumerate(templates) for i, (a, b) in enumerate(zip(t.words, t.words[1:]))]
+def grams(t: Template, k: int) -> int:
+    """The length of a template's grams: pairs of a phrase, k words of a passage."""
+    return 2 if t.is_phrase else k
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def template_grams(templates: Sequence[Template], k: int) -> list[tuple]:
+    """(template, place, gram length, words..., null up to the longest)."""
+    most = max(2, k)
+    out = []
+    for n, t in enumerate(templates):
+        size, words = grams(t, k), t.words
+        out += [(n, i, size, *words[i : i + size], *[None] * (most - size)) for i in range(len(words) - size + 1)]
+    return out
+
+
+def templates_of(table: DataFrame) -> tuple[Template, ...]:
+    """Templates kept as a table (label, text, is_phrase), read in full once their words are known to be within MAX_TEMPLATE_WORDS."""
+    rows = table.select("label", "text", "is_phrase").na.drop().distinct()
+    if (rows.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0) > MAX_TEMPLATE_WORDS:
+        raise ValueError("too many template words to broadcast")
+    return tuple(Template(r.label, r.text, r.is_phrase) for r in rows.orderBy("label", "is_phrase", "text").collect())
+
+
+def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, k: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of docs.
 
-    Templates of one word are not searched. score is 1 with a phrase, else the largest verified or unverified share of
-    a passage's places. Null and empty texts have no words. Repeated rows return a row each; an empty table none."""
+    Templates shorter than their grams are not searched. score is 1 with a phrase, else the largest verified or unverified
+    share of a passage's places. Null and empty texts have no words. Repeated rows return a row each; an empty table none. Of
+    diagonals that tie nothing is dropped: each merged span counts. Very long texts are searched whole. Other columns of
+    docs, whatever their names, are not read."""
     spark = docs.sparkSession
-    pairs = template_pairs(templates)
-    if len(pairs) > MAX_TEMPLATE_WORDS:
+    found = template_grams(templates, k)
+    if len(found) > MAX_TEMPLATE_WORDS:
         raise ValueError("too many template words to broadcast")
+    sizes, most = sorted({2, k}), max(2, k)
     about = spark.createDataFrame(
-        [(n, t.label, t.is_phrase, len(t.words) - 1) for n, t in enumerate(templates)], "tpl int, label string, is_phrase boolean, places int"
+        [(n, t.label, t.is_phrase, len(t.words) - grams(t, k) + 1) for n, t in enumerate(templates)], "tpl int, label string, is_phrase boolean, places int"
     )
-    own_row = (-1, 0, "", "")
-    table = spark.createDataFrame([*pairs, own_row], "tpl int, place int, t1 string, t2 string")
-    table = table.withColumn("h", F.when(F.col("tpl") < 0, F.lit(0)).otherwise(F.xxhash64("t1", "t2")))
+    names = [f"t{i}" for i in range(most)]
+    own_row = (-1, 0, sizes[0], *[None] * most)
+    table = spark.createDataFrame([*found, own_row], "tpl int, place int, k int, " + ", ".join(f"{n} string" for n in names))
+    hashed = F.lit(0).cast("long")
+    for size in sizes:
+        hashed = F.when((F.col("k") == size) & (F.col("tpl") >= 0), F.xxhash64(F.lit(size), *names[:size])).otherwise(hashed)
+    table = table.withColumn("h", hashed).drop("k")
 
     raw, size = F.col("_w"), F.size("_w")
     blank_first = (raw[0] == "").cast("int")
     blank_last = (F.element_at(raw, -1) == "").cast("int")
+    own = F.col("p") == F.col("_n")
     # Lower case changes no separator into a word or back, and makes no phrase's letters out of others but A-Z.
     rows = (
         docs.select(
@@ -90,30 +118,35 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: s
         .withColumn("_b", blank_first)
         .withColumn("_n", F.greatest(F.lit(0), size - blank_first - blank_last))
         .select("uid", "id", "_w", "_b", "_n", F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("p"))
-        .withColumn("w1", F.get("_w", F.col("_b") + F.col("p")))
-        .withColumn("w2", F.get("_w", F.col("_b") + F.col("p") + 1))
-        .select(
-            "uid", "id", "p", "w1", "w2", (F.col("p") == F.col("_n")).alias("own"),
-            F.when(F.col("p") == F.col("_n"), F.lit(0)).otherwise(F.xxhash64("w1", "w2")).alias("h"),
-        )
-    )
-    same = F.when(F.col("tpl") < 0, F.col("own")).otherwise(~F.col("own") & (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2")))
-    hits = rows.join(F.broadcast(table), "h").where(same)
-    diagonals = hits.groupBy("uid", "id", "tpl", (F.col("p") - F.col("place")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("p").alias("lo"), F.max("p").alias("hi"), F.collect_set("place").alias("places_hit")
+        .select("uid", "id", "p", own.alias("own"), *(F.get("_w", F.col("_b") + F.col("p") + i).alias(f"w{i}") for i in range(most)))
+    )
+    hits = None
+    for size in sizes:
+        h = F.xxhash64(F.lit(size), *(f"w{i}" for i in range(size)))
+        part = rows.withColumn("h", F.when(F.col("own"), F.lit(0).cast("long")).otherwise(h) if size == sizes[0] else h)
+        alike = ~F.col("own")
+        for i in range(size):
+            alike = alike & (F.col(f"w{i}") == F.col(f"t{i}"))
+        if size < most:
+            alike = alike & F.col(f"t{size}").isNull()
+        part = part.join(F.broadcast(table), "h").where(F.when(F.col("tpl") < 0, F.col("own") & F.lit(size == sizes[0])).otherwise(alike))
+        hits = part if hits is None else hits.unionByName(part)
+    bit = F.expr("shiftleft(1L, place % 64)")
+    diagonals = hits.groupBy("uid", "id", "tpl", (F.col("p") - F.col("place")).alias("diagonal"), F.expr("place DIV 64").alias("part")).agg(
+        F.min("p").alias("lo"), F.max("p").alias("hi"), F.bit_or(bit).alias("bits")
     )
     diagonals = diagonals.join(F.broadcast(about), "tpl", "left")
 
     by_place = Window.partitionBy("uid", "tpl").orderBy("diagonal")
-    grouped = (
-        diagonals.withColumn("new", (F.col("is_phrase") | (F.col("diagonal") - F.lag("diagonal", 1).over(by_place) > MERGE_GAP)).cast("int"))
-        .withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(by_place))
-        .groupBy("uid", "id", "tpl", "label", "is_phrase", "places", "run")
-        .agg(
-            F.min("diagonal").alias("start"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("places_hit")))).alias("votes"),
-        )
-    )
+    apart = F.col("diagonal") - F.lag("diagonal", 1).over(by_place)
+    runs = diagonals.withColumn("new", (F.when(F.col("is_phrase"), apart > 0).otherwise(apart > MERGE_GAP)).cast("int")).withColumn(
+        "run", F.sum(F.coalesce("new", F.lit(0))).over(by_place)
+    )
+    keys = ["uid", "id", "tpl", "label", "is_phrase", "places", "run"]
+    ends = (F.min("diagonal").alias("start"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    grouped = runs.groupBy(*keys, "part").agg(*ends, F.bit_or("bits").alias("bits"))
+    ends = (F.min("start").alias("start"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    grouped = grouped.groupBy(*keys).agg(*ends, F.sum(F.bit_count("bits")).alias("votes"))
     share = F.col("votes") / F.col("places")
     whole = F.col("is_phrase") & (F.col("votes") == F.col("places"))
     verified = ~F.col("is_phrase") & (share >= MIN_COVERAGE) & (F.col("hi") - F.col("lo") + 1 <= MAX_STRETCH * F.col("places"))
@@ -136,9 +169,9 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: s
     )
 
 
-def oracle_sql(templates: tuple[Template, ...] = TEMPLATES) -> str:
+def oracle_sql(templates: Sequence[Template] = TEMPLATES) -> str:
     """The same result in DuckDB's SQL, from word lists instead of hashes."""
-    pairs = ", ".join(f"({n}, {i}, '{a}', '{b}')" for n, i, a, b in template_pairs(templates))
+    pairs = ", ".join(f"({n}, {i}, '{a}', '{b}')" for n, i, _, a, b in template_grams(templates, 2))
     about = ", ".join(f"({n}, '{t.label}', {str(t.is_phrase).lower()}, {len(t.words) - 1})" for n, t in enumerate(templates))
     return f"""
 WITH pairs(tpl, place, t1, t2) AS (VALUES {pairs}),
