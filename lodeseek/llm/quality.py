@@ -99,8 +99,14 @@ class Model:
         k = min(self.settings.neighbours, len(self.labels))
         out = np.empty(len(vectors))
         for i in range(0, len(vectors), self.settings.block):
-            cosine = vectors[i : i + self.settings.block] @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            part = vectors[i : i + self.settings.block]
+            # Blocks are filled up to one shape, so that a row's sums do not hang on the rows beside it.
+            cosine = (np.pad(part, ((0, self.settings.block - len(part)), (0, 0))) @ self.vectors.T)[: len(part)]
+            # Of rows that tie for the last place those listed first count.
+            last = np.partition(cosine, -k, axis=1)[:, -k][:, None]
+            above, tied = cosine > last, cosine == last
+            room = k - above.sum(axis=1, keepdims=True)
+            near = np.nonzero(above | (tied & (np.cumsum(tied, axis=1) <= room)))[1].reshape(len(cosine), k)
             weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** self.settings.sharpness
             total = weight.sum(axis=1)
             vote = (weight * self.labels[near]).sum(axis=1)
@@ -155,7 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", settings: Se
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score) for each row: null and empty texts are the bag of no words; repeated rows a row each."""
+    """(id, held_out, score) for each row: null and empty texts are the bag of no words; repeated rows a row each; an empty
+    table returns none. Neighbours that tie for the last place count in the order of the labelled rows. Very long texts are
+    counted whole. Other columns of docs, whatever their names, are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> dict:

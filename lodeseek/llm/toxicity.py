@@ -121,7 +121,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
 
 
 def score(docs: DataFrame, model: Model, hash_bits: int = Settings.hash_bits, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score) for each row: null and empty texts get the score of no terms; repeated rows a row each."""
+    """(id, held_out, score) for each row: null and empty texts get the score of no terms; repeated rows a row each, alike;
+    an empty table returns none. A score hangs on the text's set of terms alone, so texts of equal terms tie. Very long
+    texts are read whole. Other columns of docs, whatever their names, are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> dict:

@@ -89,3 +89,43 @@ def test_odd_texts_and_no_labels(spark, oddities, module, label):
         assert len(got) == len(oddities) and all(0 <= r.score <= 1 for r in got)
         assert got[3].score == got[4].score and got[0].score == got[1].score
     assert module.score(docs.limit(0), module.fit(docs.limit(0), none, label)).count() == 0
+
+
+def test_scores_match_the_sum_over_all_pairs(spark, rng):
+    """The machine by its definition: bias, weights and the product of factors of every pair of a text's features; the features are
+    the terms of the largest chi-squared, counted over the learning rows."""
+    docs, labels, toxic, _ = labelled(spark, rng, 200)
+    s = toxicity.Settings(epochs=40, features=30)
+    model = toxicity.fit(docs, labels, settings=s)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    learn = [i for i in texts if not held(i)]
+    n, n1 = len(learn), sum(int(toxic[i]) for i in learn)
+    count = {}
+    for i in learn:
+        for t in toxicity.terms_of(texts[i].encode(), s.hash_bits).tolist():
+            a, b = count.get(t, (0, 0))
+            count[t] = (a + 1, b + int(toxic[i]))
+    chi = {t: (b * (n - n1) - (a - b) * n1) ** 2 / (a * (n + 1 - a)) for t, (a, b) in count.items() if a >= s.min_rows}
+    best = sorted(chi, key=lambda t: (-chi[t], t))[: s.features]
+    assert set(np.flatnonzero(model.slot >= 0).tolist()) == set(best)
+    got = {r.id: r.score for r in toxicity.score(docs.unionByName(docs), model).collect()}
+    assert toxicity.score(docs.unionByName(docs), model).distinct().count() == 200
+    for i, text in texts.items():
+        on = [int(model.slot[t]) for t in set(toxicity.terms_of(text.encode(), s.hash_bits).tolist()) if model.slot[t] >= 0]
+        z = model.bias + sum(float(model.linear[f]) for f in on)
+        z += sum(float(model.factors[f].astype(float) @ model.factors[g].astype(float)) for k, f in enumerate(on) for g in on[k + 1 :])
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def test_neighbours_that_tie_count_in_order():
+    """Rows 1 to 4 are equally near and two places are left beside row 0: rows 1 and 2 have them, in blocks of any size."""
+    vectors = np.array([[1, 0], [0.8, 0.6], [0.8, 0.6], [0.8, 0.6], [0.8, 0.6], [0, 1]], dtype=np.float32)
+    asked = np.repeat(np.array([[1, 0]], dtype=np.float32), 9, axis=0)
+    found = []
+    for block in (1, 4, 100):
+        s = quality.Settings(neighbours=3, block=block)
+        model = quality.Model(np.zeros(2), np.zeros((2, 2)), vectors, np.array([0, 1, 1, 0, 0, 0.0]), 0.5, s)
+        found.append(model.vote(asked))
+        near = 0.8**s.sharpness
+        assert found[-1] == pytest.approx(2 * near / (1 + 2 * near), abs=1e-5)
+    assert np.allclose(found[0], found[2], atol=1e-7)
