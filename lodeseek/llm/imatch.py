@@ -1,9 +1,10 @@
 """I-Match fingerprints over randomised lexicon subsets.
 
 The lexicon holds the terms whose document frequency, counted over all documents, lies in a band: neither
-so common that every text has them nor so rare that one edit's novelties count. Terms (words, ASCII letters
-and digits in lower case) are hashed to ``2**lexicon_bits`` and the lexicon is the bitmap of the kept
-hashes: of a fixed size, so safe to broadcast, however many distinct words a corpus has.
+so common that every text has them nor so rare that one edit's novelties count. Both ends of the band are shares
+of the number of documents (the lower one at least two documents), so the lexicon holds at most the mean number
+of a text's distinct terms divided by the lower share, however many documents and distinct words there are.
+Terms (words, ASCII letters and digits in lower case) are known by 32-bit hashes.
 
 A fingerprint hashes, for several random subsets of the lexicon, the sorted distinct terms of the text that
 the subset holds. An edit changes only the subsets that hold an edited term. Subsets come in scales, each a
@@ -31,9 +32,10 @@ from lodeseek.session import materialize, shuffle_partitions_for
 
 @dataclass(frozen=True)
 class Settings:
-    lexicon_bits: int = 20
     min_df: int = 2
+    min_df_share: float = 1e-5
     max_df_share: float = 0.2
+    max_terms: int = 1 << 24
     scales: int = 7
     subsets: int = 20
     quarter: int = 2  # log2 of how much sparser each scale is
@@ -42,74 +44,91 @@ class Settings:
 
 def hashes_of(text: bytes, s: Settings) -> np.ndarray:
     words = set(text.translate(LOWER_ALNUM).split())
-    h = np.fromiter(map(xxhash.xxh32_intdigest, words, repeat(s.seed)), dtype=np.uint32, count=len(words))
-    return np.unique(h >> np.uint32(32 - s.lexicon_bits))
+    return np.unique(np.fromiter(map(xxhash.xxh32_intdigest, words, repeat(s.seed)), dtype=np.uint32, count=len(words)))
 
 
 def document_frequencies(docs: DataFrame, s: Settings, text_col: str = "text") -> DataFrame:
-    """(slot int, df long, block int) over all documents: each task adds up its texts in a table of the fixed size, so
-    what it shuffles is bounded whatever its words."""
+    """(term long, df long) over all documents; each batch of texts and then each task is added up before the shuffle."""
     limit_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << s.lexicon_bits, dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0).cast(pa.large_binary()).to_pylist():
-                total[hashes_of(text or b"", s)] += 1
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "df"])
+            found = [hashes_of(text or b"", s) for text in batch.column(0).cast(pa.large_binary()).to_pylist()]
+            term, df = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int64)), pa.array(df.astype(np.int64))], names=["term", "df"])
 
-    found = docs.select(F.col(text_col).alias("_t")).mapInArrow(count, "slot int, df long")
-    return found.groupBy("slot").agg(F.sum("df").alias("df")).withColumn("block", F.shiftright("slot", 12))
+    found = docs.select(F.col(text_col).alias("_t")).mapInArrow(count, "term long, df long")
+    return found.groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def build_lexicon(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text") -> np.ndarray:
-    """Bitmap of the kept hashes, 2**lexicon_bits / 8 bytes; read block by block, so the driver holds no more than that."""
+@dataclass
+class Lexicon:
+    """The kept terms in order, and a bitmap of their leading bits that most other terms fail."""
+
+    terms: np.ndarray
+    bits: np.ndarray
+
+    @staticmethod
+    def of(terms: np.ndarray) -> Lexicon:
+        bits = np.zeros(1 << 20, dtype=bool)
+        bits[terms >> np.uint32(12)] = True
+        return Lexicon(np.sort(terms), bits)
+
+    def kept(self, h: np.ndarray) -> np.ndarray:
+        h = h[self.bits[h >> np.uint32(12)]]
+        at = np.searchsorted(self.terms, h)
+        return h[self.terms[np.minimum(at, len(self.terms) - 1)] == h] if len(self.terms) else h[:0]
+
+
+def build_lexicon(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text") -> Lexicon:
+    """The terms in the band, four bytes each: their number is bounded (see above) and checked against max_terms."""
     s = settings
-    spark = docs.sparkSession
-    df = materialize(document_frequencies(docs, s, text_col), "imatch")
-    most = max(s.min_df, int(s.max_df_share * docs.count()))
-    kept = df.where(F.col("df").between(s.min_df, most)).groupBy("block").agg(F.collect_list("slot").alias("slots"))
+    n = docs.count()
+    least, most = max(s.min_df, int(s.min_df_share * n)), max(s.min_df, int(s.max_df_share * n))
+    kept = materialize(document_frequencies(docs, s, text_col).where(F.col("df").between(least, most)).select("term"), "imatch", True)
+    if (size := kept.count()) > s.max_terms:
+        raise ValueError(f"{size} terms in the band, over max_terms; raise min_df_share")
+    packed_terms = map_batches(kept, lambda batch: {"terms": [batch.column(0).to_numpy(zero_copy_only=False).astype("<u4").tobytes()]}, "terms binary")
+    return Lexicon.of(np.frombuffer(b"".join(bytes(r.terms) for r in packed_terms.collect()), dtype="<u4"))
 
-    def pack(batch: pa.RecordBatch) -> dict:
-        bits = []
-        for slots in batch.column("slots").to_pylist():
-            row = np.zeros(4096, dtype=np.uint8)
-            row[np.array(slots) % 4096] = 1
-            bits.append(np.packbits(row).tobytes())
-        return {"block": batch.column("block"), "bits": bits}
 
-    lexicon = np.zeros((max(1, (1 << s.lexicon_bits) // 4096), 512), dtype=np.uint8)
-    for row in map_batches(kept, pack, "block int, bits binary").collect():
-        lexicon[row.block] = np.frombuffer(row.bits, dtype=np.uint8)
-    return lexicon.reshape(-1)
+#: Terms mixed with all subsets' keys at a time.
+TERM_BLOCK = 4096
 
 
-def fingerprint(text: bytes, lexicon: np.ndarray, s: Settings) -> np.ndarray:
+def fingerprint(text: bytes, lexicon: Lexicon, s: Settings) -> np.ndarray:
     """[scales, subsets] of uint16: a hash of the subset's distinct terms in the text, 0 where it has none.
 
-    Terms are sorted and distinct; a subset's hash adds up their mixed values, so it is one product of arrays."""
-    h = hashes_of(text, s)
-    h = h[(lexicon[h >> np.uint32(3)] >> (np.uint32(7) - (h & np.uint32(7))).astype(np.uint8)) & 1 == 1]
-    if not len(h):
-        return np.zeros((s.scales, s.subsets), dtype=np.uint16)
-    odd, sparse = subset_keys(s)
-    mix = h.astype(np.uint64)[None, :] * odd[:, None]
-    mix ^= mix >> np.uint64(31)
-    mix *= np.uint64(0x9E3779B97F4A7C15)
-    mix[(mix >> np.uint64(40)) & sparse[:, None] != 0] = 0
-    total = mix.sum(axis=1)
+    Terms are sorted and distinct; a subset's hash adds up their mixed values, block by block. A subset of a sparser
+    scale is part of the one before, so what each scale adds up is a quarter of what the scale before did."""
+    h = lexicon.kept(hashes_of(text, s))
+    total = np.zeros((s.scales, s.subsets), dtype=np.uint64)
+    odd = subset_keys(s)[0][: s.subsets, None]
+    for i in range(0, len(h), TERM_BLOCK):
+        mix = h[i : i + TERM_BLOCK].astype(np.uint64) * odd
+        mix ^= mix >> np.uint64(31)
+        mix *= np.uint64(0x9E3779B97F4A7C15)
+        total[0] += mix.sum(axis=1)
+        values, subset = mix.reshape(-1), np.repeat(np.arange(s.subsets), mix.shape[1])
+        for scale in range(1, s.scales):
+            inside = np.flatnonzero((values >> np.uint64(40)) & np.uint64((1 << (s.quarter * scale)) - 1) == 0)
+            if not len(inside):
+                break
+            values, subset = values[inside], subset[inside]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
+            end = np.searchsorted(subset, np.arange(s.subsets), "right")
+            total[scale] += sums[end] - np.concatenate([sums[:1], sums[end[:-1]]])
     total ^= total >> np.uint64(32)
     code = (total >> np.uint64(7)).astype(np.uint16) | np.uint16(1)
-    return np.where(total == 0, 0, code).astype(np.uint16).reshape(s.scales, s.subsets)
+    return np.where(total == 0, 0, code).astype(np.uint16)
 
 
 @lru_cache(maxsize=4)
 def subset_keys(s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """For each subset, scale by scale: an odd multiplier and the mask of bits that must be clear."""
+    """For each subset, scale by scale: an odd multiplier (alike at all scales) and the mask of bits that must be clear."""
     rng = np.random.RandomState(s.seed)
-    odd = (rng.randint(1, 1 << 62, s.scales * s.subsets).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
-    return odd, np.repeat([(1 << (s.quarter * scale)) - 1 for scale in range(s.scales)], s.subsets).astype(np.uint64)
+    odd = (rng.randint(1, 1 << 62, s.subsets).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+    return np.tile(odd, s.scales), np.repeat([(1 << (s.quarter * scale)) - 1 for scale in range(s.scales)], s.subsets).astype(np.uint64)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -134,7 +153,7 @@ def written(fp: np.ndarray) -> str:
     return packed(fp).hex()
 
 
-def fingerprints(docs: DataFrame, lexicon: np.ndarray, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, lexicon: Lexicon, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint) for each row; null and empty texts have the fingerprint of no terms, all zeros."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -154,7 +173,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-def compared(doc_id: int | None, text: str, own: np.ndarray, following: str, other: np.ndarray, lexicon: np.ndarray, s: Settings) -> tuple:
+def compared(doc_id: int | None, text: str, own: np.ndarray, following: str, other: np.ndarray, lexicon: Lexicon, s: Settings) -> tuple:
     changed = edited(text, following).encode()
     fp = fingerprint(changed, lexicon, s)
     return doc_id, len(text), hashlib.sha256(changed).digest(), packed(own), packed(fp), likeness(own, fp), likeness(own, other)
@@ -163,6 +182,9 @@ def compared(doc_id: int | None, text: str, own: np.ndarray, following: str, oth
 def compare_with_next(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", target_bytes: int = 24 << 20) -> DataFrame:
     """RESULT (binary columns as lower-case hex) for each row: its fingerprint, that of its edited text and the likeness to that and to the next document.
 
+    Null texts are empty; a text without a term of the lexicon has the fingerprint of all zeros. Repeated rows return a row each.
+    An empty table returns no rows. Terms of very long texts are mixed in blocks. Other columns of docs are not read.
+
     Next is by descending id (nulls last, equal ids by a hash of their texts); after the last comes the first. One range
     exchange sorts the texts, and a pass over each sorted partition compares neighbours. A partition's last row meets the
     first row of the next partition that has any in a join with one row per partition."""
