@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.llm import license_scan
+from lodeseek.llm.url_filter import HOST_WORDS, PATH_ENDS, PATH_PARTS
 from lodeseek.session import table
 
 
@@ -48,7 +49,7 @@ def op5_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id").drop("globs")
 
 
-OP5_SQL = """
+OP5_SQL = f"""
 WITH parts AS (
   SELECT page_id,
          translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -64,8 +65,9 @@ ruled AS (
   FROM parts)
 SELECT page_id, host, path, rule, CASE
     WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN contains(host, 'casino') OR contains(host, 'pills') OR contains(host, 'bets') OR contains(path, '/wp-admin/')
-         OR contains(path, '/login') OR ends_with(path, '.exe') OR ends_with(path, '.zip') THEN 'block'
+    WHEN {" OR ".join(f"contains(host, '{w}')" for w in HOST_WORDS)}
+         OR {" OR ".join(f"contains(path, '{p}')" for p in PATH_PARTS)}
+         OR {" OR ".join(f"ends_with(path, '{e}')" for e in PATH_ENDS)} THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled
 """

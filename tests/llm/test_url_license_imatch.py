@@ -74,6 +74,25 @@ def test_licenses(spark, rng, oddities):
     assert L.scan(docs.unionByName(docs)).count() == 2 * len(texts)
 
 
+def test_license_templates_and_grams_are_inputs(spark, rng):
+    """Passages of 300 words from a table, by grams of 2, 4 and 7 words: whole and lightly edited ones are found at their places, strangers
+    not; repeats a thousand times over, and phrases beside them, as with pairs."""
+    passages = [" ".join(f"w{rng.randrange(400)}" for _ in range(300)) for _ in range(5)]
+    rows = [(f"p{i}", t, False) for i, t in enumerate(passages)] + [("mit", "MIT license", True), ("x", None, False)]
+    templates = L.templates_of(spark.createDataFrame([*rows, rows[0]], "label string, text string, is_phrase boolean"))
+    assert [t.label for t in templates] == ["mit", "p0", "p1", "p2", "p3", "p4"]
+    words = passages[1].split()
+    edited = words[:70] + ["new"] + words[70:140] + words[141:220] + ["other"] + words[221:]
+    texts = [prose(rng, 50) + " " + passages[0] + " MIT license", " ".join(edited), prose(rng, 400), " ".join([passages[2]] * 200), " ".join(words[:100]), None]
+    for k in (2, 4, 7):
+        got = {r.id: r for r in L.scan(frame(spark, texts, CLASHING), templates, k).collect()}
+        assert got[0].labels == "mit,p0" and got[0].base_labels == "mit" and got[0].first_word == 350 and got[1].labels == "p1"
+        assert [got[i].labels for i in (2, 4, 5)] == ["", "", ""] and 0.2 < got[4].score < 0.6
+    many = [L.Template("x", " ".join(["a"] * (L.MAX_TEMPLATE_WORDS + 5)), False)]
+    with pytest.raises(ValueError):
+        L.scan(frame(spark, texts), many)
+
+
 @pytest.mark.parametrize("n", [1, 2, 40])
 def test_imatch_compares_neighbours(spark, rng, n):
     texts = [prose(rng, rng.randint(0, 80)) for _ in range(n)]
@@ -103,11 +122,84 @@ def test_imatch_odd_rows(spark, oddities):
 def test_likeness_parts_edits_from_strangers(rng):
     s = I.Settings()
     texts = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(3000)}" for _ in range(rng.randint(30, 3000))) for _ in range(80)]
-    total = np.zeros(1 << s.lexicon_bits, dtype=int)
-    for t in texts:
-        total[I.hashes_of(t.encode(), s)] += 1
-    lexicon = np.packbits((total >= 1) & (total < 60))
+    terms, df = np.unique(np.concatenate([I.hashes_of(t.encode(), s) for t in texts]), return_counts=True)
+    lexicon = I.Lexicon.of(terms[df < 60])
     fps = [I.fingerprint(t.encode(), lexicon, s) for t in texts]
     near = [I.likeness(f, I.fingerprint(I.edited(t, u).encode(), lexicon, s)) for f, t, u in zip(fps, texts, texts[1:])]
     far = [I.likeness(a, b) for a, b in zip(fps, fps[1:])]
     assert np.mean([a > b for a, b in zip(near, far)]) >= 0.95 and np.mean(near) > 0.3 > np.mean(far)
+
+
+def brute_fingerprint(text, kept, s):
+    """By the definition: of each subset, which a term is in if bits of its mixed hash are clear, the mixed hashes summed."""
+    import xxhash
+
+    words = {w for w in re.split("[^0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if w}
+    words = {xxhash.xxh32_intdigest(w.encode(), s.seed) for w in words if w in kept}
+    odd, sparse = (x.tolist() for x in I.subset_keys(s))
+    out = []
+    for k, mask in zip(odd, sparse):
+        total = 0
+        for h in sorted(words):
+            m = h * k % 2**64
+            m = (m ^ (m >> 31)) * 0x9E3779B97F4A7C15 % 2**64
+            total += m if not (m >> 40) & mask else 0
+        total %= 2**64
+        total ^= total >> 32
+        out.append(0 if total == 0 else (total >> 7) % 2**16 | 1)
+    return np.array(out, dtype=np.uint16).reshape(s.scales, s.subsets)
+
+
+def test_imatch_fingerprints_match_brute_force(spark, rng, oddities):
+    """Terms in the band by counting, fingerprints by definition, whatever the size of blocks; near_* are their likeness."""
+    s = I.Settings(max_df_share=0.3)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{int(rng.paretovariate(0.4)) % 4000}" for _ in range(rng.randint(1, 2500))) for _ in range(25)] + oddities
+    df = {}
+    for t in texts:
+        for w in {w for w in re.split("[^0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w}:
+            df[w] = df.get(w, 0) + 1
+    kept = {w for w, n in df.items() if 2 <= n <= int(0.3 * len(texts))}
+    got = {r.id: r for r in I.compare_with_next(frame(spark, texts, CLASHING), s, target_bytes=50_000).collect()}
+    order = sorted(range(len(texts)), reverse=True)
+    for k, i in enumerate(order):
+        own, after = texts[i] or "", texts[order[(k + 1) % len(texts)]] or ""
+        fp, changed = brute_fingerprint(own, kept, s), brute_fingerprint(I.edited(own, after), kept, s)
+        assert got[i].fingerprint == I.written(fp) and got[i].edited_fingerprint == I.written(changed), i
+        assert got[i].near_edited == I.likeness(fp, changed) and got[i].near_next == I.likeness(fp, brute_fingerprint(after, kept, s))
+
+
+def test_very_long_urls_are_read_whole_and_in_bounds(rng):
+    """URLs of 300 kB and 3 MB beside short ones: as by the block-wise simulation of each alone, in bounded memory."""
+    import tracemalloc
+
+    globs = ["*casino*", "*/login*", "*.exe", "a*b?c", "*" + "x" * 70 + "*"]
+    machine = U.compile_patterns([U.glob(g) for g in globs])
+    urls = [b"a.b/login", b"", b"z" * 300_000 + b"casino" + b"y" * 3_000_000, b"q" * 20_000 + b".exe", b"x" * 9_000, b"ab" + b"-" * 9_000 + b"b1c"] + [b"u%d" % i for i in range(600)]
+    tracemalloc.start()
+    got = U.simulate(machine, urls)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    want = [[re.fullmatch(fnmatch.translate(g), u.decode(), re.DOTALL) is not None for g in globs] for u in urls]
+    assert got.tolist() == want
+
+
+def test_rules_and_globs_from_tables(spark, rng):
+    """Hundreds of rules and globs given as tables, nulls and repeats among them, against a plain matcher."""
+    hosts = ["".join(rng.choices("ab.", k=rng.randint(1, 5))).strip(".") or "a" for _ in range(150)]
+    rules = [(rng.choice(("allow", "block")), h, "/" + "".join(rng.choices("xy/", k=rng.randint(0, 3)))) for h in hosts]
+    rules = list({r[1:]: r for r in rules}.values())
+    globs = sorted({(f"*{''.join(rng.choices('ab', k=rng.randint(1, 4)))}*", rng.choice(("*", "*/x*", "*y"))) for _ in range(300)})
+    found = U.tables(
+        spark.createDataFrame([*rules, rules[0], (None, "a", "/")], "verdict string, host string, path string"),
+        spark.createDataFrame([*globs, globs[0], (None, "*")], "host string, path string"),
+    )
+    assert sorted((r.verdict, r.host, r.path) for r in found[0]) == sorted(rules) and found[1] == globs
+    urls = [f"http://{''.join(rng.choices('ab.', k=rng.randint(0, 7)))}/{''.join(rng.choices('xy/', k=rng.randint(0, 5)))}" for _ in range(300)]
+    got = {r.id: r for r in U.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), *found).collect()}
+    for i, u in enumerate(urls):
+        host, path, rule, verdict = brute_url(u, found[0])
+        fits = any(re.fullmatch(fnmatch.translate(h), host) and re.fullmatch(fnmatch.translate(p), path) for h, p in globs)
+        longest = max((len(r.name) for r in found[0] if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)), default=None)
+        assert longest is None or len(got[i].rule) == longest
+        if rule is None:
+            assert got[i].rule is None and got[i].verdict == ("block" if fits else "allow"), u
