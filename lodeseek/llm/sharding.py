@@ -33,7 +33,7 @@ ROW_BYTES = 16
 @dataclass(frozen=True)
 class Settings:
     shards: int = 40
-    unit_share: float = 0.05
+    unit_share: float = 0.1
     tolerance: float = 0.002
     bins: int = 1024
     slot_buckets: int = 128

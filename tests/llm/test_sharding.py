@@ -56,3 +56,47 @@ def test_cuts_follow_the_widest_dimension(spark):
     docs = spark.range(200).select(F.col("id").alias("doc_id"), F.format_string("text %03d", "id").alias("text"), F.when(F.col("id") < 100, 1).otherwise(10**6).alias("n_chars"))
     got = K.shard(docs, K.Settings(shards=2, unit_share=0.01), metadata=("n_chars",)).collect()
     assert {r.shard for r in got if r.id < 100} == {0} and {r.shard for r in got if r.id >= 100} == {1}
+
+
+@pytest.mark.parametrize("shards", [4, 7])
+def test_the_tree_is_as_by_brute_force(spark, rng, shards):
+    """Each node is cut along its widest dimension (relative to the whole), between two neighbours in the order of (value, text hash), at its
+    share of the bytes to within one text and the tolerance; so, from the root down, every row's shard follows."""
+    from pyspark.sql import functions as F
+
+    texts = [prose(rng, rng.randint(3, 80)) for _ in range(500)] + [prose(rng, 10)] * 9
+    docs = frame(spark, texts)
+    s = K.Settings(shards=shards)
+    names = ["source", "lang", "n_chars"]
+    got = {r.id: r.shard for r in K.shard(docs, s, names).collect()}
+    rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("binary")).alias("g"), *(K.dimension(docs, n).alias(f"d{i}") for i, n in enumerate(names))).collect()
+    units = {}
+    for r in rows:
+        u = units.setdefault(r.g, {"w": 0, "dims": [2**63] * 3, "ids": [], "g": r.g})
+        u["w"] += len(texts[r.doc_id].encode()) + 16
+        u["dims"] = [min(a, r[f"d{i}"]) for i, a in enumerate(u["dims"])]
+        u["ids"].append(r.doc_id)
+    units = list(units.values())
+    span = lambda us, d: max(u["dims"][d] for u in us) - min(u["dims"][d] for u in us)
+    overall = [max(1, span(units, d)) for d in range(3)]
+    largest, total = max(u["w"] for u in units), sum(u["w"] for u in units)
+
+    def descend(us, first, count):
+        shard = lambda u: got[u["ids"][0]]
+        assert {shard(u) for u in us} <= set(range(first, first + count))
+        if count == 1:
+            return
+        widths = [span(us, d) / overall[d] for d in range(3)]
+        d = max(range(3), key=lambda i: widths[i])
+        key = (lambda u: (u["dims"][d], u["g"])) if widths[d] > 0 else (lambda u: u["g"])
+        half = count // 2
+        left = [u for u in us if shard(u) < first + half]
+        right = [u for u in us if shard(u) >= first + half]
+        assert max(map(key, left)) < min(map(key, right))
+        want = sum(u["w"] for u in us) * half / count
+        assert abs(sum(u["w"] for u in left) - want) <= largest + s.tolerance * total / shards
+        descend(left, first, half)
+        descend(right, first + half, count - half)
+
+    descend(units, 0, shards)
+    assert all(len({got[i] for i in u["ids"]}) == 1 for u in units)
