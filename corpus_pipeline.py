@@ -10,40 +10,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import decontaminate, packing, secret_scan, simhash, toxicity
-from lodeseek.session import materialize, table
+from lodeseek.llm import decontaminate, near_sets, packing, secret_scan, toxicity
+from lodeseek.session import drop_paths, materialize, table, written_tables
 
 TOXIC_FROM = 0.5
-SHINGLE_WORDS = 5
-MIN_JACCARD = 0.8
-CANDIDATE_BITS = 16
+NEAR = near_sets.Settings(words=5, min_jaccard=0.8)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine scores at TOXIC_FROM or more go."""
+    """Documents that the factorization machine scores at TOXIC_FROM or more go.
+
+    Null and empty texts are scored by no terms, alike; repeated rows are scored alike. Very long texts are scored whole. An
+    empty table stays empty. All columns of docs stay, whatever their names and whatever is null in them."""
     score = toxicity.score_column(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return docs.where(score(F.col("text")) < TOXIC_FROM)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) the smallest id stays."""
-    return simhash.keep_one_of_each(docs, SHINGLE_WORDS, CANDIDATE_BITS, MIN_JACCARD)
+    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) the smallest id stays.
+
+    Null and empty texts are alike, so one of them stays. Rows that repeat an id are one document; rows without an id stay.
+    Texts of any length are compared whole. An empty table stays empty; all columns of docs stay."""
+    return near_sets.keep_one_of_each(docs, NEAR)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, with up to a fifth of its words edited, go."""
+    """Documents that hold a benchmark item, with up to a fifth of its words edited, go.
+
+    Null and empty texts hold none. Repeated rows are judged alike. Very long texts are searched whole. An empty table, or an
+    empty benchmark, changes nothing; all columns of docs stay."""
     leaks = decontaminate.leaks_column(table(spark, sf_dir, "benchmark"))
     return docs.where(~leaks(F.col("text")))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark, so the clean rest of a document stays; n_chars follows the text."""
+    """Secrets are replaced by a mark, so the clean rest of a document stays; n_chars follows the text, null with it.
+
+    No row goes; null and empty texts stay as they are, repeated rows alike. Very long texts are searched whole. docs
+    without n_chars get none; an empty table stays empty."""
     text = secret_scan.redacted_column(docs)(F.col("text"))
-    return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    docs = docs.withColumn("text", text)
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every id of what is left, in windows of 1024."""
+    """Every id of what is left, in windows of 1024. Null and empty texts have the end id alone; repeated rows are packed
+    each; very long texts are cut at windows; an empty table has no pieces. Other columns are not read."""
     return packing.pack(docs).withColumnRenamed("id", "doc_id")
 
 
@@ -60,7 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's own tables and its predecessor's rows are deleted once its rows are written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with written_tables() as made:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_paths(spark, before + made[:-1])
+        before = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)

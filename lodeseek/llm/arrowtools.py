@@ -17,10 +17,12 @@ LOWER_ALNUM = bytes(
 )
 
 
-def limit_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Whole texts can be long, so fewer of them go into one Arrow batch than Spark's default."""
+def limit_batches(spark: SparkSession, rows: int = 2000, mebibytes: int = 16) -> None:
+    """Whole texts can be long, so fewer of them, and fewer bytes, go into one Arrow batch than Spark's default; a longer text is
+    a batch of its own."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mebibytes}m")
 
 
 def map_batches(

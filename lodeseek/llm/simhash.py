@@ -1,17 +1,8 @@
 """Near-duplicate detection with SimHash fingerprints and Golay-code fuzzy keys.
 
-A fingerprint's 64 bits are cut into segments of 22, 21 and 21 bits. Each segment is decoded to the
-Golay codewords near it (one or six of them); a key joins a codeword index of one segment with one of
-another. Segments that differ in at most two bits share an index, and of three segments with five
-differing bits in all at most one has more than two, so every pair within five bits shares a key.
-Pairs in a key's bucket are verified by their exact Hamming distance. A bucket returns a minimum
-spanning forest of its verified pairs, never all of them: that keeps every connection, also those at
-any smaller distance, with at most one pair per fingerprint. Where links must also pass a comparison
-of shingle sets, a forest is not enough: wherever one of its pairs fails, all pairs are compared that
-are not connected by then.
-
-Equal fingerprints (or equal shingle sets, where those are compared) are merged before any key is made, so a hot
-group of copies is one row.
+Equal fingerprints are merged before any key is made, so a hot group of copies is one row. Pairs that share a key
+(see fuzzy_pairs) are verified by their exact Hamming distance. Where links must also pass a comparison of shingle
+sets, see near_sets.
 """
 
 from __future__ import annotations
@@ -25,31 +16,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm import golay
 from lodeseek.llm.arrowtools import LOWER_AZ, map_batches, signed, texts_of
 from lodeseek.llm.components import connected_components
-from lodeseek.session import drop_materialized, materialize, shuffle_partitions_for
+from lodeseek.llm.fuzzy_pairs import exact, first_pass, partitions_for, prefix_bits_for, second_pass
+from lodeseek.session import materialize
 
 SEED = 42
+#: Differing bits up to which every pair shares a key.
 GUARANTEED_BITS = 5
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
-PAIRS = ((0, 1), (0, 2), (1, 2))
-#: Mean keys of a fingerprint (three pairs of 5.3 x 5.3), to size partitions.
-KEYS_PER_FINGERPRINT = 85
-#: Buckets up to this size are compared together, row by row; larger ones grow a tree each.
-SMALL_BUCKET = 32
-#: Beyond this size a bucket is first split by exact blocks of bits.
-LARGE_BUCKET = 30_000
 
 
 def shingles_of(text: bytes, words: int) -> list[bytes]:
     """Lower-cased (A-Z) runs of non-space joined by spaces; fewer words: the whole sequence; none: no shingle."""
+    return [x for block in shingle_blocks(text, words) for x in block]
+
+
+def shingle_blocks(text: bytes, words: int, block: int = 65_536) -> Iterator[list[bytes]]:
+    """The shingles in order, so many at a time: those of a very long text never stand in memory together."""
     parts = text.translate(LOWER_AZ).split()
-    if not parts:
-        return []
-    if len(parts) < words:
-        return [b" ".join(parts)]
-    return list(map(b" ".join, zip(*(parts[i:] for i in range(words)))))
+    if parts and len(parts) < words:
+        yield [b" ".join(parts)]
+    for i in range(0, len(parts) - words + 1, block):
+        some = parts[i : i + block + words - 1]
+        yield list(map(b" ".join, zip(*(some[j:] for j in range(words)))))
 
 
 def fingerprint_of(text: bytes, words: int = 3) -> int:
@@ -63,21 +52,38 @@ def fingerprints_of(text: bytes, words: int, rounds: int) -> np.ndarray:
 
 
 def hashes_of(text: bytes, words: int) -> np.ndarray:
-    found = shingles_of(text, words)
-    return np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), dtype=np.uint64, count=len(found))
+    found = [np.fromiter(map(xxhash.xxh64_intdigest, b, repeat(SEED)), dtype=np.uint64, count=len(b)) for b in shingle_blocks(text, words)]
+    return np.concatenate(found) if len(found) > 1 else (found[0] if found else np.zeros(0, dtype=np.uint64))
 
 
 def fingerprints_of_hashes(hashes: np.ndarray, rounds: int) -> np.ndarray:
-    if not len(hashes):
-        return np.zeros(rounds, dtype=np.uint64)
-    total = np.zeros((rounds, 64), dtype=np.int64)
-    for i in range(0, len(hashes), 65536):
-        h = hashes[i : i + 65536]
-        for r in range(rounds):
-            if r:
-                h = mixed(h)
-            total[r] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > len(hashes), axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return simhashes([hashes], rounds)[0]
+
+
+def simhashes(lists: list[np.ndarray], rounds: int) -> np.ndarray:
+    """[lists, rounds]: the SimHashes of each list of hashes, 0 for an empty one.
+
+    Bits are counted for all lists at once, eight bits at a time with one to a byte, in runs that a byte can count."""
+    out = np.zeros((len(lists), rounds), dtype=np.uint64)
+    size = np.array([len(h) for h in lists], dtype=np.int64)
+    if not size.sum():
+        return out
+    full = np.flatnonzero(size)
+    runs = -(-size[full] // 255)
+    first = np.cumsum(runs) - runs  # of each list, among the runs
+    within = np.arange(runs.sum()) - np.repeat(first, runs)
+    start = np.repeat(np.cumsum(size[full]) - size[full], runs) + 255 * within
+    h = np.concatenate([lists[i] for i in full])
+    for turn in range(rounds):
+        if turn:
+            h = mixed(h)
+        total = np.empty((len(full), 8, 8), dtype=np.int64)
+        for b in range(8):
+            lanes = np.add.reduceat((h >> np.uint64(b)) & np.uint64(0x0101010101010101), start)
+            total[:, :, b] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
+        over = 2 * total.reshape(-1, 64) > size[full][:, None]
+        out[full, turn] = np.packbits(over, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -90,376 +96,43 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint_columns(rounds: int) -> list[str]:
-    return ["fp", *(f"fp{r}" for r in range(1, rounds))]
-
-
-def fingerprints(docs: DataFrame, words: int = 3, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long, fp1, ...): a row for each input row; null and empty texts have fingerprint 0."""
-    names = fingerprint_columns(rounds)
-
-    def run(batch: pa.RecordBatch) -> dict:
-        fps = signed(np.array([fingerprints_of(t, words, rounds) for t in texts_of(batch, "_t")], dtype=np.uint64).reshape(-1, rounds))
-        return {"id": batch.column("id")} | {n: np.ascontiguousarray(fps[:, i]) for i, n in enumerate(names)}
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t"))
-    return map_batches(rows, run, "id long, " + ", ".join(f"{n} long" for n in names))
-
-
-def set_fingerprints(docs: DataFrame, words: int, rounds: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, same binary, n int, fp long, fp1, ...): fingerprints of the distinct shingles, however often a text repeats them, a
-    128-bit hash of that set and its size."""
-    names = fingerprint_columns(rounds)
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp long): a row for each input row; null and empty texts have fingerprint 0."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        sets = [np.unique(hashes_of(t, words)) for t in texts_of(batch, "_t")]
-        fps = signed(np.array([fingerprints_of_hashes(h, rounds) for h in sets], dtype=np.uint64).reshape(-1, rounds))
-        same = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
-        return {"id": batch.column("id"), "same": same, "n": [len(h) for h in sets]} | {n: np.ascontiguousarray(fps[:, i]) for i, n in enumerate(names)}
+        return {"id": batch.column("id"), "fp": signed(simhashes([hashes_of(t, words) for t in texts_of(batch, "_t")], 1)[:, 0].copy())}
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t"))
-    return map_batches(rows, run, "id long, same binary, n int, " + ", ".join(f"{n} long" for n in names))
-
-
-def _key_rows(batch: pa.RecordBatch) -> dict:
-    fp = batch.column("fp").to_numpy(zero_copy_only=False)
-    unsigned = fp.view(np.uint64)
-    codes, counts = [], []
-    for shift, width in SEGMENTS:
-        word = ((unsigned >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
-        c, n = golay.keys(word)
-        codes.append(c)
-        counts.append(n)
-    keys, owners = [], []
-    slot = np.arange(6)
-    for p, (i, j) in enumerate(PAIRS):
-        use = (slot < counts[i][:, None])[:, :, None] & (slot < counts[j][:, None])[:, None, :]
-        key = (p << 24) | (codes[i][:, :, None] << 12) | codes[j][:, None, :]
-        keys.append(key[use])
-        owners.append(np.broadcast_to(fp[:, None, None], use.shape)[use])
-    return {"key": np.concatenate(keys).astype(np.int32), "fp": np.concatenate(owners)}
-
-
-def spanning_forest(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimum spanning forest of distinct fingerprints over pairs within max_bits, in memory linear in their number."""
-    m = len(fp)
-    if m > LARGE_BUCKET:
-        return _split_forest(fp, max_bits)
-    unsigned = fp.view(np.uint64)
-    best = np.full(m, 127, dtype=np.uint8)
-    via = np.zeros(m, dtype=np.int64)
-    out = np.zeros(m, dtype=bool)
-    a, b, d = [], [], []
-    at = 0
-    for _ in range(m - 1):
-        out[at] = True
-        dist = np.bitwise_count(unsigned ^ unsigned[at])
-        closer = dist < best
-        best[closer] = dist[closer]
-        via[closer] = at
-        at = int(np.where(out, 255, best).argmin())
-        if best[at] <= max_bits:
-            a.append(fp[via[at]])
-            b.append(fp[at])
-            d.append(best[at])
-    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.array(d, dtype=np.int32)
-
-
-def _split_forest(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same connections for a very large bucket: of max_bits + 1 blocks of bits a pair has one alike."""
-    parts = []
-    edges = np.linspace(0, 64, max_bits + 2).astype(int)
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        block = (fp.view(np.uint64) >> np.uint64(lo)) & np.uint64((1 << int(hi - lo)) - 1)
-        order = np.argsort(block, kind="stable")
-        cuts = np.flatnonzero(np.diff(block[order])) + 1
-        for group in np.split(fp[order], cuts):
-            blocks = [group[i : i + LARGE_BUCKET // 2] for i in range(0, len(group), LARGE_BUCKET // 2)]
-            if len(blocks) <= 2:
-                if len(group) > 1:
-                    parts.append(spanning_forest(group, max_bits))
-            else:  # a block of bits that all share: each pair of row blocks
-                for i, x in enumerate(blocks):
-                    parts += [spanning_forest(np.concatenate([x, y]), max_bits) for y in blocks[i + 1 :]]
-    return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for k in range(3))
-
-
-def bucket_links(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Verified links inside each key's bucket: a minimum spanning forest of its pairs within max_bits."""
-    order = np.argsort(key, kind="stable")
-    key, fp = key[order], fp[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    length = np.diff(np.append(first, len(key)))
-    found = []
-    for start, n in zip(first[length > SMALL_BUCKET], length[length > SMALL_BUCKET]):
-        found.append(spanning_forest(np.unique(fp[start : start + n]), max_bits))
-    # Small buckets: rows are compared with those one, two, ... places on, for all buckets at once.
-    size = np.repeat(np.where(length <= SMALL_BUCKET, length, 0), length)
-    place = np.arange(len(key)) - np.repeat(first, length)
-    pairs = []
-    lag, live = 1, np.flatnonzero(size > 1)
-    while len(live):
-        live = live[place[live] + lag < size[live]]
-        dist = np.bitwise_count(fp[live].view(np.uint64) ^ fp[live + lag].view(np.uint64))
-        near = (dist <= max_bits) & (dist > 0)
-        pairs.append((live[near], live[near] + lag, dist[near].astype(np.int32)))
-        lag += 1
-    if pairs:
-        x, y, d = (np.concatenate([p[k] for p in pairs]) for k in range(3))
-        keep = forest_edges(x, y, d)
-        found.append((fp[x[keep]], fp[y[keep]], d[keep]))
-    if not found:
-        return (np.zeros(0, dtype=np.int64),) * 3
-    a, b, d = (np.concatenate([f[k] for f in found]) for k in range(3))
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    _, keep = np.unique(np.stack([low, high]), axis=1, return_index=True)
-    return low[keep], high[keep], d[keep]
-
-
-def forest_edges(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Which of the pairs of rows are in a minimum spanning forest, nearest first. Rows of one bucket only meet each other."""
-    parent: dict[int, int] = {}
-
-    def find(i: int) -> int:
-        while (up := parent.get(i, i)) != i:
-            parent[i] = parent.get(up, up)
-            i = up
-        return i
-
-    keep = []
-    order = np.argsort(d, kind="stable")
-    for e, i, j in zip(order.tolist(), x[order].tolist(), y[order].tolist()):
-        i, j = find(i), find(j)
-        if i != j:
-            parent[i] = j
-            keep.append(e)
-    return np.array(keep, dtype=np.int64)
-
-
-def first_common_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest key that each pair of fingerprints shares; -1 where they share none."""
-    common = []
-    for shift, width in SEGMENTS:
-        (ca, na), (cb, nb) = (golay.keys(((x.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)) for x in (a, b))
-        slot = np.arange(6)
-        same = (ca[:, :, None] == cb[:, None, :]) & (slot < na[:, None])[:, :, None] & (slot < nb[:, None])[:, None, :]
-        common.append(np.where(same, ca[:, :, None].astype(np.int64), 1 << 12).min(axis=(1, 2)))
-    out = np.full(len(a), -1, dtype=np.int64)
-    for p, (i, j) in reversed(list(enumerate(PAIRS))):
-        both = (common[i] < 1 << 12) & (common[j] < 1 << 12)
-        out[both] = ((p << 24) | (common[i] << 12) | common[j])[both]
-    return out
-
-
-def bucket_pairs(
-    key: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.ndarray, max_bits: int, block: int = 1 << 18
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs (u, v) of nodes of different labels that share a key and are within max_bits, each from its first common key alone."""
-    order = np.lexsort((label, key))
-    key, fp, node, label = key[order], fp[order], node[order], label[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    length = np.diff(np.append(first, len(key)))
-    mixed_labels = label[first] != label[first + length - 1]
-    size = np.repeat(np.where(mixed_labels, length, 0), length)
-    place = np.arange(len(key)) - np.repeat(first, length)
-    lag, live = 1, np.flatnonzero(size > 1)
-    while len(live):
-        live = live[place[live] + lag < size[live]]
-        for i in range(0, len(live), block):
-            x = live[i : i + block]
-            y = x + lag
-            near = (np.bitwise_count(fp[x].view(np.uint64) ^ fp[y].view(np.uint64)) <= max_bits) & (label[x] != label[y])
-            x, y = x[near], y[near]
-            if len(x):
-                once = first_common_key(fp[x], fp[y]) == key[x]
-                yield node[x[once]], node[y[once]]
-        lag += 1
-
-
-def fingerprint_links(unique: DataFrame, max_bits: int = 3) -> DataFrame:
-    """unique (fp long, distinct) -> (a long, b long, bits int): links that connect what pairs within max_bits connect.
-
-    Exact for max_bits up to 5. Beyond, two fingerprints need two segments with a common codeword:
-    measured on random errors a segment is shared at 1, 1, 1, 0.60, 0.60, 0.19 for 0 to 5 differing bits."""
-    spark = unique.sparkSession
-    n = unique.count()
-    keyed = map_batches(unique.select("fp"), _key_rows, "key int, fp long")
-    parts = shuffle_partitions_for(spark, n * KEYS_PER_FINGERPRINT * 24)
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = [], []
-        for batch in batches:
-            keys.append(batch.column(0).to_numpy(zero_copy_only=False))
-            fps.append(batch.column(1).to_numpy(zero_copy_only=False))
-        if keys:
-            a, b, d = bucket_links(np.concatenate(keys), np.concatenate(fps), max_bits)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(d.astype(np.int32))], names=["a", "b", "bits"]
-            )
-
-    found = keyed.repartition(parts, "key").mapInArrow(links, "a long, b long, bits int")
-    return found.groupBy("a", "b").agg(F.min("bits").alias("bits"))
-
-
-def open_pairs(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """nodes (fp long, node long, label long) -> (u long, v long): every pair of nodes of different labels that share a key
-    and are within max_bits."""
-    spark = nodes.sparkSession
-    n = nodes.count()
-
-    def keyed(batch: pa.RecordBatch) -> dict:
-        order = np.argsort(batch.column("fp").to_numpy(zero_copy_only=False), kind="stable")
-        fp, node, label = (batch.column(c).to_numpy(zero_copy_only=False)[order] for c in ("fp", "node", "label"))
-        found = _key_rows(pa.RecordBatch.from_pydict({"fp": np.unique(fp)}))
-        lo, hi = np.searchsorted(fp, found["fp"], "left"), np.searchsorted(fp, found["fp"], "right")
-        row = np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-        return {"key": np.repeat(found["key"], hi - lo), "fp": fp[row], "node": node[row], "label": label[row]}
-
-    rows = map_batches(nodes.select("fp", "node", "label"), keyed, "key int, fp long, node long, label long")
-    parts = shuffle_partitions_for(spark, n * KEYS_PER_FINGERPRINT * 40)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [[], [], [], []]
-        for batch in batches:
-            for i, c in enumerate(columns):
-                c.append(batch.column(i).to_numpy(zero_copy_only=False))
-        if columns[0]:
-            for u, v in bucket_pairs(*(np.concatenate(c) for c in columns), max_bits):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
-
-    return rows.repartition(parts, "key").mapInArrow(pairs, "u long, v long")
-
-
-def of_like_sizes(ends: DataFrame, nodes: DataFrame, min_jaccard: float) -> DataFrame:
-    """The pairs (u, v) whose sets' sizes allow the Jaccard limit, which is at most the smaller by the larger."""
-    size = lambda end: nodes.select(F.col("rep").alias(end), F.col("n").alias(f"n{end}"))
-    both = ends.join(size("u"), "u").join(size("v"), "v")
-    return both.where(F.least("nu", "nv") + 1e-6 >= min_jaccard * F.greatest("nu", "nv")).select("u", "v")
-
-
-def verified_components(ends: DataFrame, nodes: DataFrame, names: list[str], docs: DataFrame, words: int, max_bits: int, min_jaccard: float, id_col: str, text_col: str) -> DataFrame:
-    """(node, component) over all candidate pairs that pass verification, without listing the pairs of a dense bucket.
-
-    ends (u, v) connect all that candidate pairs of nodes (rep long, n int, a fingerprint for each name) connect. They are verified
-    first. Where all of them pass, candidates are in one component already, so no other pair of theirs can matter. Where one
-    fails, every candidate pair that is still in different components is listed and verified as well."""
-    ends = materialize(ends.where("u <> v").distinct(), "simhash", True)
-    passed = materialize(verified_links(of_like_sizes(ends, nodes, min_jaccard), docs, words, min_jaccard, id_col, text_col), "simhash", True)
-    groups = materialize(connected_components(passed), "simhash")
-    label = materialize(
-        nodes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", *names, F.coalesce("component", "rep").alias("label")), "simhash"
-    )
-    side = lambda end: label.select(F.col("rep").alias(end), F.col("label").alias(f"l{end}"))
-    failed = ends.join(side("u"), "u").join(side("v"), "v").where("lu <> lv")
-    torn = materialize(failed.select(F.explode(F.array("lu", "lv")).alias("label")).distinct(), "simhash")
-    if torn.isEmpty():
+    return map_batches(rows, run, "id long, fp long")
+
+
+def classes(nodes: DataFrame, bits: int = 3, **settings) -> DataFrame:
+    """nodes (node long, fp long, distinct) -> (node, component): what pairs within so many bits connect, of nodes linked to another."""
+    if bits > GUARANTEED_BITS:
+        raise ValueError(f"keys find all pairs up to {GUARANTEED_BITS} bits only")
+    s = exact(bits, **settings)
+    nodes = nodes.select("node", F.lit(0).alias("n"), "fp")
+    total = nodes.count()
+    prefix_bits = prefix_bits_for(total, s)
+    found = materialize(first_pass(nodes, s, prefix_bits, partitions_for(nodes, total, s, 1)), "simhash", True)
+    groups = materialize(connected_components(found), "simhash")
+    deep = found.where("u = v").select(F.col("u").alias("node"))
+    if deep.isEmpty():
         return groups
-    unsettled = materialize(label.join(torn, "label", "left_semi"), "simhash")
-    more = None
-    for name in names:
-        found = materialize(open_pairs(unsettled.select(F.col(name).alias("fp"), F.col("rep").alias("node"), "label"), max_bits), "simhash", True)
-        more = found if more is None else more.union(found)
-    more = materialize(of_like_sizes(more.distinct().join(ends, ["u", "v"], "left_anti"), nodes, min_jaccard), "simhash", True)
-    more = materialize(verified_links(more, docs, words, min_jaccard, id_col, text_col), "simhash", True)
+    label = nodes.join(deep, "node", "left_semi").join(groups, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    label = materialize(label, "simhash", True)
+    more = materialize(second_pass(label, s, prefix_bits, partitions_for(label, label.count(), s, 1)), "simhash", True)
     return connected_components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
 
-def shingle_set(text: bytes, words: int) -> bytes:
-    """The sorted distinct shingles as 32-bit hashes, packed."""
-    found = shingles_of(text, words)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), dtype=np.uint64, count=len(found))
-    return np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes()
-
-
-def jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
-    if not len(x) and not len(y):
-        return 1.0
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    return common / (len(x) + len(y) - common)
-
-
-def verified_links(ends: DataFrame, docs: DataFrame, words: int, min_jaccard: float, id_col: str, text_col: str) -> DataFrame:
-    """Of links (u, v) between ids those whose shingle sets are at least that similar, by exact set comparison.
-    The texts of linked ids alone are hashed; they are found by a join that Spark broadcasts only if its table is small."""
-    ends = materialize(ends, "simhash", True)
-    linked = materialize(ends.select(F.col("u").alias("id")).union(ends.select("v")).distinct(), "simhash")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t")).join(linked, "id", "left_semi")
-
-    def sets(batch: pa.RecordBatch) -> dict:
-        return {"id": batch.column("id"), "set": [shingle_set(t, words) for t in texts_of(batch, "_t")]}
-
-    by_id = materialize(map_batches(rows, sets, "id long, set binary").dropDuplicates(["id"]), "simhash", True)
-    pairs = ends.join(by_id.select(F.col("id").alias("u"), F.col("set").alias("su")), "u").join(
-        by_id.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v"
-    )
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            su, sv = batch.column("su").to_pylist(), batch.column("sv").to_pylist()
-            near = pa.array([jaccard(a, b) >= min_jaccard for a, b in zip(su, sv)], pa.bool_())
-            yield batch.select(["u", "v"]).filter(near)
-
-    return pairs.select("u", "v", "su", "sv").mapInArrow(keep, "u long, v long")
-
-
-def near_duplicates(
-    docs: DataFrame, words: int = 3, max_bits: int = 3, min_jaccard: float | None = None, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long, component long) for each row of docs; component is the smallest id that links reach.
 
-    With several rounds, texts whose fingerprints are near in any round are candidates. Without min_jaccard, rows with all
-    fingerprints equal always link. With it, fingerprints are those of the distinct shingles, rows with the same shingle
-    set are merged, and every other link, between equal fingerprints too, counts only if the sets are that similar.
-    Null and empty texts have fingerprint 0 and link like any other. Rows that repeat an id each return a
-    row. A null id returns a null component unless its group has another id. An empty table returns no rows."""
-    names = fingerprint_columns(rounds)
-    by_set = min_jaccard is not None
-    merged = ["same"] if by_set else names
-    made = set_fingerprints if by_set else fingerprints
-    fps = materialize(made(docs, words, rounds, id_col, text_col), "simhash")
-    unique = materialize(fps.groupBy(*dict.fromkeys([*merged, *names])).agg(F.min("id").alias("rep"), *([F.max("n").alias("n")] if by_set else [])), "simhash")
-    ends = None
-    for name in names:
-        one = unique if rounds == 1 and not by_set else materialize(unique.groupBy(name).agg(F.min("rep").alias("rep")), "simhash")
-        links = fingerprint_links(one.select(F.col(name).alias("fp")), max_bits)
-        found = (
-            links.join(one.select(F.col(name).alias("a"), F.col("rep").alias("u")), "a")
-            .join(one.select(F.col(name).alias("b"), F.col("rep").alias("v")), "b")
-            .select("u", "v")
-        )
-        if rounds > 1 or by_set:  # alike in this round alone
-            alike = unique.join(one.select(name, F.col("rep").alias("v")), name).where("rep <> v").select(F.col("rep").alias("u"), "v")
-            found = found.union(alike)
-        if by_set:
-            found = materialize(found, "simhash", True)
-        ends = found if ends is None else ends.union(found)
-    if not by_set:
-        groups = connected_components(ends)
-    else:
-        ends = ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        groups = verified_components(ends, unique, names, docs, words, max_bits, min_jaccard, id_col, text_col)
-    label = materialize(
-        unique.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*merged, F.coalesce("component", "rep").alias("component")), "simhash"
-    )
-    drop_materialized(unique)
-    return fps.join(label, merged).select("id", "fp", "component")
-
-
-def keep_one_of_each(
-    docs: DataFrame, words: int = 5, max_bits: int = 16, min_jaccard: float = 0.8, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """docs without near-duplicates: of each group the row of the smallest id stays, with all its columns.
-
-    A pair at a Jaccard of exactly 0.8 differs in 10 of 64 bits in the mean; the default limit and rounds are set to
-    propose 99 % of such pairs, and more of any nearer ones.
-
-    Rows that repeat an id are one document, of which one row stays. Rows with a null id cannot be named, so they
-    stay. Texts are not shuffled unless the table of removed ids is too large for Spark to broadcast."""
-    found = materialize(near_duplicates(docs, words, max_bits, min_jaccard, rounds, id_col, text_col), "simhash")
-    removed = materialize(found.where("id <> component").select(F.col("id").alias(id_col)).distinct(), "simhash")
-    repeated = materialize(found.where("id IS NOT NULL").groupBy(F.col("id").alias(id_col)).count().where("count > 1").select(id_col), "simhash")
-    kept = docs.join(removed, id_col, "left_anti")
-    if not repeated.isEmpty():
-        kept = kept.join(repeated, id_col, "left_anti").unionByName(kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col]))
-    return kept.select(*docs.columns)
+    Null and empty texts have fingerprint 0 and link like any other, rows of one fingerprint always. Rows that repeat an
+    id each return a row. A null id returns a null component unless its fingerprint has another id. Texts of any length are
+    hashed whole. An empty table returns no rows. Other columns of docs, whatever their names, are not read."""
+    fps = materialize(fingerprints(docs, words, id_col, text_col), "simhash")
+    unique = materialize(fps.groupBy("fp").agg(F.min("id").alias("node")), "simhash", True)
+    groups = classes(unique.where("node IS NOT NULL"), max_bits)
+    label = unique.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    return fps.join(materialize(label, "simhash", True), "fp").select("id", "fp", "component")

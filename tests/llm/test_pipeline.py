@@ -6,7 +6,7 @@ import numpy as np
 
 import corpus_pipeline as C
 from lodeseek.llm import decontaminate, packing, secret_scan, simhash
-from tests.llm.conftest import frame, prose
+from tests.llm.conftest import CLASHING, frame, prose
 
 
 def test_stages(spark, rng, tmp_path):
@@ -52,3 +52,24 @@ def test_no_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_survive_odd_rows(spark, rng, oddities, tmp_path):
+    """Nulls in every column, repeated rows, very long texts and columns of clashing names: each stage keeps the columns and whole rows."""
+    item = " ".join(f"bench{i}" for i in range(20))
+    texts = [prose(rng, 60) + (" fool" if i % 5 == 0 else "") for i in range(100)] + oddities
+    docs = frame(spark, texts, CLASHING.replace("id ", "") + " u v n same node label item_id")
+    blank = docs.select(*(docs[c] if c in ("doc_id", "text") else docs[c].substr(99, 1).cast(t).alias(c) for c, t in docs.dtypes)).limit(5)
+    docs = docs.unionByName(docs).unionByName(blank)
+    labels = spark.createDataFrame([(i, 1, int("fool" in texts[i])) for i in range(100)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, item), (1, None), (None, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        rows = sorted((r.doc_id, r.text or "") for r in out.select("doc_id", "text").collect())
+        if name in ("decontamination", "secret_scan"):
+            assert rows == before, name
+        assert set(rows) <= set(before)
+    assert C.pack_windows(spark, docs, str(tmp_path)).groupBy("doc_id").count().count() == len(texts)

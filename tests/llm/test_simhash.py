@@ -49,76 +49,38 @@ def brute(fps, bits):
 
 
 @pytest.mark.parametrize("bits", [3, 5])
-@pytest.mark.parametrize("small, large", [(16, 30_000), (2, 30_000), (2, 20)])
-def test_links_connect_as_brute_force(spark, monkeypatch, bits, small, large):
-    """Random fingerprints and dense clusters, through small buckets, trees and split buckets."""
-    import pyarrow as pa
-
-    monkeypatch.setattr(S, "SMALL_BUCKET", small)
-    monkeypatch.setattr(S, "LARGE_BUCKET", large)
+@pytest.mark.parametrize("narrow", [{}, {"lags": 2}, {"lags": 2, "block_rows": 7}, {"shard_rows": 20, "block_rows": 10}])
+def test_links_connect_as_brute_force(spark, bits, narrow):
+    """Random fingerprints and dense clusters, whether buckets and shards are compared at once, in parts or in pairs of blocks."""
     rng = np.random.RandomState(bits)
     fps = [int(x) for x in rng.randint(0, 1 << 62, 150)]
     for center in fps[:4]:
         fps += [center ^ sum(1 << int(b) for b in rng.permutation(14)[: rng.randint(1, 6)]) for _ in range(60)]
     fps = sorted(set(fps))
-    keyed = S._key_rows(pa.RecordBatch.from_pydict({"fp": np.array(fps, dtype=np.int64)}))
-    a, b, d = S.bucket_links(keyed["key"], keyed["fp"], bits)
-    assert all(bin(int(x) ^ int(y)).count("1") == z <= bits for x, y, z in zip(a, b, d))
-    place = {f: i for i, f in enumerate(fps)}
-    parent = list(range(len(fps)))
+    nodes = spark.createDataFrame(list(enumerate(fps)), "node long, fp long")
+    got = {r.node: r.component for r in S.classes(nodes, bits, **narrow).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == brute(fps, bits)
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for x, y in zip(a, b):
-        i, j = find(place[int(x)]), find(place[int(y)])
-        parent[max(i, j)] = min(i, j)
-    assert [find(i) for i in range(len(fps))] == brute(fps, bits)
-
-
-def test_open_pairs_are_all_pairs_of_different_labels(spark):
-    """A dense bucket with two labels, equal fingerprints included: each near pair across labels, once."""
-    rng = np.random.RandomState(4)
-    center = int(rng.randint(0, 1 << 62))
-    fps = [center ^ sum(1 << int(b) for b in rng.permutation(40)[: rng.randint(0, 4)]) for _ in range(60)]
-    rows = [(f, i, i % 3 // 2) for i, f in enumerate(fps)]
-    got = [(r.u, r.v) for r in S.open_pairs(spark.createDataFrame(rows, "fp long, node long, label long"), 5).collect()]
-    want = {(i, j) for i, j in combinations(range(60), 2) if i % 3 // 2 != j % 3 // 2 and bin(fps[i] ^ fps[j]).count("1") <= 5}
-    assert len(got) == len(set(got)) and set(got) == want
-
-
-def test_a_nearer_neighbour_that_fails_hides_no_pair(spark, rng):
-    """Families of texts around a Jaccard of 0.8: links are as by brute force, wherever the fingerprints hang on others."""
-    texts = []
-    for _ in range(12):
-        base = prose(rng, 150).split()
-        for _ in range(12):
-            near = list(base)
-            for at in rng.sample(range(150), rng.randint(1, 5)):
-                near[at] = f"edit{rng.random()}"
-            texts.append(" ".join(near))
-    sets = [set(S.shingles_of(t.encode(), 5)) for t in texts]
-    want, n = list(range(len(texts))), len(texts)
-    for _ in range(12):
-        for i, j in combinations(range(n), 2):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                want[i] = want[j] = min(want[i], want[j])
-    assert len(set(want)) > 24
-    got = {r.id: r.component for r in S.near_duplicates(frame(spark, texts), 5, 12, 0.8, 2).collect()}
-    assert got == dict(enumerate(want))
-
-
-def test_a_repeated_line_does_not_make_duplicates(spark, rng):
-    """A line that fills two texts decides a SimHash of counts; their own words differ, so both stay, and a true copy goes."""
-    line = prose(rng, 9)
-    one, two = ("\n".join([line] * 60 + [" ".join(f"{x}{i}" for i in range(50))]) for x in "ab")
-    texts = [one, two, one + " more", one.replace("\n", "  "), "\n".join([line, one])]
-    assert S.fingerprints_of(one.encode(), 5, 2).tolist() == S.fingerprints_of(two.encode(), 5, 2).tolist()
-    docs = frame(spark, texts)
-    assert {r.doc_id for r in S.keep_one_of_each(docs).collect()} == {0, 1}
-    assert {r.id: r.component for r in S.near_duplicates(docs, 5, 12, 0.8, 1).collect()} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0}
+def test_a_chain_within_the_limit_is_one_class(spark):
+    """Each fingerprint differs from the next in three bits, from the one after in six."""
+    fps = [0]
+    for i in range(20):
+        fps.append(fps[-1] ^ (7 << (3 * i)))
+    got = {r.node: r.component for r in S.classes(spark.createDataFrame(list(enumerate(fps)), "node long, fp long"), 3).collect()}
+    assert got == {i: 0 for i in range(1, 21)}
+    assert S.classes(spark.createDataFrame(list(enumerate(fps)), "node long, fp long"), 2).count() == 0
+    with pytest.raises(ValueError):
+        S.classes(spark.createDataFrame([], "node long, fp long"), 6)
+
+
+def test_shingles_do_not_hang_on_blocks(rng):
+    for n in (0, 1, 2, 3, 10, 11, 12, 25):
+        text = " ".join(f"W{i}" for i in range(n)).encode()
+        words = text.lower().split()
+        want = [b" ".join(words[i : i + 3]) for i in range(n - 2)] if n >= 3 else [b" ".join(words)] if n else []
+        for block in (1, 4, 10, 65_536):
+            assert [x for b in S.shingle_blocks(text, 3, block) for x in b] == want
 
 
 def test_fingerprint_by_definition():
@@ -132,8 +94,9 @@ def test_fingerprint_by_definition():
 
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(10, 60)] + [(100, i) for i in range(101, 160)] + [(5, 5), (None, 3)] + [(200, 201), (201, 202), (202, 200)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {**{i: 10 for i in range(11, 61)}, **{i: 100 for i in range(101, 160)}, 201: 200, 202: 200}
+    for per_task in (1000, 7):  # at once, and by stars of parts
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long").repartition(40), per_task).collect()}
+        assert got == {**{i: 10 for i in range(11, 61)}, **{i: 100 for i in range(101, 160)}, 201: 200, 202: 200}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
@@ -148,50 +111,9 @@ def test_near_duplicates_over_a_table(spark, rng, oddities):
     assert S.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_one_of_each_stays(spark, rng):
-    base = prose(rng, 300).split()
-    near = base[:150] + ["changed"] + base[151:]
-    half = base[:150] + prose(rng, 150).split()
-    texts = [" ".join(base), prose(rng, 300), " ".join(near), " ".join(base), " ".join(half), None, ""]
-    docs = frame(spark, texts, CLASHING)
-    kept = S.keep_one_of_each(docs)
-    assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {0, 1, 4, 5}
-    again = S.keep_one_of_each(docs.unionByName(docs))
-    assert sorted(r.doc_id for r in again.collect()) == [0, 1, 4, 5]
-    assert S.keep_one_of_each(docs.limit(0)).count() == 0
-
-
-def test_a_second_round_finds_what_the_first_misses(spark, rng):
-    """Edited copies at a Jaccard of 0.8 to 0.9: two rounds link nearly all, and no strangers."""
-    texts = []
-    for _ in range(60):
-        words = prose(rng, 250).split()
-        near = list(words)
-        for at in range(20, 250, 62):
-            near[at] = "edited"
-        texts += [" ".join(words), " ".join(near)]
-    docs = frame(spark, texts)
-    linked = {}
-    for rounds in (1, 2):
-        got = {r.id: r.component for r in S.near_duplicates(docs, 5, 12, 0.8, rounds).collect()}
-        assert all(got[i] in (i, i - i % 2) for i in got)
-        linked[rounds] = sum(got[i] == i - 1 for i in range(1, 120, 2))
-    assert linked[2] >= 54 and linked[2] >= linked[1]
-
-
-def test_pairs_at_the_limit_are_found(spark, rng):
-    """200 pairs at a Jaccard of exactly 0.8 (of 225 shingles 25 differ), with the pipeline's settings: 97 % at least are linked."""
-    import corpus_pipeline as P
-
-    texts = []
-    for _ in range(200):
-        words = [f"w{rng.randrange(10**9)}" for _ in range(229)]
-        near = list(words)
-        for at in range(20, 229, 45):
-            near[at] = "edited"
-        texts += [" ".join(words), " ".join(near)]
-    a, b = (set(S.shingles_of(t.encode(), 5)) for t in texts[:2])
-    assert len(a & b) == 0.8 * len(a | b)
-    kept = {r.doc_id for r in P.drop_near_duplicates(spark, frame(spark, texts), "").collect()}
-    assert kept >= set(range(0, 400, 2)) and len(kept) <= 206
+def test_bits_are_counted_alike_in_lists_of_any_length():
+    h = np.random.RandomState(1).randint(0, 1 << 62, 70_000).astype(np.uint64) * np.uint64(3)
+    lists = [h[:n] for n in (0, 1, 254, 255, 256, 511, 70_000, 0)]
+    for found, part in zip(S.simhashes(lists, 2), lists):
+        want = sum(1 << b for b in range(64) if 2 * int(((part >> np.uint64(b)) & np.uint64(1)).sum()) > len(part))
+        assert int(found[0]) == want
