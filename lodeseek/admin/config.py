@@ -85,6 +85,8 @@ def mode_warnings(config: Mapping) -> list[str]:
         (local and not block, "local mode without blocking external calls"),
         (not local and block, "cloud mode blocks external calls"),
         (not local and provider in LOCAL_PROVIDERS, f"cloud mode with the local provider {provider}"),
+        (local and config["embedding"].get("local") is False, "local mode with embedding.local = false"),
+        (not local and config["embedding"].get("local") is True, "cloud mode with embedding.local = true"),
     )
     return [text for wrong, text in found if wrong]
 
@@ -104,6 +106,35 @@ def preset(name: str, cloud: Mapping[str, str] | None = None) -> dict:
     })
 
 
+#: What a hosted provider embeds with unless told otherwise, and where a local server listens.
+PROVIDER_MODELS = {"transformers": "Xenova/all-MiniLM-L6-v2", "openai": "text-embedding-3-small", "voyageai": "voyage-2"}
+LOCAL_ADDRESS = "localhost:19530"
+
+
+def build(
+    mode: str = "local", backend: str = "parquet", provider: str = "transformers", path: str | None = None, address: str | None = None, token: str | None = None,
+    model: str | None = None, api_key: str | None = None,
+) -> tuple[dict, list[str]]:
+    """(configuration, warnings) from a few answers: each backend's and provider's own settings, calls blocked in local mode."""
+    for value, known, name in ((mode, MODES, "mode"), (backend, BACKENDS, "backend"), (provider, PROVIDERS, "provider")):
+        if value not in known:
+            raise ConfigInvalid(f"{name} must be one of {', '.join(known)}, not {value!r}")
+    hosted = provider not in LOCAL_PROVIDERS
+    if hosted and mode == "cloud" and not api_key:
+        raise ConfigInvalid(f"cloud mode with {provider} needs an API key")
+    if backend == "parquet":
+        store = {"path": path or DEFAULTS["vectorStore"]["config"]["path"]}
+    elif backend in LOCAL_BACKENDS:
+        store = {"address": address or LOCAL_ADDRESS, "standalone": mode == "local"}
+    else:
+        store = {"address": address or "", "token": token or ""}
+    embedding = {"provider": provider, "model": model or PROVIDER_MODELS[provider], "local": not hosted} | ({"apiKey": api_key} if hosted else {})
+    out = merged(DEFAULTS, {"mode": mode, "privacy": {"blockExternalCalls": mode == "local"}})
+    out |= {"vectorStore": {"backend": backend, "config": store}, "embedding": embedding}
+    check(out)
+    return out, mode_warnings(out)
+
+
 def save(config: Mapping, path: str, overwrite: bool = False) -> None:
     check(config)
     if Path(path).exists() and not overwrite:

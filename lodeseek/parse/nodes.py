@@ -113,6 +113,11 @@ def tree_of(code: str | None, language: str) -> list[dict]:
     return python_tree(code) if language == "python" else bracket_tree(code)
 
 
+def available() -> tuple[str, ...]:
+    """The languages that have syntax trees."""
+    return ("python", *BRACKETED)
+
+
 def nodes(files: DataFrame) -> DataFrame:
     """files (path, language, content) -> NODES, in Arrow batches next to the scan."""
     return _table(files, ["path", "language", "content"], lambda p, lang, c: [{"path": p} | n for n in tree_of(c, lang)], NODES)

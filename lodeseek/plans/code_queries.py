@@ -466,3 +466,13 @@ def ast_error_nodes(spark, sf_dir):
     even = F.regexp_extract("path", "([0-9]+)", 1).cast("long") % 2 == 0
     tree = nodes.nodes(files.withColumn("content", F.when(even, F.concat("content", F.lit("func broken( {\n}"))).otherwise(F.col("content"))))
     return tree.groupBy("path").agg(F.max("tree_error").alias("tree_error"), F.count_if(F.col("type") == nodes.ERROR).alias("errors"))
+
+
+@R.add("""WITH c AS (SELECT doc_id AS i, (doc_id % 5)::INT AS k, '/w/' || doc_id || '.md' AS path FROM documents), m AS (SELECT *, unnest(range(0, k))::INT AS j FROM c)
+SELECT path, 'heading' AS kind, 1 AS line, 'Title ' || i AS text, NULL AS target FROM c UNION ALL SELECT path, 'heading', 3 + 4 * j, 'Part ' || j, NULL FROM m
+UNION ALL SELECT path, 'link', 5 + 4 * j, 'part ' || j, 'docs/p' || j || '.md' FROM m UNION ALL SELECT path, 'link', 5 + 4 * j, 'home', 'https://example.org/' || j FROM m
+UNION ALL SELECT path, 'code', 3 + 4 * k, 'x = ' || i, NULL FROM c UNION ALL SELECT path, 'image', 7 + 4 * k, 'plan', 'img/' || i || '.png' FROM c
+UNION ALL SELECT path, 'path', 7 + 4 * k, NULL, 'src/a' || i || '.py' FROM c""")
+def corpus_markdown(spark, sf_dir):
+    found = parsers.markdown(fixtures.markdown_corpus(spark, sf_dir))
+    return found.select("path", "kind", "line", F.when(F.col("kind") != "path", F.col("text")).alias("text"), F.when(F.col("kind") != "heading", F.col("target")).alias("target"))

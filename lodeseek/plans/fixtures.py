@@ -142,3 +142,17 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CORPUS_SQL = """c AS (SELECT doc_id AS i, (doc_id % 5)::INT AS k, doc_id % 3 AS kind, '/w/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' ELSE '.go' END AS path FROM documents)"""
+
+
+def markdown_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a Markdown file for each document, with id % 5 sections, each with a link, and one code block."""
+    from pyspark.sql import functions as F
+
+    from lodeseek.session import table
+
+    docs = table(spark, sf_dir, "documents").select("doc_id").withColumn("k", (F.col("doc_id") % 5).cast("int"))
+    i = F.col("doc_id").cast("string")
+    parts = F.when(F.col("k") > 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array().cast("array<int>"))
+    sections = F.array_join(F.transform(parts, lambda m: F.format_string("## Part %d\n\nSee [part %d](docs/p%d.md), or [home](https://example.org/%d).\n\n", m, m, m, m)), "")
+    content = F.concat(F.lit("# Title "), i, F.lit("\n\n"), sections, F.lit("```python\nx = "), i, F.lit("\n```\n\nRead `src/a"), i, F.lit(".py`, ![plan](img/"), i, F.lit(".png)\n"))
+    return docs.select(F.concat(F.lit("/w/"), i, F.lit(".md")).alias("path"), content.alias("content"))

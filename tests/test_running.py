@@ -419,3 +419,18 @@ def test_hosted_embedder_is_used_for_documents(spark, tmp_path):
     engine.index_project(rootPath=str(root))
     assert all(r.vector[1] == 2.0 for r in engine.store.read("chunks").select("vector").collect())
     assert HashingEmbedder().dimension() == 0
+
+
+def test_configurations_from_answers():
+    local, warnings = config.build()
+    assert local["vectorStore"] == config.DEFAULTS["vectorStore"] and local["privacy"]["blockExternalCalls"] and warnings == []
+    assert make_embedder(local) is not None
+    cloud, warnings = config.build("cloud", "qdrant", "voyageai", address="a", token="t", api_key="k")
+    assert cloud["vectorStore"]["config"] == {"address": "a", "token": "t"} and cloud["embedding"]["model"] == "voyage-2" and not cloud["privacy"]["blockExternalCalls"]
+    assert warnings == [] and config.build("local", "milvus")[0]["vectorStore"]["config"] == {"address": config.LOCAL_ADDRESS, "standalone": True}
+    assert len(config.build("local", "zilliz", "openai")[1]) == 3
+    assert len(config.build("cloud")[1]) == 2
+    for bad in ({"mode": "x"}, {"backend": "x"}, {"provider": "x"}, {"mode": "cloud", "provider": "openai"}):
+        with pytest.raises(ConfigInvalid):
+            config.build(**bad)
+    assert "python" in nodes.available() and "markdown" not in nodes.available()
