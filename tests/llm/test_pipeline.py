@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from lodeseek.llm import decontaminate, packing, secret_scan, simhash
@@ -59,7 +60,7 @@ def test_stages_survive_odd_rows(spark, rng, oddities, tmp_path):
     item = " ".join(f"bench{i}" for i in range(20))
     texts = [prose(rng, 60) + (" fool" if i % 5 == 0 else "") for i in range(100)] + oddities
     docs = frame(spark, texts, CLASHING.replace("id ", "") + " u v n same node label item_id")
-    blank = docs.select(*(docs[c] if c in ("doc_id", "text") else docs[c].substr(99, 1).cast(t).alias(c) for c, t in docs.dtypes)).limit(5)
+    blank = docs.select(*(docs[c] if c in ("doc_id", "text") else F.lit(None).cast(t).alias(c) for c, t in docs.dtypes)).limit(5)
     docs = docs.unionByName(docs).unionByName(blank)
     labels = spark.createDataFrame([(i, 1, int("fool" in texts[i])) for i in range(100)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
