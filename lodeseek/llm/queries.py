@@ -109,6 +109,57 @@ def op10_pack_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeseek.llm.alignment import align_and_count
+
+    return align_and_count(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op12_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeseek.llm.lexical_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20).withColumnRenamed("id", "doc_id")
+
+
+_WORDS = """list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"""
+
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+total AS (SELECT count(*) AS n_docs, sum(len(ws)) AS n_words FROM d WHERE len(ws) > 0),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL),
+held AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM held, total GROUP BY term),
+scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_words))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN held USING (term), total GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 20
+"""
+
+
+def op13_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeseek.llm.vector_topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10).withColumnRenamed("id", "vec_id")
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_fm": op1_toxicity_fm,
     "op2_decontaminate_cgk": op2_decontaminate_cgk,
@@ -120,6 +171,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_diagonals": op8_license_diagonals,
     "op9_imatch": op9_imatch,
     "op10_pack_nnls": op10_pack_nnls,
+    "op11_align_tokens": op11_align_tokens,
+    "op12_block_max_wand": op12_block_max_wand,
+    "op13_vector_topk": op13_vector_topk,
 }
 
-ORACLES: dict[str, str] = {"op5_url_automaton": OP5_SQL, "op8_license_diagonals": license_scan.oracle_sql()}
+ORACLES: dict[str, str] = {"op5_url_automaton": OP5_SQL, "op8_license_diagonals": license_scan.oracle_sql(), "op12_block_max_wand": OP12_SQL, "op13_vector_topk": OP13_SQL}
