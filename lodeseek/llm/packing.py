@@ -13,17 +13,16 @@ number inside each bucket, so that a length that a third of all documents share
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeseek.llm import vocabularies
 from lodeseek.llm.arrowtools import limit_batches
 from lodeseek.session import materialize
 
@@ -37,23 +36,12 @@ ROWS_PER_BUCKET = 200_000
 
 def default_vocabulary() -> str:
     """The byte-level BPE of tokenizers' byte_bpe_50k.json, in the form of ranks that tiktoken reads: the same ids, faster."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
-
-
-@lru_cache(maxsize=2)
-def encoder(vocabulary: str):
-    import public_tokenizers
-    import tiktoken
-
-    with open(vocabulary, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL_TOKENS)
+    return vocabularies.path_of(vocabularies.BYTE_BPE_RANKS)
 
 
 def ids_of(text: str | None, vocabulary: str, end_id: int | None = END_ID) -> np.ndarray:
-    ids = encoder(vocabulary).encode(text, allowed_special="all") if text else []
+    """Ids of a text. Where tiktoken gives up (a million blanks in a row) the tokenizers library reads the .json file beside the ranks."""
+    ids = vocabularies.byte_bpe_ids(text, tuple(SPECIAL_TOKENS.items()), vocabulary.removesuffix(".tiktoken") + ".json", vocabulary) if text else []
     return np.array(ids if end_id is None else [*ids, end_id], dtype="<u4")
 
 
@@ -174,7 +162,8 @@ def pack(
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset): every piece of every row, each id in exactly one.
 
     Null and empty texts have the end id alone. A repeated row is packed each time; a null id is kept. Long texts
-    are cut at windows. Without an end id an empty text has no piece. An empty table returns no rows."""
+    are cut at windows, runs of millions of blanks among them. Rests of one length that tie are ordered by id, row and place, so the
+    windows do not hang on partitioning; other columns, whatever their names, are not read. Without an end id an empty text has no piece. An empty table returns no rows."""
     spark = docs.sparkSession
     pieces = materialize(tokenized_pieces(docs, window, vocabulary, end_id, id_col, text_col), "packing")
     light = pieces.drop("ids")

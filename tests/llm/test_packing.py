@@ -93,3 +93,14 @@ def test_the_special_token_in_a_text_is_one_id(reference):
     for text in ["<|endoftext|>", "one <|endoftext|> two", "x<|endoftext|><|endoftext|>\n<|endoftext", " <|endoftext|>  'S"]:
         ids = P.ids_of(text, P.default_vocabulary())
         assert 50256 in ids and ids.tolist() == reference(text).tolist()
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t"])
+def test_two_million_blanks(reference, blank):
+    text = "a" + blank * 2_000_000 + "b"
+    assert np.array_equal(P.ids_of(text, P.default_vocabulary()), reference(text))
+
+
+def test_blanks_are_packed(spark, reference):
+    texts = ["x" + " " * 1_200_000, "short", "\n" * 1_200_000]
+    check_packing(P.pack(frame(spark, texts)).collect(), {i: reference(t) for i, t in enumerate(texts)}, 1024)
