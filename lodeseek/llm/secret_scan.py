@@ -33,9 +33,12 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----\s*((?:[A-Za-z][A-Za-z0-9-]*: [^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----\s*+")
+PEM_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*+: [^\n]*+\n")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s]*+")
 ENCRYPTED = re.compile(r"Proc-Type: 4,ENCRYPTED\s+DEK-Info: ([A-Z0-9]+(?:-[A-Z0-9]+)*),[0-9A-Fa-f]{8,}\s")
-JWT = re.compile(r"\be[yw][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
+TOKEN_PARTS = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]{4,}+)\.[A-Za-z0-9_-]*+")
+TOKEN_START = re.compile(r"\be[yw]")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_ANY = re.compile(r"[0-9A-Fa-f]{80,}")
 MIN_ASSIGN, MIN_STRETCH = 6, 20
@@ -139,6 +142,47 @@ def is_jwt(text: str) -> bool:
         return False
 
 
+def pem_blocks(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, headers, body) of armoured blocks, from left to right, none inside another. Header lines and bodies that
+    several BEGIN marks lead to are walked once, so the time grows with the text."""
+    out = []
+    first = last = -1  # the header lines walked last
+    body_from = body_to = -1
+    begin = PEM_BEGIN.search(text)
+    while begin:
+        start = at = begin.end()
+        walked = lambda at: first <= at <= last and text[at - 1] == "\n"  # noqa: B023, E731
+        while not walked(at) and (line := PEM_HEADER.match(text, at)):
+            at = line.end()
+        at = last if walked(at) else at
+        first, last = start, at
+        if at != body_from:
+            body_from, body_to = at, PEM_BODY.match(text, at).end()
+        end = body_to
+        if (end > at or (at == start and text[at - 1].isspace())) and text.startswith(f"-----END {begin[1]}-----", end):
+            end += len(begin[1]) + 14
+            out.append((begin.start(), end, text[start:at], text[at:body_to]))
+            begin = PEM_BEGIN.search(text, end)
+        else:
+            begin = PEM_BEGIN.search(text, start)
+    return out
+
+
+def signed_tokens(text: str) -> list[tuple[int, int]]:
+    """Places of three parts joined by dots, the first from an ``ey`` or ``ew`` at a word's start on. Each part is read as first part
+    once, whatever marks it holds."""
+    out = []
+    parts = TOKEN_PARTS.search(text)
+    while parts:
+        start = TOKEN_START.search(text, parts.start(1), parts.end(1))
+        if start and parts.end(1) - start.start() >= 8:
+            out.append((start.start(), parts.end()))
+            parts = TOKEN_PARTS.search(text, parts.end())
+        else:
+            parts = TOKEN_PARTS.search(text, parts.end(1))
+    return out
+
+
 def find_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of every span, sorted."""
     out: list[tuple[int, int, int]] = []
@@ -147,11 +191,11 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_ASSIGN]
     structural: list[tuple[int, int, int]] = []
     if "-----BEGIN " in text:
-        structural += [(m.start(), 3, m.end()) for m in PEM.finditer(text) if is_pem_secret(m[2], m[3])]
+        structural += [(a, 3, b) for a, b, headers, body in pem_blocks(text) if is_pem_secret(headers, body)]
     if max(map(len, text.split()), default=0) >= MIN_STRETCH:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
         out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-        structural += [(m.start(), 4, m.end()) for m in JWT.finditer(text) if is_jwt(m[0])]
+        structural += [(a, 4, b) for a, b in signed_tokens(text) if is_jwt(text[a:b])]
         taken = sorted((a, b) for a, _, b in structural)
         at = reach = 0
         for m in BASE64.finditer(text):

@@ -104,3 +104,30 @@ def test_nesting_and_many_tokens_are_survived():
     began = __import__("time").time()
     assert len(S.find_spans(" ".join([JWT] * 20_000))) == 20_000
     assert __import__("time").time() - began < 20
+
+
+OLD_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----\s*((?:[A-Za-z][A-Za-z0-9-]*: [^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+OLD_JWT = re.compile(r"\be[yw][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
+PARTS = ["ey", "ew", "-", ".", "abcdef", "ABCDEFGH", "é", " ", "eyJhbGci", "_", "..", "-ey", "a.bcde.", "\n"]
+BLOCKS = ["-----BEGIN A-----", "-----BEGIN B C-----", "-----END A-----", "-----END B C-----", "\n", "  ", "QUJD", "X-y: z\n", "Proc-Type: 4,ENCRYPTED\n", "K: -----BEGIN A-----\n", "K: -----BEGIN A-----x", "=", "-", "é"]
+
+
+def test_walks_find_what_the_patterns_describe(rng):
+    for _ in range(6000):
+        text = "".join(rng.choice(PARTS) for _ in range(rng.randint(1, 16)))
+        assert S.signed_tokens(text) == [m.span() for m in OLD_JWT.finditer(text)], text
+        text = "".join(rng.choice(BLOCKS) for _ in range(rng.randint(1, 14)))
+        got = [(a, b, body.strip()) for a, b, _, body in S.pem_blocks(text) if body.strip()]
+        assert got == [(*m.span(), m[3].strip()) for m in OLD_PEM.finditer(text) if m[3].strip()], text
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["-eyaaaaaa" * 1_100_000, "eyaaaaaa." * 1_100_000, "-----BEGIN A-----" + " " * 10_000_000, "-----BEGIN A-----\n" * 550_000, "K: -----BEGIN A-----\n" * 450_000 + "QUJD" * 100_000,
+     "-----BEGIN A-----\n\n  " * 450_000, "K: v\n" * 2_000_000, "token " + " " * 10_000_000],
+    ids=["tokens", "parts", "blanks", "begins", "headers", "gaps", "lines", "spaces"],
+)
+def test_ten_megabytes_take_seconds(text):
+    began = __import__("time").time()
+    S.find_spans(text)
+    assert __import__("time").time() - began < 10
