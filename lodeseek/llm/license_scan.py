@@ -14,11 +14,12 @@ shuffle: what moves is a row per text, template, diagonal and 64 places.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -81,6 +82,13 @@ def templates_of(table: DataFrame) -> tuple[Template, ...]:
     return tuple(Template(r.label, r.text, r.is_phrase) for r in rows.orderBy("label", "is_phrase", "text").collect())
 
 
+def literal_table(spark: SparkSession, rows: Sequence[tuple], fields: str) -> DataFrame:
+    """A small table that the JVM reads from a literal: createDataFrame would unpickle its rows in Python workers."""
+    names = [f.split(":")[0] for f in fields.split(",")]
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
+
+
 def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, k: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of docs.
 
@@ -93,12 +101,12 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, k: int = 2,
     if len(found) > MAX_TEMPLATE_WORDS:
         raise ValueError("too many template words to broadcast")
     sizes, most = sorted({2, k}), max(2, k)
-    about = spark.createDataFrame(
-        [(n, t.label, t.is_phrase, len(t.words) - grams(t, k) + 1) for n, t in enumerate(templates)], "tpl int, label string, is_phrase boolean, places int"
-    )
     names = [f"t{i}" for i in range(most)]
+    about = literal_table(
+        spark, [(n, t.label, t.is_phrase, len(t.words) - grams(t, k) + 1) for n, t in enumerate(templates)], "tpl:int,label:string,is_phrase:boolean,places:int"
+    )
     own_row = (-1, 0, sizes[0], *[None] * most)
-    table = spark.createDataFrame([*found, own_row], "tpl int, place int, k int, " + ", ".join(f"{n} string" for n in names))
+    table = literal_table(spark, [*found, own_row], "tpl:int,place:int,k:int," + ",".join(f"{n}:string" for n in names))
     hashed = F.lit(0).cast("long")
     for size in sizes:
         hashed = F.when((F.col("k") == size) & (F.col("tpl") >= 0), F.xxhash64(F.lit(size), *names[:size])).otherwise(hashed)
