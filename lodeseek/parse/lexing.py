@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from functools import lru_cache
 
 C_TOKENS = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.DOTALL)
 OPEN, CLOSE = "([{", ")]}"
+BRACKETS = re.compile(r"[()\[\]{}]")
 
 
 def blank_literals(code: str) -> str:
@@ -20,17 +23,22 @@ def blank_literals(code: str) -> str:
     return C_TOKENS.sub(blank, code)
 
 
+@lru_cache(maxsize=4)
+def _pairs(code: str) -> dict[int, int]:
+    """Of each bracket that is closed the place of the one that closes it, whatever their kinds; found in one walk."""
+    open_ones: list[int] = []
+    out: dict[int, int] = {}
+    for m in BRACKETS.finditer(code):
+        if m[0] in OPEN:
+            open_ones.append(m.start())
+        elif open_ones:
+            out[open_ones.pop()] = m.start()
+    return out
+
+
 def matching(code: str, at: int) -> int:
     """Place of the bracket that closes the one at a place; the last place if none does."""
-    depth = 0
-    for i in range(at, len(code)):
-        if code[i] in OPEN:
-            depth += 1
-        elif code[i] in CLOSE:
-            depth -= 1
-            if depth == 0:
-                return i
-    return len(code) - 1
+    return _pairs(code).get(at, len(code) - 1)
 
 
 def depths(code: str) -> list[int]:
@@ -60,9 +68,14 @@ def split_top(text: str, sep: str = ",") -> list[str]:
     return [x.strip() for x in out if x.strip()]
 
 
+@lru_cache(maxsize=4)
+def _line_starts(code: str) -> list[int]:
+    return [0, *(m.end() for m in re.finditer("\n", code))]
+
+
 def line_of(code: str, at: int) -> int:
     """Line of a place, from 1."""
-    return code.count("\n", 0, at) + 1
+    return bisect_right(_line_starts(code), at)
 
 
 def symbol(name: str, kind: str, scope: str, line: int, end_line: int, **more) -> dict:

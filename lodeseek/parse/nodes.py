@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,7 +58,7 @@ def python_tree(code: str) -> list[dict]:
 
     try:
         parsed = ast.parse(code)
-    except (SyntaxError, ValueError, RecursionError) as error:
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
         row = max(0, min((getattr(error, "lineno", None) or 1) - 1, len(lines) - 1))
         tree.add(root, ERROR, (row, 0), (row, len(lines[row])))
         return tree.done()
@@ -83,17 +84,20 @@ def bracket_tree(code: str) -> list[dict]:
     tree = _Tree()
     tree.add(None, "program", (0, 0), at(len(code)))
     open_ones = [0]
+    waiting = Counter()  # open groups by kind
     for m in re.finditer(C_TOKENS.pattern + r"|[()\[\]{}]", code, re.DOTALL):
         text = m[0]
         if text in OPEN:
+            waiting[GROUPS[text]] += 1
             open_ones.append(tree.add(open_ones[-1], GROUPS[text], at(m.start()), at(m.end())))
         elif text in CLOSE:
             kind = GROUPS[OPEN[CLOSE.index(text)]]
-            if not any(tree.rows[n]["type"] == kind for n in open_ones[1:]):
+            if not waiting[kind]:
                 tree.add(open_ones[-1], ERROR, at(m.start()), at(m.end()))
                 continue
             while True:  # groups inside that were never closed are errors up to here
                 n = open_ones.pop()
+                waiting[tree.rows[n]["type"]] -= 1
                 tree.rows[n]["end_row"], tree.rows[n]["end_col"] = at(m.end())
                 if tree.rows[n]["type"] == kind:
                     break

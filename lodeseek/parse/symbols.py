@@ -18,7 +18,7 @@ def extract(code: str | None, language: str) -> tuple[list[dict], bool]:
         return [], False
     try:
         return readers[language](code), False
-    except (SyntaxError, ValueError, RecursionError, IndexError):
+    except (SyntaxError, ValueError, RecursionError, IndexError, MemoryError):
         return [], True
 
 
@@ -112,7 +112,7 @@ def typescript(code: str) -> list[dict]:
             out.append(
                 symbol(m["class"] or m["interface"], "class" if m["class"] else "interface", "global", line, line_of(clean, end),
                        extends=split_top(extends[1]) if extends else [], implements=split_top(implements[1]) if implements else [],
-                       members=_ts_members(code, clean, depth, brace, end) if m["class"] else [], exported=exported)
+                       members=_ts_members(code, clean, depth, brace, end) if m["class"] and clean[end] == "}" else [], exported=exported)
             )
         elif m["enum"]:
             brace = clean.find("{", m.end())
@@ -154,7 +154,7 @@ def _ts_after(clean: str, at: int) -> tuple[int, str | None]:
 
 def _ts_params(code: str, clean: str, open_at: int, close: int) -> list[dict]:
     out = []
-    for text in split_top(code[open_at + 1 : close]):
+    for text in split_top(code[open_at + 1 : close]) if clean[close : close + 1] == ")" else []:  # a list that is never closed has none
         m = re.match(r"(?:(?:public|private|protected|readonly)\s+)*(?P<name>\.{3}[\w$]+|[\w$]+|[\[{].*?[\]}])\s*(?P<opt>\?)?\s*(?::\s*(?P<type>.*?))?\s*(?:=(?!>)\s*(?P<default>.*))?$", text, re.DOTALL)
         if m:
             out.append(param(m["name"], m["type"] or None, m["default"], bool(m["opt"] or m["default"])))
@@ -203,7 +203,7 @@ def go(code: str) -> list[dict]:
         end = matching(clean, brace) if brace >= 0 else close
         returns = clean[close + 1 : brace].strip() if brace >= 0 else None
         kind = "method" if m["receiver"] is not None else "function"
-        found.append((m.start(), symbol(m["name"], kind, "class" if kind == "method" else "global", line_of(clean, m.start()), line_of(clean, end), parameters=_go_params(clean[m.end() : close]), return_type=returns or None, exported=m["name"][0].isupper())))
+        found.append((m.start(), symbol(m["name"], kind, "class" if kind == "method" else "global", line_of(clean, m.start()), line_of(clean, end), parameters=_go_params(clean[m.end() : close] if clean[close : close + 1] == ")" else ""), return_type=returns or None, exported=m["name"][0].isupper())))
     for m in GO_TYPE.finditer(clean):
         brace = clean.find("{", m.end())
         end = matching(clean, brace) if brace >= 0 else m.end()
