@@ -248,7 +248,7 @@ def cpp(code: str) -> list[dict]:
         end = matching(clean, m.end() - 1)
         classes.append((m.end(), end))
         bases = [re.sub(r"^(?:(?:public|private|protected|virtual)\s+)+", "", b) for b in split_top(m["bases"] or "")]
-        found.append((m.start(), symbol(m["name"], "class", "global", line_of(clean, m.start()), line_of(clean, end), extends=bases, members=_cpp_members(clean[m.end() : end], line_of(clean, m.end())))))
+        found.append((m.start(), symbol(m["name"], "class", "global", line_of(clean, m.start()), line_of(clean, end), extends=bases, members=_cpp_members(clean[m.end() : end] if clean[end] == "}" else "", line_of(clean, m.end())))))
     for m in CPP_FUNC.finditer(clean):
         name = m["name"]
         if name in KEYWORDS or m["ret"].split()[-1:] in (["return"], ["else"], ["new"]) or any(a <= m.start("name") < b for a, b in classes):

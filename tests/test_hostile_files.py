@@ -20,7 +20,7 @@ def test_deep_python_is_an_error_row(name):
     assert tree[0]["tree_error"] and tree[1]["type"] == nodes.ERROR
 
 
-@pytest.mark.parametrize("language", ["typescript", "go", "c"])
+@pytest.mark.parametrize("language", ["typescript", "go"])
 @pytest.mark.parametrize("text", ["function f(\n", "func f(\n", "class A {\n", "((((]]]]", "{", "(" * 40 + "\n"], ids=range(6))
 def test_a_megabyte_takes_seconds(language, text):
     code = text * (1_000_000 // len(text))
