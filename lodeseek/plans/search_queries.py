@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -280,3 +282,31 @@ def hybrid_multi_filter(spark, sf_dir):
 def conversation_tokens(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.size(tokens(F.col("text"))).alias("n"))
     return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum("n").alias("tokens"))
+
+
+@R.add("""
+WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
+far AS (SELECT query_id, vec_id, 1 - list_sum(list_transform(list_zip(embedding, q), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) AS score FROM q, embeddings)
+SELECT query_id, vec_id, round(score, 6) AS score FROM far QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""")
+def stored_vector_index(spark, sf_dir):
+    """Every cell of a stored index is read and measured exactly, so the answer is the whole table's."""
+    from lodeseek.operators.vector_index import StoredVectorIndex, search_many
+    from lodeseek.session import scratch_root
+    from lodeseek.sources.store import Store
+
+    rows = table(spark, sf_dir, "embeddings")
+    index = StoredVectorIndex(Store(spark, f"{scratch_root(spark)}/lodeseek/vector-index-{uuid.uuid4().hex}"), "embeddings")
+    index.create(rows, cells=32)
+    stored, coder = index.store.read("embeddings"), index.coder()
+    return search_many(stored, coder, rows.where("vec_id % 50 = 0"), k=5, probes=len(coder.centers)).select(
+        "query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score")
+    )
+
+
+@R.add()
+def latent_vectors(spark, sf_dir):
+    """Latent vectors of all documents, fitted on all of them (an iterative method: tests hold it against a singular value decomposition)."""
+    from lodeseek.operators import latent
+
+    rows = docs(spark, sf_dir)
+    return latent.embed(rows, latent.fit(rows, latent.Settings(dimensions=32)))

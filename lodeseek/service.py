@@ -18,11 +18,11 @@ from lodeseek.admin import status
 from lodeseek.admin.embedding import CachedEmbedder, Embedder, HashingEmbedder, embed_documents
 from lodeseek.admin.errors import InvalidParams, as_engine_error
 from lodeseek.admin.telemetry import Metrics, metrics
-from lodeseek.operators import bm25, chunks, hybrid, linking, snippets, symbols, vectors
+from lodeseek.operators import bm25, chunks, hybrid, latent, linking, snippets, symbols, vector_index, vectors
 from lodeseek.parse import tables as parsers
 from lodeseek.sources import languages
 from lodeseek.sources.scan import ScanOptions, list_one, read_files, scan
-from lodeseek.sources.store import Store
+from lodeseek.sources.store import Conflict, Store
 from lodeseek.streaming.queue import UpdateQueue
 from lodeseek.streaming.watcher import Watcher, WatchOptions
 
@@ -127,6 +127,22 @@ class Engine:
         self._put("postings", bm25.postings(now, "id", "text", with_positions=True), old, ["doc_id"], "term")
         self._put("doc_stats", bm25.doc_stats(now, "id", "text"), old, ["doc_id"])
 
+        if self.store.exists("chunk_index"):
+            index = vector_index.StoredVectorIndex(self.store, "chunk_index")
+            coded = vector_index.encoded(now, index.coder(), "id", "vector")
+            self._put("chunk_index", coded, None if old is None else old.select(F.col("doc_id").alias("id")), ["id"])
+
+    def _atomically(self, change: Callable[[], None], attempts: int = 8) -> None:
+        """All tables of a change are published at once; where another writer came first it is done again on what that one left."""
+        for attempt in range(1, attempts + 1):
+            try:
+                with self.store.transaction():
+                    return change()
+            except Conflict:
+                if attempt == attempts:
+                    raise
+                time.sleep(0.05 * attempt)
+
     def _project(self, project: str) -> DataFrame:
         return self.spark.createDataFrame([(project,)], "project_id string")
 
@@ -140,8 +156,21 @@ class Engine:
         if not args["includeDocuments"]:
             files = files.where("kind <> 'markdown'")
         files, units = self._parts(files, project)
-        self._write(files, units, project, self._project(project))
-        return self._summary(project, root, time.time() - began)
+        answer: dict = {}
+
+        def change() -> None:
+            self._write(files, units, project, self._project(project))
+            answer.update(self._summary(project, root, time.time() - began))
+
+        self._atomically(change)
+        return answer
+
+    def _totals(self, project: str) -> None:
+        """The project's row of index_metadata, counted anew after a change; a project that was never indexed has none."""
+        if self.store.exists("index_metadata"):
+            known = self.store.read("index_metadata").where(F.col("project_id") == project).select("root_path").first()
+            if known is not None:
+                self._summary(project, known.root_path, 0.0)
 
     def _summary(self, project: str, root: str, seconds: float) -> dict:
         kinds = {r.kind: r["count"] for r in self.store.read("files").where(F.col("project_id") == project).groupBy("kind").count().collect()}
@@ -162,7 +191,12 @@ class Engine:
         if deleted is not None:
             gone = gone.union(deleted.select("path"))
         files, units = self._parts(changed, project)
-        self._write(files, units, project, gone.select(F.lit(project).alias("project_id"), "file_path"))
+
+        def change() -> None:
+            self._write(files, units, project, gone.select(F.lit(project).alias("project_id"), "file_path"))
+            self._totals(project)
+
+        self._atomically(change)
 
     def update_file(self, path: str, project: str) -> None:
         """Reads one file of a project again; one that is not there any more, or is of no kind that is indexed, goes."""
@@ -177,6 +211,9 @@ class Engine:
 
     def remove_file(self, path: str, project: str) -> None:
         """Every row of the file goes; nothing happens if there is none."""
+        self._atomically(lambda: self._remove(path, project))
+
+    def _remove(self, path: str, project: str) -> None:
         if not self.store.exists("files"):
             return
         plain = path.split(":", 1)[-1].lstrip("/") if ":" in path else path.lstrip("/")
@@ -188,11 +225,45 @@ class Engine:
         old = self.store.read("chunks").join(F.broadcast(gone), gone.columns, "left_semi").select(F.col("id").alias("doc_id"))
         for name in ("postings", "doc_stats"):
             self._put(name, None, old, ["doc_id"])
+        if self.store.exists("chunk_index"):
+            self._put("chunk_index", None, old.select(F.col("doc_id").alias("id")), ["id"])
         for name in ("files", "chunks"):
             self._put(name, None, gone, gone.columns)
+        self._totals(project)
 
     remove_from_index = remove_file
 
+    # --- vectors
+
+    def learn_embedder(self, settings: latent.Settings = latent.Settings()) -> latent.LatentModel:
+        """Fits latent vectors on all chunks, stores them, embeds the chunks anew and answers queries with them from now on."""
+        model = latent.fit(self.store.read("chunks"), settings, "id", "text")
+        embedder = latent.LatentEmbedder(model)
+
+        def change() -> None:
+            self.store.write("latent_terms", model.table(self.spark))
+            self.store.write("chunks", embed_documents(self.store.read("chunks").drop("vector"), lambda: embedder))
+            if self.store.exists("chunk_index"):
+                self.index_vectors()
+
+        self._atomically(change)
+        self.embedder = embedder
+        return model
+
+    def use_learned_embedder(self) -> None:
+        """The stored model again, in another session."""
+        self.embedder = latent.LatentEmbedder(latent.LatentModel.of_table(self.store.read("latent_terms")))
+
+    def index_vectors(self, **fitting) -> None:
+        """Cells and codes of the chunks' vectors; searches read the cells near the query from now on, and changes keep them."""
+        index = vector_index.StoredVectorIndex(self.store, "chunk_index")
+        self._atomically(lambda: index.create(self.store.read("chunks"), "id", "vector", **fitting))
+
+    def _nearest(self, vector: Sequence[float], k: int) -> DataFrame:
+        if self.store.exists("chunk_index"):
+            return vector_index.StoredVectorIndex(self.store, "chunk_index").search(vector, k, probes=16)
+        return vectors.top_k(self.store.read("chunks"), vector, k, id_col="id", vector_col="vector")
+
     # --- watching
 
     def enable_watching(self, project: str, options: WatchOptions = WatchOptions()) -> Watcher:
@@ -231,7 +302,7 @@ class Engine:
             return {"results": [], "totalResults": 0, "searchTime": 0}
         k, units = args["topK"], self.store.read("chunks")
         keyword = bm25.search(self.store.read("postings"), self.store.read("doc_stats"), args["query"], 2 * k).withColumnRenamed("doc_id", "id")
-        vector = vectors.top_k(units, self.embedder.embed(args["query"]), 2 * k, id_col="id", vector_col="vector")
+        vector = self._nearest(self.embedder.embed(args["query"]), 2 * k)
         meta = units.select("id", "language", "file_type", "project_id", "file_path", "name", "type", "line_start", "line_end")
         if args["projectId"]:
             meta = meta.where(F.col("project_id") == args["projectId"])
@@ -322,11 +393,15 @@ class Engine:
             raise InvalidParams("confirm must be true")
         if not self.store.exists("index_metadata"):
             return {"success": True, "clearedProjects": [], "message": "nothing is indexed"}
+        answer: dict = {}
+        self._atomically(lambda: answer.update(self._clear(args["projectId"])))
+        return answer
+
+    def _clear(self, project: str | None) -> dict:
         meta = self.store.read("index_metadata")
-        project = args["projectId"]
         names = [r.project_id for r in meta.select("project_id").collect() if project in (None, r.project_id)]
         if project is None:
-            for table in ("index_metadata", "files", "chunks", "postings", "doc_stats"):
+            for table in ("index_metadata", "files", "chunks", "postings", "doc_stats", "chunk_index", "chunk_index_coder"):
                 self.store.drop(table)
         elif names:
             gone = self._project(project)
@@ -334,6 +409,8 @@ class Engine:
                 old = self.store.read("chunks").where(F.col("project_id") == project).select(F.col("id").alias("doc_id"))
                 for table in ("postings", "doc_stats"):
                     self._put(table, None, old, ["doc_id"])
+                if self.store.exists("chunk_index"):
+                    self._put("chunk_index", None, old.select(F.col("doc_id").alias("id")), ["id"])
             for table in ("files", "chunks", "index_metadata"):
                 self._put(table, None, gone, ["project_id"])
         return {"success": True, "clearedProjects": names, "message": f"cleared {len(names)}"}

@@ -1,16 +1,20 @@
-"""A versioned table store: each write makes new folders and then moves a pointer.
+"""A versioned table store: each write makes new folders, and one manifest then names the versions of all tables.
 
-A version is a list of parts, oldest first; a part holds rows, and keys whose rows in older parts are gone. So a small
-change writes what changed, not the table; after some changes the parts are merged. Readers that opened a version
-keep it while a writer works (single writer). Pointers and folders live wherever Spark's Hadoop file systems reach, so
-nothing here opens a local path."""
+A transaction publishes the changes of several tables by one new manifest: readers see all of them or none. It fails if
+another writer has published one since it began, so no change is lost; the caller does it again on what is there now. A
+single write is a transaction of its own. A version is a list of parts, oldest first; a part holds rows, and keys whose
+rows in older parts are gone. So a small change writes what changed, not the table; after some changes the parts are
+merged. Readers that opened a version keep it while the newest ``keep`` versions include it. Manifests and folders live
+wherever Spark's Hadoop file systems reach, so nothing here opens a local path."""
 
 from __future__ import annotations
 
 import json
+import threading
 import uuid
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,49 +25,116 @@ from lodeseek.operators import bm25
 MAX_PARTS = 12
 
 
+class Conflict(RuntimeError):
+    """Another writer published a manifest since this transaction began."""
+
+
 @dataclass
 class Store:
     spark: SparkSession
     root: str
     keep: int = 3  # versions that stay readable
+    _own: threading.local = field(default_factory=threading.local, repr=False)  # the transaction of each thread
 
     def _path(self, text: str):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(text)
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self, name: str) -> list[str]:
-        pointers, fs = self._path(f"{self.root}/{name}/_versions")
-        return sorted(s.getPath().getName() for s in fs.listStatus(pointers)) if fs.exists(pointers) else []
+    def _names(self, folder: str) -> list[str]:
+        path, fs = self._path(folder)
+        return sorted(n for s in fs.listStatus(path) if not (n := s.getPath().getName()).startswith(".")) if fs.exists(path) else []
 
-    def _parts(self, name: str, version: str) -> list[dict]:
-        path, fs = self._path(f"{self.root}/{name}/_versions/{version}")
+    def _read_json(self, text: str):
+        path, fs = self._path(text)
         stream = fs.open(path)
         try:
             return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _publish(self, name: str, parts: list[dict]) -> None:
-        versions = self._versions(name)
-        number = int(versions[-1]) + 1 if versions else 1
-        path, fs = self._path(f"{self.root}/{name}/_versions/{number:012d}")
-        stream = fs.create(path, False)
-        stream.write(bytearray(json.dumps(parts).encode()))
+    def _write_json(self, text: str, value) -> bool:
+        """Whole or not at all; False if the file is there already."""
+        path, fs = self._path(text)
+        if fs.exists(path):
+            return False
+        draft = path.getParent().suffix(f"/.{uuid.uuid4().hex}")
+        stream = fs.create(draft, False)
+        stream.write(bytearray(json.dumps(value).encode()))
         stream.close()
-        self.vacuum(name, self.keep)
+        if not fs.exists(path) and fs.rename(draft, path):
+            return True
+        fs.delete(draft, False)
+        return False
+
+    # Manifests: {table: version}
+
+    def _newest_manifest(self) -> tuple[int, dict[str, str]]:
+        while True:
+            names = self._names(f"{self.root}/_manifests")
+            try:
+                return (int(names[-1]), self._read_json(f"{self.root}/_manifests/{names[-1]}")) if names else (0, {})
+            except Exception:  # a writer removed old manifests between the listing and the reading
+                if self._names(f"{self.root}/_manifests") == names:
+                    raise
+
+    @property
+    def _open(self) -> dict | None:
+        return getattr(self._own, "open", None)
+
+    def _tables(self) -> dict[str, str]:
+        return self._newest_manifest()[1] if self._open is None else self._open["tables"]
+
+    @contextmanager
+    def transaction(self) -> Iterator[None]:
+        """Changes that are published together at the end, or not at all where anything fails. Inside, reads see them, and other
+        tables as they were at its begin. A transaction inside another is part of it."""
+        if self._open is not None:
+            yield
+            return
+        number, tables = self._newest_manifest()
+        self._own.open = {"tables": dict(tables), "changed": set()}
+        try:
+            yield
+            tables, changed = self._open["tables"], self._open["changed"]
+        finally:
+            self._own.open = None
+        if not changed:
+            return
+        if not self._write_json(f"{self.root}/_manifests/{number + 1:012d}", tables):
+            raise Conflict(f"manifest {number + 1} was published by another writer")
+        for old in self._names(f"{self.root}/_manifests")[: -self.keep]:
+            path, fs = self._path(f"{self.root}/_manifests/{old}")
+            fs.delete(path, False)
+        for name in changed:
+            if name in tables:
+                self.vacuum(name, self.keep)
+            else:
+                path, fs = self._path(f"{self.root}/{name}")
+                fs.delete(path, True)
+
+    def _publish(self, name: str, parts: list[dict]) -> None:
+        with self.transaction():
+            tables = self._open["tables"]
+            number = int(tables[name].split("-")[0]) + 1 if name in tables else 1
+            version = f"{number:012d}-{uuid.uuid4().hex}"
+            self._write_json(f"{self.root}/{name}/_versions/{version}", parts)
+            tables[name] = version
+            self._open["changed"].add(name)
+
+    def _parts(self, name: str, version: str) -> list[dict]:
+        return self._read_json(f"{self.root}/{name}/_versions/{version}")
 
     def exists(self, name: str) -> bool:
-        return bool(self._versions(name))
+        return name in self._tables()
 
     def read(self, name: str) -> DataFrame:
-        versions = self._versions(name)
-        if not versions:
+        tables = self._tables()
+        if name not in tables:
             raise KeyError(f"no table {name}")
-        parts = self._parts(name, versions[-1])
         load = lambda folder: self.spark.read.parquet(f"{self.root}/{name}/{folder}")
         out = None
-        for part in parts:
+        for part in self._parts(name, tables[name]):
             if part.get("gone") and out is not None:
                 out = out.join(load(part["gone"]), part["key"], "left_anti").select(*out.columns)
             if part.get("rows"):
@@ -71,42 +142,49 @@ class Store:
                 out = rows if out is None else out.unionByName(rows.select(*out.columns))
         return out
 
-    def _write_folder(self, name: str, df: DataFrame, sort_by: str | None = None) -> str:
+    def _write_folder(self, name: str, df: DataFrame, sort_by: str | None = None, partition_by: str | None = None) -> str:
         folder = uuid.uuid4().hex
         out = df.repartitionByRange(sort_by).sortWithinPartitions(sort_by) if sort_by else df
-        out.write.parquet(f"{self.root}/{name}/{folder}")
+        if partition_by:  # by range: a value of many rows is dealt to several files, one of few to one
+            df.repartitionByRange(F.col(partition_by), F.rand(1)).write.partitionBy(partition_by).parquet(f"{self.root}/{name}/{folder}")
+        else:
+            out.write.parquet(f"{self.root}/{name}/{folder}")
         return folder
 
-    def write(self, name: str, df: DataFrame, sort_by: str | None = None) -> None:
-        """The whole table; sorted inside files by sort_by, so that row groups can be skipped on it."""
-        self._publish(name, [{"rows": self._write_folder(name, df, sort_by), "sort": sort_by}])
+    def write(self, name: str, df: DataFrame, sort_by: str | None = None, partition_by: str | None = None) -> None:
+        """The whole table; sorted inside files by sort_by, so that row groups can be skipped on it, or with a folder for each value of
+        partition_by, so that folders can."""
+        self._publish(name, [{"rows": self._write_folder(name, df, sort_by, partition_by), "sort": sort_by, "partition": partition_by}])
 
     def change(self, name: str, rows: DataFrame | None, gone: DataFrame | None, key: Sequence[str], sort_by: str | None = None) -> None:
         """Rows whose key is in gone go, then rows come: what is written is as large as the change."""
-        parts = self._parts(name, self._versions(name)[-1])
-        part: dict = {"key": list(key)}
-        if gone is not None:
-            part["gone"] = self._write_folder(name, gone.select(*key).distinct())
-        if rows is not None:
-            part["rows"] = self._write_folder(name, rows)
-        if len(parts) < MAX_PARTS:
+        with self.transaction():
+            parts = self._parts(name, self._tables()[name])
+            part: dict = {"key": list(key)}
+            by = parts[0].get("partition")
+            if gone is not None:
+                part["gone"] = self._write_folder(name, gone.select(*key).distinct())
+            if rows is not None:
+                part["rows"] = self._write_folder(name, rows, partition_by=by)
             self._publish(name, [*parts, part])
-            return
-        self._publish(name, [*parts, part])
-        sort_by = sort_by or parts[0].get("sort")
-        self.write(name, self.read(name), sort_by)
+            if len(parts) >= MAX_PARTS:
+                self.write(name, self.read(name), sort_by or parts[0].get("sort"), by)
 
     def drop(self, name: str) -> None:
         """Nothing happens if there is no such table."""
-        path, fs = self._path(f"{self.root}/{name}")
-        fs.delete(path, True)
+        with self.transaction():
+            if self._open["tables"].pop(name, None) is not None:
+                self._open["changed"].add(name)
 
     def vacuum(self, name: str, keep: int = 1) -> None:
-        """Removes versions but the newest ones, and folders that none of these uses."""
-        versions = self._versions(name)
+        """Removes the published versions but the newest ones, versions of transactions that failed before these, and folders that
+        none of the rest uses. Versions after the published one belong to transactions that are open."""
+        versions, now = self._names(f"{self.root}/{name}/_versions"), self._tables()[name]
+        at = versions.index(now) if now in versions else -1
+        stale = versions[: max(0, at + 1 - keep)]
         folders = lambda version: {p[k] for p in self._parts(name, version) for k in ("rows", "gone") if p.get(k)}
-        used = set().union(*map(folders, versions[-keep:])) if versions else set()
-        for version in versions[:-keep]:
+        used = set().union(*map(folders, versions[len(stale) :])) if stale else set()
+        for version in stale:
             for folder in folders(version) - used:
                 path, fs = self._path(f"{self.root}/{name}/{folder}")
                 fs.delete(path, True)
@@ -130,17 +208,20 @@ class Store:
     # The keyword index
 
     def write_keyword_index(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        self.write("postings", bm25.postings(docs, id_col, text_col, with_positions=True), sort_by="term")
-        self.write("doc_stats", bm25.doc_stats(docs, id_col, text_col))
+        with self.transaction():
+            self.write("postings", bm25.postings(docs, id_col, text_col, with_positions=True), sort_by="term")
+            self.write("doc_stats", bm25.doc_stats(docs, id_col, text_col))
 
     def replace_documents(self, docs: DataFrame, gone: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
         """docs in place of their old entries, and of those of the ids (doc_id) that are gone."""
         ids = docs.select(F.col(id_col).alias("doc_id"))
         ids = ids if gone is None else ids.union(gone.select("doc_id"))
-        self.change("postings", bm25.postings(docs, id_col, text_col, with_positions=True), ids, ["doc_id"])
-        self.change("doc_stats", bm25.doc_stats(docs, id_col, text_col), ids, ["doc_id"])
+        with self.transaction():
+            self.change("postings", bm25.postings(docs, id_col, text_col, with_positions=True), ids, ["doc_id"])
+            self.change("doc_stats", bm25.doc_stats(docs, id_col, text_col), ids, ["doc_id"])
 
     def delete_documents(self, ids: DataFrame) -> None:
         """ids (doc_id); those that are not there change nothing."""
-        for name in ("postings", "doc_stats"):
-            self.change(name, None, ids, ["doc_id"])
+        with self.transaction():
+            for name in ("postings", "doc_stats"):
+                self.change(name, None, ids, ["doc_id"])
