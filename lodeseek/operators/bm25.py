@@ -73,7 +73,8 @@ def score_all(index: DataFrame, stats: DataFrame, query: str, params: Params = P
     The query's terms are at most its words and corpus statistics one row, so both are broadcast whatever the corpus."""
     spark = index.sparkSession
     terms = query_terms(spark, query)
-    hits = index.join(F.broadcast(terms), "term")
+    # As literals the query's words reach the scan, also below the anti-joins of a changed index: row groups of other terms are skipped.
+    hits = index.where(F.col("term").isin([r.term for r in terms.collect()])).join(F.broadcast(terms), "term")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row per term of the query
     lengths = stats.withColumnRenamed("length", "doc_length")
     joined = hits.join(F.broadcast(df), "term").join(lengths, "doc_id", "left").crossJoin(F.broadcast(corpus_stats(stats)))
