@@ -69,8 +69,8 @@ def test_walks_meet_again_after_an_edit(rng):
     """The embedding's point: one edit leaves most outputs alike, unrelated text leaves few."""
     words = [f"w{rng.randrange(10**6)}".encode() for _ in range(80)]
     other = words[:5] + [b"changed"] + words[6:]
-    s = D.Settings(steps=18, samples=18, keys_per_walk=1, walks=3)
-    same = [np.mean(a[6:60] == b[6:60]) for (_, a, _), (_, b, _) in zip(D.walk_keys(D.symbols_of(words), s), D.walk_keys(D.symbols_of(other), s))]
+    s = D.Settings(classes=((1, 18, 18),), keys_per_walk=1, walks=3)
+    same = [np.mean(a[6:60] == b[6:60]) for (_, a, _), (_, b, _) in zip(D.walk_keys(D.symbols_of(words), s, {0}), D.walk_keys(D.symbols_of(other), s, {0}))]
     assert all(x == 1 for x in same)
 
 
@@ -116,3 +116,17 @@ def test_lookups_drop_no_item_within_the_edits(rng):
     for i in range(60):
         window = D.symbols_of(edited(rng, [w.decode() for w in built.words[i]], int(0.2 * len(built.words[i]))))
         assert D.likely(built, np.arange(60), np.array(window), s)[i]
+
+
+@pytest.mark.parametrize("words", [4, 6, 9, 10, 14, 19, 24, 29, 30, 45, 60])
+def test_walks_alone_find_nine_of_ten_of_each_class(rng, words):
+    """Without the further keys of short items, at the full edit share and verbatim."""
+    s = D.Settings(exact_below_words=0)
+    items = [(i, " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(words))) for i in range(300)]
+    built = D.build_items(items, s)
+    assert not built.runs and built.walked == {D.class_of(words, s)}
+    for edits in {0, words // 5}:
+        texts = [" ".join([prose(rng, 40), *edited(rng, t.split(), edits), prose(rng, 40)]) for _, t in items]
+        want = {d for d, t in enumerate(texts) if edit_distance_to_span(built.words[d], D.words_of(t.encode())) <= int(s.max_edit_share * words)}
+        got = {d for d, i, *_ in D.scan([t.encode() for t in texts], built, s) if d == i}
+        assert got <= want and len(got) >= 0.9 * len(want), (edits, len(got) / len(want))
