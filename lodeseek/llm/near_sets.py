@@ -130,12 +130,16 @@ def near_copies(docs: DataFrame, settings: Settings = Settings(), id_col: str =
 def keep_one_of_each(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near-duplicates: of each group the row of the smallest id stays, with all its columns.
 
-    Rows that repeat an id are one document, of which one row stays. Rows with a null id cannot be named, so they
+    Rows that repeat an id are one document, of which one row stays: that of the text that sorts first (null before all), and of
+    equal texts by a digest of all columns. Rows with a null id cannot be named, so they
     stay. Texts are not shuffled unless the table of removed ids is too large for Spark to broadcast."""
     found = materialize(near_copies(docs, settings, id_col, text_col), "nearsets", True)
     removed = materialize(found.where("id <> component").select(F.col("id").alias(id_col)).distinct(), "nearsets")
     repeated = materialize(found.where("id IS NOT NULL").groupBy(F.col("id").alias(id_col)).count().where("count > 1").select(id_col), "nearsets")
     kept = docs.join(removed, id_col, "left_anti")
     if not repeated.isEmpty():
-        kept = kept.join(repeated, id_col, "left_anti").unionByName(kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col]))
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        first = F.struct(F.col(text_col), F.sha2(F.to_json(whole), 256))  # the same row however rows are dealt; aggregated before the shuffle
+        one = kept.join(repeated, id_col, "left_semi").groupBy(id_col).agg(F.min_by(whole, first).alias("_row")).select("_row.*")
+        kept = kept.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(one)
     return kept.select(*docs.columns)
