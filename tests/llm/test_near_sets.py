@@ -167,5 +167,5 @@ def test_of_rows_that_repeat_an_id_the_same_one_stays(spark):
     rows = [(1, "b b b b b b", "x", "s", 1), (1, "a a a a a a", "y", "s", 2), (1, "a a a a a a", "x", "s", 2), (2, "c d e f g h", "x", "s", 3), (2, "c d e f g h", "x", "s", 3)]
     from tests.llm.conftest import SCHEMA
 
-    kept = {tuple(tuple(r) for r in sorted(near_sets.keep_one_of_each(spark.createDataFrame(rows, SCHEMA).repartition(n)).collect())) for n in (1, 3, 7)}
+    kept = {tuple(tuple(r) for r in sorted(N.keep_one_of_each(spark.createDataFrame(rows, SCHEMA).repartition(n)).collect())) for n in (1, 3, 7)}
     assert len(kept) == 1 and [(r[0], r[1]) for r in kept.pop()] == [(1, "a a a a a a"), (2, "c d e f g h")]
