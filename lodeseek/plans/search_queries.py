@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions.text import STOP_WORDS, raw_tokens, tokens
 from lodeseek.operators import bm25, hybrid, vectors
+from lodeseek.operators.keyword_index import KeywordIndex
 from lodeseek.plans.registry import Registry
-from lodeseek.session import materialize, spread, table
+from lodeseek.session import materialize, scratch_root, spread, table
+from lodeseek.sources.store import Store
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -125,6 +127,27 @@ def bm25_search_index(spark, sf_dir):
     return bm25.search(index, stats, QUERY, 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
+def _keyword_index(spark, sf_dir) -> KeywordIndex:
+    index = KeywordIndex(Store(spark, f"{scratch_root(spark)}/lodeseek/keyword-{uuid.uuid4().hex}"))
+    index.create(docs(spark, sf_dir))
+    return index
+
+
+@R.add(bm25_sql(QUERY, 20))
+def bm25_block_index(spark, sf_dir):
+    """A stored index of posting blocks, of which a search opens those whose bounds reach the k-th score."""
+    return _keyword_index(spark, sf_dir).search(QUERY, 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@R.add("WITH before AS (SELECT * FROM documents), changed AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN text || ' oned oned' ELSE text END AS text "
+       "FROM before WHERE doc_id % 9 <> 1), " + bm25_sql(QUERY, 20).removeprefix("WITH ").replace("FROM documents", "FROM changed"))
+def bm25_block_index_changed(spark, sf_dir):
+    """The same after a change: a ninth of the documents gains words, another ninth goes."""
+    index, d = _keyword_index(spark, sf_dir), docs(spark, sf_dir)
+    index.replace(d.where("doc_id % 9 = 0").select("doc_id", F.concat("text", F.lit(" oned oned")).alias("text")), d.where("doc_id % 9 = 1").select("doc_id"))
+    return index.search(QUERY, 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @R.add(f"WITH {INDEX} SELECT * FROM postings WHERE term = 'oned' ORDER BY doc_id LIMIT 1")
 def peek_posting(spark, sf_dir):
     return bm25.peek_posting(bm25.postings(docs(spark, sf_dir)), "oned")

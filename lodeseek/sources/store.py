@@ -15,15 +15,21 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodeseek.operators import bm25
 
 #: After so many changes a table's parts are merged.
 MAX_PARTS = 12
 
+#: Columns that reading adds and drops: the part of a row, and the last part in which its key is gone.
+_PART, _GONE = "_lodeseek_part", "_lodeseek_gone"
+
 
 class Conflict(RuntimeError):
     """Another writer published a manifest since this transaction began."""
@@ -35,6 +41,7 @@ class Store:
     root: str
     keep: int = 3  # versions that stay readable
     _own: threading.local = field(default_factory=threading.local, repr=False)  # the transaction of each thread
+    _schemas: dict[str, dict] = field(default_factory=dict, repr=False)  # of folders that were written and are not published
 
     def _path(self, text: str):
         jvm = self.spark.sparkContext._jvm
@@ -118,6 +125,9 @@ class Store:
             tables = self._open["tables"]
             number = int(tables[name].split("-")[0]) + 1 if name in tables else 1
             version = f"{number:012d}-{uuid.uuid4().hex}"
+            for part in parts:
+                known = {part[k]: self._schemas.pop(part[k]) for k in ("rows", "gone") if part.get(k) in self._schemas}
+                part["schemas"] = part.get("schemas", {}) | known
             self._write_json(f"{self.root}/{name}/_versions/{version}", parts)
             tables[name] = version
             self._open["changed"].add(name)
@@ -132,31 +142,60 @@ class Store:
         tables = self._tables()
         if name not in tables:
             raise KeyError(f"no table {name}")
-        load = lambda folder: self.spark.read.parquet(f"{self.root}/{name}/{folder}")
-        out = None
-        for part in self._parts(name, tables[name]):
-            if part.get("gone") and out is not None:
-                out = out.join(load(part["gone"]), part["key"], "left_anti").select(*out.columns)
+        return self._rows_of(name, self._parts(name, tables[name]))
+
+    def _load(self, name: str, part: dict, kind: str) -> DataFrame:
+        """Schemas are kept with the parts, so no job has to find out what a part's files hold."""
+        schema = part.get("schemas", {}).get(part[kind])
+        reader = self.spark.read.schema(StructType.fromJson(schema)) if schema else self.spark.read
+        return reader.parquet(f"{self.root}/{name}/{part[kind]}")
+
+    def _rows_of(self, name: str, parts: list[dict]) -> DataFrame:
+        """A row lives if its key is gone in no later part: one anti-join for each key that parts were changed by, however many
+        parts there are."""
+        rows, gone = None, {}
+        for at, part in enumerate(parts):
             if part.get("rows"):
-                rows = load(part["rows"])
-                out = rows if out is None else out.unionByName(rows.select(*out.columns))
-        return out
-
-    def _write_folder(self, name: str, df: DataFrame, sort_by: str | None = None, partition_by: str | None = None) -> str:
+                own = self._load(name, part, "rows")
+                own = own.select(*(own.columns if rows is None else rows.columns[:-1]), F.lit(at).alias(_PART))
+                rows = own if rows is None else rows.unionByName(own)
+            if part.get("gone") and at:
+                own = self._load(name, part, "gone").select(*part["key"], F.lit(at).alias(_GONE))
+                key = tuple(part["key"])
+                gone[key] = gone[key].unionByName(own) if key in gone else own
+        for key, keys in gone.items():
+            last = keys.groupBy(*key).agg(F.max(_GONE).alias(_GONE)).select(*(F.col(c).alias(f"{_GONE}_{c}") for c in key), _GONE)
+            same = [F.col(c) == F.col(f"{_GONE}_{c}") for c in key]
+            rows = rows.join(last, reduce(and_, same, F.col(_PART) < F.col(_GONE)), "left_anti")
+        return rows.drop(_PART)
+
+    def _bytes(self, name: str, folder: str) -> int:
+        path, fs = self._path(f"{self.root}/{name}/{folder}")
+        return fs.getContentSummary(path).getLength()
+
+    def _write_folder(self, name: str, df: DataFrame, sort_by: str | Sequence[str] | None = None, partition_by: str | None = None, as_is: bool = False) -> str:
         folder = uuid.uuid4().hex
-        out = df.repartitionByRange(sort_by).sortWithinPartitions(sort_by) if sort_by else df
+        self._schemas[folder] = json.loads(df.schema.json())
+        if as_is:
+            writer = df.write.partitionBy(partition_by) if partition_by else df.write
+            writer.parquet(f"{self.root}/{name}/{folder}")
+            return folder
+        sort_by = [sort_by] if isinstance(sort_by, str) else list(sort_by or ())
+        out = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by) if sort_by else df
         if partition_by:  # by range: a value of many rows is dealt to several files, one of few to one
-            df.repartitionByRange(F.col(partition_by), F.rand(1)).write.partitionBy(partition_by).parquet(f"{self.root}/{name}/{folder}")
+            out = df.repartitionByRange(F.col(partition_by), *(sort_by or [F.rand(1)]))
+            out = out.sortWithinPartitions(partition_by, *sort_by) if sort_by else out
+            out.write.partitionBy(partition_by).parquet(f"{self.root}/{name}/{folder}")
         else:
             out.write.parquet(f"{self.root}/{name}/{folder}")
         return folder
 
-    def write(self, name: str, df: DataFrame, sort_by: str | None = None, partition_by: str | None = None) -> None:
-        """The whole table; sorted inside files by sort_by, so that row groups can be skipped on it, or with a folder for each value of
+    def write(self, name: str, df: DataFrame, sort_by: str | Sequence[str] | None = None, partition_by: str | None = None, as_is: bool = False) -> None:
+        """The whole table, as_is where df is laid out already; else sorted inside files by sort_by, so that row groups can be skipped on it, or with a folder for each value of
         partition_by, so that folders can."""
-        self._publish(name, [{"rows": self._write_folder(name, df, sort_by, partition_by), "sort": sort_by, "partition": partition_by}])
+        self._publish(name, [{"rows": self._write_folder(name, df, sort_by, partition_by, as_is), "sort": sort_by, "partition": partition_by}])
 
-    def change(self, name: str, rows: DataFrame | None, gone: DataFrame | None, key: Sequence[str], sort_by: str | None = None) -> None:
+    def change(self, name: str, rows: DataFrame | None, gone: DataFrame | None, key: Sequence[str], sort_by: str | None = None, as_is: bool = False) -> None:
         """Rows whose key is in gone go, then rows come: what is written is as large as the change."""
         with self.transaction():
             parts = self._parts(name, self._tables()[name])
@@ -165,10 +204,25 @@ class Store:
             if gone is not None:
                 part["gone"] = self._write_folder(name, gone.select(*key).distinct())
             if rows is not None:
-                part["rows"] = self._write_folder(name, rows, partition_by=by)
+                part["rows"] = self._write_folder(name, rows, partition_by=by, as_is=as_is)
             self._publish(name, [*parts, part])
             if len(parts) >= MAX_PARTS:
-                self.write(name, self.read(name), sort_by or parts[0].get("sort"), by)
+                self._merge(name, [*parts, part], sort_by or parts[0].get("sort"), by)
+
+    def _merge(self, name: str, parts: list[dict], sort_by: str | Sequence[str] | None, partition_by: str | None) -> None:
+        """The changes become one part, so that merging costs what has changed; the whole table is written anew once they are half
+        as large as what they change, or where their keys differ."""
+        keys = {tuple(p["key"]) for p in parts[1:]}
+        changed = sum(self._bytes(name, p[k]) for p in parts[1:] for k in ("rows", "gone") if p.get(k))
+        if len(keys) > 1 or not parts[0].get("rows") or 2 * changed > self._bytes(name, parts[0]["rows"]):
+            return self.write(name, self._rows_of(name, parts), sort_by, partition_by)
+        one: dict = {"key": list(keys.pop())}
+        gone = [self._load(name, p, "gone") for p in parts[1:] if p.get("gone")]
+        if gone:
+            one["gone"] = self._write_folder(name, reduce(DataFrame.unionByName, gone).distinct())
+        if any(p.get("rows") for p in parts[1:]):
+            one["rows"] = self._write_folder(name, self._rows_of(name, parts[1:]), sort_by, partition_by)
+        self._publish(name, [parts[0], one])
 
     def drop(self, name: str) -> None:
         """Nothing happens if there is no such table."""
