@@ -10,13 +10,13 @@ import random
 import time
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass, field
 from logging.handlers import RotatingFileHandler
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Parts of key names (in any case) whose values are never logged.
 SENSITIVE = ("apiKey", "api_key", "token", "password", "secret", "credentials", "authorization")
@@ -107,6 +107,12 @@ class Telemetry:
         return {"counters": {(n if not labels else (n, *labels)): c for (n, *labels), c in self.counts.items()}, "histograms": values, "gauges": dict(self.gauges)}
 
 
+@dataclass
+class Measured:
+    df: DataFrame
+    values: dict = field(default_factory=dict)
+
+
 class Metrics:
     """The engine's instruments: three counters, two histograms and three gauges. Without telemetry each call does nothing."""
 
@@ -133,6 +139,19 @@ class Metrics:
         if self.on:
             self.telemetry.count(self.STORE, type=kind)
 
+    @contextmanager
+    def measured(self, df: DataFrame, name: str, **counts: Column) -> Iterator[Measured]:
+        """Counts that executors make while the block runs one action on ``.df``: no pass of their own. They are in ``.values`` at the
+        end, and in telemetry as name.<count>. The plan must hold no range exchange above df, since its sampling runs df as well.
+        If the block fails nothing is counted."""
+        seen = Observation()
+        out = Measured(df.observe(seen, *(c.alias(n) for n, c in counts.items())))
+        yield out
+        out.values = {n: seen.get.get(n) for n in counts}
+        for key, value in out.values.items():
+            if self.on and value is not None:
+                self.telemetry.count(f"{name}.{key}", value)
+
     def duration(self, ms: float) -> None:
         if self.on:
             self.telemetry.record(self.DURATION, ms)

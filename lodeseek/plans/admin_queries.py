@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeseek.admin import status
+from lodeseek.admin.telemetry import Metrics, Telemetry
+from lodeseek.operators import bm25
 from lodeseek.plans.registry import Registry
-from lodeseek.session import table
+from lodeseek.plans.search_queries import TOKENS
+from lodeseek.session import materialize, table
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -87,3 +90,15 @@ def clear_index(spark, sf_dir):
 
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     return delete(d, d.where("source = 'src0'"), "doc_id").select("doc_id")
+
+
+@R.add(f"""WITH {TOKENS} SELECT count(*)::BIGINT AS documents, sum(len(ts))::BIGINT AS tokens, max(len(ts))::BIGINT AS longest,
+count(*) FILTER (WHERE len(ts) = 0)::BIGINT AS without_tokens FROM toks""")
+def executor_metrics(spark, sf_dir):
+    """What executors counted while one job wrote the documents' lengths, with no pass of its own; the row is made of the counts."""
+    lengths, length = bm25.doc_stats(table(spark, sf_dir, "documents")), F.col("length")
+    metrics = Metrics(Telemetry(enabled=True))
+    counts = {"documents": F.count(F.lit(1)), "tokens": F.sum(length), "longest": F.max(length), "without_tokens": F.count_if(length == 0)}
+    with metrics.measured(lengths, "lodeseek.index", **counts) as counted:
+        materialize(counted.df, "lengths")
+    return spark.createDataFrame([tuple(counted.values[n] for n in counts)], ", ".join(f"{n} long" for n in counts))

@@ -103,6 +103,12 @@ class Engine:
 
     def _put(self, name: str, rows: DataFrame | None, gone: DataFrame | None, key: list[str], sort_by: str | None = None) -> None:
         """rows in place of those whose key is gone; only what changes is written."""
+        if self.metrics.on and rows is not None and name in ("files", "chunks"):  # written in one pass, without an order
+            with self.metrics.measured(rows, f"lodeseek.index.{name}", rows=F.count(F.lit(1))) as counted:
+                return self._put_rows(name, counted.df, gone, key, sort_by)
+        self._put_rows(name, rows, gone, key, sort_by)
+
+    def _put_rows(self, name: str, rows: DataFrame | None, gone: DataFrame | None, key: list[str], sort_by: str | None) -> None:
         if not self.store.exists(name):
             if rows is not None:
                 self.store.write(name, rows, sort_by)

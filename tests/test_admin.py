@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodeseek.admin import config, embedding, telemetry
 from lodeseek.admin.cache import QueryCache
@@ -99,3 +100,22 @@ def test_telemetry_spans_nest_and_redact():
 def test_errors():
     assert NotFound("gone", suggestion="index it").to_dict() == {"code": -32001, "message": "gone", "suggestion": "index it"}
     assert as_engine_error(ValueError("x")).code == -32603
+
+
+def test_counts_of_executors_are_those_of_the_rows_written(spark, tmp_path):
+    telemetry_ = telemetry.Telemetry(enabled=True)
+    metrics = telemetry.Metrics(telemetry_)
+    rows = spark.range(1000).repartition(7).withColumn("even", F.col("id") % 2 == 0)
+    with metrics.measured(rows, "written", rows=F.count(F.lit(1)), even=F.count_if("even"), most=F.max("id")) as counted:
+        counted.df.write.parquet(f"{tmp_path}/rows")
+    assert counted.values == {"rows": 1000, "even": 500, "most": 999} and spark.read.parquet(f"{tmp_path}/rows").count() == 1000
+    assert telemetry_.read()["counters"]["written.rows"] == 1000
+    with metrics.measured(rows.where("id < 0"), "empty", rows=F.count(F.lit(1)), most=F.max("id")) as counted:
+        counted.df.write.parquet(f"{tmp_path}/none")
+    assert counted.values == {"rows": 0, "most": None}
+    with pytest.raises(RuntimeError), metrics.measured(rows, "failed", rows=F.count(F.lit(1))):
+        raise RuntimeError
+    assert "failed.rows" not in telemetry_.read()["counters"]
+    with telemetry.Metrics().measured(rows, "off", rows=F.count(F.lit(1))) as counted:
+        counted.df.collect()
+    assert counted.values == {"rows": 1000}
