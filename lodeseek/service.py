@@ -19,6 +19,7 @@ from lodeseek.admin.embedding import CachedEmbedder, Embedder, HashingEmbedder,
 from lodeseek.admin.errors import InvalidParams, as_engine_error
 from lodeseek.admin.telemetry import Metrics, metrics
 from lodeseek.operators import bm25, chunks, hybrid, latent, linking, snippets, symbols, vector_index, vectors
+from lodeseek.operators.keyword_index import KeywordIndex
 from lodeseek.parse import tables as parsers
 from lodeseek.sources import languages
 from lodeseek.sources.scan import ScanOptions, list_one, read_files, scan
@@ -84,6 +85,7 @@ class Engine:
 
     def __post_init__(self) -> None:
         self.store = Store(self.spark, self.root)
+        self.keywords = KeywordIndex(self.store)
         self.embedder.initialize()
         self.health = status.HealthChecker(__version__, self._probe_store, lambda: self.embedder.embed("probe"))
         self._watchers: dict[str, tuple[Watcher, UpdateQueue]] = {}
@@ -132,6 +134,8 @@ class Engine:
         now = now.where(F.col("project_id") == project)
         self._put("postings", bm25.postings(now, "id", "text", with_positions=True), old, ["doc_id"], "term")
         self._put("doc_stats", bm25.doc_stats(now, "id", "text"), old, ["doc_id"])
+        if self.keywords.exists():
+            self.keywords.replace(now, old, "id", "text")
 
         if self.store.exists("chunk_index"):
             index = vector_index.StoredVectorIndex(self.store, "chunk_index")
@@ -231,6 +235,8 @@ class Engine:
         old = self.store.read("chunks").join(F.broadcast(gone), gone.columns, "left_semi").select(F.col("id").alias("doc_id"))
         for name in ("postings", "doc_stats"):
             self._put(name, None, old, ["doc_id"])
+        if self.keywords.exists():
+            self.keywords.delete(old)
         if self.store.exists("chunk_index"):
             self._put("chunk_index", None, old.select(F.col("doc_id").alias("id")), ["id"])
         for name in ("files", "chunks"):
@@ -260,6 +266,10 @@ class Engine:
         """The stored model again, in another session."""
         self.embedder = latent.LatentEmbedder(latent.LatentModel.of_table(self.store.read("latent_terms")))
 
+    def index_keywords(self) -> None:
+        """Posting blocks of the chunks' texts; searches open the blocks that can hold a hit from now on, and changes keep them."""
+        self._atomically(lambda: self.keywords.create(self.store.read("chunks"), "id", "text"))
+
     def index_vectors(self, **fitting) -> None:
         """Cells and codes of the chunks' vectors; searches read the cells near the query from now on, and changes keep them."""
         index = vector_index.StoredVectorIndex(self.store, "chunk_index")
@@ -307,7 +317,11 @@ class Engine:
         if not args["query"].strip() or not self.store.exists("chunks"):
             return {"results": [], "totalResults": 0, "searchTime": 0}
         k, units = args["topK"], self.store.read("chunks")
-        keyword = bm25.search(self.store.read("postings"), self.store.read("doc_stats"), args["query"], 2 * k).withColumnRenamed("doc_id", "id")
+        if self.keywords.exists():
+            keyword = self.keywords.search(args["query"], 2 * k)
+        else:
+            keyword = bm25.search(self.store.read("postings"), self.store.read("doc_stats"), args["query"], 2 * k)
+        keyword = keyword.withColumnRenamed("doc_id", "id")
         vector = self._nearest(self.embedder.embed(args["query"]), 2 * k)
         meta = units.select("id", "language", "file_type", "project_id", "file_path", "name", "type", "line_start", "line_end")
         if args["projectId"]:
@@ -407,7 +421,7 @@ class Engine:
         meta = self.store.read("index_metadata")
         names = [r.project_id for r in meta.select("project_id").collect() if project in (None, r.project_id)]
         if project is None:
-            for table in ("index_metadata", "files", "chunks", "postings", "doc_stats", "chunk_index", "chunk_index_coder"):
+            for table in ("index_metadata", "files", "chunks", "postings", "doc_stats", "chunk_index", "chunk_index_coder", *(f"{self.keywords.name}_{t}" for t in ("state", "docs", "blocks", "gone"))):
                 self.store.drop(table)
         elif names:
             gone = self._project(project)
@@ -415,6 +429,8 @@ class Engine:
                 old = self.store.read("chunks").where(F.col("project_id") == project).select(F.col("id").alias("doc_id"))
                 for table in ("postings", "doc_stats"):
                     self._put(table, None, old, ["doc_id"])
+                if self.keywords.exists():
+                    self.keywords.delete(old)
                 if self.store.exists("chunk_index"):
                     self._put("chunk_index", None, old.select(F.col("doc_id").alias("id")), ["id"])
             for table in ("files", "chunks", "index_metadata"):

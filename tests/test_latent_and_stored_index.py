@@ -210,12 +210,14 @@ def test_the_engine_follows_its_changes(spark, tmp_path_factory):
     assert files() == 13
     engine.learn_embedder(latent.Settings(dimensions=4))
     engine.index_vectors(cells=3, books=2, codes=4)
+    engine.index_keywords()
     assert engine.search_code(query="fresh rows", topK=3)["results"][0]["name"] == "fresh"
     (root / "g.py").write_text("def renamed(rows):\n    return rows\n")
     engine.update_file(f"{root}/g.py", str(root))
     assert engine.search_code(query="renamed rows", topK=3)["results"][0]["name"] == "renamed"
     assert engine.store.read("chunk_index").count() == engine.store.read("chunks").count()
     engine.remove_file(f"{root}/g.py", str(root))
+    assert engine.keywords.search("renamed").count() == 0 and engine.keywords.search("name3").count() == 1
     assert files() == 12 and engine.store.read("chunk_index").count() == engine.store.read("chunks").count()
     before = engine.store.read("files").count()
     broken, engine._totals = engine._totals, lambda project: 1 / 0
