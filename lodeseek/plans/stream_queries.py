@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.plans.registry import Registry
 from lodeseek.session import scratch_root, table
-from lodeseek.streaming import changes
+from lodeseek.streaming import changes, durable_queue
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -48,6 +48,25 @@ def debounce_stream(spark, sf_dir):
     return found.withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
 
 
+@R.add(f"""WITH s AS (SELECT (user_id % 200)::VARCHAR AS file_path, event_type AS project_id, (event_id % 9)::DOUBLE AS priority, ts, lag(ts) OVER (PARTITION BY user_id % 200 ORDER BY ts) AS p FROM events),
+n AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p > {GAP_SQL} THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY ts, p) AS run FROM s),
+g AS (SELECT file_path, first(project_id ORDER BY ts DESC, priority DESC, project_id DESC) AS project_id, first(priority ORDER BY ts DESC, priority DESC, project_id DESC) AS priority, max(ts) AS ts, count(*)::BIGINT AS n_requests
+  FROM n GROUP BY file_path, run)
+SELECT * FROM g WHERE ts + {GAP_SQL} <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 10 SECOND""")
+def durable_queue_items(spark, sf_dir):
+    """Events as update requests: what the queue hands on, through state and timers, once a path has kept still for the gap."""
+    root = f"{scratch_root(spark)}/lodeseek/queue-{uuid.uuid4().hex}"
+    events = stream_of(spark, sf_dir, "events")
+    requests = events.select((F.col("user_id") % 200).cast("string").alias("file_path"), F.col("event_type").alias("project_id"), (F.col("event_id") % 9).alias("priority"), F.col("ts").cast("timestamp").alias("ts"))
+
+    def keep(items: DataFrame, epoch: int) -> None:
+        items.write.mode("overwrite").parquet(f"{root}/out/epoch={epoch}")
+
+    durable_queue.run_queue(requests, keep, f"{root}/errors", f"{root}/state", GAP, interval=None).awaitTermination()
+    found = spark.read.schema("file_path string, project_id string, priority double, ts timestamp, n_requests long").parquet(f"{root}/out")
+    return found.select("file_path", "project_id", "priority", F.col("ts").cast("timestamp_ntz").alias("ts"), "n_requests")
+
+
 @R.add("""SELECT user_id AS file_path, arg_max(event_id, ts) AS event_id, max(ts) AS ts FROM events GROUP BY user_id""")
 def queue_dedup_latest(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("file_path"), "event_id", "ts", F.lit(None).cast("long").alias("priority"))
