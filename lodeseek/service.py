@@ -22,8 +22,9 @@ from lodeseek.operators import bm25, chunks, hybrid, latent, linking, snippets,
 from lodeseek.operators.keyword_index import KeywordIndex
 from lodeseek.parse import tables as parsers
 from lodeseek.sources import languages
-from lodeseek.sources.scan import ScanOptions, list_one, read_files, scan
+from lodeseek.sources.scan import ScanOptions, list_one, read_files
 from lodeseek.sources.store import Conflict, Store
+from lodeseek.sources.tree import scan_tree
 from lodeseek.streaming.queue import UpdateQueue
 from lodeseek.streaming.watcher import Watcher, WatchOptions
 
@@ -160,7 +161,8 @@ class Engine:
         args = checked("index_project", given)
         root, project = args["rootPath"], args["rootPath"]
         began = time.time()
-        files = scan(self.spark, root, ScanOptions(exclude=args["excludePatterns"] or ()), project, lambda event, path: self.progress(event) if event == "scanComplete" else None)
+        files = scan_tree(self.spark, root, ScanOptions(exclude=args["excludePatterns"] or ()), project)
+        self.progress("scanComplete")
         if args["languages"]:
             files = files.where(F.col("language").isin(*(x.lower() for x in args["languages"])) | (F.col("kind") == "markdown"))
         if not args["includeDocuments"]:

@@ -51,6 +51,12 @@ def _open(spark: SparkSession, *parts: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def located(spark: SparkSession, root: str) -> str:
+    """The root's full URI, without a slash at its end; a missing root raises."""
+    path, fs = _open(spark, root)
+    return fs.getFileStatus(path).getPath().toString().rstrip("/")
+
+
 def _bytes(spark: SparkSession, path, fs) -> bytes:
     stream = fs.open(path)
     try:
@@ -176,7 +182,11 @@ def scan(
     Names that begin with a dot are listed like any other; excluded folders are not entered. Bytes that are not UTF-8 become
     U+FFFD, and valid is false for such a file. Folders that cannot be read are skipped. A missing root raises."""
     found = list_files(spark, root, options, on_event)
-    files = read_files(spark, found.files, options.max_hidden_bytes).withColumn("rel_path", relative(F.col("path"), root))
+    return as_scanned(read_files(spark, found.files, options.max_hidden_bytes).withColumn("rel_path", relative(F.col("path"), root)), project)
+
+
+def as_scanned(files: DataFrame, project: str) -> DataFrame:
+    """The columns of scan() from FILES with rel_path."""
     return files.select(
         F.lit(project).alias("project_id"), "path", "rel_path", languages.language_of(F.col("rel_path")).alias("language"),
         languages.kind_of(F.col("rel_path")).alias("kind"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"),
