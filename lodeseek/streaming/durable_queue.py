@@ -1,7 +1,8 @@
 """The update queue as a stream: what waits is state by path, so a restart from the checkpoint loses and repeats nothing.
 
 A request waits until its path has kept still for a while (event time); requests that come meanwhile are merged with it and the
-latest decides, as in queue_items(). A timer then hands the item on. Each micro-batch of items that are due is given to
+latest decides, as in queue_items(). A timer then hands the item on; time is the requests' own, so the last items of a stream that
+falls silent wait for the next request. Each micro-batch of items that are due is given to
 ``apply`` in the order of drain(); what fails is kept in a table of errors, and the queue goes on."""
 
 from __future__ import annotations
