@@ -125,11 +125,11 @@ class Engine:
         self.progress("files")
         self._put("files", files.select(F.lit(project).alias("project_id"), F.col("path").alias("file_path"), "language", "kind", "content"), gone, key)
         self.progress("chunks")
-        old = self.store.read("chunks").join(F.broadcast(gone), key, "left_semi").select(F.col("id").alias("doc_id")) if self.store.exists("chunks") else None
+        old = self.store.read("chunks").join(gone, key, "left_semi").select(F.col("id").alias("doc_id")) if self.store.exists("chunks") else None
         embedder = getattr(self.embedder, "inner", self.embedder)
         self._put("chunks", embed_documents(units, lambda: embedder), gone, key)
         self.progress("keyword index")
-        now = self.store.read("chunks").join(F.broadcast(files.select(F.col("path").alias("file_path")).distinct()), "file_path", "left_semi") if "file_path" in key else (
+        now = self.store.read("chunks").join(files.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi") if "file_path" in key else (
             self.store.read("chunks").where(F.col("project_id") == project)
         )
         now = now.where(F.col("project_id") == project)
