@@ -115,3 +115,43 @@ def test_similar_windows_match_brute_force(spark, tmp_path, monkeypatch, most):
                     want[(block, str(i), n)] = round(score, 6)
     got = {(r.block_id, r.file_path, r.start_line): r.similarity for r in similar_code_windows(spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want) and len(want) > 20
+
+
+def test_bounded_edit_distances_are_those_of_the_whole_matrix():
+    """Pairs beyond their bound are given up and rows far from the last diagonal are left out; what is within stays exact."""
+    import random
+
+    import numpy as np
+
+    from lodeseek.functions.editing import Texts, distances, distances_within, word_count
+
+    rng = random.Random(5)
+
+    def edited(text: str) -> str:
+        out = list(text)
+        for _ in range(rng.randint(0, len(text) * 2 // 3 + 1)):
+            at = rng.randint(0, len(out))
+            out[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "é", "日"])
+        return "".join(out)
+
+    for n in (0, 1, 63, 64, 65, 200):
+        base = "".join(rng.choices("abcé", k=n))
+        patterns = [p for p in [base, *(edited(base) for _ in range(4))] if word_count(p) == word_count(base)]
+        texts = Texts(["", *(edited(base) for _ in range(20)), *("".join(rng.choices("abcé", k=rng.randint(0, 250))) for _ in range(20))])
+        text, pattern = np.divmod(np.arange(len(texts.length) * len(patterns)), len(patterns))
+        longest = np.maximum(texts.length[text], np.array([len(p) for p in patterns])[pattern])
+        exact = np.stack([distances(p, texts, 0, len(texts.length)) for p in patterns])[pattern, text]
+        for threshold in (0.2, 0.5, 0.8):
+            most = np.floor((1 - threshold) * longest + 1e-9).astype(int)
+            assert (distances_within(patterns, texts, pattern, text, most) == np.where(exact <= most, exact, -1)).all()
+
+
+def test_a_long_text_does_not_widen_the_columns_of_others():
+    """One text of 100,000 characters among many short ones took a table of its length for all of them."""
+    from lodeseek.functions.editing import Texts
+    from lodeseek.operators.linking import GROUP_CHARACTERS, _chunks_of_like_length
+
+    texts = ["x" * 100_000, *(f"short text {i}" for i in range(3000))]
+    chunks = list(_chunks_of_like_length(texts))
+    assert sorted(t for c in chunks for t in c) == sorted(texts)
+    assert all(Texts(c).columns.size <= GROUP_CHARACTERS for c in chunks)
