@@ -123,21 +123,105 @@ def search(index: DataFrame, coder: Coder, query: Sequence[float], k: int = 10,
     return V.top_k(rows, query, k, id_col="id")
 
 
+#: Rows of the index and queries that one task holds at once, and rows and queries whose distances it holds at once.
+ROW_BLOCK, QUERY_BLOCK, TILE = 16_384, 8_192, 128
+#: Pairs that are measured at once.
+MEASURED = 1 << 21
+
+
 def search_many(index: DataFrame, coder: Coder, queries: DataFrame, k: int = 10, probes: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score) of the k nearest of each row of queries, among the rows of its nearest cells: an equi-join on the cell.
+    """(query_id, id, score) of the k nearest of each row of queries, among the rows of its nearest cells.
 
-    Queries are dealt to their cells, and distances are folded inside the JVM; what leaves a cell is k rows a query. Every row
+    Rows of a cell and the queries that probe it meet in a grid of blocks of bounded size. A task finds by products of matrices what can be
+    among a query's k nearest of its block, and measures that exactly; what leaves it is k rows a query. Every row
     of a cell meets every query that probes it, so queries are a stated set, not the table itself."""
     centers = coder.centers.tolist()
-    near = F.slice(F.array_sort(F.array(*(F.struct(V.squared_l2(F.col("q"), c).alias("d"), F.lit(i).alias("c")) for i, c in enumerate(centers)))), 1, probes)
     asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("q")).na.drop()
-    asked = asked.select("query_id", "q", F.explode(near).alias("n")).select("query_id", "q", F.col("n.c").alias("cell_id"))
-    far = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    found = index.join(asked, "cell_id").select("query_id", "id", (1 - far).alias("score"))
+    n_queries = asked.count()
+    sizes = {r.cell_id: r.n for r in index.groupBy("cell_id").agg(F.count("*").alias("n")).collect()}  # a row for each cell
+    rows_of = index.select("id", "embedding", "cell_id")
+    if probes >= len(centers):  # cells tell nothing then
+        sizes, rows_of = {0: sum(sizes.values())}, rows_of.withColumn("cell_id", F.lit(0))
+        asked = asked.withColumn("cell_id", F.lit(0))
+    else:
+        near = F.slice(F.array_sort(F.array(*(F.struct(V.squared_l2(F.col("q"), c).alias("d"), F.lit(i).alias("c")) for i, c in enumerate(centers)))), 1, probes)
+        asked = asked.select("query_id", "q", F.explode(near).alias("n")).select("query_id", "q", F.col("n.c").alias("cell_id"))
+    if not sizes or not n_queries or k < 1:
+        return index.limit(0).select(F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), "id", F.lit(0.0).alias("score"))
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    block = max(1, min(ROW_BLOCK, -(-sum(sizes.values()) // (2 * cores))))
+    splits = F.create_map(*(F.lit(x) for c, n in sizes.items() for x in (c, -(-n // block))))
+    wide = max(1, -(-n_queries // QUERY_BLOCK))
+    left = asked.where(F.col("cell_id").isin(list(sizes))).select(
+        "query_id", "q", "cell_id", F.explode(F.sequence(F.lit(0), splits[F.col("cell_id")] - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), F.lit(wide)).cast("int").alias("group")
+    )
+    right = rows_of.withColumn("part", F.pmod(F.xxhash64("id"), splits[F.col("cell_id")]).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
+    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {index.schema['id'].dataType.simpleString()}, score double"
+    keys, names = ("cell_id", "part", "group"), ("query_id", "id", "score")
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        q, odd_q = _matrix(asked.column("q"))
+        x, odd_x = _matrix(rows.column("embedding"))
+        at, to, score = [np.concatenate(c) for c in zip(*_nearest(q, x, np.array(rows.column("id").to_pylist()), k, odd_q, odd_x))] if len(q) and len(x) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        null = odd_q[at] | odd_x[to]
+        return pa.Table.from_arrays([asked.column("query_id").take(pa.array(at)), rows.column("id").take(pa.array(to)), pa.array(score, mask=null)], names=list(names))
+
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, kinds)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
 
 
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of one width, and which of them hold a null, so that no distance to them is known. Shorter ones count as having nulls."""
+    lists = column.combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat, null = lists.flatten(), np.zeros((len(sizes), int(sizes.max(initial=0))), dtype=bool)
+    out = np.full(null.shape, np.nan)
+    inside = np.arange(null.shape[1]) < sizes[:, None]
+    out[inside] = flat.to_numpy(zero_copy_only=False)
+    null[inside] = flat.is_null().to_numpy(zero_copy_only=False)
+    return out, (null | ~inside).any(axis=1)
+
+
+def _nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, null_q: np.ndarray, null_x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in q, place in x, score) of each query's k best: NaN first and null last, as Spark orders them, ties to the smaller id. Products screen
+    with a bound of their error; where it means nothing (not finite, or huge) all are measured."""
+    if q.shape[1] != x.shape[1]:  # all distances are null then
+        q, x, null_q, null_x = q[:, :0], x[:, :0], np.ones(len(q), bool), np.ones(len(x), bool)
+    with np.errstate(all="ignore"):
+        q2, x2 = (q * q).sum(1), (x * x).sum(1)
+        plain_q, plain_x = q2 < 1e150, x2 < 1e150  # False for NaN
+        plain = np.flatnonzero(plain_x)
+        xp, error = x[plain], 1e-15 * (x.shape[1] + 8)
+        for start in range(0, len(q), TILE):
+            own = np.arange(start, min(start + TILE, len(q)))
+            may = np.ones((len(own), len(x)), dtype=bool)
+            if len(plain) > k:  # rows that are not plain stay
+                far = q2[own, None] + x2[plain] - 2 * (q[own] @ xp.T)
+                slack = error * (q2[own, None] + x2[plain])
+                kth = np.partition(far + slack, k - 1, axis=1)[:, k - 1 : k]
+                may[:, plain] = (far - slack <= kth) | ~plain_q[own, None]
+            at, to = np.nonzero(may)
+            if len(at) <= MEASURED:
+                yield _measured(q, x, ids, k, null_q, null_x, own[at], to)
+            else:
+                for i in range(len(own)):
+                    yield _measured(q, x, ids, k, null_q, null_x, own[at[at == i]], to[at == i])
+
+
+def _measured(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, null_q: np.ndarray, null_x: np.ndarray, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sums = np.zeros(len(at))
+    for d in range(x.shape[1]):  # in the order of the dimensions, as a fold of the arrays
+        gap = x[to, d] - q[at, d]
+        sums += gap * gap
+    score, null = 1 - sums, null_q[at] | null_x[to]
+    order = np.lexsort((ids[to], np.where(np.isnan(score), 0, sums), ~np.isnan(score), null, at))
+    at, to, score = at[order], to[order], score[order]
+    first = np.searchsorted(at, at)
+    kept = np.arange(len(at)) - first < k
+    return at[kept], to[kept], score[kept]
+
+
 @dataclass
 class StoredVectorIndex:
     """The index as tables of a store: rows by cell, and the coder."""

@@ -225,3 +225,26 @@ def test_the_engine_follows_its_changes(spark, tmp_path_factory):
         engine.remove_file(f"{root}/f1.py", str(root))
     engine._totals = broken
     assert engine.store.read("files").count() == before
+
+
+def test_many_queries_meet_the_index_in_bounded_blocks(spark, monkeypatch):
+    """Small blocks, ties, vectors that repeat, NaN, infinity, huge and null numbers: as a fold of all pairs, and no join of rows."""
+    from pyspark.sql import Window
+
+    rng = np.random.RandomState(4)
+    data = [(i, [float(v) for v in rng.randint(0, 4, 6)]) for i in range(300)]
+    data += [(300, [float("nan")] * 6), (301, [float("inf")] * 6), (302, [1e200] * 6), (303, [1.0, None, 1.0, 1.0, 1.0, 1.0])]
+    rows = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    coder = vector_index.Coder(rng.standard_normal((3, 6)), ())
+    index = rows.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 3).cast("int").alias("cell_id"), "embedding")
+    for name, value in (("ROW_BLOCK", 70), ("QUERY_BLOCK", 5), ("TILE", 2), ("MEASURED", 100)):
+        monkeypatch.setattr(vector_index, name, value)
+    queries = rows.where("vec_id % 20 = 0 OR vec_id > 300")
+    far = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    pairs = index.crossJoin(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))).select("query_id", "id", (1 - far).alias("score"))
+    want = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("_n <= 7").drop("_n")
+    found = vector_index.search_many(index, coder, queries, k=7, probes=3)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    text = found._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" not in text
+    assert vector_index.search_many(index.limit(0), coder, queries, k=7).count() == 0
