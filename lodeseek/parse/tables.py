@@ -30,13 +30,19 @@ MARKDOWN = "path string, ordinal int, kind string, line int, end_line int, level
 INI = "path string, section string, key string, values array<string>, line int"
 
 
+#: Files that are read at once: what they hold is many times as large in Python, so a batch of Spark's is too much.
+FILES_AT_ONCE = 64
+
+
 def _table(files: DataFrame, columns: list[str], rows: Callable[..., list[dict]], schema: str) -> DataFrame:
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [r for values in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))) for r in rows(*values)]
-            yield pa.RecordBatch.from_pylist(found, schema=arrow)
+            for at in range(0, batch.num_rows, FILES_AT_ONCE):
+                part = batch.slice(at, FILES_AT_ONCE)
+                found = [r for values in zip(*(part.column(i).to_pylist() for i in range(part.num_columns))) for r in rows(*values)]
+                yield pa.RecordBatch.from_pylist(found, schema=arrow)
 
     return files.select(*columns).mapInArrow(run, schema)
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,26 @@ def test_queue_keeps_the_latest(spark):
     rows = [("p", 5, 1), ("p", None, 2), ("q", 1, 3)]
     got = changes.drain(changes.queue_items(spark.createDataFrame(rows, "file_path string, priority long, ts long")), 5).collect()
     assert [(r.file_path, r.priority) for r in got] == [("p", 2), ("q", 1)]
+
+
+def test_parsers_hold_the_rows_of_few_files_at_once(spark):
+    """A batch of Spark's has up to 10,000 files; rows leave the parser long before all of these are read."""
+    from lodeseek.parse import tables
+
+    def rows(path):
+        assert int(path) < 3 * tables.FILES_AT_ONCE, "read ahead of what was asked for"
+        return [{"path": path}]
+
+    kept = {}
+
+    class Files:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            kept["run"] = run
+
+    tables._table(Files(), ["path"], rows, "path string")
+    out = kept["run"](iter([pa.RecordBatch.from_pydict({"path": [str(i) for i in range(10_000)]})]))
+    first = [next(out), next(out)]
+    assert [b.num_rows for b in first] == [tables.FILES_AT_ONCE] * 2 and first[1].column(0)[0].as_py() == str(tables.FILES_AT_ONCE)
