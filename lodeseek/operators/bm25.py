@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.functions.text import is_token, raw_tokens
+from lodeseek.session import shuffle_partitions_for
+
+#: Text of a task that groups tokens with their positions.
+POSITIONED_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -34,9 +38,14 @@ def positioned_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_positions: bool = False) -> DataFrame:
-    """(term, doc_id, frequency[, positions])."""
+    """(term, doc_id, frequency[, positions]).
+
+    Positions take more room than the texts they are in, so with them texts are shuffled, by document, and tokens are grouped
+    where they are, in tasks of so little text that their sorting needs no disk."""
     if with_positions:
-        rows = positioned_tokens(docs, id_col, text_col)
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+        whole = docs.select(id_col, text_col).repartition(shuffle_partitions_for(docs.sparkSession, size, POSITIONED_BYTES), id_col)
+        rows = positioned_tokens(whole, id_col, text_col)
         return rows.groupBy("term", "doc_id").agg(F.count("*").alias("frequency"), F.array_sort(F.collect_list("position")).alias("positions"))
     return token_rows(docs, id_col, text_col).groupBy("term", "doc_id").agg(F.count("*").alias("frequency"))
 

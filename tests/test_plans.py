@@ -41,6 +41,15 @@ def test_postings_take_one_exchange_with_partial_aggregation(spark, stored):
     assert text.count(") Exchange") == 1 and "partial_count" in text and "payload" not in text and "Python" not in text
 
 
+def test_positions_are_grouped_where_the_texts_are(spark, stored):
+    """One exchange, of texts below the tokens; rows that share an id are one document."""
+    docs = spark.read.parquet(f"{stored}/docs")
+    text = plan(bm25.postings(docs, with_positions=True)).split("\n\n")[0]
+    assert text.count("Exchange") == 1 and text.index("Generate") < text.index("Exchange") and "Python" not in text
+    twice = docs.where("doc_id = 3").union(docs.where("doc_id = 3"))
+    assert {r.term: (r.frequency, r.positions) for r in bm25.postings(twice, with_positions=True).collect()} == {"some": (2, [0, 0]), "words": (2, [1, 1]), "here": (2, [2, 2])}
+
+
 def test_search_over_texts_shuffles_a_row_per_document(spark, stored):
     text = plan(bm25.search_documents(spark.read.parquet(f"{stored}/docs"), "some words"))
     assert "partial_count" in text and "SortMergeJoin" not in text and "Python" not in text and "payload" not in text
