@@ -8,6 +8,9 @@ triangle's singular vectors turn the columns into the right singular vectors of
 
 The vocabulary is bounded by a parameter (``max_terms``, the terms of most documents), whatever the corpus; only
 matrices of that many rows are broadcast or reach the driver. Counts, document frequencies and products cover all documents.
+
+Texts are lower-cased in the JVM and split where they lie, by Arrow in tasks: of a text only its terms' numbers and weights are
+written, and of a corpus only sums for each term are shuffled.
 """
 
 from __future__ import annotations
@@ -20,14 +23,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.functions.text import STOP_WORDS, TOKEN_BREAK, is_token, raw_tokens
+from lodeseek.functions.text import STOP_WORDS, TOKEN_BREAK
 from lodeseek.operators import bm25
 from lodeseek.session import materialize
 
 _BREAK = re.compile(re.sub(r"\\x\{(\w{4})\}", r"\\u\1", TOKEN_BREAK))
+#: The same in RE2, whose white space lacks the vertical tab.
+_ARROW_BREAK = TOKEN_BREAK.replace(r"\s", r"\s\x0B", 1)
+#: Text that a task splits at once, and documents of a dense block.
+SLICE_BYTES, BLOCK_ROWS = 2 << 20, 64
 #: Tasks of one pass, each of which sends sums at most once: a few for every core, not one for every split of a large corpus.
 TASKS_PER_CORE = 2
 #: Triangles that one task stacks.
@@ -46,8 +54,11 @@ class Settings:
 
 def vocabulary(tokens: DataFrame, total: int, settings: Settings) -> list[tuple[str, float]]:
     """(term, idf) of the terms of most documents, at most max_terms, in order of the terms."""
-    df = tokens.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= settings.min_documents)
-    rows = df.orderBy(F.desc("df"), "term").limit(settings.max_terms).collect()
+    return _most_frequent(tokens.groupBy("term").agg(F.count("*").alias("df")), total, settings)
+
+
+def _most_frequent(df: DataFrame, total: int, settings: Settings) -> list[tuple[str, float]]:
+    rows = df.where(F.col("df") >= settings.min_documents).orderBy(F.desc("df"), "term").limit(settings.max_terms).collect()
     return sorted((r.term, math.log((1 + total) / (1 + r.df)) + 1) for r in rows)
 
 
@@ -56,9 +67,84 @@ def document_rows(tokens: DataFrame, terms: Sequence[tuple[str, float]]) -> Data
     spark = tokens.sparkSession
     known = spark.createDataFrame([(t, i, w) for i, (t, w) in enumerate(terms)], "term string, n int, idf double")
     weight = (1 + F.log(F.col("frequency"))) * F.col("idf")
-    rows = tokens.join(F.broadcast(known), "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", weight.alias("w")))).alias("row"))
-    size = F.sqrt(F.aggregate("row", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    return rows.select("doc_id", F.col("row.n").alias("terms"), F.transform("row", lambda x: x["w"] / size).alias("weights"))
+    rows = tokens.join(F.broadcast(known), "term").groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("n", weight.alias("w")))).alias("row"), F.sqrt(F.sum(weight * weight)).alias("size")
+    )
+    return rows.select("doc_id", F.col("row.n").alias("terms"), F.transform("row", lambda x: x["w"] / F.col("size")).alias("weights"))
+
+
+def _lower(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(text_col, F.lit(""))).alias("text"))
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about SLICE_BYTES of text, one at least."""
+    ends, at = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)), 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(row of each piece, pieces), empty pieces and stop words included."""
+    lists = pc.split_pattern_regex(texts, _ARROW_BREAK)
+    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten()
+
+
+def _counts(row: np.ndarray, number: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number, repeats) of the different pairs, in order."""
+    key, n = np.unique(row * width + number, return_counts=True)
+    return key // max(1, width), key % max(1, width), n
+
+
+def _known(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, frequency) of the known terms of lower-cased texts."""
+    row, pieces = _split(texts)
+    number = pc.fill_null(pc.index_in(pieces, value_set=terms), -1).to_numpy(zero_copy_only=False)
+    kept = number >= 0
+    return _counts(row[kept], number[kept].astype(np.int64), len(terms))
+
+
+def document_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, df) of documents of different ids; the row without a term counts the documents that have any. Tasks count a slice of
+    texts each, so that a row for each different term of a slice is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dropped = pa.array(["", *STOP_WORDS])
+        for batch in batches:
+            for part in _slices(batch):
+                row, pieces = _split(part.column("text"))
+                kept = ~pc.is_in(pieces, value_set=dropped).to_numpy(zero_copy_only=False)
+                coded = pieces.filter(pa.array(kept)).dictionary_encode()
+                _, term, _ = _counts(row[kept], coded.indices.to_numpy().astype(np.int64), len(coded.dictionary))
+                df = np.bincount(term, minlength=len(coded.dictionary))
+                found = pa.concat_arrays([coded.dictionary, pa.array([None], pa.string())])
+                yield pa.RecordBatch.from_arrays([found, pa.array(np.append(df, len(np.unique(row[kept]))), pa.int64())], names=["term", "df"])
+
+    return _lower(docs, id_col, text_col).mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def text_rows(docs: DataFrame, terms: Sequence[tuple[str, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """document_rows() of documents of different ids, made where their texts lie."""
+    sent = docs.sparkSession.sparkContext.broadcast(([t for t, _ in terms], np.array([w for _, w in terms])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, idf = pa.array(sent.value[0], pa.string()), sent.value[1]
+        for batch in batches:
+            for part in _slices(batch):
+                row, term, n = _known(part.column("text"), names)
+                weight = (1 + np.log(n)) * idf[term]
+                size = np.sqrt(np.bincount(row, weight * weight, part.num_rows))
+                starts = np.flatnonzero(np.diff(row, prepend=-1))
+                offsets = pa.array(np.append(starts, len(row)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (term.astype(np.int32), weight / size[row])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row[starts])), *lists], names=["doc_id", "terms", "weights"])
+
+    texts = _lower(docs, id_col, text_col)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"doc_id {kind}, terms array<int>, weights array<double>")
 
 
 def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,10 +154,15 @@ def _sparse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy(), batch.column("weights").flatten().to_numpy()
 
 
-def _products(batch: pa.RecordBatch, columns: np.ndarray) -> np.ndarray:
-    row, term, weight = _sparse(batch)
-    starts = np.searchsorted(row, np.arange(batch.num_rows))
-    return np.add.reduceat(columns[term] * weight[:, None], starts, axis=0)
+def _blocks(row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, terms that occur, dense weights of these) of few rows each; entries come in order of their rows."""
+    for first in range(0, n_rows, BLOCK_ROWS):
+        to = min(first + BLOCK_ROWS, n_rows)
+        at = slice(*np.searchsorted(row, (first, to)))
+        used = np.flatnonzero(np.bincount(term[at]))
+        dense = np.zeros((to - first, len(used)))
+        dense[row[at] - first, np.searchsorted(used, term[at])] = weight[at]
+        yield first, used, dense
 
 
 def _few_tasks(df: DataFrame) -> DataFrame:
@@ -86,8 +177,8 @@ def gram_product(rows: DataFrame, columns: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns, total = sent.value, np.zeros(sent.value.shape)
         for batch in batches:
-            row, term, weight = _sparse(batch)
-            np.add.at(total, term, weight[:, None] * _products(batch, columns)[row])
+            for _, used, dense in _blocks(*_sparse(batch), batch.num_rows):
+                total[used] += dense.T @ (dense @ columns[used])
         seen = np.flatnonzero(total.any(axis=1))
         for at in range(0, len(seen), 4096):
             part = seen[at : at + 4096]
@@ -118,7 +209,8 @@ def triangle(rows: DataFrame, columns: np.ndarray) -> np.ndarray:
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        yield result(TaskContext.get().partitionId(), reduce(_products(b, sent.value) for b in batches if b.num_rows))
+        products = lambda b: [dense @ sent.value[used] for _, used, dense in _blocks(*_sparse(b), b.num_rows)]
+        yield result(TaskContext.get().partitionId(), reduce(np.vstack(products(b)) for b in batches if b.num_rows))
 
     def stack(key: tuple, table: pa.Table) -> pa.Table:
         parts = (np.frombuffer(r, np.float64).reshape(-1, width) for r in table.column("r").to_pylist())
@@ -160,12 +252,17 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     """The right singular vectors of largest value of all documents' weights. A corpus of fewer terms or documents than dimensions
     has as many as its rank allows; one without any has none. Rows that repeat an id are one document."""
     docs = docs.where(F.col(id_col).isNotNull())
-    tokens = materialize(bm25.postings(docs, id_col, text_col), "latent")
-    total = tokens.agg(F.count_distinct("doc_id")).first()[0]
-    terms = vocabulary(tokens, total, settings)
+    ids = docs.agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("d")).first()
+    tokens = None
+    if ids.n == ids.d:
+        df = materialize(document_frequency(docs, id_col, text_col), "latent")
+        terms = _most_frequent(df.where("term IS NOT NULL"), sum(r.df for r in df.where("term IS NULL").collect()), settings)
+    else:  # rows that repeat an id meet by a shuffle of their counted tokens
+        tokens = materialize(bm25.postings(docs, id_col, text_col), "latent")
+        terms = vocabulary(tokens, tokens.agg(F.count_distinct("doc_id")).first()[0], settings)
     if not terms:
         return LatentModel((), np.zeros(0), np.zeros((0, 0)), np.zeros(0))
-    rows = materialize(document_rows(tokens, terms), "latent")
+    rows = materialize(text_rows(docs, terms, id_col, text_col) if tokens is None else document_rows(tokens, terms), "latent")
     width = min(settings.dimensions + settings.extra, len(terms))
     columns = np.linalg.qr(np.random.RandomState(settings.seed).standard_normal((len(terms), width)))[0]
     for _ in range(settings.rounds):
@@ -213,14 +310,23 @@ def split_tokens(text: str | None) -> list[str]:
 
 
 def embed(docs: DataFrame, model: LatentModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, embedding) of each row; tokens are split in the JVM, as for the index."""
-    sent = docs.sparkSession.sparkContext.broadcast(LatentEmbedder(model))
+    """(doc_id, embedding) of each row: LatentEmbedder's vectors, of a slice of texts at once."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        names, width = pa.array(model.terms, pa.string()), model.vectors.shape[1]
         for batch in batches:
-            found = [sent.value.vector(t or ()).tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "embedding"])
-
-    tokens = F.filter(raw_tokens(F.col(text_col)), is_token)
-    kind = docs.select(F.col(id_col).alias("doc_id")).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), tokens.alias("tokens")).mapInArrow(run, f"doc_id {kind}, embedding array<double>")
+            for part in _slices(batch):
+                out = np.zeros((part.num_rows, width))
+                row, term, n = _known(part.column("text"), names)
+                for first, used, dense in _blocks(row, term, (1 + np.log(n)) * model.idf[term], part.num_rows):
+                    out[first : first + len(dense)] = dense @ model.vectors[used]
+                size = np.linalg.norm(out, axis=1, keepdims=True)
+                out = np.where(size > 1e-12, out / np.maximum(size, 1e-12), 0.0)
+                offsets = pa.array(np.arange(part.num_rows + 1) * width, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=["doc_id", "embedding"])
+
+    texts = _lower(docs, id_col, text_col)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"doc_id {kind}, embedding array<double>")

@@ -86,6 +86,32 @@ def test_no_terms(spark, corpus):
     assert latent.fit(corpus.limit(0)).terms == ()
 
 
+def test_rows_of_texts_are_those_of_counted_tokens(spark, corpus, monkeypatch):
+    monkeypatch.setattr(latent, "SLICE_BYTES", 200)  # so that a batch has many slices
+    odd = [(2000, "Car\x0bROAD\u00a0river\ufeffboat\u3000sail -- car"), (2001, "\u0130stanbul ROAD wheel"), (2002, ""), (2003, " ".join(f"u{i}" for i in range(300)) + " road")]
+    docs = corpus.unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    tokens = bm25.postings(docs)
+    df = {r.term: r.df for r in latent.document_frequency(docs.repartition(3)).collect()}
+    assert df.pop(None) == tokens.agg(F.count_distinct("doc_id")).first()[0]
+    assert df == {r.term: r.df for r in bm25.document_frequency(tokens).collect()}
+    terms = latent.vocabulary(tokens, 150, latent.Settings())
+    rows = lambda found: {r.doc_id: (r.terms, r.weights) for r in found.collect()}
+    got, want = rows(latent.text_rows(docs, terms)), rows(latent.document_rows(tokens, terms))
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and np.allclose(got[i][1], want[i][1]) for i in want)
+
+
+def test_fitting_shuffles_no_tokens_unless_ids_repeat(spark, corpus, monkeypatch):
+    """Tokens of all documents were shuffled twice, and a row's length was summed anew for each of its terms."""
+    whole = latent.fit(corpus, latent.Settings(dimensions=4))
+    halves = corpus.select("doc_id", F.explode(F.array(F.split("text", " ", 2)[0], F.element_at(F.split("text", " ", 2), -1))).alias("text"))
+    assert halves.count() > corpus.count()
+    again = latent.fit(halves.where("text IS NOT NULL"), latent.Settings(dimensions=4))
+    assert again.terms == whole.terms and np.allclose(again.idf, whole.idf)
+    assert "aggregate(" not in latent.document_rows(bm25.postings(corpus), [("car", 1.0)])._jdf.queryExecution().toString()
+    monkeypatch.setattr(bm25, "postings", lambda *_: pytest.fail("tokens are shuffled"))
+    assert latent.fit(corpus, latent.Settings(dimensions=4)).terms == whole.terms
+
+
 @pytest.fixture(scope="module")
 def points(spark):
     rng = np.random.RandomState(2)
