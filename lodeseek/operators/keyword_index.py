@@ -19,18 +19,23 @@ token counts and is never found."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.functions.text import tokens
+from lodeseek.functions.arrow_text import counts, lowered, slices, token_codes
 from lodeseek.operators.bm25 import Params, query_terms
-from lodeseek.session import materialize
+from lodeseek.session import materialize, shuffle_partitions_for
 from lodeseek.sources.store import Store
 
 #: Length classes are powers of two; no text has 2^48 tokens.
 CLASSES = 48
+#: Text that a task makes blocks of at once.
+SLICE_BYTES = 8 << 20
 
 
 @dataclass
@@ -68,25 +73,61 @@ class KeywordIndex:
         return [max(1, math.ceil(found.get(c, 0) / self.segment_docs)) for c in range(CLASSES)]
 
     def _checked(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(doc_id, tokens, length)."""
-        rows = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens"))
+        """(doc_id, text, length): lower-cased texts with their number of tokens."""
         ids = docs.agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("d")).first()
         if ids.n != ids.d:
             raise ValueError(f"{ids.n} rows have {ids.d} different ids that are not null")
-        return rows.withColumn("length", F.size("tokens").cast("long"))
-
-    @staticmethod
-    def _postings(rows: DataFrame) -> DataFrame:
-        """(doc_id, length, term, frequency)."""
-        return rows.select("doc_id", "length", F.explode("tokens").alias("term")).groupBy("doc_id", "length", "term").agg(F.count("*").alias("frequency"))
+        rows = docs.select(F.col(id_col).alias("doc_id"), lowered(F.col(text_col)).alias("text"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, SLICE_BYTES):
+                    length = np.bincount(token_codes(part.column("text"))[0], minlength=part.num_rows)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(length, pa.int64())], names=["doc_id", "text", "length"])
+
+        return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, length long")
+
+    def _blocks_of_texts(self, rows: DataFrame, segments: list[int], buckets: int, documents: int, n_tokens: int, epoch: int) -> DataFrame:
+        """Texts are shuffled by segment, so a task makes a segment's blocks where its texts lie, and blocks are shuffled, not
+        postings. A segment that a slice ends in has two blocks of a term."""
+        placed = rows.withColumn("segment", self._segment(F.col("doc_id"), F.col("length"), segments))
+        placed = placed.repartition(shuffle_partitions_for(self.store.spark, 8 * n_tokens), "segment").sortWithinPartitions("segment", "doc_id")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, SLICE_BYTES):
+                    row, code, known = token_codes(part.column("text"))
+                    row, code, n = counts(row, code, len(known))
+                    if not len(row):
+                        continue
+                    own, at = np.unique(part.column("segment").to_numpy(), return_inverse=True)
+                    key = at[row] * len(known) + code
+                    order = np.argsort(key, kind="stable")  # by segment and term, then as rows come: by id
+                    row, code, n, key = row[order], code[order], n[order], key[order]
+                    length = part.column("length").to_numpy()[row]
+                    starts = np.flatnonzero(np.diff(key, prepend=-1))
+                    ends = np.append(starts, len(row))
+                    entries = pa.StructArray.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(n, pa.int64()), pa.array(length)], names=["doc_id", "frequency", "length"])
+                    columns = [known.take(pa.array(code[starts])), own[key[starts] // len(known)], np.diff(ends), np.maximum.reduceat(n, starts), np.minimum.reduceat(length, starts)]
+                    columns = [columns[0], *(pa.array(c, pa.int64()) for c in columns[1:]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["term", "segment", "n", "max_frequency", "min_length", "entries"])
+
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        schema = f"term string, segment long, n long, max_frequency long, min_length long, entries array<struct<doc_id: {kind}, frequency: long, length: long>>"
+        blocks, tasks = self._dealt(placed.mapInArrow(run, schema), buckets, documents)
+        blocks = blocks.repartition(tasks, "bucket", "lane").withColumn("epoch", F.lit(epoch).cast("long"))
+        return blocks.drop("lane").sortWithinPartitions("bucket", "term", "segment")
+
+    def _dealt(self, rows: DataFrame, buckets: int, documents: int) -> tuple[DataFrame, int]:
+        """(rows with the bucket and lane of their term and segment, tasks that write them)."""
+        lanes = max(1, math.ceil(documents / self.lane_documents))
+        dealt = rows.withColumns({"bucket": self._bucket(buckets), "lane": F.pmod("segment", F.lit(lanes)).cast("int")})
+        return dealt, min(buckets * lanes, max(1, math.ceil(documents / self.segment_docs)))
 
     def _blocks_of(self, postings: DataFrame, segments: list[int], buckets: int, documents: int, epoch: int) -> DataFrame:
         """One shuffle, by bucket and lane: a lane holds at most so many postings of a term, so a word of every document is dealt to
         many tasks, and each task writes a file for each of its buckets."""
-        lanes = max(1, math.ceil(documents / self.lane_documents))
-        placed = postings.withColumn("segment", self._segment(F.col("doc_id"), F.col("length"), segments))
-        placed = placed.withColumns({"bucket": self._bucket(buckets), "lane": F.pmod("segment", F.lit(lanes)).cast("int")})
-        tasks = min(buckets * lanes, max(1, math.ceil(documents / self.segment_docs)))
+        placed, tasks = self._dealt(postings.withColumn("segment", self._segment(F.col("doc_id"), F.col("length"), segments)), buckets, documents)
         entries = F.sort_array(F.collect_list(F.struct("doc_id", "frequency", "length")))  # about segment_docs of them
         out = placed.repartition(tasks, "bucket", "lane").groupBy("bucket", "lane", "term", "segment").agg(
             F.count("*").alias("n"), F.max("frequency").alias("max_frequency"), F.min("length").alias("min_length"), entries.alias("entries")
@@ -98,21 +139,23 @@ class KeywordIndex:
         schema = "documents long, tokens long, epoch long, buckets int, laid_out long, segments array<long>"
         self.store.write(f"{self.name}_state", self.store.spark.createDataFrame([(documents, n_tokens, epoch, buckets, laid_out, segments)], schema))
 
-    def _write_all(self, lengths: DataFrame, postings: DataFrame) -> None:
+    def _write_all(self, lengths: DataFrame, texts: DataFrame | None, postings: DataFrame | None = None) -> None:
+        """Blocks of texts, as _checked() has them, or of postings."""
         lengths = materialize(lengths, "lengths")
         segments = self._layout(lengths)
         total = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("t")).first()
         buckets = min(4096, max(8, math.ceil(total.t / self.bucket_tokens)))
         placed = lengths.select("doc_id", "length", self._segment(F.col("doc_id"), F.col("length"), segments).alias("segment"))
+        blocks = self._blocks_of(postings, segments, buckets, total.n, 0) if texts is None else self._blocks_of_texts(texts, segments, buckets, total.n, total.t, 0)
         with self.store.transaction():
             self.store.write(f"{self.name}_docs", placed)
-            self.store.write(f"{self.name}_blocks", self._blocks_of(postings, segments, buckets, total.n, 0), ["term", "segment"], "bucket", as_is=True)
+            self.store.write(f"{self.name}_blocks", blocks, ["term", "segment"], "bucket", as_is=True)
             self.store.write(f"{self.name}_gone", placed.select("doc_id", "segment", F.lit(0).cast("long").alias("epoch")).limit(0))
             self._put_state(total.n, total.t, 0, buckets, total.n, segments)
 
     def create(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         rows = self._checked(docs, id_col, text_col)
-        self._write_all(rows.select("doc_id", "length"), self._postings(rows))
+        self._write_all(rows.select("doc_id", "length"), rows)
 
     # Changes
 
@@ -123,16 +166,17 @@ class KeywordIndex:
         with self.store.transaction():
             state = self._state()
             epoch = state.epoch + 1
-            ids = rows.select("doc_id") if gone is None else rows.select("doc_id").union(gone.select("doc_id"))
+            lengths = materialize(rows.select("doc_id", "length"), "lengths")
+            ids = lengths.select("doc_id") if gone is None else lengths.select("doc_id").union(gone.select("doc_id"))
             known = self._table("docs")
             old = known.join(ids.distinct(), "doc_id", "left_semi")
             minus = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("t")).first()
-            plus = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("t")).first()
+            plus = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("t")).first()
             dead = old.select("doc_id", "segment", F.lit(epoch).cast("long").alias("epoch"))
-            placed = rows.select("doc_id", "length", self._segment(F.col("doc_id"), F.col("length"), state.segments).alias("segment"))
+            placed = lengths.select("doc_id", "length", self._segment(F.col("doc_id"), F.col("length"), state.segments).alias("segment"))
             self.store.change(f"{self.name}_gone", dead, None, ["doc_id"])
             self.store.change(f"{self.name}_docs", placed, ids, ["doc_id"])
-            blocks = self._blocks_of(self._postings(rows), state.segments, state.buckets, plus.n, epoch)
+            blocks = self._blocks_of_texts(rows, state.segments, state.buckets, plus.n, plus.t, epoch)
             self.store.change(f"{self.name}_blocks", blocks, None, ["term"], as_is=True)
             documents = state.documents - minus.n + plus.n
             self._put_state(documents, state.tokens - minus.t + plus.t, epoch, state.buckets, state.laid_out, state.segments)
@@ -147,7 +191,7 @@ class KeywordIndex:
     def lay_out(self) -> None:
         """Blocks of the living postings alone, in segments for the number of documents there are now."""
         living = self._living(self._table("blocks")).select("doc_id", "length", "term", "frequency")
-        self._write_all(self._table("docs").select("doc_id", "length"), materialize(living, "living"))
+        self._write_all(self._table("docs").select("doc_id", "length"), None, materialize(living, "living"))
 
     # Searches
 

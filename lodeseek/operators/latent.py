@@ -27,13 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.functions.arrow_text import counts, lowered, slices, split, token_codes
 from lodeseek.functions.text import STOP_WORDS, TOKEN_BREAK
 from lodeseek.operators import bm25
 from lodeseek.session import materialize
 
 _BREAK = re.compile(re.sub(r"\\x\{(\w{4})\}", r"\\u\1", TOKEN_BREAK))
-#: The same in RE2, whose white space lacks the vertical tab.
-_ARROW_BREAK = TOKEN_BREAK.replace(r"\s", r"\s\x0B", 1)
 #: Text that a task splits at once, and documents of a dense block.
 SLICE_BYTES, BLOCK_ROWS = 2 << 20, 64
 #: Tasks of one pass, each of which sends sums at most once: a few for every core, not one for every split of a large corpus.
@@ -74,37 +73,15 @@ def document_rows(tokens: DataFrame, terms: Sequence[tuple[str, float]]) -> Data
 
 
 def _lower(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(text_col, F.lit(""))).alias("text"))
-
-
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of about SLICE_BYTES of text, one at least."""
-    ends, at = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)), 0
-    while at < batch.num_rows:
-        done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
-def _split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """(row of each piece, pieces), empty pieces and stop words included."""
-    lists = pc.split_pattern_regex(texts, _ARROW_BREAK)
-    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten()
-
-
-def _counts(row: np.ndarray, number: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, number, repeats) of the different pairs, in order."""
-    key, n = np.unique(row * width + number, return_counts=True)
-    return key // max(1, width), key % max(1, width), n
+    return docs.select(F.col(id_col).alias("doc_id"), lowered(F.col(text_col)).alias("text"))
 
 
 def _known(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, frequency) of the known terms of lower-cased texts."""
-    row, pieces = _split(texts)
+    row, pieces = split(texts)
     number = pc.fill_null(pc.index_in(pieces, value_set=terms), -1).to_numpy(zero_copy_only=False)
     kept = number >= 0
-    return _counts(row[kept], number[kept].astype(np.int64), len(terms))
+    return counts(row[kept], number[kept].astype(np.int64), len(terms))
 
 
 def document_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,16 +89,12 @@ def document_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts each, so that a row for each different term of a slice is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dropped = pa.array(["", *STOP_WORDS])
         for batch in batches:
-            for part in _slices(batch):
-                row, pieces = _split(part.column("text"))
-                kept = ~pc.is_in(pieces, value_set=dropped).to_numpy(zero_copy_only=False)
-                coded = pieces.filter(pa.array(kept)).dictionary_encode()
-                _, term, _ = _counts(row[kept], coded.indices.to_numpy().astype(np.int64), len(coded.dictionary))
-                df = np.bincount(term, minlength=len(coded.dictionary))
-                found = pa.concat_arrays([coded.dictionary, pa.array([None], pa.string())])
-                yield pa.RecordBatch.from_arrays([found, pa.array(np.append(df, len(np.unique(row[kept]))), pa.int64())], names=["term", "df"])
+            for part in slices(batch, SLICE_BYTES):
+                row, code, known = token_codes(part.column("text"))
+                df = np.bincount(counts(row, code, len(known))[1], minlength=len(known))
+                found = pa.concat_arrays([known, pa.array([None], pa.string())])
+                yield pa.RecordBatch.from_arrays([found, pa.array(np.append(df, len(np.unique(row))), pa.int64())], names=["term", "df"])
 
     return _lower(docs, id_col, text_col).mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
@@ -133,7 +106,7 @@ def text_rows(docs: DataFrame, terms: Sequence[tuple[str, float]], id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, idf = pa.array(sent.value[0], pa.string()), sent.value[1]
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch, SLICE_BYTES):
                 row, term, n = _known(part.column("text"), names)
                 weight = (1 + np.log(n)) * idf[term]
                 size = np.sqrt(np.bincount(row, weight * weight, part.num_rows))
@@ -317,7 +290,7 @@ def embed(docs: DataFrame, model: LatentModel, id_col: str = "doc_id", text_col:
         model = sent.value
         names, width = pa.array(model.terms, pa.string()), model.vectors.shape[1]
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch, SLICE_BYTES):
                 out = np.zeros((part.num_rows, width))
                 row, term, n = _known(part.column("text"), names)
                 for first, used, dense in _blocks(row, term, (1 + np.log(n)) * model.idf[term], part.num_rows):

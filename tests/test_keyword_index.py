@@ -117,3 +117,28 @@ def test_empty_tables_repeated_ids_and_other_columns(spark, index):
     other = KeywordIndex(index.store, "other")
     other.create(clashing, "id", "body")
     assert [r.doc_id for r in other.search("w0").collect()] == ["x", "y"]
+
+
+def test_blocks_of_texts_hold_the_postings_and_no_posting_is_shuffled(spark, index, monkeypatch):
+    """Every posting was shuffled twice and gathered row by row."""
+    docs = docs_of(spark, texts(500, 7) + [(900, "W1\x0bw2 w3　The w1"), (901, " ".join(f"x{i}" for i in range(3000)))])
+    index.create(docs)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = index._checked(docs, "doc_id", "text")
+    lengths = {r.doc_id: r.length for r in rows.select("doc_id", "length").collect()}
+    assert lengths == {r.doc_id: r.length for r in bm25.doc_stats(docs).collect()}
+    state = index._state()
+    made = index._blocks_of_texts(rows, state.segments, state.buckets, state.documents, state.tokens, 0)
+    assert "Generate" not in plan(made) and "collect_list" not in plan(made)
+    want = {(r.term, r.doc_id): (r.frequency, lengths[r.doc_id]) for r in bm25.postings(docs).collect()}
+    for size in (8 << 20, 3000):  # whole tables at once; slices that end in segments
+        monkeypatch.setattr("lodeseek.operators.keyword_index.SLICE_BYTES", size)
+        blocks = index._blocks_of_texts(rows, state.segments, state.buckets, state.documents, state.tokens, 0).collect()
+        found = [(b.term, e.doc_id, e.frequency, e.length) for b in blocks for e in b.entries]
+        assert len(found) == len(want) and {(t, d): (f, n) for t, d, f, n in found} == want
+        segments = {r.doc_id: r.segment for r in index._table("docs").collect()}
+        for b in blocks:
+            assert (b.n, b.max_frequency, b.min_length) == (len(b.entries), max(e.frequency for e in b.entries), min(e.length for e in b.entries))
+            assert {segments[e.doc_id] for e in b.entries} == {b.segment}
+        index.create(docs)
+        same(index, docs, "w0 w3 w90")
