@@ -22,9 +22,10 @@ def lowered(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit("")))
 
 
-def slices(batch: pa.RecordBatch, n_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows of about n_bytes of text, one at least."""
-    ends, at = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+def slices(batch: pa.RecordBatch, n_bytes: int, sizes: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of about n_bytes, one at least; sizes are those of their texts, if not given."""
+    sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64) if sizes is None else sizes
+    ends, at = np.cumsum(sizes), 0
     while at < batch.num_rows:
         done = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, done + n_bytes, "right")))
@@ -50,3 +51,12 @@ def counts(row: np.ndarray, number: np.ndarray, width: int) -> tuple[np.ndarray,
     """(row, number, repeats) of the different pairs, in order; numbers are below width."""
     key, n = np.unique(row * width + number, return_counts=True)
     return key // max(1, width), key % max(1, width), n
+
+
+def ranked(terms: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(number of each term, the terms of these numbers), numbers in the terms' order."""
+    coded = terms.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return rank[coded.indices.to_numpy()], coded.dictionary.take(order)

@@ -11,7 +11,8 @@ a query without any join of document ranges, and the scores of a segment are who
 The answer is that of a full scan. Blocks are partitioned by a hash of the term, so a query opens the folders of its
 words, and sorted by term and segment inside files. A change appends blocks of a later epoch and notes which documents'
 older postings are dead, in which segments; document frequencies are corrected by opening these segments alone. Once the
-dead are a quarter of the documents, or documents have doubled, the blocks are laid out anew.
+dead are a quarter of the documents, or documents have doubled, the blocks are laid out anew, from the documents' terms
+and their frequencies, which are stored beside the blocks: no text is split twice and no posting is shuffled by itself.
 
 Ids are unique and not null (``create`` and ``replace`` raise otherwise). Null texts are empty; a document without a
 token counts and is never found."""
@@ -24,17 +25,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.functions.arrow_text import counts, lowered, slices, token_codes
+from lodeseek.functions.arrow_text import counts, lowered, ranked, slices, token_codes
 from lodeseek.operators.bm25 import Params, query_terms
 from lodeseek.session import materialize, shuffle_partitions_for
 from lodeseek.sources.store import Store
 
 #: Length classes are powers of two; no text has 2^48 tokens.
 CLASSES = 48
-#: Text that a task makes blocks of at once.
+#: Text that a task splits at once; it makes blocks of an eighth as many postings.
 SLICE_BYTES = 8 << 20
 
 
@@ -73,7 +75,7 @@ class KeywordIndex:
         return [max(1, math.ceil(found.get(c, 0) / self.segment_docs)) for c in range(CLASSES)]
 
     def _checked(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(doc_id, text, length): lower-cased texts with their number of tokens."""
+        """(doc_id, length, terms, frequencies): the number of tokens, the different ones and how often each occurs."""
         ids = docs.agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("d")).first()
         if ids.n != ids.d:
             raise ValueError(f"{ids.n} rows have {ids.d} different ids that are not null")
@@ -82,106 +84,104 @@ class KeywordIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, SLICE_BYTES):
-                    length = np.bincount(token_codes(part.column("text"))[0], minlength=part.num_rows)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(length, pa.int64())], names=["doc_id", "text", "length"])
+                    row, code, known = token_codes(part.column("text"))
+                    length = np.bincount(row, minlength=part.num_rows)
+                    row, code, n = counts(row, code, len(known))
+                    ends = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32())
+                    lists = [pa.ListArray.from_arrays(ends, values) for values in (known.take(pa.array(code)), pa.array(n, pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(length, pa.int64()), *lists], names=["doc_id", "length", "terms", "frequencies"])
 
-        return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, length long")
+        return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, length long, terms array<string>, frequencies array<long>")
 
     def _blocks_of_texts(self, rows: DataFrame, segments: list[int], buckets: int, documents: int, n_tokens: int, epoch: int) -> DataFrame:
-        """Texts are shuffled by segment, so a task makes a segment's blocks where its texts lie, and blocks are shuffled, not
-        postings. A segment that a slice ends in has two blocks of a term."""
+        """Documents with their terms, as _checked() has them, are shuffled by segment, so a task makes a segment's blocks where
+        its documents lie, and blocks are shuffled, not postings. A segment that a slice ends in has two blocks of a term.
+
+        Blocks come sorted by term from each slice, and a bucket has tasks of its own, so these merge sorted runs."""
         placed = rows.withColumn("segment", self._segment(F.col("doc_id"), F.col("length"), segments))
         placed = placed.repartition(shuffle_partitions_for(self.store.spark, 8 * n_tokens), "segment").sortWithinPartitions("segment", "doc_id")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, SLICE_BYTES):
-                    row, code, known = token_codes(part.column("text"))
-                    row, code, n = counts(row, code, len(known))
+                sizes = 8 * pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
+                for part in slices(batch, SLICE_BYTES, sizes):
+                    row = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column("terms")).to_numpy(zero_copy_only=False))
                     if not len(row):
                         continue
+                    code, known = ranked(part.column("terms").flatten())
+                    n, length = part.column("frequencies").flatten().to_numpy(), part.column("length").to_numpy()
                     own, at = np.unique(part.column("segment").to_numpy(), return_inverse=True)
-                    key = at[row] * len(known) + code
-                    order = np.argsort(key, kind="stable")  # by segment and term, then as rows come: by id
-                    row, code, n, key = row[order], code[order], n[order], key[order]
-                    length = part.column("length").to_numpy()[row]
+                    key = code * len(own) + at[row]
+                    order = np.argsort(key, kind="stable")  # by term and segment, then as rows come: by id
+                    row, n, key = row[order], n[order], key[order]
+                    length = length[row]
                     starts = np.flatnonzero(np.diff(key, prepend=-1))
                     ends = np.append(starts, len(row))
-                    entries = pa.StructArray.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(n, pa.int64()), pa.array(length)], names=["doc_id", "frequency", "length"])
-                    columns = [known.take(pa.array(code[starts])), own[key[starts] // len(known)], np.diff(ends), np.maximum.reduceat(n, starts), np.minimum.reduceat(length, starts)]
-                    columns = [columns[0], *(pa.array(c, pa.int64()) for c in columns[1:]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)]
+                    entries = pa.StructArray.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(n), pa.array(length)], names=["doc_id", "frequency", "length"])
+                    columns = [own[key[starts] % len(own)], np.diff(ends), np.maximum.reduceat(n, starts), np.minimum.reduceat(length, starts)]
+                    columns = [known.take(pa.array(key[starts] // len(own))), *(pa.array(c, pa.int64()) for c in columns), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)]
                     yield pa.RecordBatch.from_arrays(columns, names=["term", "segment", "n", "max_frequency", "min_length", "entries"])
 
         kind = rows.schema["doc_id"].dataType.simpleString()
         schema = f"term string, segment long, n long, max_frequency long, min_length long, entries array<struct<doc_id: {kind}, frequency: long, length: long>>"
-        blocks, tasks = self._dealt(placed.mapInArrow(run, schema), buckets, documents)
-        blocks = blocks.repartition(tasks, "bucket", "lane").withColumn("epoch", F.lit(epoch).cast("long"))
-        return blocks.drop("lane").sortWithinPartitions("bucket", "term", "segment")
-
-    def _dealt(self, rows: DataFrame, buckets: int, documents: int) -> tuple[DataFrame, int]:
-        """(rows with the bucket and lane of their term and segment, tasks that write them)."""
+        # A lane holds at most so many postings of a term, so a word of every document is dealt to many tasks.
         lanes = max(1, math.ceil(documents / self.lane_documents))
-        dealt = rows.withColumns({"bucket": self._bucket(buckets), "lane": F.pmod("segment", F.lit(lanes)).cast("int")})
-        return dealt, min(buckets * lanes, max(1, math.ceil(documents / self.segment_docs)))
-
-    def _blocks_of(self, postings: DataFrame, segments: list[int], buckets: int, documents: int, epoch: int) -> DataFrame:
-        """One shuffle, by bucket and lane: a lane holds at most so many postings of a term, so a word of every document is dealt to
-        many tasks, and each task writes a file for each of its buckets."""
-        placed, tasks = self._dealt(postings.withColumn("segment", self._segment(F.col("doc_id"), F.col("length"), segments)), buckets, documents)
-        entries = F.sort_array(F.collect_list(F.struct("doc_id", "frequency", "length")))  # about segment_docs of them
-        out = placed.repartition(tasks, "bucket", "lane").groupBy("bucket", "lane", "term", "segment").agg(
-            F.count("*").alias("n"), F.max("frequency").alias("max_frequency"), F.min("length").alias("min_length"), entries.alias("entries")
-        )
-        out = out.drop("lane").withColumn("epoch", F.lit(epoch).cast("long"))
-        return out.sortWithinPartitions("bucket", "term", "segment")
+        tasks = min(buckets * lanes, max(1, math.ceil(documents / self.segment_docs)))
+        blocks = placed.mapInArrow(run, schema).withColumn("bucket", self._bucket(buckets))
+        lane = F.pmod("segment", F.lit(lanes)).cast("int")
+        blocks = blocks.repartitionById(tasks, F.pmod(F.col("bucket") * lanes + lane, F.lit(tasks)).cast("int"))
+        return blocks.withColumn("epoch", F.lit(epoch).cast("long")).sortWithinPartitions("bucket", "term", "segment")
 
     def _put_state(self, documents: int, n_tokens: int, epoch: int, buckets: int, laid_out: int, segments: list[int]) -> None:
         schema = "documents long, tokens long, epoch long, buckets int, laid_out long, segments array<long>"
         self.store.write(f"{self.name}_state", self.store.spark.createDataFrame([(documents, n_tokens, epoch, buckets, laid_out, segments)], schema))
 
-    def _write_all(self, lengths: DataFrame, texts: DataFrame | None, postings: DataFrame | None = None) -> None:
-        """Blocks of texts, as _checked() has them, or of postings."""
-        lengths = materialize(lengths, "lengths")
-        segments = self._layout(lengths)
-        total = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("t")).first()
-        buckets = min(4096, max(8, math.ceil(total.t / self.bucket_tokens)))
-        placed = lengths.select("doc_id", "length", self._segment(F.col("doc_id"), F.col("length"), segments).alias("segment"))
-        blocks = self._blocks_of(postings, segments, buckets, total.n, 0) if texts is None else self._blocks_of_texts(texts, segments, buckets, total.n, total.t, 0)
+    def _write_all(self, rows: DataFrame) -> None:
+        """All tables of documents and their terms, as _checked() has them, which are stored first and then read for the rest."""
         with self.store.transaction():
+            self.store.write(f"{self.name}_terms", rows)
+            rows = self._table("terms")
+            lengths = rows.select("doc_id", "length")
+            segments = self._layout(lengths)
+            total = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("t")).first()
+            buckets = min(4096, max(8, math.ceil(total.t / self.bucket_tokens)))
+            placed = lengths.withColumn("segment", self._segment(F.col("doc_id"), F.col("length"), segments))
             self.store.write(f"{self.name}_docs", placed)
-            self.store.write(f"{self.name}_blocks", blocks, ["term", "segment"], "bucket", as_is=True)
+            self.store.write(f"{self.name}_blocks", self._blocks_of_texts(rows, segments, buckets, total.n, total.t, 0), ["term", "segment"], "bucket", as_is=True)
             self.store.write(f"{self.name}_gone", placed.select("doc_id", "segment", F.lit(0).cast("long").alias("epoch")).limit(0))
             self._put_state(total.n, total.t, 0, buckets, total.n, segments)
 
     def create(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        rows = self._checked(docs, id_col, text_col)
-        self._write_all(rows.select("doc_id", "length"), rows)
+        self._write_all(self._checked(docs, id_col, text_col))
 
     # Changes
 
     def replace(self, docs: DataFrame, gone: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
         """docs in place of their old entries, and of those of the ids (doc_id) that are gone. What is written is as large as the
         change, but where the blocks are laid out anew."""
-        rows = self._checked(docs, id_col, text_col)
+        rows = materialize(self._checked(docs, id_col, text_col), "terms")
         with self.store.transaction():
             state = self._state()
             epoch = state.epoch + 1
-            lengths = materialize(rows.select("doc_id", "length"), "lengths")
+            lengths = rows.select("doc_id", "length")
             ids = lengths.select("doc_id") if gone is None else lengths.select("doc_id").union(gone.select("doc_id"))
             known = self._table("docs")
             old = known.join(ids.distinct(), "doc_id", "left_semi")
             minus = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("t")).first()
             plus = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("t")).first()
+            documents = state.documents - minus.n + plus.n
+            if not self.store.exists(f"{self.name}_terms"):
+                self.store.write(f"{self.name}_terms", self._terms_of_blocks())
+            self.store.change(f"{self.name}_terms", rows, ids, ["doc_id"])
+            if 4 * (self._table("gone").count() + minus.n) > documents or documents > 2 * max(state.laid_out, self.segment_docs):
+                return self.lay_out()
             dead = old.select("doc_id", "segment", F.lit(epoch).cast("long").alias("epoch"))
             placed = lengths.select("doc_id", "length", self._segment(F.col("doc_id"), F.col("length"), state.segments).alias("segment"))
             self.store.change(f"{self.name}_gone", dead, None, ["doc_id"])
             self.store.change(f"{self.name}_docs", placed, ids, ["doc_id"])
             blocks = self._blocks_of_texts(rows, state.segments, state.buckets, plus.n, plus.t, epoch)
             self.store.change(f"{self.name}_blocks", blocks, None, ["term"], as_is=True)
-            documents = state.documents - minus.n + plus.n
             self._put_state(documents, state.tokens - minus.t + plus.t, epoch, state.buckets, state.laid_out, state.segments)
-            if 4 * self._table("gone").count() > documents or documents > 2 * max(state.laid_out, self.segment_docs):
-                self.lay_out()
 
     def delete(self, ids: DataFrame) -> None:
         """ids (doc_id); those that are not there change nothing."""
@@ -189,9 +189,15 @@ class KeywordIndex:
         self.replace(none, ids)
 
     def lay_out(self) -> None:
-        """Blocks of the living postings alone, in segments for the number of documents there are now."""
-        living = self._living(self._table("blocks")).select("doc_id", "length", "term", "frequency")
-        self._write_all(self._table("docs").select("doc_id", "length"), None, materialize(living, "living"))
+        """Blocks of the living documents alone, in segments for the number of documents there are now."""
+        self._write_all(self._table("terms") if self.store.exists(f"{self.name}_terms") else self._terms_of_blocks())
+
+    def _terms_of_blocks(self) -> DataFrame:
+        """What _checked() has, for an index that was stored before terms were: every living posting is shuffled, once."""
+        found = self._living(self._table("blocks")).groupBy("doc_id").agg(F.collect_list(F.struct("term", "frequency")).alias("found"))
+        rows = self._table("docs").select("doc_id", "length").join(found, "doc_id", "left")
+        empty = {"terms": F.array().cast("array<string>"), "frequencies": F.array().cast("array<long>")}
+        return rows.select("doc_id", "length", F.coalesce("found.term", empty["terms"]).alias("terms"), F.coalesce("found.frequency", empty["frequencies"]).alias("frequencies"))
 
     # Searches
 

@@ -423,7 +423,7 @@ class Engine:
         meta = self.store.read("index_metadata")
         names = [r.project_id for r in meta.select("project_id").collect() if project in (None, r.project_id)]
         if project is None:
-            for table in ("index_metadata", "files", "chunks", "postings", "doc_stats", "chunk_index", "chunk_index_coder", *(f"{self.keywords.name}_{t}" for t in ("state", "docs", "blocks", "gone"))):
+            for table in ("index_metadata", "files", "chunks", "postings", "doc_stats", "chunk_index", "chunk_index_coder", *(f"{self.keywords.name}_{t}" for t in ("state", "docs", "terms", "blocks", "gone"))):
                 self.store.drop(table)
         elif names:
             gone = self._project(project)

@@ -142,3 +142,40 @@ def test_blocks_of_texts_hold_the_postings_and_no_posting_is_shuffled(spark, ind
             assert {segments[e.doc_id] for e in b.entries} == {b.segment}
         index.create(docs)
         same(index, docs, "w0 w3 w90")
+
+
+def test_a_new_layout_is_made_of_stored_terms_and_no_posting_is_shuffled(spark, index, monkeypatch):
+    """Living postings were written as rows, shuffled one by one and gathered again, after blocks that the new layout then replaced."""
+    now = dict(texts(400, 8))
+    docs = docs_of(spark, now.items())
+    index.create(docs)
+    terms = {(r.doc_id, t): n for r in index._table("terms").collect() for t, n in zip(r.terms, r.frequencies, strict=True)}
+    assert terms == {(r.doc_id, r.term): r.frequency for r in bm25.postings(docs).collect()}
+    written, folder = [], index.store._write_folder
+    monkeypatch.setattr(index.store, "_write_folder", lambda name, df, *a, **k: written.append((name, df)) or folder(name, df, *a, **k))
+    changed = {d: f"{now[d] or ''} fresh w7" for d in range(0, 400, 9)}
+    index.replace(docs_of(spark, changed.items()), spark.range(1, 400, 6).selectExpr("id AS doc_id"))
+    now = {d: changed.get(d, t) for d, t in now.items() if d in changed or d % 6 != 1}
+    assert index._state().epoch == 0 and index._state().documents == len(now)
+    blocks = [df._jdf.queryExecution().optimizedPlan().toString() for name, df in written if name == "keyword_blocks"]
+    assert len(blocks) == 1 and "Generate" not in blocks[0] and "collect_list" not in blocks[0]
+    stored = index._table("terms").collect()
+    assert len(stored) == len(now) and {r.doc_id for r in stored} == set(now)
+    for query in ("fresh w7", "w0 w3 w90"):
+        same(index, docs_of(spark, now.items()), query)
+
+
+@pytest.mark.parametrize("n_gone", [3, 60])
+def test_an_index_stored_before_terms_were_is_changed_and_laid_out(spark, index, n_gone):
+    """Both with blocks that stay and with a new layout; documents without tokens still count."""
+    now = dict(texts(150, 9))
+    index.create(docs_of(spark, now.items()))
+    index.replace(docs_of(spark, [(7, "w1 w1 fresh")]))
+    index.store.drop("keyword_terms")
+    index.replace(docs_of(spark, [(500, "fresh w2"), (501, None)]), spark.range(10, 10 + n_gone).selectExpr("id AS doc_id"))
+    now = {d: t for d, t in (now | {7: "w1 w1 fresh", 500: "fresh w2", 501: None}).items() if not 10 <= d < 10 + n_gone}
+    assert (index._state().epoch == 0) == (n_gone == 60) and index._state().documents == len(now)
+    for query in ("fresh w1", "w0 w3 w90"):
+        same(index, docs_of(spark, now.items()), query)
+    index.lay_out()
+    same(index, docs_of(spark, now.items()), "w0 w2")
