@@ -60,3 +60,8 @@ def ranked(terms: pa.Array) -> tuple[np.ndarray, pa.Array]:
     rank = np.empty(len(order), np.int64)
     rank[order.to_numpy()] = np.arange(len(order))
     return rank[coded.indices.to_numpy()], coded.dictionary.take(order)
+
+
+def widths(lists: pa.Array) -> np.ndarray:
+    """The number of values of each list."""
+    return pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -29,9 +29,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.functions.arrow_text import counts, lowered, ranked, slices, token_codes
+from lodeseek.functions.arrow_text import counts, lowered, ranked, slices, token_codes, widths
 from lodeseek.operators.bm25 import Params, query_terms
-from lodeseek.session import materialize, shuffle_partitions_for
+from lodeseek.session import freed_shuffles, materialize, shuffle_partitions_for
 from lodeseek.sources.store import Store
 
 #: Length classes are powers of two; no text has 2^48 tokens.
@@ -75,7 +75,8 @@ class KeywordIndex:
         return [max(1, math.ceil(found.get(c, 0) / self.segment_docs)) for c in range(CLASSES)]
 
     def _checked(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(doc_id, length, terms, frequencies): the number of tokens, the different ones and how often each occurs."""
+        """(doc_id, length, terms, frequencies): the number of tokens, the different ones and how often each occurs. Terms are
+        one string, with spaces between, as no token holds one: arrays of strings take more time and room in the JVM."""
         ids = docs.agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("d")).first()
         if ids.n != ids.d:
             raise ValueError(f"{ids.n} rows have {ids.d} different ids that are not null")
@@ -88,10 +89,11 @@ class KeywordIndex:
                     length = np.bincount(row, minlength=part.num_rows)
                     row, code, n = counts(row, code, len(known))
                     ends = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32())
-                    lists = [pa.ListArray.from_arrays(ends, values) for values in (known.take(pa.array(code)), pa.array(n, pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(length, pa.int64()), *lists], names=["doc_id", "length", "terms", "frequencies"])
+                    terms = pc.binary_join(pa.ListArray.from_arrays(ends, known.take(pa.array(code))), " ")
+                    columns = [part.column("doc_id"), pa.array(length, pa.int64()), terms, pa.ListArray.from_arrays(ends, pa.array(n, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "length", "terms", "frequencies"])
 
-        return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, length long, terms array<string>, frequencies array<long>")
+        return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, length long, terms string, frequencies array<int>")
 
     def _blocks_of_texts(self, rows: DataFrame, segments: list[int], buckets: int, documents: int, n_tokens: int, epoch: int) -> DataFrame:
         """Documents with their terms, as _checked() has them, are shuffled by segment, so a task makes a segment's blocks where
@@ -103,13 +105,13 @@ class KeywordIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sizes = 8 * pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
-                for part in slices(batch, SLICE_BYTES, sizes):
-                    row = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column("terms")).to_numpy(zero_copy_only=False))
+                for part in slices(batch, SLICE_BYTES, 8 * widths(batch.column("frequencies"))):
+                    row = np.repeat(np.arange(part.num_rows), widths(part.column("frequencies")))
                     if not len(row):
                         continue
-                    code, known = ranked(part.column("terms").flatten())
-                    n, length = part.column("frequencies").flatten().to_numpy(), part.column("length").to_numpy()
+                    terms = pc.split_pattern(part.column("terms"), " ").flatten()
+                    code, known = ranked(terms.filter(pc.not_equal(terms, "")))  # a document without tokens is split into ""
+                    n, length = part.column("frequencies").flatten().to_numpy().astype(np.int64), part.column("length").to_numpy()
                     own, at = np.unique(part.column("segment").to_numpy(), return_inverse=True)
                     key = code * len(own) + at[row]
                     order = np.argsort(key, kind="stable")  # by term and segment, then as rows come: by id
@@ -147,7 +149,8 @@ class KeywordIndex:
             buckets = min(4096, max(8, math.ceil(total.t / self.bucket_tokens)))
             placed = lengths.withColumn("segment", self._segment(F.col("doc_id"), F.col("length"), segments))
             self.store.write(f"{self.name}_docs", placed)
-            self.store.write(f"{self.name}_blocks", self._blocks_of_texts(rows, segments, buckets, total.n, total.t, 0), ["term", "segment"], "bucket", as_is=True)
+            with freed_shuffles(self.store.spark):
+                self.store.write(f"{self.name}_blocks", self._blocks_of_texts(rows, segments, buckets, total.n, total.t, 0), ["term", "segment"], "bucket", as_is=True)
             self.store.write(f"{self.name}_gone", placed.select("doc_id", "segment", F.lit(0).cast("long").alias("epoch")).limit(0))
             self._put_state(total.n, total.t, 0, buckets, total.n, segments)
 
@@ -180,7 +183,8 @@ class KeywordIndex:
             self.store.change(f"{self.name}_gone", dead, None, ["doc_id"])
             self.store.change(f"{self.name}_docs", placed, ids, ["doc_id"])
             blocks = self._blocks_of_texts(rows, state.segments, state.buckets, plus.n, plus.t, epoch)
-            self.store.change(f"{self.name}_blocks", blocks, None, ["term"], as_is=True)
+            with freed_shuffles(self.store.spark):
+                self.store.change(f"{self.name}_blocks", blocks, None, ["term"], as_is=True)
             self._put_state(documents, state.tokens - minus.t + plus.t, epoch, state.buckets, state.laid_out, state.segments)
 
     def delete(self, ids: DataFrame) -> None:
@@ -196,8 +200,8 @@ class KeywordIndex:
         """What _checked() has, for an index that was stored before terms were: every living posting is shuffled, once."""
         found = self._living(self._table("blocks")).groupBy("doc_id").agg(F.collect_list(F.struct("term", "frequency")).alias("found"))
         rows = self._table("docs").select("doc_id", "length").join(found, "doc_id", "left")
-        empty = {"terms": F.array().cast("array<string>"), "frequencies": F.array().cast("array<long>")}
-        return rows.select("doc_id", "length", F.coalesce("found.term", empty["terms"]).alias("terms"), F.coalesce("found.frequency", empty["frequencies"]).alias("frequencies"))
+        terms, n = F.coalesce(F.array_join("found.term", " "), F.lit("")), F.coalesce(F.col("found.frequency").cast("array<int>"), F.array().cast("array<int>"))
+        return rows.select("doc_id", "length", terms.alias("terms"), n.alias("frequencies"))
 
     # Searches
 

@@ -149,7 +149,7 @@ def test_a_new_layout_is_made_of_stored_terms_and_no_posting_is_shuffled(spark,
     now = dict(texts(400, 8))
     docs = docs_of(spark, now.items())
     index.create(docs)
-    terms = {(r.doc_id, t): n for r in index._table("terms").collect() for t, n in zip(r.terms, r.frequencies, strict=True)}
+    terms = {(r.doc_id, t): n for r in index._table("terms").collect() for t, n in zip(r.terms.split(), r.frequencies, strict=True)}
     assert terms == {(r.doc_id, r.term): r.frequency for r in bm25.postings(docs).collect()}
     written, folder = [], index.store._write_folder
     monkeypatch.setattr(index.store, "_write_folder", lambda name, df, *a, **k: written.append((name, df)) or folder(name, df, *a, **k))
