@@ -164,3 +164,39 @@ def test_a_long_text_does_not_widen_the_columns_of_others():
     chunks = list(_chunks_of_like_length(texts))
     assert sorted(t for c in chunks for t in c) == sorted(texts)
     assert all(Texts(c).columns.size <= GROUP_CHARACTERS for c in chunks)
+
+
+def test_unlike_texts_are_left_out_before_their_distances_are_computed():
+    """Texts of the same syllables, whose distances are far beyond the bound, were all compared by columns of distances."""
+    import random
+
+    import numpy as np
+
+    from lodeseek.functions.editing import Texts, distances, may_be_within
+    from lodeseek.operators.linking import _similar
+
+    rng = random.Random(9)
+    prose = lambda n: "".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ed", " ", "nd", "ha", ", ", "tion", "st"]) for _ in range(n))
+
+    def edited(text: str, times: int) -> str:
+        out = list(text)
+        for _ in range(times):
+            at = rng.randint(0, len(out))
+            out[at : at + rng.randint(0, 1)] = rng.choice(["", "e", "é", "日"])
+        return "".join(out)
+
+    blocks = [prose(n) for n in (1, 30, 60, 130, 200, 260)] + ["x" * 700, "ab" * 900]
+    near = [edited(b, rng.randint(0, len(b) * 2 // 3)) for b in blocks for _ in range(6)]
+    moved = [b[len(b) // 3 :] + b[: len(b) // 3] for b in blocks] + [b + b[: len(b) // 2] for b in blocks] + ["", "x" * 300 + "ab" * 400]
+    texts = Texts([*near, *moved, *(prose(rng.randint(60, 300)) for _ in range(60))])
+    text, pattern = np.divmod(np.arange(len(texts.length) * len(blocks)), len(blocks))
+    longest = np.maximum(texts.length[text], np.array([len(b) for b in blocks])[pattern])
+    exact = np.stack([distances(b, texts, 0, len(texts.length)) for b in blocks])[pattern, text]
+    for most in (longest // 5, longest // 2, longest * 4 // 5, exact, np.maximum(exact - 1, 0)):
+        assert may_be_within(blocks, texts, pattern, text, most)[exact <= most].all()
+    kept = may_be_within(blocks, texts, pattern, text, longest // 2)
+    unlike = (exact > 0.6 * longest) & (longest > 200)
+    assert unlike.sum() > 300 and (kept & unlike).sum() < 0.1 * unlike.sum()  # turned ones have much in common
+    got = {(b, t): s for b, t, s in _similar(blocks, texts, 0.5)}
+    want = {(blocks[p], int(t)): 1 - e / max(n, 1) for p, t, e, n in zip(pattern, text, exact, longest) if 1 - e / max(n, 1) >= 0.5}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
